@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sitegrain.session import tune
-from workload import structure
+from workload import structure, tech
 
-MODULES = [structure]
+MODULES = [structure, tech]
 
 
 def _tuned(query):
