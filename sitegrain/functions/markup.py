@@ -46,9 +46,17 @@ def text_of(fragment: Column) -> Column:
     return squeeze(unescape(F.regexp_replace(fragment, "<[^>]*>", " ")))
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, also where the body names it in several branches."""
+    return F.get(F.transform(F.array(value), lambda v: body(v)), F.lit(0))
+
+
 def cut_at_space(text: Column, limit: int) -> Column:
     """Text of at most ``limit`` characters that does not end inside a word."""
-    return F.when(F.length(text) > limit, F.regexp_replace(F.left(text, F.lit(limit)), " [^ ]*$", "")).otherwise(text)
+    return let(
+        text,
+        lambda t: F.when(F.length(t) > limit, F.regexp_replace(F.left(t, F.lit(limit)), " [^ ]*$", "")).otherwise(t),
+    )
 
 
 def skeleton(html: Column) -> Column:

@@ -7,6 +7,8 @@ is likely; a pattern that is plain text needs no expression at all.
 
 from __future__ import annotations
 
+import json
+import re
 import re._constants as codes
 import re._parser as parser
 from functools import reduce
@@ -68,9 +70,51 @@ def found_any(low: Column, text: Column, patterns: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [found(low, text, p) for p in patterns])
 
 
-def labels_found(low: Column, text: Column, rules: list[tuple[str, str]]) -> Column:
+def constant(rows, schema: str) -> Column:
+    """A fixed rule table as one literal: parsed once by the optimizer, however long it is."""
+    return F.from_json(F.lit(json.dumps(rows)), schema)
+
+
+def constant_map(pairs) -> Column:
+    return constant(dict(pairs), "map<string,string>")
+
+
+def branch_rows(patterns: list[str]) -> list[dict]:
+    """Alternatives of the patterns as (literal, dotted, pattern); the pattern is left out where the literal says it all."""
+    rows = []
+    for branch in (b for p in patterns for b in branches(p)):
+        literal, plain = fixed_text(branch)
+        dotted = re.fullmatch(r"[a-z0-9_-]*(\.[a-z0-9_-]+)+", literal) is not None
+        rows.append({"literal": literal, "dotted": dotted, "pattern": None if plain else FLAGS + branch})
+    return rows
+
+
+BRANCHES = "branches: array<struct<literal: string, dotted: boolean, pattern: string>>"
+
+
+def dotted_words(low: Column) -> Column:
+    """All dotted words of a page (hosts, file names, object paths), which is where most literals can stand at all."""
+    words = F.regexp_extract_all(low, F.lit(r"(?<![a-z0-9_-])[a-z0-9_-]*+(?:\.[a-z0-9_-]+)+"), F.lit(0))
+    return F.array_join(F.array_distinct(words), " ")
+
+
+def rules_hit(table: Column, low: Column, text: Column, dots: Column) -> Column:
+    """Rows of a rule table with any branch found; ``dots`` holds the dotted words of ``low``."""
+
+    def hit(branch: Column) -> Column:
+        place = F.when(branch["dotted"], dots).otherwise(low)
+        return F.contains(place, branch["literal"]) & (
+            branch["pattern"].isNull() | F.rlike(text, F.coalesce(branch["pattern"], F.lit("")))
+        )
+
+    return F.filter(table, lambda rule: F.exists(rule["branches"], hit))
+
+
+def labels_found(low: Column, text: Column, rules: list[tuple[str, str]], dots: Column | None = None) -> Column:
     """Labels of the rules (label, pattern) that hit, in rule order."""
-    return F.array_compact(F.array(*[F.when(found(low, text, p), F.lit(label)) for label, p in rules]))
+    rows = [{"label": label, "branches": branch_rows([p])} for label, p in rules]
+    table = constant(rows, f"array<struct<label: string, {BRANCHES}>>")
+    return F.transform(rules_hit(table, low, text, low if dots is None else dots), lambda r: r["label"])
 
 
 def contains_any(low: Column, words: list[str]) -> Column:

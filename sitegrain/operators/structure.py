@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import markup as m
+from sitegrain.functions.patterns import constant
 from sitegrain.functions.urls import absolutize, asset_host, host_of, is_under, path_of
 from sitegrain.rules import page as rules
 from sitegrain.sources.pages import with_domain, with_skeleton
@@ -100,8 +101,8 @@ def contact_footer(html: Column) -> Column:
 
 
 def _body(markup: Column, limit: int | None = None) -> Column:
-    noise = "|".join(rf"<{tag}(?:\s[^>]*)?>.*?</{tag}\s*>" for tag in rules.NOISE_TAGS)
-    content = F.regexp_replace(markup, f"(?is){noise}", " ")
+    noise = rf"(?is)<({'|'.join(rules.NOISE_TAGS)})(?:\s[^>]*)?>.*?</\1\s*>"
+    content = F.regexp_replace(markup, noise, " ")
     part = F.coalesce(
         m.first_element(content, "main"),
         m.first_element(content, "article"),
@@ -327,8 +328,9 @@ def important_pages(links: DataFrame, variant: str = "full") -> DataFrame:
     map-side combined minimum.
     """
     first_links, paths = rules.IMPORTANT_PATHS[variant]
-    table = F.array(
-        *[F.struct(F.lit(p).alias("path"), F.lit(t).alias("title"), F.lit(i).alias("ord")) for i, (p, t) in enumerate(paths)]
+    table = constant(
+        [{"path": p, "title": t, "ord": i} for i, (p, t) in enumerate(paths)],
+        "array<struct<path: string, title: string, ord: int>>",
     )
     href = F.col("href")
     hits = (
@@ -375,7 +377,7 @@ def blog_facts(pages: DataFrame) -> DataFrame:
 
     Facts are computed page by page; only short columns meet the per-site minimum.
     """
-    table = F.create_map(*[F.lit(v) for i, p in enumerate(rules.BLOG_PATHS) for v in (p, i)])
+    table = constant({p: i for i, p in enumerate(rules.BLOG_PATHS)}, "map<string, int>")
     path = F.lower(F.regexp_replace(path_of(F.col("url")), "/+$", ""))
     blogs = (
         with_domain(pages)

@@ -10,7 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import markup as m
-from sitegrain.functions.patterns import FLAGS, contains_any, fixed_text, found, found_any, labels_found
+from sitegrain.functions.patterns import (
+    BRANCHES,
+    FLAGS,
+    branch_rows,
+    constant,
+    constant_map,
+    contains_any,
+    dotted_words,
+    found,
+    labels_found,
+    rules_hit,
+)
 from sitegrain.functions.urls import asset_host, host_suffixes, path_of
 from sitegrain.operators.structure import ld_blocks, page_assets, page_inline, page_links
 from sitegrain.rules import tech as rules
@@ -19,8 +30,9 @@ from sitegrain.sources.pages import with_domain
 
 def _table(rows: list[tuple[str, str]]) -> Column:
     """A small fixed rule table as an array column of (ord, name, label)."""
-    return F.array(
-        *[F.struct(F.lit(i).alias("ord"), F.lit(a).alias("name"), F.lit(b).alias("label")) for i, (a, b) in enumerate(rows)]
+    return constant(
+        [{"ord": i, "name": a, "label": b} for i, (a, b) in enumerate(rows)],
+        "array<struct<ord: int, name: string, label: string>>",
     )
 
 
@@ -30,26 +42,25 @@ def _table(rows: list[tuple[str, str]]) -> Column:
 def detect_fingerprints(pages: DataFrame) -> DataFrame:
     """(page_id, domain, rule_set, tech, category), one row per rule that hits the page."""
     sets = [("page", rules.FINGERPRINTS), ("tools", rules.TOOL_FINGERPRINTS), ("words", rules.PLATFORM_WORDS)]
-    low, html = F.col("low"), F.col("html")
-    hits = F.array_compact(
-        F.array(
-            *[
-                F.when(
-                    found_any(low, html, patterns),
-                    F.struct(F.lit(name).alias("rule_set"), F.lit(tech).alias("tech"), F.lit(category).alias("category")),
-                )
-                for name, table in sets
-                for tech, category, patterns in table
-            ]
-        )
+    table = constant(
+        [
+            {"rule_set": name, "tech": tech, "category": category, "branches": branch_rows(patterns)}
+            for name, rows in sets
+            for tech, category, patterns in rows
+        ],
+        f"array<struct<rule_set: string, tech: string, category: string, {BRANCHES}>>",
+    )
+    staged = with_domain(pages).withColumn("low", F.lower("html")).withColumn("dots", dotted_words(F.col("low")))
+    hits = F.transform(
+        rules_hit(table, F.col("low"), F.col("html"), F.col("dots")),
+        lambda r: F.struct(r["rule_set"].alias("rule_set"), r["tech"].alias("tech"), r["category"].alias("category")),
     )
-    staged = with_domain(pages).withColumn("low", F.lower("html"))
     return staged.select("page_id", "domain", F.explode(hits).alias("h")).select("page_id", "domain", "h.*")
 
 
 def tech_of_host(host: Column) -> Column:
     """Technology of a third-party host: the exact host first, else the first table row the host is under."""
-    exact = F.create_map(*[F.lit(v) for row in rules.HOST_TECH for v in row])
+    exact = constant_map(rules.HOST_TECH)
     suffixes = host_suffixes(host)
     under = F.filter(_table(rules.HOST_TECH), lambda r: F.array_contains(suffixes, r["name"]))
     return F.coalesce(F.try_element_at(exact, host), F.get(under, F.lit(0))["label"])
@@ -217,7 +228,7 @@ def category_of(tech: Column) -> Column:
     """Category of a technology name: the exact name, else the first table row where one name contains the other."""
     rows = [(name, category) for category, names in rules.CATEGORY_NAMES for name in names]
     low = F.lower(tech)
-    exact = F.create_map(*[F.lit(v) for row in rows for v in row])
+    exact = constant_map(rows)
     near = F.filter(_table(rows), lambda r: F.contains(low, r["name"]) | F.contains(r["name"], low))
     known = F.coalesce(*[F.when(contains_any(low, names), F.lit(category)) for category, names in rules.KNOWN_NAMES])
     return F.coalesce(F.try_element_at(exact, low), F.get(near, F.lit(0))["label"], known)
@@ -231,7 +242,7 @@ def categorize(tech: DataFrame) -> DataFrame:
 
 def categories_of_detection(detections: DataFrame) -> DataFrame:
     """(id, tech, category): the detector's own categories mapped to ours, and the category by name."""
-    mapped = F.create_map(*[F.lit(v) for row in rules.DETECTOR_CATEGORIES.items() for v in row])
+    mapped = constant_map(rules.DETECTOR_CATEGORIES)
     own = F.transform("categories", lambda c: F.try_element_at(mapped, F.lower(c)))
     every = F.array_distinct(F.array_compact(F.concat(F.coalesce(own, F.array()), F.array(category_of(F.col("tech"))))))
     return detections.select("id", "tech", F.explode(every).alias("category")).distinct()
@@ -342,9 +353,7 @@ def target_evidence(targets: DataFrame, sites: DataFrame, tech: DataFrame, page_
     ``evidence``. Detected technologies decide first; only targets they leave open meet the page evidence, and one
     piece of evidence counts for the first open target it names.
     """
-    mapping = F.create_map(
-        *[v for word, cats in rules.TARGET_CATEGORIES.items() for v in (F.lit(word), F.array(*[F.lit(c) for c in cats]))]
-    )
+    mapping = constant(rules.TARGET_CATEGORIES, "map<string, array<string>>")
     wanted = sites.join(F.broadcast(targets.filter(F.lower("target") != "all")), "intent_id")
     profile = site_tech(tech).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("tech", "category"))).alias("known"))
     low = F.lower("target")
@@ -393,15 +402,14 @@ def tech_filter(sites: DataFrame, profile: DataFrame, intents: DataFrame) -> Dat
     A requirement is met by a part of a technology's name, or as a category word by any technology of the category.
     The reason names the first requirement that failed.
     """
-    pairs = [(word, c) for word, cats in rules.REQUIREMENT_CATEGORIES.items() for c in cats]
-    table = F.array(*[F.struct(F.lit(w).alias("word"), F.lit(c).alias("category")) for w, c in pairs])
+    mapping = constant(rules.REQUIREMENT_CATEGORIES, "map<string, array<string>>")
     known = F.col("known")
 
     def names_with(word: Column) -> Column:
         return F.filter(known, lambda k: F.contains(F.lower(k["tech"]), F.lower(word)))
 
     def names_in(word: Column) -> Column:
-        cats = F.transform(F.filter(table, lambda r: r["word"] == F.lower(word)), lambda r: r["category"])
+        cats = F.coalesce(F.try_element_at(mapping, F.lower(word)), F.array())
         return F.filter(known, lambda k: F.array_contains(cats, k["category"]))
 
     missing = F.filter("must_have", lambda w: (F.size(names_with(w)) == 0) & (F.size(names_in(w)) == 0))

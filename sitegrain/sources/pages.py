@@ -9,9 +9,18 @@ from sitegrain.functions.markup import skeleton
 from sitegrain.functions.urls import host_of
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spreads an input of fewer splits than cores over all cores; a large input is left as it is, unshuffled.
+
+    Reading HTML costs far more CPU than I/O, and a small file is a single split.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
     """Stored pages. A snapshot that was not a 200 HTML answer carries no html, as if it had not been fetched."""
-    pages = spark.read.parquet(f"{folder}/pages.parquet")
+    pages = spread(spark.read.parquet(f"{folder}/pages.parquet"))
     if "status" in pages.columns:
         pages = pages.withColumn("html", F.when(F.col("status") == 200, F.col("html")))
     if "content_type" in pages.columns:

@@ -182,7 +182,7 @@ by_name AS (SELECT w.domain, w.target, min(s.tech) AS tech FROM wanted w JOIN si
   AND (contains(lower(s.tech), lower(w.target)) OR contains(lower(w.target), lower(s.tech))) GROUP BY ALL),
 by_cat AS (SELECT domain, target, lower(target) || ': ' || string_agg(tech, ', ' ORDER BY tech) AS shown FROM (
   SELECT w.domain, w.target, s.tech, row_number() OVER (PARTITION BY w.domain, w.target ORDER BY s.tech) AS rn FROM (SELECT DISTINCT domain, target FROM wanted) w
-  JOIN target_cats c ON c.word = lower(w.target) JOIN site_tech s ON s.domain = w.domain AND s.category = c.category) WHERE rn <= 3 GROUP BY ALL),
+  JOIN target_cats c ON c.word = lower(w.target) JOIN site_tech s ON s.domain = w.domain AND s.category = c.category) WHERE rn <= 3 GROUP BY domain, target),
 decided AS (SELECT w.*, coalesce(n.tech, c.shown) AS detected FROM wanted w LEFT JOIN by_name n ON n.domain = w.domain AND n.target = w.target
   LEFT JOIN by_cat c ON c.domain = w.domain AND c.target = w.target),
 evidence AS (
