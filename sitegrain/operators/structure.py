@@ -179,6 +179,15 @@ def meta_summary(pages: DataFrame) -> DataFrame:
     )
 
 
+def with_meta_words(pages: DataFrame) -> DataFrame:
+    """Adds the first meta keywords (null without any) and og:type of a page."""
+    staged = pages.withColumn("_metas", _metas(m.skeleton(F.col("html"))))
+    words = m.non_empty(F.transform(F.split(_meta(F.col("_metas"), "keywords"), ","), lambda w: F.trim(w)))
+    return staged.withColumns(
+        {"meta_keywords": F.slice(words, 1, rules.META_KEYWORDS_MAX), "og_type": _meta(F.col("_metas"), "og:type")}
+    ).drop("_metas")
+
+
 def page_headings(pages: DataFrame) -> DataFrame:
     def rows(level: int) -> Column:
         return F.transform(

@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sitegrain.session import tune
-from workload import structure, tech
+from workload import funnel, structure, tech
 
-MODULES = [structure, tech]
+MODULES = [structure, tech, funnel]
 
 
 def _tuned(query):
