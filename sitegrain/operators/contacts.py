@@ -137,11 +137,10 @@ def valid_emails(emails: DataFrame) -> DataFrame:
 
 def best_email(emails: DataFrame) -> DataFrame:
     """Best address of a site: the first of its own domain, else the first good generic one, else null."""
-    tier = email_tier(F.col("email"), F.col("domain"))
-    at = F.struct(tier.alias("tier"), F.col("page_id"), F.col("ord"))
-    return emails.groupBy("domain").agg(
-        F.min_by("email", F.when(tier.isNotNull(), at)).alias("email"), F.count_if(tier.isNotNull()).alias("usable")
-    )
+    rows = emails.withColumn("tier", email_tier(F.col("email"), F.col("domain")))
+    at = F.when(F.col("tier").isNotNull(), F.struct("tier", "page_id", "ord"))
+    best = rows.groupBy("domain").agg(F.min_by("email", at).alias("best"), F.count("tier").alias("usable"))
+    return best.withColumnRenamed("best", "email")
 
 
 def outreach(pages: DataFrame) -> DataFrame:

@@ -138,7 +138,8 @@ def best_page(scores: DataFrame, keys: list[str]) -> DataFrame:
 
 def top_sites(scores: DataFrame, n: int) -> DataFrame:
     """The n best sites of all."""
-    return scores.orderBy(F.col("confidence").desc(), F.col("domain")).limit(n)
+    tie = [F.col(c) for c in ("domain", "intent_id") if c in scores.columns]
+    return scores.orderBy(F.col("confidence").desc(), *tie).limit(n)
 
 
 def top_sites_per_intent(scores: DataFrame, intents: DataFrame) -> DataFrame:

@@ -238,9 +238,11 @@ def page_body(pages: DataFrame, limit: int | None = rules.BODY_TEXT_MAX) -> Data
     return with_skeleton(pages).select("page_id", _body(F.col("markup"), limit).alias("body_text"))
 
 
-def page_assets(pages: DataFrame) -> DataFrame:
-    """Third-party references: (page_id, domain, kind, pos, url, host), one row per URL without its query."""
-    base = with_skeleton(pages).select("page_id", "domain", "markup")
+def with_assets(staged: DataFrame) -> DataFrame:
+    """Adds ``assets``: third-party references (kind, url, host), each URL once per kind without its query.
+
+    Needs ``markup`` and ``domain`` (see ``with_skeleton``).
+    """
 
     def form_action(tag: Column) -> Column:
         data = F.trim(m.unescape(F.regexp_extract(tag, r"(?is)\sdata-[\w-]+\s*=\s*[\"']([^\"']*://[^\"']*)[\"']", 1)))
@@ -261,15 +263,18 @@ def page_assets(pages: DataFrame) -> DataFrame:
         kept = F.filter(assets, lambda a: a["host"].isNotNull() & ~is_under(a["host"], F.col("domain")))
         return m.distinct_by(kept, lambda a: F.substring_index(a["url"], "?", 1))
 
-    every = F.concat(*[foreign(kind, found) for kind, found in urls.items()])
-    return base.select("page_id", "domain", F.posexplode(every).alias("pos", "a")).select(
+    return staged.withColumn("assets", F.concat(*[foreign(kind, found) for kind, found in urls.items()]))
+
+
+def page_assets(pages: DataFrame) -> DataFrame:
+    """Third-party references as rows: (page_id, domain, kind, pos, url, host)."""
+    return with_assets(with_skeleton(pages)).select("page_id", "domain", F.posexplode("assets").alias("pos", "a")).select(
         "page_id", "domain", "a.kind", "pos", "a.url", "a.host"
     )
 
 
-def page_inline(pages: DataFrame) -> DataFrame:
-    """Inline scripts and comments: (page_id, kind, pos, text). Scripts are kept whole; a comment shows 500 characters."""
-    html = F.col("html")
+def inline_of(html: Column) -> Column:
+    """Inline scripts and comments as (kind, pos, text). Scripts are whole; a comment shows 500 characters."""
     scripts = F.filter(
         m.rx_all(html, r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"),
         lambda s: s.rlike("(?i)^<script") & (m.attribute(s, "src") == ""),
@@ -284,8 +289,12 @@ def page_inline(pages: DataFrame) -> DataFrame:
             m.non_empty(texts), lambda t, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), t.alias("text"))
         )
 
-    every = F.concat(rows("js", bodies), rows("comment", comments))
-    return pages.select("page_id", F.explode(every).alias("x")).select("page_id", "x.*")
+    return F.concat(rows("js", bodies), rows("comment", comments))
+
+
+def page_inline(pages: DataFrame) -> DataFrame:
+    """Inline scripts and comments as rows: (page_id, kind, pos, text)."""
+    return pages.select("page_id", F.explode(inline_of(F.col("html"))).alias("x")).select("page_id", "x.*")
 
 
 def page_context(pages: DataFrame) -> DataFrame:

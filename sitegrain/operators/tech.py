@@ -23,9 +23,9 @@ from sitegrain.functions.patterns import (
     rules_hit,
 )
 from sitegrain.functions.urls import asset_host, host_suffixes, path_of
-from sitegrain.operators.structure import ld_blocks, page_assets, page_inline, page_links
+from sitegrain.operators.structure import inline_of, ld_blocks, with_assets
 from sitegrain.rules import tech as rules
-from sitegrain.sources.pages import with_domain
+from sitegrain.sources.pages import with_domain, with_skeleton
 
 
 def _table(rows: list[tuple[str, str]]) -> Column:
@@ -39,23 +39,31 @@ def _table(rows: list[tuple[str, str]]) -> Column:
 # --- page-level detection ---------------------------------------------------------------------------------------
 
 
-def detect_fingerprints(pages: DataFrame) -> DataFrame:
-    """(page_id, domain, rule_set, tech, category), one row per rule that hits the page."""
-    sets = [("page", rules.FINGERPRINTS), ("tools", rules.TOOL_FINGERPRINTS), ("words", rules.PLATFORM_WORDS)]
+RULE_SETS = {"page": rules.FINGERPRINTS, "tools": rules.TOOL_FINGERPRINTS, "words": rules.PLATFORM_WORDS}
+
+
+def with_fingerprints(pages: DataFrame, sets: tuple[str, ...] = ("page", "tools", "words")) -> DataFrame:
+    """Adds ``low`` (lower-case html), ``dots`` (its dotted words) and ``prints``: (rule_set, tech, category) of each hit."""
     table = constant(
         [
             {"rule_set": name, "tech": tech, "category": category, "branches": branch_rows(patterns)}
-            for name, rows in sets
-            for tech, category, patterns in rows
+            for name in sets
+            for tech, category, patterns in RULE_SETS[name]
         ],
         f"array<struct<rule_set: string, tech: string, category: string, {BRANCHES}>>",
     )
-    staged = with_domain(pages).withColumn("low", F.lower("html")).withColumn("dots", dotted_words(F.col("low")))
+    staged = pages.withColumn("low", F.lower("html")).withColumn("dots", dotted_words(F.col("low")))
     hits = F.transform(
         rules_hit(table, F.col("low"), F.col("html"), F.col("dots")),
         lambda r: F.struct(r["rule_set"].alias("rule_set"), r["tech"].alias("tech"), r["category"].alias("category")),
     )
-    return staged.select("page_id", "domain", F.explode(hits).alias("h")).select("page_id", "domain", "h.*")
+    return staged.withColumn("prints", hits)
+
+
+def detect_fingerprints(pages: DataFrame, sets: tuple[str, ...] = ("page", "tools", "words")) -> DataFrame:
+    """(page_id, domain, rule_set, tech, category), one row per rule that hits the page."""
+    staged = with_fingerprints(with_domain(pages), sets)
+    return staged.select("page_id", "domain", F.explode("prints").alias("h")).select("page_id", "domain", "h.*")
 
 
 def tech_of_host(host: Column) -> Column:
@@ -71,99 +79,104 @@ def detect_hosts(assets: DataFrame) -> DataFrame:
     return assets.withColumn("tech", tech_of_host(F.col("host"))).filter(F.col("tech").isNotNull())
 
 
-def detect_inline(pages: DataFrame) -> DataFrame:
-    """Globals in inline scripts and signatures in comments: (page_id, kind, pos, label, snippet).
+def inline_hits(inline: Column) -> Column:
+    """Globals in inline scripts and signatures in comments as (kind, label, pos, snippet).
 
     A snippet shows 20 characters before and 120 after the start of the hit; the same label with the same snippet
-    start is listed once per page. Runs on the inline relation page by page, without a shuffle.
+    start is listed once per page.
     """
-    inline = page_inline(pages)
 
-    def global_rows() -> Column:
-        text = F.col("text")
+    def global_rows(row: Column) -> Column:
+        text, low = row["text"], F.lower(row["text"])
         rows = []
         for label, pattern in rules.INLINE_GLOBALS:
-            at = F.regexp_instr(text, F.lit(FLAGS + pattern))
-            start = F.greatest(at - 20, F.lit(1))
-            snippet = F.trim(F.substring(text, start, at + 120 - start))
-            rows.append(
-                F.when(
-                    found(F.col("low"), text, pattern),
-                    F.struct(F.lit(label).alias("label"), snippet.alias("snippet"), F.left(snippet, F.lit(60)).alias("key")),
-                )
-            )
+            start = F.greatest(F.regexp_instr(text, F.lit(FLAGS + pattern)) - 20, F.lit(1))
+            length = F.regexp_instr(text, F.lit(FLAGS + pattern)) + 120 - start
+            snippet = F.trim(F.substring(text, start, length))
+            rows.append(F.when(found(low, text, pattern), _hit(row, F.lit(label), snippet, 60)))
         return F.array_compact(F.array(*rows))
 
-    def comment_rows() -> Column:
-        text = F.col("text")
-        return F.transform(
-            labels_found(F.col("low"), text, rules.COMMENT_SIGNATURES),
-            lambda label: F.struct(label.alias("label"), text.alias("snippet"), F.left(text, F.lit(80)).alias("key")),
-        )
+    def comment_rows(row: Column) -> Column:
+        text = row["text"]
+        labels = labels_found(F.lower(text), text, rules.COMMENT_SIGNATURES)
+        return F.transform(labels, lambda label: _hit(row, label, text, 80))
 
-    hits = (
-        inline.withColumn("low", F.lower("text"))
-        .select("page_id", "kind", "pos", F.explode(F.when(F.col("kind") == "js", global_rows()).otherwise(comment_rows())).alias("h"))
-        .select("page_id", "kind", "pos", "h.*")
+    hits = F.concat(
+        F.flatten(F.transform(_of_kind(inline, "js"), global_rows)),
+        F.flatten(F.transform(_of_kind(inline, "comment"), comment_rows)),
     )
-    return hits.groupBy("page_id", "kind", "label", "key").agg(
-        F.min("pos").alias("pos"), F.min_by("snippet", "pos").alias("snippet")
-    ).drop("key")
+    return m.distinct_by(hits, lambda h: h["key"])
 
 
-def marketing_signals(pages: DataFrame) -> DataFrame:
-    """Retargeting pixels as a map, the missing ones, support widgets, email tools and popups of a page."""
-    low, html = F.col("low"), F.col("html")
-    pixels = F.map_from_arrays(
-        F.array(*[F.lit(name) for name, _ in rules.PIXELS]), F.array(*[found(low, html, p) for _, p in rules.PIXELS])
-    )
-    staged = with_domain(pages).withColumn("low", F.lower("html")).select(
-        "page_id",
-        "domain",
-        pixels.alias("pixels"),
-        labels_found(low, html, rules.SUPPORT_WIDGETS).alias("support_widgets"),
-        labels_found(low, html, rules.EMAIL_TOOLS).alias("email_tools"),
-        found(low, html, rules.POPUPS).alias("has_popups"),
-    )
-    missing = F.map_keys(F.map_filter("pixels", lambda k, v: ~v))
-    return staged.select(
-        "*", missing.alias("missing_pixels"), (F.size(missing) < len(rules.PIXELS)).alias("has_pixel")
+def _of_kind(inline: Column, kind: str) -> Column:
+    return F.filter(inline, lambda r: r["kind"] == kind)
+
+
+def _hit(row: Column, label: Column, snippet: Column, key_chars: int) -> Column:
+    key = F.concat_ws("\n", row["kind"], label, F.left(snippet, F.lit(key_chars)))
+    return F.struct(
+        row["kind"].alias("kind"), label.alias("label"), row["pos"].alias("pos"), snippet.alias("snippet"), key.alias("key")
     )
 
 
-def _first_label(low: Column, text: Column, table: list[tuple[str, str]]) -> Column:
-    return F.coalesce(*[F.when(found(low, text, p), F.lit(label)) for label, p in table])
+def detect_inline(pages: DataFrame) -> DataFrame:
+    """The inline hits of a page as rows: (page_id, kind, label, pos, snippet)."""
+    hits = inline_hits(F.col("inline"))
+    staged = pages.select("page_id", inline_of(F.col("html")).alias("inline"))
+    return staged.select("page_id", F.explode(hits).alias("h")).select("page_id", "h.kind", "h.label", "h.pos", "h.snippet")
 
 
-def shop_reviews(pages: DataFrame, tech: DataFrame | None = None) -> DataFrame:
-    """Shop platform, review platform and the upsell flag (a shop without reviews).
+def signal_columns(low: Column, html: Column) -> dict[str, Column]:
+    """Retargeting pixels as a map, the missing ones, support widgets, email tools and popups of a page."""
+    names = F.array(*[F.lit(name) for name, _ in rules.PIXELS])
+    there = labels_found(low, html, rules.PIXELS)
+    return {
+        "pixels": F.map_from_arrays(names, F.transform(names, lambda n: F.array_contains(there, n))),
+        "missing_pixels": F.array_except(names, there),
+        "has_pixel": F.size(there) > 0,
+        "support_widgets": labels_found(low, html, rules.SUPPORT_WIDGETS),
+        "email_tools": labels_found(low, html, rules.EMAIL_TOOLS),
+        "has_popups": found(low, html, rules.POPUPS),
+    }
 
-    ``tech(page_id, tech)`` holds the page's detected shop technologies, if any; it takes precedence.
-    """
+
+def marketing_signals(pages: DataFrame) -> DataFrame:
     staged = with_domain(pages).withColumn("low", F.lower("html"))
+    columns = signal_columns(F.col("low"), F.col("html"))
+    return staged.select("page_id", "domain", *[value.alias(name) for name, value in columns.items()])
+
+
+def _first_label(low: Column, text: Column, table: list[tuple[str, str]]) -> Column:
+    return F.get(labels_found(low, text, table), F.lit(0))
+
+
+def shop_columns(by_tech: Column, by_pattern: Column, by_review: Column) -> dict[str, Column]:
+    """Shop and review platform; a detected shop technology wins; a shop without reviews is an upsell chance."""
+    platform = F.coalesce(by_tech, by_pattern)
+    reviews = F.when(platform.isNotNull(), by_review)
+    return {
+        "is_ecommerce": platform.isNotNull(),
+        "platform": platform,
+        "has_reviews": reviews.isNotNull(),
+        "review_platform": reviews,
+        "upsell_opportunity": platform.isNotNull() & reviews.isNull(),
+    }
+
+
+def shop_reviews(pages: DataFrame) -> DataFrame:
+    """Shop platform, review platform and the upsell flag of a page, from its technologies and its text."""
+    staged = with_technologies(with_assets(with_skeleton(pages)))
     low, html = F.col("low"), F.col("html")
+    shops = F.filter("known", lambda k: k["category"] == "ecommerce")
     facts = staged.select(
         "page_id",
         "domain",
+        F.array_min(F.transform(shops, lambda k: k["tech"])).alias("by_tech"),
         _first_label(low, html, rules.SHOP_PLATFORMS).alias("by_pattern"),
         _first_label(low, html, rules.REVIEW_PLATFORMS).alias("by_review"),
     )
-    if tech is None:
-        facts = facts.withColumn("by_tech", F.lit(None).cast("string"))
-    else:
-        first = tech.groupBy("page_id").agg(F.min("tech").alias("by_tech"))
-        facts = facts.join(first, "page_id", "left")
-    platform = F.coalesce("by_tech", "by_pattern")
-    reviews = F.when(platform.isNotNull(), F.col("by_review"))
-    return facts.select(
-        "page_id",
-        "domain",
-        platform.isNotNull().alias("is_ecommerce"),
-        platform.alias("platform"),
-        reviews.isNotNull().alias("has_reviews"),
-        reviews.alias("review_platform"),
-        (platform.isNotNull() & reviews.isNull()).alias("upsell_opportunity"),
-    )
+    columns = shop_columns(F.col("by_tech"), F.col("by_pattern"), F.col("by_review"))
+    return facts.select("page_id", "domain", *[value.alias(name) for name, value in columns.items()])
 
 
 def sample_review(pages: DataFrame) -> DataFrame:
@@ -235,9 +248,8 @@ def category_of(tech: Column) -> Column:
 
 
 def categorize(tech: DataFrame) -> DataFrame:
-    """Adds ``category`` to every technology name. Distinct names are categorised once, then joined back by hash."""
-    names = tech.select("tech").distinct().withColumn("category", category_of(F.col("tech")))
-    return tech.drop("category").join(names, "tech", "left")
+    """Adds ``category`` to every technology name, row by row: an exact name costs one map lookup."""
+    return tech.withColumn("category", category_of(F.col("tech")))
 
 
 def categories_of_detection(detections: DataFrame) -> DataFrame:
@@ -323,27 +335,84 @@ def host_popularity(assets: DataFrame) -> DataFrame:
 # --- requirements -----------------------------------------------------------------------------------------------
 
 
-def evidence(pages: DataFrame) -> DataFrame:
-    """Page evidence in one shape: (page_id, domain, source, rank, blob, shown)."""
-    assets = page_assets(pages).withColumn("tech", F.coalesce(tech_of_host(F.col("host")), F.lit("")))
-    linked = assets.select(
-        "page_id",
-        "domain",
-        F.when(F.col("kind") == "form", "dna_form").otherwise("dna_script").alias("source"),
-        F.when(F.col("kind") == "form", 1).otherwise(0).alias("rank"),
-        F.lower(F.concat_ws(" ", "host", "url", "tech")).alias("blob"),
-        F.col("url").alias("shown"),
+def with_technologies(staged: DataFrame) -> DataFrame:
+    """Adds ``known``: distinct (tech, category) of a page by fingerprint and by third-party host, in name order."""
+    by_host = F.transform("assets", lambda a: tech_of_host(a["host"]))
+    hosts = F.transform(F.array_compact(by_host), lambda t: F.struct(t.alias("tech"), category_of(t).alias("category")))
+    prints = F.transform("prints", lambda p: F.struct(p["tech"].alias("tech"), p["category"].alias("category")))
+    return with_fingerprints(staged, ("page",)).withColumn("known", F.array_sort(F.array_distinct(F.concat(prints, hosts))))
+
+
+def with_evidence(staged: DataFrame) -> DataFrame:
+    """Adds ``evidence``: (rank, source, blob, shown) of a page, from assets, forms, inline scripts and comments."""
+    linked = F.transform(
+        "assets",
+        lambda a: F.struct(
+            F.when(a["kind"] == "form", 1).otherwise(0).alias("rank"),
+            F.when(a["kind"] == "form", "dna_form").otherwise("dna_script").alias("source"),
+            F.lower(F.concat_ws(" ", a["host"], a["url"], F.coalesce(tech_of_host(a["host"]), F.lit("")))).alias("blob"),
+            a["url"].alias("shown"),
+        ),
     )
-    domains = with_domain(pages.select("page_id", "url")).select("page_id", "domain")
-    inline = detect_inline(pages).join(domains, "page_id").select(
-        "page_id",
-        "domain",
-        F.when(F.col("kind") == "js", "dna_global").otherwise("dna_comment").alias("source"),
-        F.when(F.col("kind") == "js", 2).otherwise(3).alias("rank"),
-        F.lower(F.concat_ws(" ", "label", "snippet")).alias("blob"),
-        F.col("snippet").alias("shown"),
+    inline = F.transform(
+        inline_hits(F.col("inline")),
+        lambda h: F.struct(
+            F.when(h["kind"] == "js", 2).otherwise(3).alias("rank"),
+            F.when(h["kind"] == "js", "dna_global").otherwise("dna_comment").alias("source"),
+            F.lower(F.concat_ws(" ", h["label"], h["snippet"])).alias("blob"),
+            h["snippet"].alias("shown"),
+        ),
     )
-    return linked.unionByName(inline)
+    return staged.withColumn("inline", inline_of(F.col("html"))).withColumn("evidence", F.concat(linked, inline))
+
+
+def page_detections(pages: DataFrame) -> DataFrame:
+    """Technologies of pages as rows: (page_id, domain, tech, category)."""
+    staged = with_technologies(with_assets(with_skeleton(pages)))
+    return staged.select("page_id", "domain", F.explode("known").alias("k")).select("page_id", "domain", "k.*")
+
+
+def evidence(pages: DataFrame) -> DataFrame:
+    """Page evidence as rows: (page_id, domain, rank, source, blob, shown)."""
+    staged = with_evidence(with_assets(with_skeleton(pages)))
+    return staged.select("page_id", "domain", F.explode("evidence").alias("e")).select("page_id", "domain", "e.*")
+
+
+def detected_as(known: Column, target: Column) -> Column:
+    """How a site's known technologies confirm a target: the first name where either holds the other, else the
+    technologies of the category the target names; null if neither."""
+    mapping = constant(rules.TARGET_CATEGORIES, "map<string, array<string>>")
+    low = F.lower(target)
+    named = F.filter(known, lambda k: F.contains(F.lower(k["tech"]), low) | F.contains(low, F.lower(k["tech"])))
+    of_kind = F.filter(known, lambda k: F.array_contains(F.try_element_at(mapping, low), k["category"]))
+    names = F.array_join(F.slice(F.transform(of_kind, lambda k: k["tech"]), 1, 3), ", ")
+    by_category = F.when(F.size(of_kind) > 0, F.concat(low, F.lit(": "), names))
+    return F.coalesce(F.get(named, F.lit(0))["tech"], by_category)
+
+
+def confirm_targets(targets: Column, known: Column, page_evidence: Column) -> Column:
+    """Targets of one page as (target, found, source, evidence); the same rules as ``target_evidence``, inside a row."""
+    decided = F.transform(targets, lambda t: F.struct(t.alias("target"), detected_as(known, t).alias("detected")))
+    wanted = F.filter(decided, lambda d: d["detected"].isNull())
+
+    def first_open(item: Column) -> Column:
+        return F.get(F.filter(wanted, lambda d: F.contains(item["blob"], F.lower(d["target"]))), F.lit(0))["target"]
+
+    hits = F.transform(
+        page_evidence,
+        lambda e: F.struct(e["rank"].alias("rank"), e["shown"].alias("shown"), e["source"].alias("source"), first_open(e).alias("hit")),
+    )
+
+    def outcome(d: Column) -> Column:
+        best = F.array_min(F.filter(hits, lambda h: h["hit"] == d["target"]))
+        return F.struct(
+            d["target"].alias("target"),
+            (d["detected"].isNotNull() | best.isNotNull()).alias("found"),
+            F.when(d["detected"].isNotNull(), "detector").otherwise(best["source"]).alias("source"),
+            F.coalesce(d["detected"], best["shown"]).alias("evidence"),
+        )
+
+    return F.transform(decided, outcome)
 
 
 def target_evidence(targets: DataFrame, sites: DataFrame, tech: DataFrame, page_evidence: DataFrame) -> DataFrame:
@@ -353,20 +422,10 @@ def target_evidence(targets: DataFrame, sites: DataFrame, tech: DataFrame, page_
     ``evidence``. Detected technologies decide first; only targets they leave open meet the page evidence, and one
     piece of evidence counts for the first open target it names.
     """
-    mapping = constant(rules.TARGET_CATEGORIES, "map<string, array<string>>")
-    wanted = sites.join(F.broadcast(targets.filter(F.lower("target") != "all")), "intent_id")
+    wanted = sites.join(targets.filter(F.lower("target") != "all"), "intent_id")
     profile = site_tech(tech).groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("tech", "category"))).alias("known"))
-    low = F.lower("target")
-    named = F.get(
-        F.filter("known", lambda k: F.contains(F.lower(k["tech"]), low) | F.contains(low, F.lower(k["tech"]))), F.lit(0)
-    )["tech"]
-    in_category = F.filter("known", lambda k: F.array_contains(F.try_element_at(mapping, low), k["category"]))
-    category_text = F.when(
-        F.size(in_category) > 0,
-        F.concat(low, F.lit(": "), F.array_join(F.slice(F.transform(in_category, lambda k: k["tech"]), 1, 3), ", ")),
-    )
     by_detector = wanted.join(profile, "domain", "left").select(
-        "intent_id", "domain", "ord", "target", F.coalesce(named, category_text).alias("detected")
+        "intent_id", "domain", "ord", "target", detected_as(F.col("known"), F.col("target")).alias("detected")
     )
     open_targets = (
         by_detector.filter("detected IS NULL")
@@ -396,14 +455,12 @@ def all_targets_met(found_targets: DataFrame) -> DataFrame:
     return found_targets.groupBy("intent_id", "domain").agg(F.bool_and("found").alias("all_targets_met"))
 
 
-def tech_filter(sites: DataFrame, profile: DataFrame, intents: DataFrame) -> DataFrame:
-    """(intent_id, domain, passed, reason): every must_have is met and no must_not is.
+def requirement_failure(known: Column, must_have: Column, must_not: Column) -> Column:
+    """Text of the first requirement that a site's technologies fail, or an empty text.
 
     A requirement is met by a part of a technology's name, or as a category word by any technology of the category.
-    The reason names the first requirement that failed.
     """
     mapping = constant(rules.REQUIREMENT_CATEGORIES, "map<string, array<string>>")
-    known = F.col("known")
 
     def names_with(word: Column) -> Column:
         return F.filter(known, lambda k: F.contains(F.lower(k["tech"]), F.lower(word)))
@@ -412,21 +469,29 @@ def tech_filter(sites: DataFrame, profile: DataFrame, intents: DataFrame) -> Dat
         cats = F.coalesce(F.try_element_at(mapping, F.lower(word)), F.array())
         return F.filter(known, lambda k: F.array_contains(cats, k["category"]))
 
-    missing = F.filter("must_have", lambda w: (F.size(names_with(w)) == 0) & (F.size(names_in(w)) == 0))
-    refused = F.filter("must_not", lambda w: (F.size(names_with(w)) > 0) | (F.size(names_in(w)) > 0))
+    missing = F.filter(must_have, lambda w: (F.size(names_with(w)) == 0) & (F.size(names_in(w)) == 0))
+    refused = F.filter(must_not, lambda w: (F.size(names_with(w)) > 0) | (F.size(names_in(w)) > 0))
     first_missing, first_refused = F.get(missing, F.lit(0)), F.get(refused, F.lit(0))
     by_name = F.get(F.transform(names_with(first_refused), lambda k: k["tech"]), F.lit(0))
     by_category = F.array_join(F.slice(F.transform(names_in(first_refused), lambda k: k["tech"]), 1, 2), ", ")
-    reason = (
+    return (
         F.when(first_missing.isNotNull(), F.concat(F.lit("No tiene: "), first_missing))
         .when(by_name.isNotNull(), F.concat(F.lit("Tiene "), by_name, F.lit(" (excluido)")))
         .when(first_refused.isNotNull(), F.concat(F.lit("Tiene "), first_refused, F.lit(": "), by_category))
         .otherwise("")
     )
+
+
+def tech_filter(sites: DataFrame, profile: DataFrame, intents: DataFrame) -> DataFrame:
+    """(intent_id, domain, passed, reason): every must_have is met and no must_not is.
+
+    The reason names the first requirement that failed; see ``requirement_failure``.
+    """
     lists = profile.groupBy("domain").agg(F.array_sort(F.collect_set(F.struct("tech", "category"))).alias("known"))
     rows = (
-        sites.join(F.broadcast(intents.select("intent_id", "must_have", "must_not")), "intent_id")
+        sites.join(intents.select("intent_id", "must_have", "must_not"), "intent_id")
         .join(lists, "domain", "left")
         .withColumn("known", F.coalesce("known", F.array().cast("array<struct<tech:string,category:string>>")))
     )
-    return rows.select("intent_id", "domain", (reason == "").alias("passed"), reason.alias("reason"))
+    reason = requirement_failure(F.col("known"), F.col("must_have"), F.col("must_not"))
+    return rows.select("intent_id", "domain", reason.alias("reason")).withColumn("passed", F.col("reason") == "")

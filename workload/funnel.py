@@ -308,7 +308,7 @@ SCORES = f"""
 {FACTS},
 {POINTS},
 {CONTENT},
-scores AS MATERIALIZED (SELECT *, least(round(0.3 * snippet_score + 0.4 * content_score + 15, 6), 100) AS confidence, round(0.3 * snippet_score + 0.4 * content_score + 15, 6) >= 50 AS is_valid,
+scores AS MATERIALIZED (SELECT *, CAST(least(round(0.3 * snippet_score + 0.4 * content_score + 15, 6), 100) AS DOUBLE) AS confidence, round(0.3 * snippet_score + 0.4 * content_score + 15, 6) >= 50 AS is_valid,
   array_to_string(list_filter([CASE WHEN snippet_score > 50 THEN 'Snippet relevante (score: ' || snippet_score || ')' END,
     CASE WHEN content_score > 50 THEN 'Contenido relevante (score: ' || content_score || ')' END,
     CASE WHEN is_ecommerce AND business_type = 'ecommerce' THEN 'Schema.org confirma ecommerce' WHEN is_software AND business_type IN ('saas', 'software') THEN 'Schema.org confirma software'
@@ -362,7 +362,7 @@ ORACLE = {
     "w4_best_page": with_scores(
         "SELECT domain, page_id, confidence, url FROM (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY confidence DESC, page_id) AS rn FROM scores) WHERE rn = 1"
     ),
-    "l1_top_sites": with_scores("SELECT intent_id, domain, confidence FROM scores ORDER BY confidence DESC, domain LIMIT 10"),
+    "l1_top_sites": with_scores("SELECT intent_id, domain, confidence FROM scores ORDER BY confidence DESC, domain, intent_id LIMIT 10"),
     "l1_top_sites_per_intent": with_scores(
         "SELECT intent_id, domain, confidence, CAST(rank AS INTEGER) AS rank FROM (SELECT s.*, row_number() OVER (PARTITION BY s.intent_id ORDER BY confidence DESC, domain) AS rank, "
         "i.max_results FROM scores s JOIN intents i ON i.intent_id = s.intent_id) WHERE rank <= max_results"

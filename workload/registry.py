@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sitegrain.session import tune
-from workload import funnel, structure, tech
+from workload import contacts, funnel, structure, tech
 
-MODULES = [structure, tech, funnel]
+MODULES = [structure, tech, funnel, contacts]
 
 
 def _tuned(query):

@@ -16,11 +16,8 @@ REQUIREMENTS = [(0, ["shopify"], ["crm"]), (1, ["crm"], ["Calendly", "payment"])
 
 
 def detections(spark, d):
-    """Fingerprint and host detections of the seeded pages as (page_id, domain, tech, category)."""
-    pages = pages_seeded(spark, d)
-    prints = tech.detect_fingerprints(pages).filter("rule_set = 'page'").select("page_id", "domain", "tech", "category")
-    hosts = tech.detect_hosts(st.page_assets(pages))
-    return prints.unionByName(hosts.select("page_id", "domain", "tech", tech.category_of(F.col("tech")).alias("category")))
+    """Technologies of the seeded pages as (page_id, domain, tech, category)."""
+    return tech.page_detections(pages_seeded(spark, d))
 
 
 def sites(spark, d):
@@ -50,18 +47,12 @@ def _signals(s, d):
     )
 
 
-def _shop(s, d):
-    pages = pages_seeded(s, d)
-    shop_tech = detections(s, d).filter("category = 'ecommerce'")
-    return tech.shop_reviews(pages, shop_tech)
-
-
 QUERIES = {
     "t1_fingerprints": lambda s, d: tech.detect_fingerprints(pages_seeded(s, d)),
     "t2_hosts": lambda s, d: tech.detect_hosts(st.page_assets(pages_seeded(s, d))),
     "t3_inline": lambda s, d: tech.detect_inline(pages_seeded(s, d)),
     "t4_marketing_signals": _signals,
-    "t5_shop_reviews": _shop,
+    "t5_shop_reviews": lambda s, d: tech.shop_reviews(pages_seeded(s, d)),
     "t6_sample_review": lambda s, d: tech.sample_review(pages_seeded(s, d)),
     "t7_categorize": lambda s, d: tech.categorize(detections(s, d)),
     "t8_categorize_multi": lambda s, d: tech.categorize_multi(detections(s, d)),
@@ -121,7 +112,7 @@ DETECTIONS = f"""
 {NAMES},
 host_cats AS ({category_sql('asset_tech')}),
 detections AS MATERIALIZED (SELECT page_id, domain, tech, category FROM ({_page_rows})
-  UNION ALL SELECT a.page_id, a.domain, t.tech, c.category FROM assets a JOIN asset_tech t ON t.page_id = a.page_id AND t.pos = a.pos
+  UNION SELECT a.page_id, a.domain, t.tech, c.category FROM assets a JOIN asset_tech t ON t.page_id = a.page_id AND t.pos = a.pos
     JOIN host_cats c ON c.tech = t.tech),
 site_tech AS MATERIALIZED (SELECT domain, min(tech) AS tech, arg_min(category, tech || coalesce(category, '')) AS category FROM detections GROUP BY domain, lower(tech))
 """.strip()
