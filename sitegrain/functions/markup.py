@@ -6,7 +6,7 @@ styles and comments are emptied first (see ``skeleton``) so that markup inside t
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # The entities decoded in text and attributes; "&amp;" comes last so that nothing is decoded twice.
@@ -96,8 +96,25 @@ def non_empty(values: Column) -> Column:
 
 def distinct_by(values: Column, key) -> Column:
     """Keep the first element per key, in order. ``key`` maps an element to a string column."""
-    keys = F.transform(values, key)
-    return F.filter(values, lambda v, i: F.array_position(keys, key(v)) == i + 1)
+
+    def first_of(pair: Column) -> Column:
+        return F.filter(pair["v"], lambda v, i: F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1)
+
+    keyed = let(values, lambda vs: F.struct(vs.alias("v"), F.transform(vs, lambda v: key(v)).alias("k")))
+    return let(keyed, first_of)
+
+
+def rows_of(df: DataFrame, array: Column | str, *keep: str, pos: str | None = None, item: str = "item") -> DataFrame:
+    """One row per array element, with the columns to keep and, if named, the element's position.
+
+    Written as an outer explode and a filter: for a plain explode Spark infers a filter on the array and pushes it
+    down, which would compute an expensive array twice.
+    """
+    if pos:
+        exploded = df.select(*keep, F.posexplode_outer(array).alias(pos, item))
+    else:
+        exploded = df.select(*keep, F.explode_outer(array).alias(item))
+    return exploded.filter(F.col(item).isNotNull())
 
 
 def distinct_ignoring_case(values: Column) -> Column:

@@ -11,11 +11,12 @@ import json
 import re
 import re._constants as codes
 import re._parser as parser
-from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from sitegrain.functions.markup import let
+
 # Case-blind with Unicode word boundaries, so that "\b" next to an accented letter is judged by letters.
 FLAGS = "(?iU)"
 
@@ -52,24 +53,6 @@ def fixed_text(pattern: str) -> tuple[str, bool]:
     return max(runs, key=len).lower(), plain
 
 
-def found(low: Column, text: Column, pattern: str) -> Column:
-    """Whether the pattern occurs in ``text`` ignoring case; ``low`` is the lower-case text."""
-
-    def one(branch: str) -> Column:
-        literal, plain = fixed_text(branch)
-        guard = F.contains(low, F.lit(literal)) if literal else None
-        if plain and guard is not None:
-            return guard
-        test = text.rlike(FLAGS + branch)
-        return test if guard is None else guard & test
-
-    return reduce(lambda a, b: a | b, [one(b) for b in branches(pattern)])
-
-
-def found_any(low: Column, text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [found(low, text, p) for p in patterns])
-
-
 def constant(rows, schema: str) -> Column:
     """A fixed rule table as one literal: parsed once by the optimizer, however long it is."""
     return F.from_json(F.lit(json.dumps(rows)), schema)
@@ -101,13 +84,16 @@ def dotted_words(low: Column) -> Column:
 def rules_hit(table: Column, low: Column, text: Column, dots: Column) -> Column:
     """Rows of a rule table with any branch found; ``dots`` holds the dotted words of ``low``."""
 
-    def hit(branch: Column) -> Column:
-        place = F.when(branch["dotted"], dots).otherwise(low)
-        return F.contains(place, branch["literal"]) & (
-            branch["pattern"].isNull() | F.rlike(text, F.coalesce(branch["pattern"], F.lit("")))
-        )
+    def over(page: Column) -> Column:
+        def hit(branch: Column) -> Column:
+            place = F.when(branch["dotted"], page["dots"]).otherwise(page["low"])
+            return F.contains(place, branch["literal"]) & (
+                branch["pattern"].isNull() | F.rlike(page["text"], F.coalesce(branch["pattern"], F.lit("")))
+            )
+
+        return F.filter(table, lambda rule: F.exists(rule["branches"], hit))
 
-    return F.filter(table, lambda rule: F.exists(rule["branches"], hit))
+    return let(F.struct(low.alias("low"), text.alias("text"), dots.alias("dots")), over)
 
 
 def labels_found(low: Column, text: Column, rules: list[tuple[str, str]], dots: Column | None = None) -> Column:
@@ -117,9 +103,28 @@ def labels_found(low: Column, text: Column, rules: list[tuple[str, str]], dots:
     return F.transform(rules_hit(table, low, text, low if dots is None else dots), lambda r: r["label"])
 
 
-def contains_any(low: Column, words: list[str]) -> Column:
-    return reduce(lambda a, b: a | b, [F.contains(low, F.lit(w)) for w in words])
+def found_any(low: Column, text: Column, patterns: list[str]) -> Column:
+    """Whether any pattern occurs in ``text`` ignoring case; ``low`` is the lower-case text."""
+    table = constant([{"branches": branch_rows(patterns)}], f"array<struct<{BRANCHES}>>")
+    return F.size(rules_hit(table, low, text, low)) > 0
 
 
 def count_found(low: Column, text: Column, patterns: list[str]) -> Column:
-    return reduce(lambda a, b: a + b, [found(low, text, p).cast("int") for p in patterns])
+    """How many of the patterns occur."""
+    table = constant([{"branches": branch_rows([p])} for p in patterns], f"array<struct<{BRANCHES}>>")
+    return F.size(rules_hit(table, low, text, low))
+
+
+def points_found(low: Column, rows: list[tuple[str, int]]) -> Column:
+    """Sum of the points of the patterns (pattern, points) that occur in a lower-case text."""
+    table = constant([{"points": w, "branches": branch_rows([p])} for p, w in rows], f"array<struct<points: int, {BRANCHES}>>")
+    return F.aggregate(rules_hit(table, low, low, low), F.lit(0), lambda total, r: total + r["points"])
+
+
+def contains_any(low: Column, words: list[str]) -> Column:
+    return let(low, lambda t: F.exists(constant(words, "array<string>"), lambda w: F.contains(t, w)))
+
+
+def words_in(low: Column, words: list[str]) -> Column:
+    """The words that the text holds."""
+    return let(low, lambda t: F.filter(constant(words, "array<string>"), lambda w: F.contains(t, w)))

@@ -75,24 +75,18 @@ def socials_in(html: Column, full: bool = False) -> Column:
 
 
 def email_candidates(pages: DataFrame) -> DataFrame:
-    return (
-        with_domain(pages)
-        .select("page_id", "domain", F.posexplode(emails_in(F.col("html"))).alias("ord", "email"))
-    )
+    return m.rows_of(with_domain(pages), emails_in(F.col("html")), "page_id", "domain", pos="ord", item="email")
 
 
 def phones(pages: DataFrame, international: bool = False) -> DataFrame:
     found = phones_in(F.col("html"), international)
-    return with_domain(pages).select("page_id", "domain", F.posexplode(found).alias("ord", "phone"))
+    return m.rows_of(with_domain(pages), found, "page_id", "domain", pos="ord", item="phone")
 
 
 def socials(pages: DataFrame, full: bool = True) -> DataFrame:
     found = socials_in(F.col("html"), full)
-    return (
-        with_domain(pages)
-        .select("page_id", "domain", F.posexplode(found).alias("ord", "s"))
-        .select("page_id", "domain", "ord", "s.platform", "s.url")
-    )
+    rows = m.rows_of(with_domain(pages), found, "page_id", "domain", pos="ord")
+    return rows.select("page_id", "domain", "ord", "item.platform", "item.url")
 
 
 def quality_reason(email: Column) -> Column:
@@ -178,11 +172,11 @@ def page_contacts(pages: DataFrame) -> DataFrame:
     )
 
 
-def contact_sources(pages: DataFrame, homes: DataFrame | None = None) -> DataFrame:
-    """Pages of a site the cascade may look at: (page_id, domain, source_rank, label). Never touches html.
+def contact_sources(pages: DataFrame, homes: DataFrame | None = None, keys: tuple[str, ...] = ("domain",)) -> DataFrame:
+    """Pages of a site the cascade may look at: (page_id, keys, source_rank, label). Never touches html.
 
-    homes(domain, page_id) names the home page of each site of interest; without it, every site's home is the page at
-    "/" or else its first page.
+    homes(page_id, keys) names the home page of each site of interest (keys hold "domain"); without it, every site's
+    home is the page at "/" or else its first page.
     """
     paths = with_domain(pages.select("page_id", "url")).select(
         "page_id", "domain", F.lower(F.regexp_replace(path_of(F.col("url")), "(?<=.)/+$", "")).alias("path")
@@ -191,22 +185,20 @@ def contact_sources(pages: DataFrame, homes: DataFrame | None = None) -> DataFra
         homes = paths.groupBy("domain").agg(
             F.min_by("page_id", F.struct(F.col("path") != "/", F.col("page_id"))).alias("page_id")
         )
-    home_rows = homes.select("page_id", "domain", F.lit(0).alias("source_rank"), F.lit("home").alias("label"))
+    home_rows = homes.select("page_id", *keys, F.lit(0).alias("source_rank"), F.lit("home").alias("label"))
     ranks = constant({p: i + 1 for i, p in enumerate(rules.CONTACT_PATHS[: rules.CASCADE_PATHS])}, "map<string,int>")
     named = (
         paths.withColumn("source_rank", F.try_element_at(ranks, F.col("path")))
         .filter("source_rank IS NOT NULL")
-        .join(homes.select("domain"), "domain", "left_semi")
-        .join(homes.select("page_id"), "page_id", "left_anti")
-        .groupBy("domain", "source_rank")
+        .join(homes.select(*keys, F.col("page_id").alias("home_id")), "domain")
+        .filter(F.col("page_id") != F.col("home_id"))
+        .groupBy(*keys, "source_rank")
         .agg(F.min_by(F.struct("page_id", "path"), "page_id").alias("p"))
     )
-    return home_rows.unionByName(
-        named.select("p.page_id", "domain", "source_rank", F.col("p.path").alias("label"))
-    )
+    return home_rows.unionByName(named.select("p.page_id", *keys, "source_rank", F.col("p.path").alias("label")))
 
 
-def contact_cascade(pages: DataFrame, sources: DataFrame, few: bool = False) -> DataFrame:
+def contact_cascade(pages: DataFrame, sources: DataFrame, few: bool = False, keys: tuple[str, ...] = ("domain",)) -> DataFrame:
     """Contacts per site. Sources are tried in order (footer, then page) up to the first with an own-domain address;
     phones and profiles come only from the sources reached. ``source`` names those that added something.
 
@@ -219,10 +211,8 @@ def contact_cascade(pages: DataFrame, sources: DataFrame, few: bool = False) ->
     else:
         labelled = page_contacts(pages)
     labelled = labelled.select("page_id", "steps").join(sources, "page_id")
-    one = labelled.groupBy("domain", "source_rank").agg(
-        F.min_by(F.struct("label", "steps"), "page_id").alias("s")
-    )
-    gathered = one.groupBy("domain").agg(F.array_sort(F.collect_list(F.struct("source_rank", "s"))).alias("pages"))
+    one = labelled.groupBy(*keys, "source_rank").agg(F.min_by(F.struct("label", "steps"), "page_id").alias("s"))
+    gathered = one.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("source_rank", "s"))).alias("pages"))
 
     def steps_of(page: Column) -> Column:
         footer = F.when(page["source_rank"] == 0, F.lit("footer")).otherwise(F.concat(page["s"]["label"], F.lit("/footer")))
@@ -251,7 +241,7 @@ def contact_cascade(pages: DataFrame, sources: DataFrame, few: bool = False) ->
     emails = F.filter(every("emails"), lambda e: email_tier(e, domain).isNotNull())
     own = F.filter("emails", lambda e: email_tier(e, domain) == 0)
     staged = staged.select(
-        "domain",
+        *keys,
         emails.alias("emails"),
         every("phones").alias("phones"),
         every("socials").alias("socials"),
@@ -260,7 +250,7 @@ def contact_cascade(pages: DataFrame, sources: DataFrame, few: bool = False) ->
     email = F.coalesce(F.get(own, F.lit(0)), F.get("emails", F.lit(0)))
     phone = F.get("phones", F.lit(0))
     return staged.select(
-        "domain",
+        *keys,
         email.alias("email"),
         F.col("emails").alias("all_emails"),
         phone.alias("phone"),
@@ -287,11 +277,11 @@ def complete_only(contacts: DataFrame, fields: list[str]) -> DataFrame:
     return completeness(contacts, fields).filter(F.size("missing") == 0).drop("missing")
 
 
-def merge_contact(sites: DataFrame, contacts: DataFrame) -> DataFrame:
+def merge_contact(sites: DataFrame, contacts: DataFrame, keys: tuple[str, ...] = ("domain",)) -> DataFrame:
     """Sites with their contacts; a contact title replaces the site's when it is longer."""
     found = contacts.withColumnRenamed("title", "_title") if "title" in contacts.columns else contacts.withColumn("_title", F.lit(None).cast("string"))
     longer = F.length("_title") > F.length(F.coalesce("title", F.lit("")))
-    rows = sites.join(found, "domain", "left")
+    rows = sites.join(found, list(keys), "left")
     return (
         rows.withColumn("title", F.when(F.coalesce(longer, F.lit(False)), F.col("_title")).otherwise(F.col("title")))
         .withColumn("success", F.coalesce("success", F.lit(False)))

@@ -97,28 +97,41 @@ def supplement(main: DataFrame, extra: DataFrame, intents: DataFrame) -> DataFra
     return kept.join(intents.select("intent_id", "max_results"), "intent_id").filter("rank <= max_results").drop("max_results")
 
 
-def page_liveness(pages: DataFrame) -> DataFrame:
-    """(page_id, alive, reason): the first failing test names the reason. Patterns read the whole page."""
-    html, low = F.col("html"), F.lower("html")
-    size = F.length("html")
+def alive_tests(html: Column, low: Column) -> list[tuple[Column, Column]]:
+    """Tests a dead page fails, in order, each with its reason. Patterns read the whole page."""
+    size = F.length(html)
     titled = html.rlike(r"(?i)<title[^>]*>\s*\S") | html.rlike(r"(?i)<h1[^>]*>")
     body = m.squeeze(F.regexp_replace(F.regexp_extract(html, r"(?is)<body[^>]*>(.*?)</body>", 1), "<[^>]+>", " "))
-    empty = ~titled & (F.length(body) <= rules.MIN_BODY_CHARS)
-    tests = [
+    return [
         (size < rules.MIN_PAGE_CHARS, F.concat(F.lit("empty_or_tiny_html ("), size.cast("string"), F.lit("B)"))),
         (found_any(low, html, rules.PARKED), F.lit("parking_or_placeholder")),
         ((size < rules.SMALL_PAGE_CHARS) & found_any(low, html, rules.BROKEN), F.lit("broken_or_placeholder")),
-        (empty, F.lit("no_meaningful_body")),
+        (~titled & (F.length(body) <= rules.MIN_BODY_CHARS), F.lit("no_meaningful_body")),
     ]
+
+
+def _first_reason(tests: list[tuple[Column, Column]]) -> Column:
+    return F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), label) for test, label in tests], F.lit("ok"))
+
+
+def alive_reason(html: Column, low: Column) -> Column:
+    """"ok" for a living page, else the first reason against it."""
+    return F.when(html.isNull(), F.lit("empty_html")).otherwise(_first_reason(alive_tests(html, low)))
+
+
+def page_liveness(pages: DataFrame) -> DataFrame:
+    """(page_id, url, alive, reason): the first failing test names the reason; status and content type come first."""
+    tests = alive_tests(F.col("html"), F.lower("html"))
     if "content_type" in pages.columns:
         kind = F.lower("content_type")
-        odd = F.coalesce((kind != "") & ~F.contains(kind, F.lit("html")) & ~F.contains(kind, F.lit("text")), F.lit(False))
+        odd = (kind != "") & ~F.contains(kind, F.lit("html")) & ~F.contains(kind, F.lit("text"))
         tests.insert(0, (odd, F.concat(F.lit("non_html_content:"), F.left(kind, F.lit(40)))))
     if "status" in pages.columns:
         status = F.col("status")
-        tests.insert(0, (F.coalesce(status >= 400, F.lit(True)), F.concat(F.lit("http_"), F.coalesce(status.cast("string"), F.lit("None")))))
-    reason = F.coalesce(*[F.when(F.coalesce(test, F.lit(False)), label) for test, label in tests], F.lit("ok"))
-    return pages.select("page_id", "url", reason.alias("reason")).select("page_id", "url", (F.col("reason") == "ok").alias("alive"), "reason")
+        shown = F.concat(F.lit("http_"), F.coalesce(status.cast("string"), F.lit("None")))
+        tests.insert(0, (F.coalesce(status >= 400, F.lit(True)), shown))
+    rows = pages.select("page_id", "url", _first_reason(tests).alias("reason"))
+    return rows.select("page_id", "url", (F.col("reason") == "ok").alias("alive"), "reason")
 
 
 def qualify(scores: DataFrame, minimum: float = rules.MIN_CONFIDENCE) -> DataFrame:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.functions.markup import rows_of
 from sitegrain.operators.structure import ld_blocks
 from sitegrain.rules import score as rules
 
@@ -30,12 +31,9 @@ SELECT * FROM nodes WHERE schema_of_variant(node) LIKE 'OBJECT%'
 
 
 def _walk(pages: DataFrame) -> DataFrame:
-    blocks = (
-        pages.filter(F.contains("html", F.lit("ld+json")))
-        .select("page_id", F.posexplode(ld_blocks(F.col("html"))).alias("block", "text"))
-        .select("page_id", "block", F.try_parse_json("text").alias("node"))
-        .filter("node IS NOT NULL")
-    )
+    tagged = pages.filter(F.contains("html", F.lit("ld+json")))
+    texts = rows_of(tagged, ld_blocks(F.col("html")), "page_id", pos="block", item="text")
+    blocks = texts.select("page_id", "block", F.try_parse_json("text").alias("node")).filter("node IS NOT NULL")
     return pages.sparkSession.sql(_NODES, blocks=blocks)
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.functions.patterns import constant, count_found, found
+from sitegrain.functions.patterns import count_found, points_found, words_in
+from sitegrain.operators.funnel import alive_reason
 from sitegrain.operators.jsonld import schema_score, with_schema_facts
 from sitegrain.operators.structure import with_meta_words
 from sitegrain.rules import score as rules
@@ -38,19 +37,14 @@ def snippet_score(candidates: DataFrame, intents: DataFrame) -> DataFrame:
     return joined.withColumn("snippet_score", _clamp(score)).drop("_good", "_bad", "_text")
 
 
-def _weighted(low: Column, rows: list[tuple[str, int]]) -> Column:
-    return reduce(lambda a, b: a + b, [F.when(found(low, low, p), w).otherwise(0) for p, w in rows], F.lit(0))
-
-
 def type_points(low: Column, kind: str) -> Column:
     """Points of a page's words and markup for one business type."""
     weight, words = rules.TYPE_WORDS[kind]
-    table = constant(words, "array<string>")
-    return F.size(F.filter(table, lambda w: F.contains(low, w))) * weight + _weighted(low, rules.TYPE_PATTERNS[kind])
+    return F.size(words_in(low, words)) * weight + points_found(low, rules.TYPE_PATTERNS[kind])
 
 
 def info_penalty(low: Column) -> Column:
-    return F.least(_weighted(low, rules.INFO_PENALTIES), F.lit(rules.INFO_PENALTY_MAX))
+    return F.least(points_found(low, rules.INFO_PENALTIES), F.lit(rules.INFO_PENALTY_MAX))
 
 
 def type_scores(pages: DataFrame) -> DataFrame:
@@ -84,7 +78,7 @@ def _content_points(kind: Column, low: Column) -> Column:
 
 
 def content_score(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -> DataFrame:
-    """(intent_id, page_id, url, content_score, keywords and JSON-LD flags) of candidate pages.
+    """(intent_id, page_id, url, content_score, keywords, JSON-LD flags, alive_reason) of candidate pages.
 
     The candidate pages are picked from the page table by page id: Spark broadcasts the candidates while their
     measured size allows it and shuffles otherwise. Everything that reads html happens right behind that one join, in
@@ -119,6 +113,7 @@ def content_score(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -
         on_page("niche").alias("has_niche"),
         _hits(F.slice("validation_indicators", 1, 10), low).alias("indicators"),
         F.col("html").isNull().alias("missing"),
+        alive_reason(F.col("html"), low).alias("alive_reason"),
     )
 
     def named(names: str, wanted_name: str) -> Column:
@@ -165,6 +160,7 @@ def content_score(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -
         F.when(F.col("missing"), rules.MISSING_PAGE_SCORE).otherwise(_clamp(score)).alias("content_score"),
         F.when(F.col("missing"), none).otherwise(keywords).alias("keywords"),
         *[value.alias(name) for name, value in flag.items()],
+        "alive_reason",
     )
 
 
@@ -216,6 +212,7 @@ def confidence(snippets: DataFrame, contents: DataFrame, performance: DataFrame
         good.alias("reasons"),
         bad.alias("rejections"),
         F.coalesce("keywords", F.array().cast("array<string>")).alias("keywords"),
+        F.coalesce("alive_reason", F.lit("empty_html")).alias("alive_reason"),
     )
 
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.functions import markup as m
-from sitegrain.functions.patterns import constant
+from sitegrain.functions.patterns import constant, contains_any, words_in
 from sitegrain.functions.urls import absolutize, asset_host, host_of, is_under, path_of
 from sitegrain.rules import page as rules
 from sitegrain.sources.pages import with_domain, with_skeleton
@@ -73,15 +73,8 @@ def _nav_texts(links: Column) -> Column:
 
 
 def _ctas(markup: Column, links: Column) -> Column:
-    def is_action(text: Column) -> Column:
-        low = F.lower(text)
-        hit = F.lit(False)
-        for word in rules.CTA_WORDS:
-            hit = hit | F.contains(low, F.lit(word))
-        return hit
-
     buttons = m.texts_of(m.elements(markup, "button"))
-    anchors = F.filter(F.transform(links, lambda a: a["text"]), is_action)
+    anchors = F.filter(F.transform(links, lambda a: a["text"]), lambda t: contains_any(F.lower(t), rules.CTA_WORDS))
     shown = F.filter(F.concat(buttons, anchors), lambda t: (F.length(t) > 0) & (F.length(t) <= rules.CTA_TEXT_MAX))
     return F.slice(m.distinct_ignoring_case(shown), 1, rules.CTA_MAX)
 
@@ -157,9 +150,8 @@ def page_identity(pages: DataFrame) -> DataFrame:
 
 def page_meta(pages: DataFrame) -> DataFrame:
     """Long relation of meta tags."""
-    return with_skeleton(pages).select("page_id", F.posexplode(_metas(F.col("markup"))).alias("pos", "meta")).select(
-        "page_id", "pos", "meta.key", "meta.content"
-    )
+    rows = m.rows_of(with_skeleton(pages), _metas(F.col("markup")), "page_id", pos="pos")
+    return rows.select("page_id", "pos", "item.key", "item.content")
 
 
 def meta_summary(pages: DataFrame) -> DataFrame:
@@ -196,7 +188,7 @@ def page_headings(pages: DataFrame) -> DataFrame:
         )
 
     levels = F.concat(rows(1), rows(2))
-    return with_skeleton(pages).select("page_id", F.explode(levels).alias("h")).select("page_id", "h.*")
+    return m.rows_of(with_skeleton(pages), levels, "page_id").select("page_id", "item.*")
 
 
 def heading_summary(pages: DataFrame) -> DataFrame:
@@ -210,20 +202,17 @@ def heading_summary(pages: DataFrame) -> DataFrame:
 
 
 def page_links(pages: DataFrame) -> DataFrame:
-    return (
-        with_skeleton(pages)
-        .select("page_id", "url", "domain", F.posexplode(_links(F.col("markup"))).alias("pos", "a"))
-        .select("page_id", "url", "domain", "pos", "a.*")
-    )
+    rows = m.rows_of(with_skeleton(pages), _links(F.col("markup")), "page_id", "url", "domain", pos="pos")
+    return rows.select("page_id", "url", "domain", "pos", "item.*")
 
 
 def nav_links(pages: DataFrame) -> DataFrame:
-    return with_skeleton(pages).select("page_id", F.posexplode(_nav_texts(_links(F.col("markup")))).alias("pos", "text"))
+    return m.rows_of(with_skeleton(pages), _nav_texts(_links(F.col("markup"))), "page_id", pos="pos", item="text")
 
 
 def page_ctas(pages: DataFrame) -> DataFrame:
     texts = _ctas(F.col("markup"), _links(F.col("markup")))
-    return with_skeleton(pages).select("page_id", F.posexplode(texts).alias("pos", "text"))
+    return m.rows_of(with_skeleton(pages), texts, "page_id", pos="pos", item="text")
 
 
 def page_footer(pages: DataFrame) -> DataFrame:
@@ -268,9 +257,8 @@ def with_assets(staged: DataFrame) -> DataFrame:
 
 def page_assets(pages: DataFrame) -> DataFrame:
     """Third-party references as rows: (page_id, domain, kind, pos, url, host)."""
-    return with_assets(with_skeleton(pages)).select("page_id", "domain", F.posexplode("assets").alias("pos", "a")).select(
-        "page_id", "domain", "a.kind", "pos", "a.url", "a.host"
-    )
+    rows = m.rows_of(with_assets(with_skeleton(pages)), "assets", "page_id", "domain", pos="pos")
+    return rows.select("page_id", "domain", "item.kind", "pos", "item.url", "item.host")
 
 
 def inline_of(html: Column) -> Column:
@@ -294,7 +282,7 @@ def inline_of(html: Column) -> Column:
 
 def page_inline(pages: DataFrame) -> DataFrame:
     """Inline scripts and comments as rows: (page_id, kind, pos, text)."""
-    return pages.select("page_id", F.explode(inline_of(F.col("html"))).alias("x")).select("page_id", "x.*")
+    return m.rows_of(pages, inline_of(F.col("html")), "page_id").select("page_id", "item.*")
 
 
 def page_context(pages: DataFrame) -> DataFrame:
@@ -339,28 +327,43 @@ def context_markdown(context: DataFrame) -> DataFrame:
     return context.select("page_id", "domain", F.concat(*pieces).alias("markdown"))
 
 
-def important_pages(links: DataFrame, variant: str = "full") -> DataFrame:
-    """First link per known path among a page's first links, with its title and absolute URL.
-
-    The path table is small and fixed, so each link meets it as an array expression; the per-page choice is a
-    map-side combined minimum.
-    """
+def important_links(links: Column, url: Column, variant: str = "full") -> Column:
+    """First link per known path among a page's first links, as (ord, path, title, target) in path order."""
     first_links, paths = rules.IMPORTANT_PATHS[variant]
     table = constant(
         [{"path": p, "title": t, "ord": i} for i, (p, t) in enumerate(paths)],
         "array<struct<path: string, title: string, ord: int>>",
     )
-    href = F.col("href")
-    hits = (
-        links.filter(href != "")
-        .filter(F.col("pos") < first_links)
-        .select(
-            "page_id", "url", "pos", "href", F.explode(F.filter(table, lambda r: F.contains(F.lower(href), r["path"]))).alias("r")
+    near = F.slice(F.filter(links, lambda a: a["href"].isNotNull()), 1, first_links)
+
+    def row(rule: Column) -> Column:
+        hit = F.get(F.filter(near, lambda a: F.contains(F.lower(a["href"]), rule["path"])), F.lit(0))["href"]
+        return F.struct(
+            rule["ord"].alias("ord"), rule["path"].alias("path"), rule["title"].alias("title"), absolutize(url, hit).alias("target")
         )
-    )
-    return hits.groupBy("page_id", "r.ord", "r.path", "r.title").agg(
-        F.min_by(absolutize(F.col("url"), href), "pos").alias("target")
-    )
+
+    return F.filter(F.transform(table, row), lambda r: r["target"].isNotNull())
+
+
+def important_pages(pages: DataFrame, variant: str = "full") -> DataFrame:
+    """Important pages a page links to: (page_id, ord, path, title, target)."""
+    staged = with_skeleton(pages).select("page_id", "url", _links(F.col("markup")).alias("links"))
+    return m.rows_of(staged, important_links(F.col("links"), F.col("url"), variant), "page_id").select("page_id", "item.*")
+
+
+def with_page_facts(staged: DataFrame) -> DataFrame:
+    """Adds links, title, language, description and h1 to pages that carry ``markup``."""
+    staged = staged.withColumn("_metas", _metas(F.col("markup"))).withColumn("links", _links(F.col("markup")))
+    metas, markup = F.col("_metas"), F.col("markup")
+    declared = F.coalesce(F.nullif(_html_lang(markup), F.lit("")), _meta(metas, "content-language"))
+    return staged.withColumns(
+        {
+            "title": F.left(_title(markup), F.lit(150)),
+            "language": F.lower(F.trim(F.substring_index(declared, "-", 1))),
+            "description": F.left(F.coalesce(_meta(metas, "description"), _meta(metas, "og:description")), F.lit(250)),
+            "h1": F.left(F.get(_headings(markup, 1), F.lit(0)), F.lit(150)),
+        }
+    ).drop("_metas")
 
 
 def lead_magnets(pages: DataFrame) -> DataFrame:
@@ -370,7 +373,7 @@ def lead_magnets(pages: DataFrame) -> DataFrame:
     )
     low = F.lower("html")
     url = F.col("url")
-    words = F.filter(F.array(*[F.lit(w) for w in rules.LEAD_WORDS]), lambda w: F.contains(low, w))
+    words = words_in(low, rules.LEAD_WORDS)
     forms = F.transform(F.filter("actions", lambda a: ~a.isin("", "#")), lambda a: absolutize(url, a))
 
     def targets(word: Column) -> Column:

@@ -18,7 +18,7 @@ from sitegrain.functions.patterns import (
     constant_map,
     contains_any,
     dotted_words,
-    found,
+    found_any,
     labels_found,
     rules_hit,
 )
@@ -63,7 +63,7 @@ def with_fingerprints(pages: DataFrame, sets: tuple[str, ...] = ("page", "tools"
 def detect_fingerprints(pages: DataFrame, sets: tuple[str, ...] = ("page", "tools", "words")) -> DataFrame:
     """(page_id, domain, rule_set, tech, category), one row per rule that hits the page."""
     staged = with_fingerprints(with_domain(pages), sets)
-    return staged.select("page_id", "domain", F.explode("prints").alias("h")).select("page_id", "domain", "h.*")
+    return m.rows_of(staged, "prints", "page_id", "domain").select("page_id", "domain", "item.*")
 
 
 def tech_of_host(host: Column) -> Column:
@@ -86,15 +86,20 @@ def inline_hits(inline: Column) -> Column:
     start is listed once per page.
     """
 
+    table = constant(
+        [{"label": label, "pattern": FLAGS + p, "branches": branch_rows([p])} for label, p in rules.INLINE_GLOBALS],
+        f"array<struct<label: string, pattern: string, {BRANCHES}>>",
+    )
+
     def global_rows(row: Column) -> Column:
         text, low = row["text"], F.lower(row["text"])
-        rows = []
-        for label, pattern in rules.INLINE_GLOBALS:
-            start = F.greatest(F.regexp_instr(text, F.lit(FLAGS + pattern)) - 20, F.lit(1))
-            length = F.regexp_instr(text, F.lit(FLAGS + pattern)) + 120 - start
-            snippet = F.trim(F.substring(text, start, length))
-            rows.append(F.when(found(low, text, pattern), _hit(row, F.lit(label), snippet, 60)))
-        return F.array_compact(F.array(*rows))
+
+        def shown(rule: Column) -> Column:
+            at = F.regexp_instr(text, rule["pattern"])
+            start = F.greatest(at - 20, F.lit(1))
+            return _hit(row, rule["label"], F.trim(F.substring(text, start, at + 120 - start)), 60)
+
+        return F.transform(rules_hit(table, low, text, low), shown)
 
     def comment_rows(row: Column) -> Column:
         text = row["text"]
@@ -123,7 +128,8 @@ def detect_inline(pages: DataFrame) -> DataFrame:
     """The inline hits of a page as rows: (page_id, kind, label, pos, snippet)."""
     hits = inline_hits(F.col("inline"))
     staged = pages.select("page_id", inline_of(F.col("html")).alias("inline"))
-    return staged.select("page_id", F.explode(hits).alias("h")).select("page_id", "h.kind", "h.label", "h.pos", "h.snippet")
+    rows = m.rows_of(staged, hits, "page_id")
+    return rows.select("page_id", "item.kind", "item.label", "item.pos", "item.snippet")
 
 
 def signal_columns(low: Column, html: Column) -> dict[str, Column]:
@@ -136,7 +142,7 @@ def signal_columns(low: Column, html: Column) -> dict[str, Column]:
         "has_pixel": F.size(there) > 0,
         "support_widgets": labels_found(low, html, rules.SUPPORT_WIDGETS),
         "email_tools": labels_found(low, html, rules.EMAIL_TOOLS),
-        "has_popups": found(low, html, rules.POPUPS),
+        "has_popups": found_any(low, html, [rules.POPUPS]),
     }
 
 
@@ -369,13 +375,13 @@ def with_evidence(staged: DataFrame) -> DataFrame:
 def page_detections(pages: DataFrame) -> DataFrame:
     """Technologies of pages as rows: (page_id, domain, tech, category)."""
     staged = with_technologies(with_assets(with_skeleton(pages)))
-    return staged.select("page_id", "domain", F.explode("known").alias("k")).select("page_id", "domain", "k.*")
+    return m.rows_of(staged, "known", "page_id", "domain").select("page_id", "domain", "item.*")
 
 
 def evidence(pages: DataFrame) -> DataFrame:
     """Page evidence as rows: (page_id, domain, rank, source, blob, shown)."""
     staged = with_evidence(with_assets(with_skeleton(pages)))
-    return staged.select("page_id", "domain", F.explode("evidence").alias("e")).select("page_id", "domain", "e.*")
+    return m.rows_of(staged, "evidence", "page_id", "domain").select("page_id", "domain", "item.*")
 
 
 def detected_as(known: Column, target: Column) -> Column:

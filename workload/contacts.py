@@ -129,18 +129,22 @@ places AS (SELECT page_id, domain, 0 AS place, regexp_extract(html, {quote(eleme
 handles AS (SELECT * FROM ({_handles}) WHERE link IS NOT NULL),
 chosen AS (SELECT page_id, min(place) AS place FROM handles GROUP BY page_id)
 """.strip()
-CASCADE = f"""
+LOCATED = f"""
 located AS (SELECT page_id, domain, html, CASE WHEN page_id % 4 = 1 THEN '/contacto' WHEN page_id % 4 = 2 THEN '/contact' WHEN page_id % 8 = 3 THEN '/about'
   WHEN page_id % 16 = 4 THEN '/' ELSE lower(coalesce(nullif(rtrim({path_of('url')}, '/'), ''), '/')) END AS path FROM pages_seeded),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY path <> '/', page_id) AS home_rn FROM located),
 source_pages AS (SELECT *, CASE WHEN home_rn = 1 THEN 0 WHEN path = '/contacto' THEN 1 WHEN path = '/contact' THEN 2 WHEN path = '/about' THEN 3 END AS sr FROM ranked),
-one_each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, sr ORDER BY page_id) AS rn FROM source_pages WHERE sr IS NOT NULL) WHERE rn = 1),
+one_each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, sr ORDER BY page_id) AS rn FROM source_pages WHERE sr IS NOT NULL) WHERE rn = 1)
+""".strip()
+# "domain" is the site's key here; "7 shop.example" stands for the site shop.example of intent 7.
+_own = "regexp_replace(domain, '^[0-9]+ ', '')"
+CASCADE_STEPS = f"""
 steps AS MATERIALIZED (SELECT domain, sr * 2 AS step, CASE WHEN sr = 0 THEN 'footer' ELSE path || '/footer' END AS label, {CONTACT_FOOTER} AS x FROM one_each
   UNION ALL SELECT domain, sr * 2 + 1, CASE WHEN sr = 0 THEN 'home' ELSE path END, html FROM one_each),
 {emails_sql('semails', 'steps', 'x', 'domain, step')},
 {phones_sql('sphones', 'steps', 'x', 'domain, step')},
 {socials_sql('ssocials', 'steps', 'x', 'domain, step', full=False)},
-stier AS (SELECT *, CASE WHEN host = domain OR suffix(host, '.' || domain) OR suffix(domain, '.' || host) THEN 0
+stier AS (SELECT *, CASE WHEN host = {_own} OR suffix(host, '.' || {_own}) OR suffix({_own}, '.' || host) THEN 0
   WHEN host IN ({_providers}) AND ({REASON}) = 'ok' THEN 1 END AS tier FROM semails),
 stops AS (SELECT domain, coalesce((SELECT min(step) FROM stier t WHERE t.domain = d.domain AND tier = 0), 99) AS stop FROM (SELECT DISTINCT domain FROM steps) d),
 remail AS (SELECT t.domain, email, min(tier) AS tier, min(step * 1000 + ord) AS o FROM stier t JOIN stops s ON s.domain = t.domain AND t.step <= s.stop WHERE tier IS NOT NULL GROUP BY ALL),
@@ -155,6 +159,7 @@ cascade AS MATERIALIZED (SELECT domain, (SELECT arg_min(email, tier * 1000000 +
   coalesce((SELECT string_agg(platform || '=' || url, ' | ' ORDER BY o) FROM rsocial r WHERE r.domain = d.domain), '') AS social,
   coalesce((SELECT source FROM sources r WHERE r.domain = d.domain), '{rules.NO_SOURCE}') AS source FROM stops d)
 """.strip()
+CASCADE = LOCATED + ",\n" + CASCADE_STEPS
 _success = "email IS NOT NULL OR phone IS NOT NULL OR social <> ''"
 
 ORACLE = {

@@ -135,9 +135,9 @@ QUERIES = {
     "x4_type_scores": lambda s, d: score.type_scores(pages_seeded(s, d)).drop("info_penalty"),
     "x5_info_penalty": lambda s, d: score.type_scores(pages_seeded(s, d)).select("page_id", "info_penalty"),
     "x6_content_score": lambda s, d: joined(
-        score.content_score(candidates(s, d), pages_seeded(s, d), intents(s)), "keywords"
+        score.content_score(candidates(s, d), pages_seeded(s, d), intents(s)).drop("alive_reason"), "keywords"
     ),
-    "x7_confidence": lambda s, d: joined(scores(s, d), "reasons", "rejections", "keywords"),
+    "x7_confidence": lambda s, d: joined(scores(s, d).drop("alive_reason"), "reasons", "rejections", "keywords"),
     "a1_run_stats": _stats,
     "a2_tech_frequency": lambda s, d: funnel.tech_frequency(scores(s, d), detections(s, d)),
     "a3_domains_only": lambda s, d: funnel.domains_only(scores(s, d)),

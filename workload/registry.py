@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sitegrain.session import tune
-from workload import contacts, funnel, structure, tech
+from workload import contacts, funnel, records, structure, tech
 
-MODULES = [structure, tech, funnel, contacts]
+MODULES = [structure, tech, funnel, contacts, records]
 
 
 def _tuned(query):

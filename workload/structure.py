@@ -73,8 +73,8 @@ QUERIES = {
         st.page_context(pages_seeded(s, d)), "nav_links", "h1", "h2", "schema_types", "cta_texts"
     ),
     "st11_context_markdown": lambda s, d: st.context_markdown(st.page_context(pages_seeded(s, d))),
-    "st12_important_pages": lambda s, d: st.important_pages(st.page_links(pages_seeded(s, d))),
-    "st12_important_pages_bulk": lambda s, d: st.important_pages(st.page_links(pages_seeded(s, d)), "bulk"),
+    "st12_important_pages": lambda s, d: st.important_pages(pages_seeded(s, d)),
+    "st12_important_pages_bulk": lambda s, d: st.important_pages(pages_seeded(s, d), "bulk"),
     "st13_lead_magnets": lambda s, d: joined(st.lead_magnets(pages_seeded(s, d)), "lead_magnets"),
     "st14_blog_facts": lambda s, d: st.blog_facts(_blog_pages(s, d)),
 }
