@@ -1,8 +1,9 @@
-"""End-to-end searches: from search answers to ranked leads with contacts. Each is one lazy plan.
+"""End-to-end searches: from search answers to ranked leads with contacts.
 
 The candidate set is small against the page table (a bounded number per intent), so every plan narrows it first and
-picks its pages by id; html is read in two passes (candidate pages, then candidate and contact pages) and never
-shuffled while the candidates can be broadcast.
+picks its pages by id; html is read in two passes (candidate pages, then candidate and contact pages; a third one
+for technologies in the precise search) and never shuffled while the candidates can be broadcast. The narrowed and
+the scored candidates feed several branches each, so these two short tables are checkpointed.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from sitegrain.operators import contacts as ct
 from sitegrain.operators import funnel, score, tech, verdicts
 from sitegrain.operators.structure import with_assets
+from sitegrain.session import checkpointed
 from sitegrain.sources.pages import with_skeleton
 
 SITE = ("intent_id", "domain")
@@ -32,8 +34,10 @@ def with_page_ids(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def qualified(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -> DataFrame:
-    """Scored candidates with enough confidence."""
-    return funnel.qualify(score.score_candidates(with_page_ids(narrowed(candidates, intents), pages), pages, intents))
+    """Scored candidates with enough confidence, as a checkpointed table."""
+    kept = checkpointed(narrowed(candidates, intents))
+    located = checkpointed(with_page_ids(kept, pages))
+    return checkpointed(funnel.qualify(score.score_candidates(located, pages, intents)))
 
 
 def _shown(title: Column) -> Column:
@@ -41,7 +45,7 @@ def _shown(title: Column) -> Column:
 
 
 def _leads(sites: DataFrame, pages: DataFrame) -> DataFrame:
-    sources = ct.contact_sources(pages, sites.select("page_id", *SITE), SITE)
+    sources = checkpointed(ct.contact_sources(pages, sites.select("page_id", *SITE), SITE))
     found = ct.contact_cascade(pages, sources, few=True, keys=SITE)
     shown = sites.withColumn("title", _shown(F.col("title"))).withColumn("reasons", F.slice("reasons", 1, 3))
     return ct.merge_contact(shown, found, SITE)
@@ -88,6 +92,6 @@ def precise_leads(
     """Leads per intent that also meet the technology requirements and the judge's verdict, with every wanted contact field."""
     sites = technology_stage(qualified(candidates, pages, intents), pages, intents)
     fitting = sites.filter("all_targets_met AND tech_reason = ''").drop("targets", "known", "all_targets_met", "tech_reason")
-    passed = verdicts.apply_verdicts(fitting, verdict_rows, relax_level).filter("passed")
+    passed = checkpointed(verdicts.apply_verdicts(fitting, verdict_rows, relax_level).filter("passed"))
     leads = ct.complete_only(_leads(passed, pages), fields)
     return funnel.top_sites_per_intent(leads, intents).select(*LEAD, "verdict_score")

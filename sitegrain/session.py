@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+import tempfile
+
+from pyspark.sql import DataFrame, SparkSession
 
 DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
@@ -19,6 +21,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written to the reliable checkpoint folder and read back, with its lineage cut.
+
+    Used where a small result feeds several branches, which would otherwise each recompute it. The folder is the one
+    the cluster names in spark.checkpoint.dir; only a session without any (a local test) gets a temporary one.
+    """
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitegrain-checkpoint-"))
+    return df.checkpoint()
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine."""
     spark = (

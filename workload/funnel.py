@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from sitegrain.functions.urls import host_of
 from sitegrain.operators import funnel, jsonld, score
 from sitegrain.operators import structure as st
 from sitegrain.operators import tech as techs
@@ -37,14 +38,10 @@ def candidates(spark, d):
     """Search answers derived from the pages: three intents, five queries each, in page order."""
     pages = pages_seeded(spark, d)
     i = F.col("page_id")
-    ident = st.page_identity(pages)
-    body = st.page_body(pages, limit=None)
     title = F.when(i % 12 == 1, F.concat(F.lit("Contacto y precio: "), F.col("title"))).otherwise(F.col("title"))
     lead = F.when(i % 12 == 5, "Tutorial: ").when(i % 12 == 9, "Comprar servicios, nuestra empresa ").otherwise("")
     url = F.when(i % 24 == 9, F.concat(F.lit("https://shop.amazon.es/"), i.cast("string"))).otherwise(F.col("url"))
-    rows = ident.join(body, "page_id").join(pages.select("page_id", "url"), "page_id")
-    from sitegrain.functions.urls import host_of
-
+    rows = st.page_context(pages).select("page_id", "url", "title", "body_text")
     return rows.select(
         (i % 3).alias("intent_id"),
         (i % 5).cast("int").alias("query_ord"),
