@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sitegrain.session import tune
-from workload import contacts, funnel, records, structure, tech
+from workload import contacts, funnel, prompts, records, structure, tech
 
-MODULES = [structure, tech, funnel, contacts, records]
+MODULES = [structure, tech, funnel, contacts, records, prompts]
 
 
 def _tuned(query):
