@@ -269,23 +269,27 @@ def canonical_query(query: Column) -> Column:
 
 def unwrapped(query: Column) -> Column:
     """The query without a quote pair that wraps it whole; quotes of phrases inside it stay."""
+    def without(quote: str):
+        def body(t: Column) -> Column:
+            whole = (
+                (F.length(t) >= 2)
+                & F.startswith(t, F.lit(quote))
+                & F.endswith(t, F.lit(quote))
+                & (F.regexp_count(t, F.lit(quote)) == 2)
+            )
+            return F.when(whole, F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t)
+
+        return body
+
     text = F.trim(query)
     for quote in ('"', "'", "`"):
-        whole = (
-            (F.length(text) >= 2)
-            & F.startswith(text, F.lit(quote))
-            & F.endswith(text, F.lit(quote))
-            & (F.regexp_count(text, F.lit(quote)) == 2)
-        )
-        text = F.when(whole, F.trim(F.substring(text, F.lit(2), F.length(text) - 2))).otherwise(text)
+        text = let(text, without(quote))
     return text
 
 
 def names_refused(query: Column, refused: Column) -> Column:
     """Whether the query names a refused technology in the positive; "-name" anywhere is a wanted exclusion."""
-    padded = F.concat(F.lit(" "), F.lower(query), F.lit(" "))
-
-    def bad(name: Column) -> Column:
+    def bad(name: Column, padded: Column) -> Column:
         t = F.lower(F.trim(name))
         excluded = F.contains(F.replace(padded, F.lit(" "), F.lit("")), F.concat(F.lit("-"), t)) | F.contains(
             padded, F.concat(F.lit(" -"), t)
@@ -293,7 +297,9 @@ def names_refused(query: Column, refused: Column) -> Column:
         said = F.rlike(padded, F.concat(F.lit(r"(?U)(?<![\w-])\Q"), t, F.lit(r"\E(?!\w)")))
         return (t != "") & ~excluded & said
 
-    return F.exists(F.coalesce(refused, F.array().cast(NO_TEXTS)), bad)
+    names = F.coalesce(refused, F.array().cast(NO_TEXTS))
+    padded = F.concat(F.lit(" "), F.lower(query), F.lit(" "))
+    return let(padded, lambda q: F.exists(names, lambda name: bad(name, q)))
 
 
 def dedupe_queries(queries: DataFrame) -> DataFrame:
@@ -308,7 +314,7 @@ def post_process_queries(queries: DataFrame, intents: DataFrame, limit: int = ru
     """Cleaned queries of an intent: unwrapped, long enough, no instruction leftovers, no refused technology, first of
     each canonical form, capped: (intent_id, rank, query)."""
     low = F.lower("query")
-    leftover = F.exists(constant(rules.SKIP_PREFIXES, NO_TEXTS), lambda p: F.startswith(low, p))
+    leftover = let(low, lambda q: F.exists(constant(rules.SKIP_PREFIXES, NO_TEXTS), lambda p: F.startswith(q, p)))
     rows = (
         queries.withColumn("query", unwrapped(F.col("query")))
         .filter((F.length("query") >= rules.QUERY_MIN_CHARS) & ~leftover)

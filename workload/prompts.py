@@ -121,8 +121,9 @@ def _sheets(s, d):
     pages = pages_seeded(s, d)
     staged = tech.with_evidence(tech.with_technologies(st.with_assets(with_skeleton(pages))))
     read = staged.select(
-        "page_id", "domain", F.transform("known", lambda k: k["tech"]).alias("known"),
+        "page_id", "domain",
         tech.confirm_targets(F.array(F.lit("shopify"), F.lit("calendly")), F.col("known"), F.col("evidence")).alias("targets"),
+        F.transform("known", lambda k: k["tech"]).alias("known"),
         F.array_sort(F.array_distinct(F.transform("assets", lambda a: a["host"]))).alias("hosts"),
     )
     marks = st.context_markdown(st.page_context(pages)).select("page_id", "markdown")
