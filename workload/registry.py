@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 from sitegrain.session import tune
-from workload import contacts, funnel, prompts, records, structure, tech
+from workload import contacts, funnel, prompts, records, streams, structure, tech
 
-MODULES = [structure, tech, funnel, contacts, records, prompts]
+MODULES = [structure, tech, funnel, contacts, records, prompts, streams]
 
 
 def _tuned(query):
@@ -21,4 +21,4 @@ def oracle_sql():
 
 
 def flagship(spark, folder):
-    return structure.QUERIES["st1_page_identity"](tune(spark), folder)
+    return records.QUERIES["e1_fast_leads"](tune(spark), folder)
