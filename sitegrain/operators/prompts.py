@@ -54,7 +54,7 @@ def language_vote(text: Column) -> Column:
 def phrase(text: Column) -> Column:
     """Product or service phrase: the first pattern whose phrase has 3 to 49 characters."""
     found = [squeeze(F.regexp_extract(text, "(?i)" + p, 1)) for p in rules.PHRASES]
-    return F.coalesce(*[F.when(F.length(f).between(3, 49), f) for f in found])
+    return F.coalesce(*[let(f, lambda v: F.when(F.length(v).between(3, 49), v)) for f in found])
 
 
 def _tools(text: Column, patterns: list[str]) -> Column:

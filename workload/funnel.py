@@ -10,6 +10,7 @@ from sitegrain.operators import structure as st
 from sitegrain.operators import tech as techs
 from sitegrain.rules import funnel as rules
 from sitegrain.rules import score as weights
+from sitegrain.session import checkpointed
 from workload.oracle_text import text_of, values, with_pages
 from workload.seeded import domain_sql, pages_seeded, quote
 from workload.structure import BODIES, LD, TITLE, joined
@@ -56,7 +57,7 @@ def candidates(spark, d):
 
 def scores(s, d):
     """Scored candidates of the seeded pages, one per intent and site."""
-    kept = funnel.first_per_domain(candidates(s, d))
+    kept = checkpointed(funnel.first_per_domain(candidates(s, d)))
     return score.score_candidates(kept, pages_seeded(s, d), intents(s))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from sitegrain.operators import prompts, tech, verdicts
 from sitegrain.operators import structure as st
 from sitegrain.rules import prompts as rules
-from sitegrain.sources.pages import with_skeleton
+from sitegrain.sources.pages import spread, with_skeleton
 from workload.funnel import INTENTS_SQL, intents, sql_list
 from workload.oracle_text import values, with_pages
 from workload.seeded import pages_seeded, quote
@@ -32,7 +32,7 @@ REQUESTS = [
 def prompt_table(s, d):
     """prompts(prompt_id, text)."""
     request = F.get(F.array(*[F.lit(r) for r in REQUESTS]), F.pmod(F.col("conv_id") + F.col("turn"), F.lit(len(REQUESTS))).cast("int"))
-    rows = s.read.parquet(f"{d}/conversations.parquet")
+    rows = spread(s.read.parquet(f"{d}/conversations.parquet"))
     return rows.select(
         (F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), F.concat(F.col("text"), F.lit(". "), request).alias("text")
     )
