@@ -16,8 +16,10 @@ DEFAULTS = {
 
 
 def tune(spark: SparkSession) -> SparkSession:
+    given = spark.sparkContext.getConf()
     for key, value in DEFAULTS.items():
-        spark.conf.set(key, value)
+        if not given.contains(key):
+            spark.conf.set(key, value)
     return spark
 
 

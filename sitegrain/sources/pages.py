@@ -10,12 +10,12 @@ from sitegrain.functions.urls import host_of
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spreads an input of fewer splits than cores over all cores; a large input is left as it is, unshuffled.
+    """Spreads an input that would keep most cores idle over all of them; any other input is left as it is, unshuffled.
 
     Reading HTML costs far more CPU than I/O, and a small file is a single split.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() * 4 <= cores else df
 
 
 def read_pages(spark: SparkSession, folder: str) -> DataFrame:
