@@ -438,9 +438,11 @@ def target_evidence(targets: DataFrame, sites: DataFrame, tech: DataFrame, page_
         .groupBy("intent_id", "domain")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "target"))).alias("open"))
     )
+    # most evidence repeats on every page of a site; one row per site and text is what the join sees
+    distinct_evidence = page_evidence.groupBy("domain", "rank", "source", "blob", "shown").agg(F.min("page_id").alias("page_id"))
     first_named = F.get(F.filter("open", lambda t: F.contains(F.col("blob"), F.lower(t["target"]))), F.lit(0))
     by_page = (
-        page_evidence.join(open_targets, "domain")
+        distinct_evidence.join(open_targets, "domain")
         .withColumn("hit", first_named)
         .filter("hit IS NOT NULL")
         .groupBy("intent_id", "domain", F.col("hit.ord").alias("ord"))

@@ -90,6 +90,15 @@ def _indicators(s, d):
     return _lists(prompts.indicator_lists(rows), "validation_indicators", "exclusion_indicators")
 
 
+def _placed(s, d):
+    """Locations of the prompts' intents; every fifth has none."""
+    i = F.col("intent_id")
+    location = F.struct(
+        F.when(i % 5 > 0, "España").alias("country"), F.lit(None).cast("string").alias("region"), F.when(i % 5 > 2, "Madrid").alias("city")
+    )
+    return requests(s, d).select("intent_id", location.alias("location"))
+
+
 def _deduped_words(s, d):
     words = F.split("text", " ")
     rows = prompt_table(s, d).select("prompt_id", prompts.dedupe_keep_order(words).alias("words"))
@@ -143,7 +152,7 @@ QUERIES = {
     "q7_generate_queries": lambda s, d: prompts.generate_queries(requests(s, d)),
     "q7_transactional_queries": lambda s, d: prompts.transactional_queries(requests(s, d)),
     "q7_competitor_queries": lambda s, d: prompts.competitor_queries(requests(s, d).select(F.col("intent_id").alias("id"), F.col("term").alias("name"))),
-    "q8_geo_queries": lambda s, d: prompts.geo_queries(query_table(s, d), intents(s)),
+    "q8_geo_queries": lambda s, d: prompts.geo_queries(prompts.generate_queries(requests(s, d)), _placed(s, d)),
     "q9_indicator_lists": _indicators,
     "q10_parse_intent_rows": lambda s, d: _lists(prompts.parse_intent_rows(model_rows(s, d)), "search_queries", "must_have", "must_not", "target_techs"),
     "q11_judge_sheet": _sheets,
@@ -283,9 +292,9 @@ ORACLE = {
     "q7_transactional_queries": f"""WITH {REQS}, {_trans} SELECT intent_id, CAST(ord AS INTEGER) AS ord, replace(pattern, '{{t}}', term) AS query FROM requests JOIN trans ON kind = CASE WHEN business_type IN ('ecommerce', 'tienda') THEN 'ecommerce'
         WHEN business_type = 'software' THEN 'saas' WHEN business_type = 'agency' THEN 'agencia' ELSE 'other' END""",
     "q7_competitor_queries": f"WITH {REQS}, {_comp} SELECT intent_id AS id, CAST(ord AS INTEGER) AS ord, replace(pattern, '{{t}}', term) AS query FROM requests, comp",
-    "q8_geo_queries": f"""WITH {QTABLE}, tags AS (SELECT intent_id, array_to_string(list_filter([location.city, location.region, location.country], lambda x: x <> ''), ' ') AS tag FROM intents)
-        SELECT q.intent_id, q.ord, q.query || ' ' || tag AS query FROM queries q JOIN tags t ON t.intent_id = q.intent_id WHERE q.ord <= 3 AND tag <> ''
-        AND NOT EXISTS (SELECT 1 FROM queries x WHERE x.intent_id = q.intent_id AND x.query = q.query || ' ' || tag)""",
+    "q8_geo_queries": f"""WITH generated AS ({GENERATE}), tagged AS (SELECT *, CASE WHEN intent_id % 5 > 2 THEN 'Madrid España' WHEN intent_id % 5 > 0 THEN 'España' END AS tag FROM generated)
+        SELECT intent_id, ord, query || ' ' || tag AS query FROM tagged q WHERE ord <= 3 AND tag IS NOT NULL
+        AND NOT EXISTS (SELECT 1 FROM generated x WHERE x.intent_id = q.intent_id AND x.query = q.query || ' ' || tag)""",
     "q9_indicator_lists": f"""WITH {REQS}, k AS (SELECT *, {_kinds9} AS kind, intent_id % 4 AS m FROM requests) SELECT intent_id, array_to_string(list_concat({_valid},
         CASE WHEN kind = 'ecommerce' AND m = 1 THEN {sql_list(rules.NICHE_WORDS['eco'])} WHEN kind = 'ecommerce' AND m = 2 THEN {sql_list(rules.NICHE_WORDS['luxury'])} ELSE [] END,
         CASE WHEN kind = 'agencia' AND intent_id % 3 = 0 THEN ['madrid', 'dirección', 'oficina'] ELSE [] END, [term], CASE WHEN intent_id % 2 = 0 THEN ['moda'] ELSE [] END), ' | ') AS validation_indicators,
