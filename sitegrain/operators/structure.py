@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from sitegrain.functions import markup as m
 from sitegrain.functions.patterns import constant, contains_any, words_in
-from sitegrain.functions.urls import absolutize, asset_host, host_of, is_under, path_of
+from sitegrain.functions.urls import absolutize, asset_host, is_under, path_of
 from sitegrain.rules import page as rules
 from sitegrain.sources.pages import with_domain, with_skeleton
 

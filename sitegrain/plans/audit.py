@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.functions import markup as m
-from sitegrain.operators import audit, contacts as ct
+from sitegrain.operators import audit
+from sitegrain.operators import contacts as ct
 from sitegrain.operators import structure as st
 from sitegrain.operators import tech
 from sitegrain.rules import tech as tech_rules

@@ -10,7 +10,6 @@ from sitegrain.rules import contact as rules
 from workload.oracle_text import element_pattern, path_of, unnest_list, with_pages
 from workload.seeded import pages_seeded, quote
 from workload.structure import CONTACT_FOOTER, TITLE, joined
-from workload.funnel import sql_list
 
 
 def site_pages(s, d):

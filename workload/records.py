@@ -7,19 +7,21 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sitegrain.operators import audit, score, verdicts
+from sitegrain.functions.patterns import constant
+from sitegrain.operators import score, tech, verdicts
 from sitegrain.plans import audit as audit_plan
 from sitegrain.plans import leads
+from sitegrain.rules import page as page_rules
 from sitegrain.rules import records as rules
 from sitegrain.rules import tech as tech_rules
 from sitegrain.sources import records, sinks
 from sitegrain.sources.pages import read_pages, with_domain
-from workload.contacts import CASCADE, CASCADE_STEPS, _success, site_pages
+from workload.contacts import CASCADE, CASCADE_STEPS, _success, cascade, site_pages
 from workload.funnel import BLOCKED, INTENTS_SQL, LIVENESS, SCORES, _info_hit, candidates, intents, scores
-from workload.oracle_text import absolutize, attribute, text_of, values, with_pages
+from workload.oracle_text import text_of, values, with_pages
 from workload.seeded import domain_sql, pages_seeded, quote
 from workload.structure import LANG, TITLE, joined
-from workload.tech import DETECTIONS, HITS, INLINE, _first, _names_list
+from workload.tech import DETECTIONS, HITS, INLINE, NAMES, _first, _names_list, category_sql
 
 AS_OF = "2026-01-31"
 # JSON texts per shape; {i} is the page id, {u} its url.
@@ -98,7 +100,7 @@ def _by_domain(s, d):
 
 def _rows(s, d, rows, schema):
     """Rows of a template table for every site whose number fits; "{d}" is the domain, "{i}" two digits."""
-    table = F.from_json(F.lit(__import__("json").dumps(rows)), f"array<struct<{schema}>>")
+    table = constant(rows, f"array<struct<{schema}>>")
     out = _by_domain(s, d).select("domain", "i", "two", F.explode(table).alias("r")).filter(F.col("i") % 5 == F.col("r.m"))
     fill = lambda c: F.replace(F.replace(c, F.lit("{d}"), F.col("domain")), F.lit("{i}"), F.col("two"))
     return out, fill
@@ -160,12 +162,10 @@ def _alerts(s, d):
 
 def _audit(s, d):
     wide = joined(audited(s, d), "technologies", "missing_pixels", "support_widgets", "email_tools", "alerts")
-    return wide.drop("social", "registrar", "ssl_issuer").withColumn("contact_social", F.lit(None).cast("string")).drop("contact_social")
+    return wide.drop("social", "registrar", "ssl_issuer")
 
 
 def _contacts(s, d):
-    from workload.contacts import cascade
-
     sites = with_domain(site_pages(s, d)).groupBy("domain").agg(F.min("url").alias("url"), F.lit(1.5).alias("confidence"))
     return cascade(s, d).join(sites, "domain").withColumn("title", F.col("domain"))
 
@@ -173,7 +173,7 @@ def _contacts(s, d):
 QUERIES = {
     "src2_serp_candidates": lambda s, d: records.serp_candidates(serp_raw(s, d)).withColumn("sitelinks", F.size("sitelinks")),
     "src3_tech_detections": lambda s, d: joined(records.tech_detections(detections_raw(s, d)), "categories"),
-    "t7_detector_categories": lambda s, d: __import__("sitegrain.operators.tech", fromlist=["x"]).categories_of_detection(records.tech_detections(detections_raw(s, d))),
+    "t7_detector_categories": lambda s, d: tech.categories_of_detection(records.tech_detections(detections_raw(s, d))),
     "src4_lighthouse_metrics": lambda s, d: records.lighthouse_metrics(reports(s, d)),
     "src4_lighthouse_scores": lambda s, d: records.lighthouse_scores(reports(s, d)),
     "src5_lighthouse_audits": lambda s, d: records.lighthouse_audits(reports(s, d)),
@@ -355,8 +355,6 @@ def _meta1(key):
     return f"(SELECT arg_min(content, n) FROM metas t WHERE t.page_id = m.page_id AND key = '{key}' AND content <> '')"
 
 
-from sitegrain.rules import page as page_rules  # noqa: E402
-
 _paths = values("paths", ["path"], [(p,) for p, _ in page_rules.IMPORTANT_PATHS["full"][1]])
 _site_url = """CASE WHEN m.page_id % 4 = 1 THEN o || '/contacto' WHEN m.page_id % 4 = 2 THEN o || '/contact' WHEN m.page_id % 8 = 3 THEN o || '/about/' WHEN m.page_id % 16 = 4 THEN o || '/' ELSE m.url END"""
 AUDIT = f"""
@@ -400,7 +398,10 @@ ORACLE = {
     "src2_serp_candidates": f"""SELECT page_id AS id, 'query ' || page_id % 5 AS query, 1 AS position, url, {domain_sql('url')} AS domain, 'T ' || page_id AS title, 's ' || page_id AS snippet, 0 AS sitelinks FROM pages
         UNION ALL SELECT page_id, 'query ' || page_id % 5, 3, 'https://www.shop' || page_id || '.example.com:8080/x', 'shop' || page_id || '.example.com', '', '', 1 FROM pages""",
     "src3_tech_detections": "WITH " + DETECTED + " SELECT * FROM detected",
-    "t7_detector_categories": None,
+    "t7_detector_categories": "WITH " + DETECTED + ",\n" + NAMES + f""",
+ by_name AS ({category_sql('detected')}), {values('mapped', ['name', 'category'], list(tech_rules.DETECTOR_CATEGORIES.items()))},
+ own AS (SELECT id, tech, unnest(string_split(categories, ' | ')) AS c FROM detected WHERE categories <> '')
+ SELECT id, tech, m.category FROM own JOIN mapped m ON m.name = lower(c) UNION SELECT d.id, d.tech, n.category FROM detected d JOIN by_name n ON n.tech = d.tech WHERE n.category IS NOT NULL""",
     "src4_lighthouse_metrics": "WITH " + METRICS + f" SELECT {_metric_cols} FROM metrics",
     "src4_lighthouse_scores": "WITH " + METRICS + " SELECT id, performance_score, seo_score, is_mobile_friendly, performance_category, analysis_success FROM metrics",
     "src5_lighthouse_audits": "WITH " + REPORTS + ", " + _audit_rows + """ SELECT r.id, category, audit, json_extract_string(a, '$.title') AS title, left(coalesce(json_extract_string(a, '$.description'), ''), 300) AS description,
@@ -450,4 +451,3 @@ ORACLE = {
     ),
     "e3_site_audit": with_pages("SELECT * FROM audits", "metas", "links", ctes=AUDIT),
 }
-del ORACLE["t7_detector_categories"]

@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from sitegrain.streaming import streams
-from workload.funnel import phase_events
+from workload.funnel import LIVENESS, phase_events
 
 
 def _folder(spark):
@@ -99,8 +99,6 @@ ORACLE = {
     "s4_progress": _progress,
     "s4_stream_progress": _progress + " HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
 }
-from workload.funnel import LIVENESS  # noqa: E402
-
 ORACLE["s2_stream_scores"] = (
     "WITH pages_seeded AS (SELECT page_id, url, html FROM pages), " + LIVENESS + " SELECT page_id, url, reason = 'ok' AS alive, reason FROM liveness"
 )
