@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -23,16 +24,27 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def scratch_folder(spark: SparkSession) -> str:
+    """The shared folder for intermediate data: the one that spark.checkpoint.dir names, or that the context was given.
+
+    A local session (one machine) without any gets a temporary one. Anywhere else that would be a folder that other
+    machines can't see, so it is an error.
+    """
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitegrain-"))
+    return context.getCheckpointDir()
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """The frame written to the reliable checkpoint folder and read back, with its lineage cut.
 
-    Used where a small result feeds several branches, which would otherwise each recompute it. The folder is the one
-    the cluster names in spark.checkpoint.dir; only a session without any (a local test) gets a temporary one.
+    Used where a small result feeds several branches, which would otherwise each recompute it.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="sitegrain-checkpoint-"))
+    scratch_folder(df.sparkSession)
     return df.checkpoint()
 
 
