@@ -1,7 +1,7 @@
 """Licences of files by sparse TF-IDF cosine to templates, handed down from the nearest ancestor directory.
 
-1. A file's headers are its lines that speak of a licence, each with the line after it; a licence file (by its name, or by most of its words
-   being licence words) counts as a whole. Long texts cost no more: only header lines leave the text.
+1. A file's headers are its lines that speak of a licence, each with the line after it; a licence file (by
+   its name) also counts as a whole. Long texts cost no more: only header lines leave the text.
 2. Header words that occur in any template are the vocabulary, which the templates bound. Document frequencies are counted over all headers; the TF-IDF
    vectors of a header and of the templates meet in a join by word, and their cosines are sums of that join.
 3. The best template over the threshold is the file's own licence. A licence file gives its licence to its directory; a file without an own
@@ -15,6 +15,8 @@ named play no part.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +79,7 @@ def headers(files: DataFrame) -> DataFrame:
     # the sentence of a line that holds the cue, since prose keeps many sentences in a line
     part = F.flatten(F.transform(cue, lambda x: F.filter(F.split(x, r"(?<=[.;])\s+(?=[A-Z])"), lambda s: s.rlike(_CUE))))
     whole = F.col("path").rlike(_LICENCE_NAME)
-    found = F.when(F.col("text").rlike(_CUE), F.when(whole, F.array("text")).otherwise(part))
+    found = F.when(F.col("text").rlike(_CUE), F.when(whole, F.array_append(part, F.col("text"))).otherwise(part))
     return files.select(key.alias("key"), "doc_id", "path", F.coalesce(whole, F.lit(False)).alias("whole"), F.array_distinct(F.coalesce(found, F.array().cast("array<string>"))).alias("found"))
 
 
@@ -99,7 +101,7 @@ def own_licences(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = held(words.join(frequency, "word", "left").select("word", F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))).alias("idf") + 1.0).toDF("word", "idf").coalesce(1))
     idf = F.broadcast(idf)  # the templates' vocabulary
     # a word that no template has weighs as one of a single header
-    rare = float(__import__("math").log((1 + total) / 2) + 1)
+    rare = math.log((1 + total) / 2) + 1
     side = lambda t, *k: t.join(idf, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
     left, right = side(term), side(template)
     left_norm = left.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"))

@@ -28,8 +28,9 @@ from pyspark.sql import functions as F
 from sitegrain.llm.common import held, texts
 
 ORDER = 4
-#: Pseudo-characters of the trusted mean in every text, and the quartile distances above which a text is rejected.
-SHORT, FENCE = 200, 4.0
+#: Pseudo-characters of the trusted mean in every text, and the quartile distances above the upper quartile at which a text is
+#: rejected: at least MARGIN nats a character, for languages whose trusted documents are very much alike.
+SHORT, FENCE, MARGIN = 200, 4.0, 0.12
 #: Rows of the model (24 bytes each) up to which it is sent to the tasks.
 MODEL_ROWS = 2_000_000
 _SPACE = re.compile(r"[ \t-\r]+")
@@ -38,7 +39,7 @@ _DIGIT = str.maketrans("123456789", "000000000")
 
 def grams(text: str) -> np.ndarray:
     """The n-grams of the highest order, 16 bits a character (others than the basic plane's as U+FFFF), begun by blanks."""
-    text = " " * ORDER + _SPACE.sub(" ", text).translate(_DIGIT).strip()
+    text = " " * ORDER + _SPACE.sub(" ", text).translate(_DIGIT).strip(" ")
     chars = np.minimum(np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32), 0xFFFF).astype(np.uint64)
     out = np.zeros(len(chars) - ORDER, np.uint64)
     for j in range(ORDER):
@@ -96,7 +97,7 @@ def model(counts: DataFrame) -> DataFrame:
             t = t.withColumn("suffix", _suffix(k)).join(up, "suffix")
             t = t.select("code", ((F.col("n") - F.col("d")) / F.col("total") + F.col("cut") / F.col("total") * F.col("q")).alias("p"))
             backs = sums.select(F.lit(k - 1).alias("order"), F.col("context").alias("code"), F.log(F.col("cut") / F.col("total")).alias("back"))
-            tables[-1] = tables[-1].join(backs, ["order", "code"], "left")
+            tables[-1] = tables[-1].join(backs, ["order", "code"], "full")  # contexts that only begin texts end no n-gram
         lower = held(t)
         tables.append(lower.select(F.lit(k).alias("order"), "code", F.log("p").alias("logp")))
     tables[0] = tables[0].withColumn("back", F.lit(0.0))
@@ -113,15 +114,18 @@ class Scorer:
     def __init__(self, rows):
         self.tables = {}
         for k in range(ORDER + 1):
-            own = rows[rows["order"] == k].sort_values("code")
-            self.tables[k] = own["code"].to_numpy(np.int64), own["logp"].to_numpy(np.float64), own["back"].fillna(0.0).to_numpy(np.float64)
+            for what in ("logp", "back"):
+                own = rows[(rows["order"] == k) & rows[what].notna()].sort_values("code")
+                self.tables[what, k] = own["code"].to_numpy(np.int64), own[what].to_numpy(np.float64)
 
-    def _find(self, k: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        own = self.tables[k][0]
+    def _find(self, what: str, k: int, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Whether each code is in the table, and the values of those that are."""
+        own, values = self.tables[what, k]
         if not len(own):
-            return np.zeros(len(codes), np.int64), np.zeros(len(codes), bool)
+            return np.zeros(len(codes), bool), np.empty(0)
         at = np.minimum(np.searchsorted(own, codes), len(own) - 1)
-        return at, own[at] == codes
+        found = own[at] == codes
+        return found, values[at[found]]
 
     def each(self, codes: np.ndarray) -> np.ndarray:
         """The log-probability of every distinct code's last character."""
@@ -129,14 +133,14 @@ class Scorer:
         unsigned = codes.view(np.uint64)
         for k in range(ORDER, -1, -1):
             own = (unsigned[open_] & np.uint64((1 << 16 * k) - 1)).view(np.int64)
-            at, found = self._find(k, own)
-            out[open_[found]] += self.tables[k][1][at[found]]
+            found, values = self._find("logp", k, own)
+            out[open_[found]] += values
             open_ = open_[~found]
             if not len(open_):
                 break
             if k > 1:  # the weight of lower orders after the context, if that was seen
-                at, found = self._find(k - 1, (own[~found].view(np.uint64) >> np.uint64(16)).view(np.int64))
-                out[open_[found]] += self.tables[k - 1][2][at[found]]
+                found, values = self._find("back", k - 1, (own[~found].view(np.uint64) >> np.uint64(16)).view(np.int64))
+                out[open_[found]] += values
         return out
 
 
@@ -173,14 +177,14 @@ def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
     todo = keyed.select("row", "text").distinct().select("row", "text").mapInArrow(run, "row string, code long, n long").withColumn("sum", F.lit(0.0))
     done = None
     for k in range(ORDER, -1, -1):
-        own = table.filter(F.col("order") == k).select(F.col("code").alias("at"), "logp")
+        own = table.filter((F.col("order") == k) & F.col("logp").isNotNull()).select(F.col("code").alias("at"), "logp")
         todo = todo.withColumn("at", F.col("code").bitwiseAND(F.lit((1 << 16 * k) - 1 if k < 4 else -1).cast("long")))
         met = todo.join(own, "at", "left")
         hit = met.filter("logp IS NOT NULL").groupBy("row").agg(F.sum(F.expr("n * (sum + logp)")).alias("nll"))
         done = hit if done is None else done.union(hit)
         todo = met.filter("logp IS NULL").select("row", "code", "n", "sum", "at")
         if k > 1:
-            backs = table.filter(F.col("order") == k - 1).select(F.col("code").alias("context"), "back")
+            backs = table.filter((F.col("order") == k - 1) & F.col("back").isNotNull()).select(F.col("code").alias("context"), "back")
             todo = todo.withColumn("context", F.shiftrightunsigned("at", 16)).join(backs, "context", "left").withColumn("sum", F.col("sum") + F.coalesce("back", F.lit(0.0)))
         todo = todo.select("row", "code", "n", "sum")
     sums = done.groupBy("row").agg((-F.sum("nll")).alias("nll"))
@@ -200,12 +204,12 @@ def quality(docs: DataFrame, labels: DataFrame, fence: float = FENCE, short: int
         return scored.select("doc_id", "lang", "chars", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
     level = lambda df: df.withColumn("level", (F.col("nll") + short * mean) / (F.col("chars") + short))
     quartiles = F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q")
-    limit = F.expr(f"q[1] + {fence}D * (q[1] - q[0])")
+    limit = F.expr(f"q[1] + greatest({fence}D * (q[1] - q[0]), {MARGIN}D)")
     by_lang = level(known).groupBy("lang").agg(quartiles).select(F.col("lang").alias("l"), limit.alias("own"))
     over_all = level(known).agg(quartiles).select(limit).first()[0]
     # one row per language: a few hundred at most, but counted by Spark before it broadcasts
     out = level(scored).join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("limit", F.coalesce("own", F.lit(over_all)))
-    return out.select("doc_id", "lang", "chars", F.exp("level").alias("perplexity"), F.exp("limit").alias("threshold"), (F.col("level") <= F.col("limit")).alias("kept"))
+    return out.select("doc_id", "lang", "chars", F.exp("level").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("chars") == 0) | (F.col("level") <= F.col("limit"))).alias("kept"))
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:

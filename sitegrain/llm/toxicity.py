@@ -28,7 +28,9 @@ from sitegrain.llm.common import held, texts
 #: Labelled documents that the model is fitted on, and characters of each.
 SAMPLE, SAMPLE_CHARS = 12_000, 20_000
 BUCKETS = 1 << 18
-EPOCHS, RATE, RIDGE, COUNTERFACTUAL = 60, 0.5, 1e-5, 1.0
+EPOCHS, RATE, RIDGE, COUNTERFACTUAL = 200, 0.2, 1e-5, 1.0
+#: Standard deviations by which a feature's share of toxic texts must differ from the share of all, to be used at all.
+DEVIATIONS = 4.0
 WORDS_KEPT = 400_000
 #: Terms that name groups of people; a term may be swapped for any other of its list.
 IDENTITY = [
@@ -73,29 +75,35 @@ def fit(found: list[set[str]], label: np.ndarray) -> tuple[np.ndarray, float]:
     swapped = [i for i, words in enumerate(found) if not _SWAP.keys().isdisjoint(words)]
     row, col = _rows(found, cache)
     other_row, other_col = _rows([{_SWAP.get(w, w) for w in found[i]} for i in swapped], cache)
+    keep = _telling(row, col, label, share)
+    (row, col), (other_row, other_col) = ((r[keep[c]], c[keep[c]]) for r, c in ((row, col), (other_row, other_col)))
     n, twins = len(found), np.array(swapped, np.int64)
-    weight, bias = np.zeros(BUCKETS), float(np.log(share / (1 - share)))
-    # rare classes count as much as frequent ones half-way; steps are scaled by each feature's own past gradients
+    weight, bias, past = np.zeros(BUCKETS), float(np.log(share / (1 - share))), np.full(BUCKETS, 1e-8)
+    # the rare class counts half-way as much as the frequent one
     importance = np.where(label == 1, np.sqrt((1 - share) / share), 1.0)
-    past = np.full(BUCKETS, 1e-8)
     for _ in range(EPOCHS):
         z = bias + np.bincount(row, weight[col], n)
-        slope = importance * (1 / (1 + np.exp(-z)) - label) / n
-        gradient = np.bincount(col, slope[row], BUCKETS)
+        slope = importance * (1 / (1 + np.exp(-np.clip(z, -50, 50))) - label) / n
+        gradient = np.bincount(col, slope[row], BUCKETS) + RIDGE * weight
         if len(twins):
             change = z[twins] - (bias + np.bincount(other_row, weight[other_col], len(twins)))
             pull = np.zeros(n)
             pull[twins] = 2 * COUNTERFACTUAL * change / n
             gradient += np.bincount(col, pull[row], BUCKETS) - np.bincount(other_col, pull[twins][other_row], BUCKETS)
-        gradient += RIDGE * weight
+        # steps are scaled by each feature's own past gradients
         past += gradient**2
         weight -= RATE * gradient / np.sqrt(past)
         bias -= RATE * float(slope.sum())
-        # small weights are noise of rare words and go to zero
-        weight = np.sign(weight) * np.maximum(np.abs(weight) - 0.002, 0)
     return weight, bias
 
 
+def _telling(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float) -> np.ndarray:
+    """Whether a bucket's texts differ in their share of toxic labels by more than chance."""
+    texts_of, toxic = np.bincount(col, minlength=BUCKETS), np.bincount(col, label[row], BUCKETS)
+    z = (toxic - texts_of * share) / np.sqrt(np.maximum(texts_of * share * (1 - share), 1e-9))
+    return (texts_of >= 3) & (np.abs(z) >= DEVIATIONS)
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.ndarray, float]:
     """Weights and intercept, from labelled documents (doc_id, toxic), a bounded number of them."""
     own = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic"))

@@ -116,7 +116,7 @@ def perplexity(trusted: list[str], text: str) -> tuple[int, float]:
     from collections import Counter, defaultdict
 
     def prepared(t: str) -> str:
-        t = re.sub(r"[ \t-\r]+", " ", t).translate(str.maketrans("123456789", "000000000")).strip()
+        t = re.sub(r"[ \t-\r]+", " ", t).translate(str.maketrans("123456789", "000000000")).strip(" ")
         return "    " + "".join(c if ord(c) < 0x10000 else "￿" for c in t)
 
     counts = {4: Counter()}
