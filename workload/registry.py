@@ -2,18 +2,31 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from sitegrain.session import tune
 from workload import contacts, funnel, prompts, records, streams, structure, tech
 
 MODULES = [structure, tech, funnel, contacts, records, prompts, streams]
 
 
-def _tuned(query):
-    return lambda spark, folder: query(tune(spark), folder)
+ROOT = str(Path(__file__).resolve().parent.parent)
+
+
+def tuned(query):
+    """The query on a tuned session, whose Python workers find this repository wherever the driver was started."""
+
+    def run(spark, folder):
+        paths = spark.sparkContext.environment.get("PYTHONPATH", "")
+        if ROOT not in paths.split(":"):
+            spark.sparkContext.environment["PYTHONPATH"] = f"{ROOT}:{paths}".rstrip(":")
+        return query(tune(spark), folder)
+
+    return run
 
 
 def queries():
-    return {name: _tuned(query) for module in MODULES for name, query in module.QUERIES.items()}
+    return {name: tuned(query) for module in MODULES for name, query in module.QUERIES.items()}
 
 
 def oracle_sql():
@@ -21,4 +34,4 @@ def oracle_sql():
 
 
 def flagship(spark, folder):
-    return records.QUERIES["e1_fast_leads"](tune(spark), folder)
+    return tuned(records.QUERIES["e1_fast_leads"])(spark, folder)
