@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -54,6 +55,19 @@ def _read(batches, words: bool) -> Iterator[tuple]:
                 yield block.as_py(), shard.as_py(), seq.as_py(), unpack(data.as_buffer()), np.frombuffer(unpack(lens.as_buffer()), "<u4"), docs.as_py()
 
 
+@lru_cache(1)
+def _coder(path: str):
+    """Encodes one word; kept by a Python worker from task to task."""
+    import tiktoken
+
+    return tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+
+
+@lru_cache(1)
+def decoder(path: str) -> Decoder:
+    return Decoder(path)
+
+
 def ranks(path: str) -> dict[bytes, int]:
     """Token bytes -> id, of a file of base64 tokens and ids."""
     with open(path, "rb") as file:
@@ -119,9 +133,7 @@ def _packed(docs: DataFrame, pattern: str, shards: int) -> DataFrame:
 
 def _encoded(words: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import tiktoken
-
-        piece = tiktoken.Encoding("own", pat_str=r"[\s\S]+", mergeable_ranks=ranks(path), special_tokens={})._encode_single_piece
+        piece = _coder(path)
         known: dict[bytes, bytes] = {}
         for block, shard, seq, data, lens, _ in _read(batches, True):
             ends = np.cumsum(lens, dtype=np.int64).tolist()
@@ -193,9 +205,9 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
     """doc_id and decoded (bytes) of doc_id and ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        decoder = Decoder(path)
+        decoded = decoder(path)
         for batch in batches:
-            out = [decoder(ids) for ids in id_arrays(batch.column(1))]
+            out = [decoded(ids) for ids in id_arrays(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["doc_id", "decoded"])
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, decoded binary")

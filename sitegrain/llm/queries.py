@@ -78,9 +78,9 @@ def bpe_digests(docs):
     coded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN)
 
     def digests(batches):
-        decoder = byte_bpe.Decoder(path)
+        decoded = byte_bpe.decoder(path)
         for batch in batches:
-            rows = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoder(ids)).hexdigest()) for ids in byte_bpe.id_arrays(batch.column(1))]
+            rows = [(len(ids), hashlib.sha256(ids.astype("<u4").tobytes()).hexdigest(), hashlib.sha256(decoded(ids)).hexdigest()) for ids in byte_bpe.id_arrays(batch.column(1))]
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             kinds = pa.int64(), pa.string(), pa.string()
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, t) for x, t in zip(columns, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])

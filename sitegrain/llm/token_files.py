@@ -17,6 +17,7 @@ import hashlib
 import os
 import uuid
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -82,11 +83,17 @@ class Pieces:
             return b"".join([known[x] for x in found]) + self.end
 
 
+@lru_cache(1)
+def _pieces(path: str, end: int) -> Pieces:
+    """Kept by a Python worker from task to task."""
+    return Pieces(path, end)
+
+
 def dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     """A zstandard dictionary of id arrays, trained on a bounded sample; empty where there is too little to train on."""
     rows = texts(docs).select("doc_id", F.col("text").substr(1, 8 * SAMPLE_IDS).alias("text"))
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
-    pieces = Pieces(tokenizer, end)
+    pieces = _pieces(tokenizer, end)
     size = np.dtype(pieces.kind).itemsize
     samples = [pieces.encode(r.text)[: SAMPLE_IDS * size] for r in some]
     try:
@@ -116,7 +123,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str | None = N
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        shard, pieces = TaskContext.get().partitionId(), Pieces(tokenizer, end)
+        shard, pieces = TaskContext.get().partitionId(), _pieces(tokenizer, end)
         size, pack = np.dtype(pieces.kind).itemsize, zstandard.ZstdCompressor(level=LEVEL, **_codec(data))
         at, ids, frames, counts = 0, [], [], []
 
