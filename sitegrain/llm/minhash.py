@@ -1,17 +1,18 @@
 """Near duplicates: minima of universal hashes in bands, signature checks, exact checks, components by two stars.
 
 1. Each document becomes its set of word shingles (as 64-bit hashes), the minima of bands x rows universal hashes over
-   the set, one key per band, and one bit of each of the first 256 minima.
+   the set, one key per band, and four bits of every minimum as its signature.
 2. Documents with the same set collapse to the smallest doc_id, so copies never meet in a band.
-3. Every member of a band bucket is compared with the bucket's smallest member only: one candidate per member, however
-   large the bucket. The bits screen the candidates; full sets confirm them.
+3. Every member of a band bucket is compared with one pivot only: the member that meets most others over all its buckets,
+   which in a group of edited copies is the text that they were made from. That is one candidate per member and band,
+   however large the bucket. Signatures screen the candidates; full sets confirm them.
 4. Links give components by alternating large-star and small-star.
 5. Buckets that still hold several components get the rest compared: the members outside a bucket's main component
-   against all members of other components. So no link that a shared bucket offers is lost, and a bucket of near copies
-   that hang together costs nothing here.
+   against all members of other components, each pair in the first band that it shares. So no link that a shared bucket
+   offers is lost, and a bucket of near copies that hang together costs nothing here.
 
-With 56 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 4e-8; the screen of 256 bits turns
-away a pair at 0.8 with probability under 1e-8.
+With 56 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 4e-8; the screen of 336 minima turns
+away a pair at 0.8 with probability 2e-8.
 
 Defined cases: null and empty texts, and texts of white space only, have an empty set and are linked with nothing. A text
 of fewer words than a shingle takes is one shingle of all its words. A row with a null doc_id is linked with nothing;
@@ -21,6 +22,7 @@ empty result. Columns other than doc_id and text play no part.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,9 +33,9 @@ from pyspark.sql import functions as F
 
 from sitegrain.llm.common import held, small, texts
 
-BANDS, ROWS, BITS = 56, 6, 256
-#: Bits of 256 that must agree: at similarity 0.8 they agree 230 times on average, with a deviation of 4.8.
-AGREE = 202
+BANDS, ROWS = 56, 6
+#: Standard deviations below its mean at which the agreement of two signatures is too low for the similarity asked.
+DEVIATIONS = 5.5
 #: Rows up to which a frame of ids is broadcast (16 bytes each); beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
 #: Distinct words whose hashes a task keeps at once.
@@ -75,8 +77,10 @@ def _hash_family(count: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _signature(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n_shingles, digest of the set, bits (4 longs) and band keys; the last three null for an empty set."""
-    count = max(bands * rows, BITS)
+    """doc_id, n_shingles, digest of the set, marks (four bits of each minimum) and band keys; the last three null for an empty set."""
+    count = bands * rows
+    if count % 16:
+        raise ValueError("bands x rows must be a multiple of 16")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = (x[:, None] for x in _hash_family(count))
@@ -97,7 +101,8 @@ def _signature(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
                 for j in range(rows):
                     band = _mixed((band * _MIX) ^ least[j : bands * rows : rows])
                 digests.append(xxhash.xxh3_128_digest(found.tobytes()))
-                bits.append(np.packbits(((least[:BITS] >> np.uint64(20)) & np.uint64(1)).astype(bool)).view(np.int64))
+                four = ((least >> np.uint64(20)) & np.uint64(15)).astype(np.uint8)
+                bits.append((four[0::2] | four[1::2] << np.uint8(4)).view(np.int64))
                 keys.append(band.view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), pa.array(bits, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
@@ -120,7 +125,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
     return rows.mapInArrow(run, "id long, found binary")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, percent: int, alike) -> DataFrame:
     """The pairs (a, b) that reach the similarity: screened by signature bits, confirmed on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,20 +139,24 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
 
     bits = marks.select("id", "bits", "n_shingles")
     left, right = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("n_shingles").alias(f"{x}_n")) for x in "ab")
-    screened = held(pairs.join(right, "b").join(left, "a").filter(_alike("a_bits", "b_bits", "a_n", "b_n", percent)).select("a", "b"))
+    screened = held(pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b"))
     ids = held(screened.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = held(_sets(docs, ids, words))
-    # a is the member, b the smaller id it is compared with: a large group's b is hot, so its set comes last and is split
+    # a large group's pivot (b) is hot: its set comes last, and Spark splits that join
     whole = screened.join(sets.select(F.col("id").alias("a"), F.col("found").alias("a_set")), "a")
     whole = whole.join(sets.select(F.col("id").alias("b"), F.col("found").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
     return whole.mapInArrow(run, "a long, b long").distinct()
 
 
-def _alike(x: str, y: str, x_n: str, y_n: str, percent: int):
-    agree = " + ".join(f"bit_count({x}[{i}] ^ {y}[{i}])" for i in range(BITS // 64))
-    # sets whose sizes differ too much can't reach the similarity at all
-    need = BITS - AGREE if percent >= 80 else int(BITS * (1 - percent / 100) / 2 + 6 * 8)
-    return F.expr(f"{agree} <= {need} AND 100 * least({x_n}, {y_n}) >= {percent} * greatest({x_n}, {y_n})")
+def _alike(x: str, y: str, x_n: str, y_n: str, percent: int, count: int = BANDS * ROWS):
+    """Whether two signatures agree often enough; sets whose sizes differ too much can't reach the similarity at all."""
+    p = percent / 100 + (1 - percent / 100) / 16
+    most = math.floor(count * (1 - p) + DEVIATIONS * math.sqrt(count * p * (1 - p)))
+    longs = count // 16
+    # of each group of four bits that differs, one bit is left
+    folded = "(d | shiftrightunsigned(d, 1) | shiftrightunsigned(d, 2) | shiftrightunsigned(d, 3)) & 1229782938247303441L"
+    differ = " + ".join(f"bit_count({folded.replace('d ', f'({x}[{i}] ^ {y}[{i}]) ').replace('(d,', f'({x}[{i}] ^ {y}[{i}],')})" for i in range(longs))
+    return F.expr(f"100 * least({x_n}, {y_n}) >= {percent} * greatest({x_n}, {y_n}) AND {differ} <= {most}")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -178,23 +187,29 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     single = held(
         marks.filter("n_shingles > 0").withColumnRenamed("doc_id", "id").join(same, ["digest", "id"], "left_semi").select("id", "n_shingles", "bits", "bands")
     )
-    member = single.select("id", F.explode("bands").alias("band"))
-    buckets = member.groupBy("band").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).filter("pivot != last").drop("last")
+    alike = _alike("a_bits", "b_bits", "a_n", "b_n", percent, bands * rows)
+    member = single.select("id", F.posexplode("bands").alias("k", "band"))
+    buckets = member.groupBy("band").agg(F.count("*").alias("n")).filter("n > 1")
     member = held(member.join(buckets, "band"))
-    star = member.filter("id != pivot").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = held(_confirmed(star, docs, single, words, percent))
+    meets = member.groupBy("id").agg(F.sum("n").alias("meets"))
+    pivots = member.join(meets, "id").groupBy("band").agg(F.max(F.struct("meets", (-F.col("id")).alias("m"))).alias("p"))
+    star = member.join(pivots.select("band", (-F.col("p.m")).alias("pivot")), "band").filter("id != pivot")
+    star = held(star.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
+    links = held(_confirmed(star, docs, single, words, percent, alike))
     found = held(components(links))
 
     # what the stars leave: members outside their bucket's main component, against other components' members
-    named = member.join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    named = member.select("band", "k", "id").join(found, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("component"))
     parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
     mixed = held(parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"))
-    named = held(named.join(mixed.select("band", F.col("main.component").alias("main")), "band").join(single.select("id", "bits", "n_shingles"), "id"))
-    rest, every = (named.selectExpr("band", f"id AS {x}", f"bits AS {x}_bits", f"n_shingles AS {x}_n", f"component AS {x}_c", *m) for x, m in (("a", ["main"]), ("b", [])))
-    alike = _alike("a_bits", "b_bits", "a_n", "b_n", percent)
-    pairs = rest.filter("a_c != main").join(every, "band").filter(F.expr("a_c != b_c AND (b_c = main OR a_c < b_c)") & alike)
-    pairs = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(star, ["a", "b"], "left_anti")
-    more = held(_confirmed(pairs, docs, single, words, percent))
+    named = held(named.join(mixed.select("band", F.col("main.component").alias("main")), "band").join(single.select("id", "bits", "n_shingles", "bands"), "id"))
+    rest, every = (
+        named.selectExpr("band", f"id AS {x}", f"bits AS {x}_bits", f"n_shingles AS {x}_n", f"component AS {x}_c", f"bands AS {x}_bands", *m) for x, m in (("a", ["main", "k"]), ("b", []))
+    )
+    first = F.expr("NOT exists(sequence(0, k), i -> i < k AND a_bands[i] = b_bands[i])")
+    pairs = rest.filter("a_c != main").join(every, "band").filter(F.expr("a_c != b_c AND (b_c = main OR a_c < b_c)") & alike & first)
+    pairs = pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(star.toDF("b", "a"), ["a", "b"], "left_anti")
+    more = held(_confirmed(pairs, docs, single, words, percent, alike))
     if more.limit(1).count():
         found = held(components(links.union(more)))
 
