@@ -31,8 +31,8 @@ from sitegrain.session import scratch_folder
 #: The dictionary is trained on so many documents (those of the smallest id hash), so many leading ids of each.
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 112_640
 SEGMENT_BYTES = 1 << 20
-#: Distinct pieces of text whose ids a task keeps at once.
-PIECES_KEPT = 400_000
+#: Distinct pieces of text whose ids a worker keeps: so many new ones, and as many that were in use before those.
+PIECES_KEPT = 250_000
 LEVEL = 3
 
 
@@ -47,11 +47,12 @@ class Pieces:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.end = np.array([end], self.kind).tobytes()
         self.line = self._ids("a\nb")[1]
 
     def _ids(self, text: str) -> list[int]:
-        return self.tokenizer.encode(text, add_special_tokens=False).ids
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _learn(self, missing: list[str]) -> None:
         """Pieces of visible characters are encoded many at a time, parted by line ends: those are tokens of their own."""
@@ -67,20 +68,21 @@ class Pieces:
                 self.known.update((x, np.array(self._ids(x), self.kind).tobytes()) for x in some)
                 continue
             data, size = ids.tobytes(), ids.itemsize
-            edges = [0, *(cuts + 1) * size, len(data) + size]
-            self.known.update((x, data[a : b - size]) for x, a, b in zip(some, edges, edges[1:], strict=False))
+            edges = ((cuts + 1) * size).tolist()
+            self.known.update(zip(some, [data[a : b - size] for a, b in zip([0, *edges], [*edges, len(data) + size], strict=True)], strict=True))
 
     def encode(self, text: str) -> bytes:
         """The ids of a text, then the end id, as bytes."""
         found = CHUNK.findall(text)
-        known = self.known
-        try:
-            return b"".join([known[x] for x in found]) + self.end
-        except KeyError:
-            if len(known) > PIECES_KEPT:
-                known.clear()
-            self._learn([x for x in set(found) if x not in known])
-            return b"".join([known[x] for x in found]) + self.end
+        missing = set(found).difference(self.known)
+        if missing:
+            if len(self.known) > PIECES_KEPT:  # what isn't used again before the next change is forgotten
+                self.known, self.older = {}, self.known
+                missing = set(found)
+            again = missing.intersection(self.older)
+            self.known.update((x, self.older[x]) for x in again)
+            self._learn(list(missing - again))
+        return b"".join(map(self.known.__getitem__, found)) + self.end
 
 
 @lru_cache(1)
