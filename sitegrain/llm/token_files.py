@@ -32,7 +32,7 @@ from sitegrain.session import scratch_folder
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 112_640
 SEGMENT_BYTES = 1 << 20
 #: Distinct pieces of text whose ids a worker keeps: so many new ones, and as many that were in use before those.
-PIECES_KEPT = 250_000
+PIECES_KEPT = 400_000
 LEVEL = 3
 
 
@@ -79,9 +79,9 @@ class Pieces:
             if len(self.known) > PIECES_KEPT:  # what isn't used again before the next change is forgotten
                 self.known, self.older = {}, self.known
                 missing = set(found)
-            again = missing.intersection(self.older)
-            self.known.update((x, self.older[x]) for x in again)
-            self._learn(list(missing - again))
+            again = {x: self.older[x] for x in missing if x in self.older}
+            self.known.update(again)
+            self._learn([x for x in missing if x not in again])
         return b"".join(map(self.known.__getitem__, found)) + self.end
 
 
