@@ -12,7 +12,7 @@
    offers is lost, and a bucket of near copies that hang together costs nothing here.
 
 With 56 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 4e-8; the screen of 336 minima turns
-away a pair at 0.8 with probability 2e-8.
+away a pair at 0.8 with probability 3e-6, and one at 0.82 with 3e-8.
 
 Defined cases: null and empty texts, and texts of white space only, have an empty set and are linked with nothing. A text
 of fewer words than a shingle takes is one shingle of all its words. A row with a null doc_id is linked with nothing;
@@ -35,9 +35,11 @@ from sitegrain.llm.common import held, small, texts
 
 BANDS, ROWS = 56, 6
 #: Standard deviations below its mean at which the agreement of two signatures is too low for the similarity asked.
-DEVIATIONS = 5.5
+DEVIATIONS = 4.5
 #: Rows up to which a frame of ids is broadcast (16 bytes each); beyond that it is shuffled.
 BROADCAST_ROWS = 1_000_000
+#: Bytes of shingle sets up to which they are broadcast.
+BROADCAST_BYTES = 48_000_000
 #: Distinct words whose hashes a task keeps at once.
 WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -142,9 +144,11 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
     screened = held(pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b"))
     ids = held(screened.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = held(_sets(docs, ids, words))
+    size = sets.agg(F.sum(F.length("found") + 32)).first()[0] or 0
+    sent = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
     # a large group's pivot (b) is hot: its set comes last, and Spark splits that join
-    whole = screened.join(sets.select(F.col("id").alias("a"), F.col("found").alias("a_set")), "a")
-    whole = whole.join(sets.select(F.col("id").alias("b"), F.col("found").alias("b_set")), "b").select("a", "b", "a_set", "b_set")
+    whole = screened.join(sent(sets.select(F.col("id").alias("a"), F.col("found").alias("a_set"))), "a")
+    whole = whole.join(sent(sets.select(F.col("id").alias("b"), F.col("found").alias("b_set"))), "b").select("a", "b", "a_set", "b_set")
     return whole.mapInArrow(run, "a long, b long").distinct()
 
 
