@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import held, texts
+from sitegrain.llm.common import held, small, texts
 
 ORDER = 4
 #: Pseudo-characters of the trusted mean in every text, and the quartile distances above the upper quartile at which a text is
@@ -33,6 +33,8 @@ ORDER = 4
 SHORT, FENCE, MARGIN = 200, 4.0, 0.12
 #: Rows of the model (24 bytes each) up to which it is sent to the tasks.
 MODEL_ROWS = 2_000_000
+#: Trusted ids (16 bytes each) up to which they are broadcast, and n-grams that a task sorts at once.
+TRUSTED_ROWS, PORTION = 1_000_000, 1_000_000
 _SPACE = re.compile(r"[ \t-\r]+")
 _DIGIT = str.maketrans("123456789", "000000000")
 
@@ -47,6 +49,19 @@ def grams(text: str) -> np.ndarray:
     return out.view(np.int64)
 
 
+def _portions(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
+    """The n-grams of a column's texts, about PORTION at a time, each with the position of its first text."""
+    first, parts, size = 0, [], 0
+    for i, text in enumerate(column):
+        parts.append(grams(text.as_py()))
+        size += len(parts[-1])
+        if size >= PORTION:
+            yield first, parts
+            first, parts, size = i + 1, [], 0
+    if parts:
+        yield first, parts
+
+
 def _suffix(order: int):
     """Of a code of that order, the code without its first character."""
     return F.col("code").bitwiseAND(F.lit((1 << 16 * (order - 1)) - 1))
@@ -58,16 +73,16 @@ def trusted_counts(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.empty(0, np.int64), np.empty(0, np.int64)
         for batch in batches:
-            parts = [grams(t.as_py()) for t in batch.column(0)]
-            code, count = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_counts=True)
-            both, at = np.unique(np.concatenate([seen[0], code]), return_inverse=True)
-            seen = both, np.bincount(at, np.concatenate([seen[1], count]), len(both)).astype(np.int64)
-            if len(both) > 2_000_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in seen], ["code", "n"])
-                seen = np.empty(0, np.int64), np.empty(0, np.int64)
+            for _, parts in _portions(batch.column(0)):
+                code, count = np.unique(np.concatenate(parts), return_counts=True)
+                both, at = np.unique(np.concatenate([seen[0], code]), return_inverse=True)
+                seen = both, np.bincount(at, np.concatenate([seen[1], count]), len(both)).astype(np.int64)
+                if len(both) > 1_000_000:
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in seen], ["code", "n"])
+                    seen = np.empty(0, np.int64), np.empty(0, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in seen], ["code", "n"])
 
-    rows = texts(docs).join(trusted.select("doc_id").distinct(), "doc_id", "left_semi").select("text")
+    rows = texts(docs).join(small(trusted.select("doc_id"), TRUSTED_ROWS), "doc_id", "left_semi").select("text")
     return rows.mapInArrow(run, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
@@ -153,11 +168,13 @@ def perplexities(docs: DataFrame, table: DataFrame, model_rows: int = MODEL_ROWS
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             scorer = Scorer(sent)
             for batch in batches:
-                parts = [grams(t.as_py()) for t in batch.column(1)]
-                code, at = np.unique(np.concatenate([np.empty(0, np.int64), *parts]), return_inverse=True)
-                owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])
-                nll = -np.bincount(owner, scorer.each(code)[at], len(parts)) if len(code) else np.zeros(len(parts))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([len(p) for p in parts], pa.int64()), pa.array(nll)], ["doc_id", "lang", "chars", "nll"])
+                for first, parts in _portions(batch.column(1)):
+                    sizes = [len(p) for p in parts]
+                    code, at = np.unique(np.concatenate(parts), return_inverse=True)
+                    owner = np.repeat(np.arange(len(parts)), sizes)
+                    nll = -np.bincount(owner, scorer.each(code)[at], len(parts)) if len(code) else np.zeros(len(parts))
+                    doc, lang = (batch.column(j).slice(first, len(parts)) for j in (0, 2))
+                    yield pa.RecordBatch.from_arrays([doc, lang, pa.array(sizes, pa.int64()), pa.array(nll)], ["doc_id", "lang", "chars", "nll"])
 
         return rows.mapInArrow(run, "doc_id long, lang string, chars long, nll double")
     return _joined(rows, table)
