@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from sitegrain.llm.common import held, texts
 
 #: Labelled documents that the model is fitted on, and characters of each.
-SAMPLE, SAMPLE_CHARS = 12_000, 20_000
+SAMPLE, SAMPLE_CHARS = 6_000, 20_000
 BUCKETS = 1 << 18
 EPOCHS, RATE, RIDGE, COUNTERFACTUAL = 200, 0.2, 1e-5, 1.0
 #: Standard deviations by which a feature's share of toxic texts must differ from the share of all, to be used at all.
@@ -53,28 +53,24 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x.encode()) % BUCKETS for x in forms]
 
 
-def _rows(found: list[set[str]], cache: dict) -> tuple[np.ndarray, np.ndarray]:
-    """Row and bucket of every feature of the texts' word sets."""
-    at, buckets = [], []
-    for i, words in enumerate(found):
-        own = set()
-        for w in words:
-            if w not in cache:
-                cache[w] = features(w)
-            own.update(cache[w])
-        at.append(np.full(len(own), i, np.int32)), buckets.append(np.fromiter(own, np.int32, len(own)))
-    return np.concatenate([np.empty(0, np.int32), *at]), np.concatenate([np.empty(0, np.int32), *buckets])
+def buckets(words: set[str], cache: dict) -> np.ndarray:
+    """The distinct buckets of a text's words."""
+    own: set[int] = set()
+    for w in words:
+        if w not in cache:
+            cache[w] = features(w)
+        own.update(cache[w])
+    return np.fromiter(own, np.int32, len(own))
 
 
-def fit(found: list[set[str]], label: np.ndarray) -> tuple[np.ndarray, float]:
-    """Weights and intercept. found: each text's distinct lower-cased words."""
+def fit(found: list[np.ndarray], other: list[np.ndarray | None], label: np.ndarray) -> tuple[np.ndarray, float]:
+    """Weights and intercept. found: each text's buckets; other: those of the text with its identity terms swapped, if it has any."""
     share = float(label.mean()) if len(label) else 0.0
     if share in (0.0, 1.0):
         return np.zeros(BUCKETS), (-50.0 if share == 0 else 50.0)
-    cache: dict = {}
-    swapped = [i for i, words in enumerate(found) if not _SWAP.keys().isdisjoint(words)]
-    row, col = _rows(found, cache)
-    other_row, other_col = _rows([{_SWAP.get(w, w) for w in found[i]} for i in swapped], cache)
+    swapped = [i for i, x in enumerate(other) if x is not None]
+    row, col = _flat(found)
+    other_row, other_col = _flat([other[i] for i in swapped])
     keep = _telling(row, col, label, share)
     (row, col), (other_row, other_col) = ((r[keep[c]], c[keep[c]]) for r, c in ((row, col), (other_row, other_col)))
     n, twins = len(found), np.array(swapped, np.int64)
@@ -97,6 +93,12 @@ def fit(found: list[set[str]], label: np.ndarray) -> tuple[np.ndarray, float]:
     return weight, bias
 
 
+def _flat(found: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row and bucket of every feature."""
+    row = np.repeat(np.arange(len(found), dtype=np.int32), [len(x) for x in found])
+    return row, np.concatenate([np.empty(0, np.int32), *found])
+
+
 def _telling(row: np.ndarray, col: np.ndarray, label: np.ndarray, share: float) -> np.ndarray:
     """Whether a bucket's texts differ in their share of toxic labels by more than chance."""
     texts_of, toxic = np.bincount(col, minlength=BUCKETS), np.bincount(col, label[row], BUCKETS)
@@ -110,13 +112,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
     own = held(own.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict = {}
         for batch in batches:
-            words = [" ".join(sorted(set(_WORD.findall(t.as_py()[:SAMPLE_CHARS].lower())))) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words, pa.string()), batch.column(2)], ["doc_id", "words", "toxic"])
+            own, other = [], []
+            for text in batch.column(1):
+                words = set(_WORD.findall(text.as_py()[:SAMPLE_CHARS].lower()))
+                own.append(buckets(words, cache).tobytes())
+                other.append(None if _SWAP.keys().isdisjoint(words) else buckets({_SWAP.get(w, w) for w in words}, cache).tobytes())
+            if len(cache) > WORDS_KEPT:
+                cache.clear()
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(own, pa.binary()), pa.array(other, pa.binary())], ["doc_id", "toxic", "own", "other"])
 
     rows = texts(docs).join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic")
-    rows = rows.mapInArrow(run, "doc_id long, words string, toxic int").toPandas().sort_values(["doc_id", "words"])
-    return fit([set(w.split()) for w in rows["words"]], rows["toxic"].to_numpy(np.float64))
+    rows = rows.mapInArrow(run, "doc_id long, toxic int, own binary, other binary").toArrow().sort_by("doc_id")
+    found, other = ([None if x.as_py() is None else np.frombuffer(x.as_buffer(), np.int32) for x in rows[name]] for name in ("own", "other"))
+    return fit(found, other, rows["toxic"].to_numpy().astype(np.float64))
 
 
 def scored(docs: DataFrame, weights: tuple[np.ndarray, float]) -> DataFrame:
