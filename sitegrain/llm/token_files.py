@@ -15,17 +15,21 @@ from __future__ import annotations
 
 import hashlib
 import os
+import re
+import struct
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import CHUNK, partitions, texts
+from sitegrain.llm.byte_bpe import gathered
+from sitegrain.llm.common import CHUNK, UNICODE_SPACE, partitions, texts
 from sitegrain.session import scratch_folder
 
 #: The dictionary is trained on so many documents (those of the smallest id hash), so many leading ids of each.
@@ -33,11 +37,25 @@ SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 112_640
 SEGMENT_BYTES = 1 << 20
 #: Distinct pieces of text whose ids a worker keeps: so many new ones, and as many that were in use before those.
 PIECES_KEPT = 400_000
+#: Bytes of text that are encoded at a time (a longer text is encoded alone).
+SLICE_BYTES = 8_000_000
 LEVEL = 3
+#: The characters that a byte-level vocabulary writes for bytes (visible Latin-1 for itself, the others from U+0100 on).
+_ITSELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_CHARS = {b: b for b in _ITSELF} | {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)).difference(_ITSELF)))}
+#: A word of Latin letters and marks after it. The token pattern parts the two.
+WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
+VISIBLE = re.compile(f" ?[^{UNICODE_SPACE}]+").fullmatch
+#: A blank between white space, or at the end after white space.
+ACROSS = f"[{UNICODE_SPACE}] ([{UNICODE_SPACE}]|$)"
 
 
 class Pieces:
-    """Token ids of texts by a byte-level BPE of the tokenizers library; each distinct piece is encoded once."""
+    """Token ids of texts by a byte-level BPE of the tokenizers library; each distinct piece is encoded once.
+
+    A piece is a word with the blank before it. Where white space stands on both sides of a blank (or the text ends
+    after it), the tokens of a run of white space may reach across, so such texts are cut by CHUNK instead.
+    """
 
     def __init__(self, path: str, end: int):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -50,39 +68,109 @@ class Pieces:
         self.older: dict[str, bytes] = {}
         self.end = np.array([end], self.kind).tobytes()
         self.line = self._ids("a\nb")[1]
+        cut, model = self.tokenizer.pre_tokenizer, self.tokenizer.model
+        # a word of letters only is one pre-token, so the model takes it directly
+        plain = type(cut).__name__ == "ByteLevel" and cut.use_regex and not cut.add_prefix_space and self.tokenizer.normalizer is None and type(model).__name__ == "BPE"
+        self.model = model if plain else None
+        self._marks = lru_cache(1000)(lambda marks: self._bytes(self._ids(marks)))
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+
+    def _word(self, word: str) -> bytes:
+        """A word of letters, by the model."""
+        ids = self.known.get(word)
+        if ids is None:
+            named = word.encode().decode("latin-1").translate(BYTE_CHARS)
+            ids = self.known[word] = self._bytes([t.id for t in self.model.tokenize(named)])
+        return ids
+
     def _learn(self, missing: list[str]) -> None:
-        """Pieces of visible characters are encoded many at a time, parted by line ends: those are tokens of their own."""
-        plain = [x for x in missing if not x[-1].isspace()]
+        """Words of letters and their closing marks go to the model, each by itself; pieces with white space inside are put
+        together from their parts; the others are encoded many at a time, parted by line ends, which are tokens of their own.
+        """
+        plain, mixed = [], []
         for x in missing:
-            if x[-1].isspace():
-                self.known[x] = np.array(self._ids(x), self.kind).tobytes()
+            word = WORD(x) if self.model is not None else None
+            if word:
+                letters, marks = word.groups()
+                self.known[x] = self._word(letters) + self._marks(marks) if marks else self._word(letters)
+            elif VISIBLE(x):
+                plain.append(x)
+            else:
+                mixed.append(x)
+        parts = {x: CHUNK.findall(x) for x in mixed}
+        inner = {y for ys in parts.values() for y in ys}.difference(self.known, plain)
+        blank = {y for y in inner if y.isspace()}
+        self.known.update((y, self._bytes(self._ids(y))) for y in blank)
+        more = [y for y in inner if y not in blank]
+        if mixed and more:
+            self._learn(more)
+        self._batches(plain)
+        self.known.update((x, b"".join(map(self.known.__getitem__, ys))) for x, ys in parts.items())
+
+    def _batches(self, plain: list[str]) -> None:
         for at in range(0, len(plain), 64):
             some = plain[at : at + 64]
             ids = np.array(self._ids("\n".join(some)), self.kind)
             cuts = np.flatnonzero(ids == self.line)
             if len(cuts) != len(some) - 1:  # a vocabulary that merges line ends
-                self.known.update((x, np.array(self._ids(x), self.kind).tobytes()) for x in some)
+                self.known.update((x, self._bytes(self._ids(x))) for x in some)
                 continue
             data, size = ids.tobytes(), ids.itemsize
             edges = ((cuts + 1) * size).tolist()
             self.known.update(zip(some, [data[a : b - size] for a, b in zip([0, *edges], [*edges, len(data) + size], strict=True)], strict=True))
 
-    def encode(self, text: str) -> bytes:
-        """The ids of a text, then the end id, as bytes."""
-        found = CHUNK.findall(text)
-        missing = set(found).difference(self.known)
-        if missing:
+    def _looked_up(self, pieces: list[str]) -> list[bytes]:
+        found = list(map(self.known.get, pieces))
+        if None in found:
             if len(self.known) > PIECES_KEPT:  # what isn't used again before the next change is forgotten
                 self.known, self.older = {}, self.known
-                missing = set(found)
+                found = [None] * len(pieces)
+            missing = {x for x, ids in zip(pieces, found, strict=True) if ids is None}
             again = {x: self.older[x] for x in missing if x in self.older}
             self.known.update(again)
             self._learn([x for x in missing if x not in again])
-        return b"".join(map(self.known.__getitem__, found)) + self.end
+            found = list(map(self.known.__getitem__, pieces))
+        return found
+
+    def encode(self, texts: pa.Array) -> Iterator[bytes]:
+        """The ids of each text, then the end id, as bytes."""
+        texts = texts.cast(pa.large_string())
+        size = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+        at = 0
+        while at < len(texts):
+            to = max(at + 1, int(np.searchsorted(size, (size[at - 1] if at else 0) + SLICE_BYTES, "right")))
+            yield from self._encoded(texts.slice(at, to - at))
+            at = to
+
+    def _encoded(self, texts: pa.Array) -> Iterator[bytes]:
+        odd = set(np.flatnonzero(pc.match_substring_regex(texts, ACROSS).to_numpy(zero_copy_only=False)).tolist())
+        if odd:
+            whole = texts
+            texts = pc.if_else(pc.match_substring_regex(texts, ACROSS), pa.scalar("", texts.type), texts)
+        words = pc.split_pattern(texts, " ")
+        edges = words.offsets.to_numpy() - words.offsets[0].as_py()
+        coded = words.flatten().dictionary_encode()
+        place = coded.indices.to_numpy().astype(np.int64)
+        pieces = [" " + x for x in coded.dictionary.to_pylist()]
+        place[edges[:-1]] = len(pieces) + np.arange(len(texts))  # the first word of a text has no blank before it
+        pieces += pc.list_element(words, 0).to_pylist()
+        ids = self._looked_up(pieces)
+        values = np.frombuffer(b"".join(ids), self.kind)
+        lens = np.fromiter(map(len, ids), np.int64, len(ids)) // values.itemsize
+        starts = np.cumsum(lens) - lens
+        own = lens[place]
+        flat = memoryview(gathered(values, starts[place], own).tobytes())
+        cuts = (np.concatenate([[0], np.cumsum(own)])[edges] * values.itemsize).tolist()
+        for i, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
+            if i in odd:
+                yield b"".join(self._looked_up(CHUNK.findall(whole[i].as_py()))) + self.end
+            else:
+                yield bytes(flat[a:b]) + self.end
 
 
 @lru_cache(1)
@@ -97,7 +185,7 @@ def dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
     pieces = _pieces(tokenizer, end)
     size = np.dtype(pieces.kind).itemsize
-    samples = [pieces.encode(r.text)[: SAMPLE_IDS * size] for r in some]
+    samples = [ids[: SAMPLE_IDS * size] for ids in pieces.encode(pa.array([r.text for r in some], pa.large_string()))]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, samples).as_bytes()
     except zstandard.ZstdError:
@@ -136,8 +224,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str | None = N
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, KINDS, strict=True)], NAMES)
 
         for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                coded = pieces.encode(text.as_py())
+            for doc, coded in zip(batch.column(0).to_pylist(), pieces.encode(batch.column(1)), strict=True):
                 ids.append(doc), frames.append(pack.compress(coded)), counts.append(len(coded) // size)
                 at += counts[-1]
                 if sum(counts) * size >= 4 * SEGMENT_BYTES or len(ids) >= 2000:
