@@ -36,9 +36,9 @@ from sitegrain.session import scratch_folder
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 112_640
 SEGMENT_BYTES = 1 << 20
 #: Distinct pieces of text whose ids a worker keeps: so many new ones, and as many that were in use before those.
-PIECES_KEPT = 400_000
+PIECES_KEPT = 250_000
 #: Bytes of text that are encoded at a time (a longer text is encoded alone).
-SLICE_BYTES = 8_000_000
+SLICE_BYTES = 3_000_000
 LEVEL = 3
 #: The characters that a byte-level vocabulary writes for bytes (visible Latin-1 for itself, the others from U+0100 on).
 _ITSELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -182,7 +182,10 @@ def _pieces(path: str, end: int) -> Pieces:
 def dictionary(docs: DataFrame, tokenizer: str, end: int) -> bytes:
     """A zstandard dictionary of id arrays, trained on a bounded sample; empty where there is too little to train on."""
     rows = texts(docs).select("doc_id", F.col("text").substr(1, 8 * SAMPLE_IDS).alias("text"))
-    some = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(SAMPLE_DOCS).collect()
+    # ids alone tell which hashes are small enough, so only about so many texts are sent to the driver
+    order = F.xxhash64("doc_id")
+    least = rows.select(order.alias("h")).orderBy("h").limit(SAMPLE_DOCS).agg(F.max("h")).first()[0]
+    some = rows.filter(order <= F.lit(least)).orderBy(order, "doc_id", "text").limit(SAMPLE_DOCS).collect() if least is not None else []
     pieces = _pieces(tokenizer, end)
     size = np.dtype(pieces.kind).itemsize
     samples = [ids[: SAMPLE_IDS * size] for ids in pieces.encode(pa.array([r.text for r in some], pa.large_string()))]
