@@ -36,13 +36,14 @@ from sitegrain.session import scratch_folder
 SAMPLE_DOCS, SAMPLE_IDS, DICTIONARY_BYTES = 1000, 4096, 112_640
 SEGMENT_BYTES = 1 << 20
 #: Distinct pieces of text whose ids a worker keeps: so many new ones, and as many that were in use before those.
-PIECES_KEPT = 250_000
+PIECES_KEPT = 320_000
 #: Bytes of text that are encoded at a time (a longer text is encoded alone).
 SLICE_BYTES = 3_000_000
 LEVEL = 3
 #: The characters that a byte-level vocabulary writes for bytes (visible Latin-1 for itself, the others from U+0100 on).
 _ITSELF = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
 BYTE_CHARS = {b: b for b in _ITSELF} | {b: 0x100 + i for i, b in enumerate(sorted(set(range(256)).difference(_ITSELF)))}
+BLANK = chr(BYTE_CHARS[0x20])
 #: A word of Latin letters and marks after it. The token pattern parts the two.
 WORD = re.compile("( ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+)([.,;:!?]*)").fullmatch
 VISIBLE = re.compile(f" ?[^{UNICODE_SPACE}]+").fullmatch
@@ -64,6 +65,7 @@ class Pieces:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind = "<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
+        self.packs = [self._pack(n) for n in range(32)]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.end = np.array([end], self.kind).tobytes()
@@ -78,13 +80,16 @@ class Pieces:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return struct.pack(f"<{len(ids)}{'H' if self.kind == '<u2' else 'I'}", *ids)
+        return (self.packs[len(ids)] if len(ids) < len(self.packs) else self._pack(len(ids)))(*ids)
+
+    def _pack(self, count: int):
+        return struct.Struct(f"<{count}{'H' if self.kind == '<u2' else 'I'}").pack
 
     def _word(self, word: str) -> bytes:
         """A word of letters, by the model."""
         ids = self.known.get(word)
         if ids is None:
-            named = word.encode().decode("latin-1").translate(BYTE_CHARS)
+            named = BLANK + word[1:] if word[0] == " " and word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARS)
             ids = self.known[word] = self._bytes([t.id for t in self.model.tokenize(named)])
         return ids
 
@@ -156,9 +161,9 @@ class Pieces:
         edges = words.offsets.to_numpy() - words.offsets[0].as_py()
         coded = words.flatten().dictionary_encode()
         place = coded.indices.to_numpy().astype(np.int64)
-        pieces = [" " + x for x in coded.dictionary.to_pylist()]
+        pieces = [" " + x for x in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
         place[edges[:-1]] = len(pieces) + np.arange(len(texts))  # the first word of a text has no blank before it
-        pieces += pc.list_element(words, 0).to_pylist()
+        pieces += pc.list_element(words, 0).to_numpy(zero_copy_only=False).tolist()
         ids = self._looked_up(pieces)
         values = np.frombuffer(b"".join(ids), self.kind)
         lens = np.fromiter(map(len, ids), np.int64, len(ids)) // values.itemsize
