@@ -128,7 +128,7 @@ def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int, percent: int, alike) -> DataFrame:
-    """The pairs (a, b) that reach the similarity: screened by signature bits, confirmed on full sets."""
+    """The pairs (a, b) that reach the similarity: screened by signature bits (unless alike is None: done before), confirmed on full sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -139,9 +139,12 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
                 ok.append(100 * both >= percent * (len(x) + len(y) - both))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
-    bits = marks.select("id", "bits", "n_shingles")
-    left, right = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("n_shingles").alias(f"{x}_n")) for x in "ab")
-    screened = held(pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b"))
+    if alike is None:
+        screened = held(pairs)
+    else:
+        bits = marks.select("id", "bits", "n_shingles")
+        left, right = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("n_shingles").alias(f"{x}_n")) for x in "ab")
+        screened = held(pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b"))
     ids = held(screened.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     sets = held(_sets(docs, ids, words))
     size = sets.agg(F.sum(F.length("found") + 32)).first()[0] or 0
@@ -213,7 +216,7 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     first = F.expr("NOT exists(sequence(0, k), i -> i < k AND a_bands[i] = b_bands[i])")
     pairs = rest.filter("a_c != main").join(every, "band").filter(F.expr("a_c != b_c AND (b_c = main OR a_c < b_c)") & alike & first)
     pairs = pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(star.toDF("b", "a"), ["a", "b"], "left_anti")
-    more = held(_confirmed(pairs, docs, single, words, percent, alike))
+    more = held(_confirmed(pairs, docs, single, words, percent, None))
     if more.limit(1).count():
         found = held(components(links.union(more)))
 
