@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import hashlib
-import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +34,7 @@ def op1_secrets(spark, sf):
 
 def op2_token_files(spark, sf):
     path = token_files.write_tokens(table(spark, sf, "documents"), tokenizer("byte_bpe_50k.json"), 2)
-
-    def crcs(batches):
-        for batch in batches:
-            out = [zlib.crc32(ids.astype("<u4").tobytes()) for ids in byte_bpe.id_arrays(batch.column(3))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(out, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return token_files.read_tokens(spark, path).mapInArrow(crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return token_files.read_tokens(spark, path, checksums=True)
 
 
 def op3_personal_data(spark, sf):

@@ -18,6 +18,7 @@ import os
 import re
 import struct
 import uuid
+import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -249,8 +250,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, end: int, path: str | None = N
     return path
 
 
-def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> DataFrame:
-    """doc_id, start (tokens of all documents before it), n_tokens, ids; of all documents, or of one."""
+def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None, checksums: bool = False) -> DataFrame:
+    """doc_id, start (tokens of all documents before it), n_tokens, ids; of all documents, or of one.
+
+    With checksums, ids_crc32 (of the ids as little-endian integers of 4 bytes) stands for ids, so that only it leaves the reading task.
+    """
     known = {r.dictionary_sha256: bytes(r.data) for r in spark.read.parquet(f"{path}/dictionary").collect()}
     files = spark.read.schema(FILE).parquet(f"{path}/segments")
     # one row per shard, of which there are as many as partitions were written
@@ -259,6 +263,8 @@ def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
     if doc_id is not None:
         files = files.filter((F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id))
 
+    name, kind = ("ids_crc32", "long") if checksums else ("ids", "array<int>")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = {k: zstandard.ZstdDecompressor(**_codec(v)) for k, v in known.items()}
         for batch in batches:
@@ -268,16 +274,20 @@ def read_tokens(spark: SparkSession, path: str, doc_id: int | None = None) -> Da
                 open_, frames = unpack[row["dictionary_sha256"]], memoryview(row["frames"])
                 picked = [i for i, x in enumerate(row["doc_ids"]) if doc_id is None or x == doc_id]
                 parts = [np.frombuffer(open_.decompress(frames[row["offsets"][i] : row["offsets"][i + 1]]), row["kind"]) for i in picked]
-                edges = np.cumsum([0, *map(len, parts)]).astype(np.int32)
-                flat = np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)
+                if checksums:
+                    last = pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in parts], pa.int64())
+                else:
+                    edges = np.cumsum([0, *map(len, parts)]).astype(np.int32)
+                    flat = np.concatenate([np.empty(0, np.int32), *parts]).astype(np.int32)
+                    last = pa.ListArray.from_arrays(pa.array(edges), pa.array(flat))
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array([row["doc_ids"][i] for i in picked], pa.int64()),
                         pa.array([base[row["shard"]] + row["starts"][i] for i in picked], pa.int64()),
                         pa.array([row["counts"][i] for i in picked], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(edges), pa.array(flat)),
+                        last,
                     ],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    ["doc_id", "start", "n_tokens", name],
                 )
 
-    return files.mapInArrow(run, "doc_id long, start long, n_tokens long, ids array<int>")
+    return files.mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}")
