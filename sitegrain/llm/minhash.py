@@ -145,7 +145,8 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
         bits = marks.select("id", "bits", "n_shingles")
         left, right = (bits.select(F.col("id").alias(x), F.col("bits").alias(f"{x}_bits"), F.col("n_shingles").alias(f"{x}_n")) for x in "ab")
         screened = held(pairs.join(right, "b").join(left, "a").filter(alike).select("a", "b"))
-    ids = held(screened.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    # each side's ids are combined before they are joined, so no row is made per pair
+    ids = held(screened.select(F.col("a").alias("id")).distinct().union(screened.select(F.col("b").alias("id")).distinct()).distinct())
     sets = held(_sets(docs, ids, words))
     size = sets.agg(F.sum(F.length("found") + 32)).first()[0] or 0
     sent = F.broadcast if size <= BROADCAST_BYTES else (lambda df: df)
