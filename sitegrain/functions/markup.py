@@ -95,13 +95,17 @@ def non_empty(values: Column) -> Column:
 
 
 def distinct_by(values: Column, key) -> Column:
-    """Keep the first element per key, in order. ``key`` maps an element to a string column."""
+    """Keep the first element per key, in order. ``key`` maps an element to a string column; null keys are dropped.
 
-    def first_of(pair: Column) -> Column:
-        return F.filter(pair["v"], lambda v, i: F.array_position(pair["k"], F.get(pair["k"], i)) == i + 1)
+    Keys are sorted with their positions, so that the work grows with n log n.
+    """
+
+    def firsts(vs: Column) -> Column:
+        placed = F.array_sort(F.transform(vs, lambda v, i: F.struct(key(v).alias("k"), i.alias("i"))))
+        new = let(placed, lambda ps: F.filter(ps, lambda p, j: p["k"].isNotNull() & ~F.get(ps, j - 1)["k"].eqNullSafe(p["k"])))
+        return F.transform(F.array_sort(F.transform(new, lambda p: p["i"])), lambda i: F.get(vs, i))
 
-    keyed = let(values, lambda vs: F.struct(vs.alias("v"), F.transform(vs, lambda v: key(v)).alias("k")))
-    return let(keyed, first_of)
+    return let(values, firsts)
 
 
 def rows_of(df: DataFrame, array: Column | str, *keep: str, pos: str | None = None, item: str = "item") -> DataFrame:

@@ -186,7 +186,7 @@ def contact_sources(pages: DataFrame, homes: DataFrame | None = None, keys: tupl
             F.min_by("page_id", F.struct(F.col("path") != "/", F.col("page_id"))).alias("page_id")
         )
     home_rows = homes.select("page_id", *keys, F.lit(0).alias("source_rank"), F.lit("home").alias("label"))
-    ranks = constant({p: i + 1 for i, p in enumerate(rules.CONTACT_PATHS[: rules.CASCADE_PATHS])}, "map<string,int>")
+    ranks = constant({p: i + 1 for i, p in enumerate(rules.CONTACT_PATHS)}, "map<string,int>")
     named = (
         paths.withColumn("source_rank", F.try_element_at(ranks, F.col("path")))
         .filter("source_rank IS NOT NULL")

@@ -75,9 +75,14 @@ def ranked(df: DataFrame, keys: list[str], order: list[Column], limit: int, name
     return df.withColumn(name, F.row_number().over(window)).filter(F.col(name) <= limit)
 
 
+def _most_wanted(intents: DataFrame) -> int:
+    """The largest number of results that an intent wants: one number, read before the plan, so that ranks carry a literal limit."""
+    return max(1, intents.agg(F.max("max_results")).first()[0] or 1)
+
+
 def candidate_budget(candidates: DataFrame, intents: DataFrame) -> DataFrame:
     """At most max(6 N, 60) sites per intent in arrival order, N being its wanted number of results."""
-    most = max(rules.MAX_RESULTS_LIMIT * rules.BUDGET_FACTOR, rules.BUDGET_FLOOR)
+    most = max(_most_wanted(intents) * rules.BUDGET_FACTOR, rules.BUDGET_FLOOR)
     kept = ranked(first_per_domain(candidates), ["intent_id"], [F.col(c) for c in ARRIVAL], most, "arrival")
     wanted = intents.select("intent_id", budget_of(F.col("max_results")).alias("_budget"))
     return kept.join(wanted, "intent_id").filter(F.col("arrival") <= F.col("_budget")).drop("_budget")
@@ -93,7 +98,7 @@ def supplement(main: DataFrame, extra: DataFrame, intents: DataFrame) -> DataFra
     )
     both = main.withColumn("source", F.lit("main")).unionByName(fresh.withColumn("source", F.lit("extra")))
     order = [F.col("source").desc(), *[F.col(c) for c in ARRIVAL]]
-    kept = ranked(both, ["intent_id"], order, rules.MAX_RESULTS_LIMIT)
+    kept = ranked(both, ["intent_id"], order, _most_wanted(intents))
     return kept.join(intents.select("intent_id", "max_results"), "intent_id").filter("rank <= max_results").drop("max_results")
 
 
@@ -158,7 +163,7 @@ def top_sites(scores: DataFrame, n: int) -> DataFrame:
 def top_sites_per_intent(scores: DataFrame, intents: DataFrame) -> DataFrame:
     """The best sites of each intent, at most as many as it wants."""
     order = [F.col("confidence").desc(), F.col("domain")]
-    kept = ranked(scores, ["intent_id"], order, rules.MAX_RESULTS_LIMIT)
+    kept = ranked(scores, ["intent_id"], order, _most_wanted(intents))
     return kept.join(intents.select("intent_id", "max_results"), "intent_id").filter("rank <= max_results").drop("max_results")
 
 

@@ -11,30 +11,64 @@ from sitegrain.functions.markup import rows_of
 from sitegrain.operators.structure import ld_blocks
 from sitegrain.rules import score as rules
 
-_NODES = """
-WITH RECURSIVE nodes AS (
-  SELECT page_id, block, '$' AS path, array(0) AS ord, 0 AS depth, true AS reachable, node FROM {blocks}
-  UNION ALL
-  SELECT n.page_id, n.block,
-    n.path || CASE WHEN e.key IS NULL THEN '[' || e.pos || ']' ELSE '.' || e.key END,
-    array_append(n.ord, e.pos), n.depth + 1,
-    n.reachable AND CASE
-      WHEN e.key IS NULL THEN schema_of_variant(e.value) LIKE 'OBJECT%'
-      WHEN e.key = '@graph' THEN schema_of_variant(e.value) LIKE 'ARRAY%'
-      ELSE e.key = 'mainEntity' END,
-    e.value
-  FROM nodes n, LATERAL variant_explode(n.node) e
-  WHERE schema_of_variant(e.value) LIKE 'OBJECT%' OR schema_of_variant(e.value) LIKE 'ARRAY%'
-)
-SELECT * FROM nodes WHERE schema_of_variant(node) LIKE 'OBJECT%'
-"""
+_EVERY = "array<struct<path: string, ord: array<int>, depth: int, reachable: boolean, node: variant>>"
+
+
+def _nested(node: Column) -> Column:
+    return F.schema_of_variant(node).startswith("OBJECT") | F.schema_of_variant(node).startswith("ARRAY")
+
+
+def _all_values(root: Column, text: Column) -> Column:
+    """The objects and arrays of a parsed block, level by level, as an array of rows.
+
+    A level needs an opening bracket, so their number in the text bounds the levels and nothing is left out. Once a
+    level is empty the rest of the steps do nothing.
+    """
+
+    def row(parent: Column, name: Column, i: Column, reachable: Column, node: Column) -> Column:
+        return F.struct(
+            F.concat(parent["path"], name).alias("path"),
+            F.array_append(parent["ord"], i).alias("ord"),
+            (parent["depth"] + 1).alias("depth"),
+            (parent["reachable"] & reachable).alias("reachable"),
+            node.alias("node"),
+        )
+
+    def field(parent: Column, e: Column, i: Column) -> Column:
+        speaks = F.when(e["key"] == "@graph", F.schema_of_variant(e["value"]).startswith("ARRAY")).otherwise(e["key"] == "mainEntity")
+        return row(parent, F.concat(F.lit("."), e["key"]), i, speaks, e["value"])
+
+    def item(parent: Column, v: Column, i: Column) -> Column:
+        return row(parent, F.concat(F.lit("["), i.cast("string"), F.lit("]")), i, _is_object(v), v)
+
+    def children(parent: Column) -> Column:
+        fields = F.map_entries(F.try_variant_get(parent["node"], "$", "map<string, variant>"))
+        items = F.try_variant_get(parent["node"], "$", "array<variant>")
+        found = F.coalesce(
+            F.transform(fields, lambda e, i: field(parent, e, i)).cast(_EVERY),
+            F.transform(items, lambda v, i: item(parent, v, i)).cast(_EVERY),
+            F.array().cast(_EVERY),
+        )
+        return F.filter(found, lambda r: _nested(r["node"]))
+
+    def step(state: Column, _: Column) -> Column:
+        below = F.flatten(F.transform(state["last"], children))
+        grown = F.struct(below.alias("last"), F.concat(state["every"], below).alias("every"))
+        return F.when(F.size(state["last"]) == 0, state).otherwise(grown)
+
+    top = F.struct(F.lit("$").alias("path"), F.array(F.lit(0)).alias("ord"), F.lit(0).alias("depth"), F.lit(True).alias("reachable"), root.alias("node"))
+    roots = F.filter(F.array(top).cast(_EVERY), lambda r: _nested(r["node"]))
+    levels = F.regexp_count(text, F.lit("[{\\[]"))
+    steps = F.when(levels > 0, F.sequence(F.lit(1), levels)).otherwise(F.array().cast("array<int>"))
+    return F.aggregate(steps, F.struct(roots.alias("last"), roots.alias("every")), step, lambda state: state["every"])
 
 
 def _walk(pages: DataFrame) -> DataFrame:
     tagged = pages.filter(F.contains("html", F.lit("ld+json")))
     texts = rows_of(tagged, ld_blocks(F.col("html")), "page_id", pos="block", item="text")
-    blocks = texts.select("page_id", "block", F.try_parse_json("text").alias("node")).filter("node IS NOT NULL")
-    return pages.sparkSession.sql(_NODES, blocks=blocks)
+    blocks = texts.withColumn("root", F.try_parse_json("text")).filter("root IS NOT NULL")
+    rows = rows_of(blocks, _all_values(F.col("root"), F.col("text")), "page_id", "block")
+    return rows.select("page_id", "block", "item.*").filter(_is_object(F.col("node")))
 
 
 def _text(node: Column, path: str) -> Column:
@@ -51,7 +85,7 @@ def jsonld_nodes(pages: DataFrame) -> DataFrame:
     """Every JSON object in a page's JSON-LD blocks: (page_id, block, path, depth, reachable, types, node).
 
     Blocks that do not parse are skipped. ``reachable`` marks the nodes that speak for the page itself: the root, the
-    items of its @graph and its mainEntity. The walk keeps going until no nested value is left, at any depth.
+    items of its @graph and its mainEntity. The walk stays inside the row and goes as deep as the values do.
     """
     return _walk(pages).select(
         "page_id", "block", "path", "ord", "depth", "reachable", _types(F.col("node")).alias("types"), "node"

@@ -111,7 +111,7 @@ def content_score(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -
         on_page("product_category").alias("has_category"),
         on_page("service_type").alias("has_service"),
         on_page("niche").alias("has_niche"),
-        _hits(F.slice("validation_indicators", 1, 10), low).alias("indicators"),
+        _hits(F.col("validation_indicators"), low).alias("indicators"),
         F.col("html").isNull().alias("missing"),
         alive_reason(F.col("html"), low).alias("alive_reason"),
     )

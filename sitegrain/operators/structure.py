@@ -64,23 +64,32 @@ def _links(markup: Column) -> Column:
     return F.flatten(F.transform(parts, anchors))
 
 
-def _nav_texts(links: Column) -> Column:
-    shown = F.filter(
-        links,
-        lambda a: (a["region"] == "nav") & (F.length(a["text"]) > 0) & (F.length(a["text"]) <= rules.NAV_TEXT_MAX),
-    )
-    return F.slice(m.distinct_ignoring_case(F.transform(shown, lambda a: a["text"])), 1, rules.NAV_LINKS_MAX)
+def _listed(texts: Column, limit: int | None, text_max: int | None) -> Column:
+    """Distinct non-empty texts; a limit on their number and length only where one is asked for."""
+    kept = m.non_empty(texts)
+    if text_max:
+        kept = F.filter(kept, lambda t: F.length(t) <= text_max)
+    return _first(m.distinct_ignoring_case(kept), limit)
+
+
+def _first(values: Column, limit: int | None) -> Column:
+    return F.slice(values, 1, limit) if limit else values
+
 
+def _nav_texts(links: Column, limit: int | None = None, text_max: int | None = None) -> Column:
+    texts = F.transform(F.filter(links, lambda a: a["region"] == "nav"), lambda a: a["text"])
+    return _listed(texts, limit, text_max)
 
-def _ctas(markup: Column, links: Column) -> Column:
+
+def _ctas(markup: Column, links: Column, limit: int | None = None, text_max: int | None = None) -> Column:
     buttons = m.texts_of(m.elements(markup, "button"))
     anchors = F.filter(F.transform(links, lambda a: a["text"]), lambda t: contains_any(F.lower(t), rules.CTA_WORDS))
-    shown = F.filter(F.concat(buttons, anchors), lambda t: (F.length(t) > 0) & (F.length(t) <= rules.CTA_TEXT_MAX))
-    return F.slice(m.distinct_ignoring_case(shown), 1, rules.CTA_MAX)
+    return _listed(F.concat(buttons, anchors), limit, text_max)
 
 
-def _footer_text(markup: Column) -> Column:
-    return m.cut_at_space(m.text_of(m.first_element(markup, "footer")), rules.FOOTER_TEXT_MAX)
+def _footer_text(markup: Column, limit: int | None = None) -> Column:
+    text = m.text_of(m.first_element(markup, "footer"))
+    return m.cut_at_space(text, limit) if limit else text
 
 
 def contact_footer(html: Column) -> Column:
@@ -154,7 +163,8 @@ def page_meta(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "pos", "item.key", "item.content")
 
 
-def meta_summary(pages: DataFrame) -> DataFrame:
+def meta_summary(pages: DataFrame, keywords: int | None = None) -> DataFrame:
+    """Metadata of a page in one row, with all keywords or the first few."""
     base = with_skeleton(pages).withColumn("metas", _metas(F.col("markup")))
     metas = F.col("metas")
     description = F.coalesce(_meta(metas, "description"), _meta(metas, "og:description"))
@@ -162,7 +172,7 @@ def meta_summary(pages: DataFrame) -> DataFrame:
     return base.select(
         "page_id",
         description.alias("description"),
-        F.slice(words, 1, rules.META_KEYWORDS_MAX).alias("keywords"),
+        _first(words, keywords).alias("keywords"),
         _meta(metas, "og:type").alias("og_type"),
         _meta(metas, "og:title").alias("og_title"),
         _meta(metas, "og:description").alias("og_description"),
@@ -172,11 +182,11 @@ def meta_summary(pages: DataFrame) -> DataFrame:
 
 
 def with_meta_words(pages: DataFrame) -> DataFrame:
-    """Adds the first meta keywords (null without any) and og:type of a page."""
+    """Adds the meta keywords (null without any) and og:type of a page."""
     staged = pages.withColumn("_metas", _metas(m.skeleton(F.col("html"))))
     words = m.non_empty(F.transform(F.split(_meta(F.col("_metas"), "keywords"), ","), lambda w: F.trim(w)))
     return staged.withColumns(
-        {"meta_keywords": F.slice(words, 1, rules.META_KEYWORDS_MAX), "og_type": _meta(F.col("_metas"), "og:type")}
+        {"meta_keywords": words, "og_type": _meta(F.col("_metas"), "og:type")}
     ).drop("_metas")
 
 
@@ -206,19 +216,21 @@ def page_links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "url", "domain", "pos", "item.*")
 
 
-def nav_links(pages: DataFrame) -> DataFrame:
-    return m.rows_of(with_skeleton(pages), _nav_texts(_links(F.col("markup"))), "page_id", pos="pos", item="text")
+def nav_links(pages: DataFrame, limit: int | None = None, text_max: int | None = None) -> DataFrame:
+    texts = _nav_texts(_links(F.col("markup")), limit, text_max)
+    return m.rows_of(with_skeleton(pages), texts, "page_id", pos="pos", item="text")
 
 
-def page_ctas(pages: DataFrame) -> DataFrame:
-    texts = _ctas(F.col("markup"), _links(F.col("markup")))
+def page_ctas(pages: DataFrame, limit: int | None = None, text_max: int | None = None) -> DataFrame:
+    texts = _ctas(F.col("markup"), _links(F.col("markup")), limit, text_max)
     return m.rows_of(with_skeleton(pages), texts, "page_id", pos="pos", item="text")
 
 
-def page_footer(pages: DataFrame) -> DataFrame:
+def page_footer(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """The footer's text and the fragment searched for contacts."""
     return with_skeleton(pages).select(
         "page_id",
-        _footer_text(F.col("markup")).alias("footer_text"),
+        _footer_text(F.col("markup"), limit).alias("footer_text"),
         contact_footer(F.col("html")).alias("contact_footer"),
     )
 
@@ -262,15 +274,13 @@ def page_assets(pages: DataFrame) -> DataFrame:
 
 
 def inline_of(html: Column) -> Column:
-    """Inline scripts and comments as (kind, pos, text). Scripts are whole; a comment shows 500 characters."""
+    """Inline scripts and comments as (kind, pos, text), both whole."""
     scripts = F.filter(
         m.rx_all(html, r"(?is)<!--.*?-->|<script(?:\s[^>]*)?>.*?</script\s*>"),
         lambda s: s.rlike("(?i)^<script") & (m.attribute(s, "src") == ""),
     )
     bodies = F.transform(scripts, lambda s: F.regexp_replace(s, r"(?is)^<script(?:\s[^>]*)?>|</script\s*>$", ""))
-    comments = F.transform(
-        m.rx_all(html, "(?s)<!--(.*?)-->", 1), lambda c: F.left(F.trim(c), F.lit(rules.COMMENT_MAX))
-    )
+    comments = F.transform(m.rx_all(html, "(?s)<!--(.*?)-->", 1), lambda c: F.trim(c))
 
     def rows(kind: str, texts: Column) -> Column:
         return F.transform(
@@ -286,7 +296,7 @@ def page_inline(pages: DataFrame) -> DataFrame:
 
 
 def page_context(pages: DataFrame) -> DataFrame:
-    """One row per page with all layers of its context. Built in one narrow pass: nothing is joined."""
+    """One row per page with all layers of its context, cut to the sizes of the text sheet. One narrow pass, nothing is joined."""
     staged = with_skeleton(pages)
     staged = staged.withColumn("metas", _metas(F.col("markup"))).withColumn("links", _links(F.col("markup")))
     markup, metas, links = F.col("markup"), F.col("metas"), F.col("links")
@@ -299,12 +309,12 @@ def page_context(pages: DataFrame) -> DataFrame:
         F.left(F.coalesce(_meta(metas, "description"), F.lit("")), F.lit(500)).alias("meta_description"),
         F.left(F.coalesce(_meta(metas, "og:type"), F.lit("")), F.lit(80)).alias("og_type"),
         F.left(F.coalesce(_meta(metas, "og:description"), F.lit("")), F.lit(500)).alias("og_description"),
-        _nav_texts(links).alias("nav_links"),
+        _nav_texts(links, rules.NAV_LINKS_MAX, rules.NAV_TEXT_MAX).alias("nav_links"),
         _headings(markup, 1).alias("h1"),
         _headings(markup, 2).alias("h2"),
         _ld_types(F.col("html")).alias("schema_types"),
-        _ctas(markup, links).alias("cta_texts"),
-        F.coalesce(_footer_text(markup), F.lit("")).alias("footer_text"),
+        _ctas(markup, links, rules.CTA_MAX, rules.CTA_TEXT_MAX).alias("cta_texts"),
+        F.coalesce(_footer_text(markup, rules.FOOTER_TEXT_MAX), F.lit("")).alias("footer_text"),
         _body(markup, rules.BODY_TEXT_MAX).alias("body_text"),
         F.length("html").alias("html_length"),
     )
@@ -328,13 +338,13 @@ def context_markdown(context: DataFrame) -> DataFrame:
 
 
 def important_links(links: Column, url: Column, variant: str = "full") -> Column:
-    """First link per known path among a page's first links, as (ord, path, title, target) in path order."""
-    first_links, paths = rules.IMPORTANT_PATHS[variant]
+    """First link per known path among all links of a page, as (ord, path, title, target) in path order."""
+    paths = rules.IMPORTANT_PATHS[variant]
     table = constant(
         [{"path": p, "title": t, "ord": i} for i, (p, t) in enumerate(paths)],
         "array<struct<path: string, title: string, ord: int>>",
     )
-    near = F.slice(F.filter(links, lambda a: a["href"].isNotNull()), 1, first_links)
+    near = F.filter(links, lambda a: a["href"].isNotNull())
 
     def row(rule: Column) -> Column:
         hit = F.get(F.filter(near, lambda a: F.contains(F.lower(a["href"]), rule["path"])), F.lit(0))["href"]
@@ -366,8 +376,8 @@ def with_page_facts(staged: DataFrame) -> DataFrame:
     ).drop("_metas")
 
 
-def lead_magnets(pages: DataFrame) -> DataFrame:
-    """Forms and sign-up links of a page: the form count and at most five distinct targets."""
+def lead_magnets(pages: DataFrame, limit: int | None = None) -> DataFrame:
+    """Forms and sign-up links of a page: the form count and the distinct targets."""
     base = with_skeleton(pages).withColumn("links", _links(F.col("markup"))).withColumn(
         "actions", F.transform(m.open_tags(F.col("markup"), "form"), lambda t: m.attribute(t, "action"))
     )
@@ -389,7 +399,7 @@ def lead_magnets(pages: DataFrame) -> DataFrame:
     return base.select(
         "page_id",
         F.size("actions").alias("forms_found"),
-        F.slice(F.when(F.size(found) > 0, found).otherwise(spoken), 1, rules.LEAD_MAX).alias("lead_magnets"),
+        _first(F.when(F.size(found) > 0, found).otherwise(spoken), limit).alias("lead_magnets"),
     )
 
 

@@ -82,8 +82,8 @@ def detect_hosts(assets: DataFrame) -> DataFrame:
 def inline_hits(inline: Column) -> Column:
     """Globals in inline scripts and signatures in comments as (kind, label, pos, snippet).
 
-    A snippet shows 20 characters before and 120 after the start of the hit; the same label with the same snippet
-    start is listed once per page.
+    A script's snippet shows 20 characters before and 120 after the start of the hit, a comment's is the comment; the
+    same label with the same snippet is listed once per page.
     """
 
     table = constant(
@@ -97,14 +97,14 @@ def inline_hits(inline: Column) -> Column:
         def shown(rule: Column) -> Column:
             at = F.regexp_instr(text, rule["pattern"])
             start = F.greatest(at - 20, F.lit(1))
-            return _hit(row, rule["label"], F.trim(F.substring(text, start, at + 120 - start)), 60)
+            return _hit(row, rule["label"], F.trim(F.substring(text, start, at + 120 - start)))
 
         return F.transform(rules_hit(table, low, text, low), shown)
 
     def comment_rows(row: Column) -> Column:
         text = row["text"]
         labels = labels_found(F.lower(text), text, rules.COMMENT_SIGNATURES)
-        return F.transform(labels, lambda label: _hit(row, label, text, 80))
+        return F.transform(labels, lambda label: _hit(row, label, text))
 
     hits = F.concat(
         F.flatten(F.transform(_of_kind(inline, "js"), global_rows)),
@@ -117,8 +117,8 @@ def _of_kind(inline: Column, kind: str) -> Column:
     return F.filter(inline, lambda r: r["kind"] == kind)
 
 
-def _hit(row: Column, label: Column, snippet: Column, key_chars: int) -> Column:
-    key = F.concat_ws("\n", row["kind"], label, F.left(snippet, F.lit(key_chars)))
+def _hit(row: Column, label: Column, snippet: Column) -> Column:
+    key = F.concat_ws("\n", row["kind"], label, snippet)
     return F.struct(
         row["kind"].alias("kind"), label.alias("label"), row["pos"].alias("pos"), snippet.alias("snippet"), key.alias("key")
     )

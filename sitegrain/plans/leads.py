@@ -1,9 +1,9 @@
 """End-to-end searches: from search answers to ranked leads with contacts.
 
 The candidate set is small against the page table (a bounded number per intent), so every plan narrows it first and
-picks its pages by id; html is read in two passes (candidate pages, then candidate and contact pages; a third one
-for technologies in the precise search) and never shuffled while the candidates can be broadcast. The narrowed and
-the scored candidates feed several branches each, so these two short tables are checkpointed.
+picks its pages by id. The short tables that pick are stored as Parquet, so that Spark knows their size and broadcasts
+them: html of the page table is filtered where it lies, and only the picked pages' html goes further. It is read in two
+passes (candidate pages, then candidate and contact pages; a third one for technologies in the precise search).
 """
 
 from __future__ import annotations
@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from sitegrain.operators import contacts as ct
 from sitegrain.operators import funnel, score, tech, verdicts
 from sitegrain.operators.structure import with_assets
-from sitegrain.session import checkpointed
+from sitegrain.session import stored
 from sitegrain.sources.pages import with_skeleton
 
 SITE = ("intent_id", "domain")
@@ -33,11 +33,16 @@ def with_page_ids(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     return candidates.drop("page_id").join(ids, "url", "left")
 
 
+def picked(pages: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pages that a short stored table names, taken from the page table without shuffling it."""
+    return pages.join(ids.select("page_id").distinct(), "page_id", "left_semi")
+
+
 def qualified(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -> DataFrame:
-    """Scored candidates with enough confidence, as a checkpointed table."""
-    kept = checkpointed(narrowed(candidates, intents))
-    located = checkpointed(with_page_ids(kept, pages))
-    return checkpointed(funnel.qualify(score.score_candidates(located, pages, intents)))
+    """Scored candidates with enough confidence, as a stored table."""
+    kept = stored(narrowed(candidates, intents))
+    located = stored(with_page_ids(kept, pages))
+    return stored(funnel.qualify(score.score_candidates(located, picked(pages, located), intents)))
 
 
 def _shown(title: Column) -> Column:
@@ -45,7 +50,7 @@ def _shown(title: Column) -> Column:
 
 
 def _leads(sites: DataFrame, pages: DataFrame) -> DataFrame:
-    sources = checkpointed(ct.contact_sources(pages, sites.select("page_id", *SITE), SITE))
+    sources = stored(ct.contact_sources(pages, sites.select("page_id", *SITE), SITE))
     found = ct.contact_cascade(pages, sources, few=True, keys=SITE)
     shown = sites.withColumn("title", _shown(F.col("title"))).withColumn("reasons", F.slice("reasons", 1, 3))
     return ct.merge_contact(shown, found, SITE)
@@ -66,9 +71,9 @@ def fast_leads(candidates: DataFrame, pages: DataFrame, intents: DataFrame) -> D
 def technology_stage(sites: DataFrame, pages: DataFrame, intents: DataFrame) -> DataFrame:
     """Adds what the site's page says about the intent's technologies: targets, all_targets_met, tech_reason."""
     wanted = sites.join(intents.select("intent_id", "must_have", "must_not"), "intent_id")
-    picked = pages.select("page_id", "url", "html").join(wanted.select("page_id", *SITE, "must_have", "must_not"), "page_id")
+    there = picked(pages.select("page_id", "url", "html"), sites).join(wanted.select("page_id", *SITE, "must_have", "must_not"), "page_id")
     site = F.col("domain")
-    staged = with_skeleton(picked.withColumn("site", site)).withColumn("domain", F.col("site"))
+    staged = with_skeleton(there.withColumn("site", site)).withColumn("domain", F.col("site"))
     staged = tech.with_evidence(tech.with_technologies(with_assets(staged)))
     known = F.col("known")
     read = staged.select(
@@ -92,6 +97,6 @@ def precise_leads(
     """Leads per intent that also meet the technology requirements and the judge's verdict, with every wanted contact field."""
     sites = technology_stage(qualified(candidates, pages, intents), pages, intents)
     fitting = sites.filter("all_targets_met AND tech_reason = ''").drop("targets", "known", "all_targets_met", "tech_reason")
-    passed = checkpointed(verdicts.apply_verdicts(fitting, verdict_rows, relax_level).filter("passed"))
+    passed = stored(verdicts.apply_verdicts(fitting, verdict_rows, relax_level).filter("passed"))
     leads = ct.complete_only(_leads(passed, pages), fields)
     return funnel.top_sites_per_intent(leads, intents).select(*LEAD, "verdict_score")

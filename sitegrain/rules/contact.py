@@ -57,7 +57,6 @@ HANDLES = [
 ]
 HANDLE_SKIP = r"share|intent/tweet|intent/post|sharing|/like|/reaction"
 
-# Paths tried after the home page, in order, and how many of them the cascade looks at.
+# Paths tried after the home page, in order.
 CONTACT_PATHS = ["/contacto", "/contact", "/about", "/legal", "/aviso-legal", "/kontakt", "/quienes-somos"]
-CASCADE_PATHS = 3
 NO_SOURCE = "katana"

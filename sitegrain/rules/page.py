@@ -8,9 +8,6 @@ CTA_MAX = 10
 FOOTER_TEXT_MAX = 500
 FOOTER_FALLBACK_CHARS = 2000
 BODY_TEXT_MAX = 3000
-COMMENT_MAX = 500
-META_KEYWORDS_MAX = 5
-LEAD_MAX = 5
 BLOG_MIN_CHARS = 300
 
 # Words that make an anchor a call to action.
@@ -22,9 +19,9 @@ CTA_WORDS = [
 # Elements that hold no body text.
 NOISE_TAGS = ["script", "style", "nav", "footer", "header", "aside", "form", "noscript", "iframe"]
 
-# Important paths with their titles, and how many links of a page are looked at.
+# Important paths with their titles.
 IMPORTANT_PATHS = {
-    "full": (100, [
+    "full": [
         ("/contacto", "Contacto"),
         ("/contact", "Contact"),
         ("/about", "Acerca de"),
@@ -37,15 +34,15 @@ IMPORTANT_PATHS = {
         ("/legal", "Legal"),
         ("/privacidad", "Privacidad"),
         ("/privacy", "Privacy"),
-    ]),
-    "bulk": (50, [
+    ],
+    "bulk": [
         ("/contacto", "Contacto"),
         ("/contact", "Contact"),
         ("/about", "About"),
         ("/servicios", "Servicios"),
         ("/aviso-legal", "Aviso Legal"),
         ("/privacidad", "Privacidad"),
-    ]),
+    ],
 }
 
 # Words that mark a sign-up or download offer.

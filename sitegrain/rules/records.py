@@ -40,7 +40,6 @@ FIELD_METRICS = {
     "INTERACTION_TO_NEXT_PAINT": "inp_ms",
     "EXPERIMENTAL_TIME_TO_FIRST_BYTE": "ttfb_ms",
 }
-THIRD_PARTY_MAX = 30
 DESCRIPTION_MAX = 300
 
 # Parts of a mail host -> provider, first row wins.

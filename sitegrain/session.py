@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,8 +12,6 @@ DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # JSON-LD walks are recursive CTEs; the row limit counts all rows of the job, so it must grow with the data.
-    "spark.sql.cteRecursionRowLimit": "-1",
 }
 
 
@@ -48,6 +47,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """The frame written as Parquet to the shared scratch folder and read back: computed once, lineage cut, size known.
+
+    The planner takes the size of a checkpointed frame from the plan before the cut, often far too large; that of files
+    is what they hold. So small tables that pick rows of a large one are broadcast, and the large one is not shuffled.
+    """
+    path = f"{scratch_folder(df.sparkSession)}/stored-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def local_session(cores: str | int = "*", shuffle_partitions: int = 8) -> SparkSession:
     """A session for tests and benches on one machine."""
     spark = (

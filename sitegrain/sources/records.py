@@ -158,10 +158,10 @@ def lighthouse_audits(raw: DataFrame) -> DataFrame:
 
 
 def third_party_items(raw: DataFrame) -> DataFrame:
-    """First 30 third parties of a report: (id, pos, entity, transfer_size, blocking_time, main_thread_time)."""
+    """The third parties of a report: (id, pos, entity, transfer_size, blocking_time, main_thread_time)."""
     report = F.try_parse_json("json")
     items = F.try_variant_get(report, "$.lighthouseResult.audits['third-party-summary'].details.items", "array<variant>")
-    rows = raw.select("id", F.posexplode(F.slice(items, 1, rules.THIRD_PARTY_MAX)).alias("pos", "item"))
+    rows = raw.select("id", F.posexplode(items).alias("pos", "item"))
 
     def number(name: str) -> Column:
         return F.try_variant_get(F.col("item"), f"$.{name}", "double")

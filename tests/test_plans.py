@@ -3,6 +3,8 @@
 import pytest
 
 from sitegrain.operators import funnel
+from sitegrain.plans import leads
+from sitegrain.session import stored
 from workload import funnel as wf
 from workload import registry
 
@@ -30,6 +32,19 @@ def test_page_jobs_do_not_shuffle(spark, folder, name):
     assert text.count("Exchange") <= text.count("REPARTITION_BY_NUM")
 
 
+def test_picked_pages_are_not_shuffled(spark, folder):
+    """With a broadcast limit below the page file's size and above that of the short table."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    ids = stored(pages.filter("page_id % 5 = 0").select("page_id", "url"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
+    try:
+        text = plan(leads.picked(pages, ids))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "BroadcastHashJoin" in text and "BuildRight" in text and "SortMergeJoin" not in text
+
+
 def test_top_is_not_a_full_sort(spark, folder):
     assert "TakeOrderedAndProject" in plan(funnel.top_sites(wf.scores(spark, folder), 5))
 

@@ -47,6 +47,21 @@ def test_cap_never_returns_more(spark):
         assert [r["rank"] for r in sorted(kept, key=lambda r: (-r["confidence"], r["domain"]))] == list(range(1, want + 1))
 
 
+def test_an_intent_gets_as_many_as_it_wants(spark):
+    scored = spark.range(300).selectExpr("1L AS intent_id", "'d' || id AS domain", "60.0D + id % 5 AS confidence")
+    wanted = spark.createDataFrame([(1, 250)], "intent_id bigint, max_results int")
+    assert funnel.top_sites_per_intent(scored, wanted).count() == 250
+
+
+def test_cascade_reads_every_known_path(spark):
+    for path in ("/aviso-legal", "/kontakt", "/quienes-somos"):
+        pages = spark.createDataFrame(
+            [(1, "https://acme.example/", "<html></html>"), (2, f"https://acme.example{path}", "info@acme.example")],
+            "page_id bigint, url string, html string",
+        )
+        assert rows(contacts.contact_cascade(pages, contacts.contact_sources(pages)))[0]["email"] == "info@acme.example", path
+
+
 def test_one_hot_site_among_candidates(spark):
     rows_in = [(1, i % 7, i, f"https://hot.example/{i}", "hot.example") for i in range(3000)] + [(1, 0, 9, "https://b.example", "b.example")]
     c = spark.createDataFrame(rows_in, "intent_id bigint, query_ord int, position int, url string, domain string")

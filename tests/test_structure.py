@@ -63,9 +63,26 @@ def test_targets_of_a_page(spark):
 
 
 def test_jsonld_nodes_at_any_depth(spark):
-    deep = '{"@type":"L0","x":' * 25 + "1" + "}" * 25
-    nodes = rows(jsonld.jsonld_nodes(page(spark, f'<script type="application/ld+json">{deep}</script>')))
-    assert len(nodes) == 25 and max(n["depth"] for n in nodes) == 24
+    for levels in (25, 150):
+        deep = '{"@type":"L0","x":' * levels + "1" + "}" * levels
+        found = jsonld.jsonld_nodes(page(spark, f'<script type="application/ld+json">{deep}</script>'))
+        nodes = rows(found.drop("node"))
+        assert len(nodes) == levels and max(n["depth"] for n in nodes) == levels - 1
+
+
+def test_nothing_is_cut_before_it_is_read(spark):
+    late = page(spark, "<!-- " + "x " * 400 + "Yoast SEO plugin -->" + '<a href="/p">p</a>' * 150 + '<a href="/contacto">c</a>')
+    assert [r["label"] for r in rows(tech.detect_inline(late))] == ["Yoast SEO"]
+    assert [r["path"] for r in rows(st.important_pages(late))] == ["/contacto", "/contact"]
+    nav = "".join(f"<a>entry {i} {'y' * 70}</a>" for i in range(30))
+    assert len(rows(st.nav_links(page(spark, f"<nav>{nav}</nav>")))) == 30
+
+
+def test_distinct_keeps_the_first_of_each_key(spark):
+    from sitegrain.functions.markup import distinct_ignoring_case
+
+    got = spark.range(1).select(distinct_ignoring_case(F.array(*[F.lit(x) for x in ("b", "A", "B", "a", "c")])).alias("x")).first().x
+    assert got == ["b", "A", "c"]
 
 
 def test_schema_facts_reach_graph_and_main_entity_only(spark):

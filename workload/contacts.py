@@ -16,7 +16,7 @@ def site_pages(s, d):
     """The seeded pages, some of them stored at the site's contact paths, as a crawl would find them."""
     i = F.col("page_id")
     origin = F.regexp_extract("url", "^([a-z]+://[^/]+)", 1)
-    path = F.when(i % 4 == 1, "/contacto").when(i % 4 == 2, "/contact").when(i % 8 == 3, "/about/").when(i % 16 == 4, "/")
+    path = F.when(i % 4 == 1, "/contacto").when(i % 4 == 2, "/contact").when(i % 8 == 3, "/about/").when(i % 16 == 4, "/").when(i % 32 == 12, "/kontakt").when(i % 32 == 28, "/aviso-legal")
     return pages_seeded(s, d).withColumn("url", F.when(path.isNotNull(), F.concat(origin, path)).otherwise(F.col("url")))
 
 
@@ -130,9 +130,10 @@ chosen AS (SELECT page_id, min(place) AS place FROM handles GROUP BY page_id)
 """.strip()
 LOCATED = f"""
 located AS (SELECT page_id, domain, html, CASE WHEN page_id % 4 = 1 THEN '/contacto' WHEN page_id % 4 = 2 THEN '/contact' WHEN page_id % 8 = 3 THEN '/about'
-  WHEN page_id % 16 = 4 THEN '/' ELSE lower(coalesce(nullif(rtrim({path_of('url')}, '/'), ''), '/')) END AS path FROM pages_seeded),
+  WHEN page_id % 16 = 4 THEN '/' WHEN page_id % 32 = 12 THEN '/kontakt' WHEN page_id % 32 = 28 THEN '/aviso-legal' ELSE lower(coalesce(nullif(rtrim({path_of('url')}, '/'), ''), '/')) END AS path FROM pages_seeded),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY path <> '/', page_id) AS home_rn FROM located),
-source_pages AS (SELECT *, CASE WHEN home_rn = 1 THEN 0 WHEN path = '/contacto' THEN 1 WHEN path = '/contact' THEN 2 WHEN path = '/about' THEN 3 END AS sr FROM ranked),
+source_pages AS (SELECT *, CASE WHEN home_rn = 1 THEN 0 WHEN path = '/contacto' THEN 1 WHEN path = '/contact' THEN 2 WHEN path = '/about' THEN 3
+  WHEN path = '/legal' THEN 4 WHEN path = '/aviso-legal' THEN 5 WHEN path = '/kontakt' THEN 6 WHEN path = '/quienes-somos' THEN 7 END AS sr FROM ranked),
 one_each AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY domain, sr ORDER BY page_id) AS rn FROM source_pages WHERE sr IS NOT NULL) WHERE rn = 1)
 """.strip()
 # "domain" is the site's key here; "7 shop.example" stands for the site shop.example of intent 7.

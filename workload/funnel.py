@@ -281,7 +281,7 @@ CONTENT = f"""
 first_meta AS (SELECT page_id, arg_min(content, n) FILTER (key = 'keywords' AND content <> '') AS kw, arg_min(content, n) FILTER (key = 'og:type' AND content <> '') AS og
   FROM metas GROUP BY page_id),
 kw_items AS (SELECT page_id, trim(unnest(string_split(kw, ','))) AS w, generate_subscripts(string_split(kw, ','), 1) AS k FROM first_meta WHERE kw IS NOT NULL),
-kw_top AS (SELECT page_id, list(w ORDER BY k) AS ws FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS rn FROM kw_items WHERE w <> '') WHERE rn <= 5 GROUP BY page_id),
+kw_top AS (SELECT page_id, list(w ORDER BY k) AS ws FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY k) AS rn FROM kw_items WHERE w <> '') GROUP BY page_id),
 contents AS MATERIALIZED (SELECT c.intent_id, c.page_id, c.url,
   CAST({clamp(f'''50 + coalesce({schema_score_sql('coalesce(i.business_type, chr(32))')}, 0)
     + CASE i.business_type WHEN 'ecommerce' THEN p.ecommerce WHEN 'saas' THEN p.saas WHEN 'agencia' THEN p.agencia ELSE p.other END

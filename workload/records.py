@@ -355,8 +355,9 @@ def _meta1(key):
     return f"(SELECT arg_min(content, n) FROM metas t WHERE t.page_id = m.page_id AND key = '{key}' AND content <> '')"
 
 
-_paths = values("paths", ["path"], [(p,) for p, _ in page_rules.IMPORTANT_PATHS["full"][1]])
-_site_url = """CASE WHEN m.page_id % 4 = 1 THEN o || '/contacto' WHEN m.page_id % 4 = 2 THEN o || '/contact' WHEN m.page_id % 8 = 3 THEN o || '/about/' WHEN m.page_id % 16 = 4 THEN o || '/' ELSE m.url END"""
+_paths = values("paths", ["path"], [(p,) for p, _ in page_rules.IMPORTANT_PATHS["full"]])
+_site_url = """CASE WHEN m.page_id % 4 = 1 THEN o || '/contacto' WHEN m.page_id % 4 = 2 THEN o || '/contact' WHEN m.page_id % 8 = 3 THEN o || '/about/' WHEN m.page_id % 16 = 4 THEN o || '/'
+  WHEN m.page_id % 32 = 12 THEN o || '/kontakt' WHEN m.page_id % 32 = 28 THEN o || '/aviso-legal' ELSE m.url END"""
 AUDIT = f"""
 {DETECTIONS},
 {CASCADE},
@@ -371,7 +372,7 @@ home_facts AS MATERIALIZED (SELECT m.domain, m.page_id, {_site_url} AS url, left
   coalesce((SELECT string_agg(DISTINCT tech, ' | ' ORDER BY tech) FROM detections d WHERE d.page_id = m.page_id), '') AS technologies, {_names_list(tech_rules.PIXELS, False)} AS missing_pixels,
   {_names_list(tech_rules.SUPPORT_WIDGETS)} AS support_widgets, {_names_list(tech_rules.EMAIL_TOOLS)} AS email_tools, regexp_matches(html, '(?i){tech_rules.POPUPS}') AS has_popups,
   coalesce((SELECT min(tech) FROM detections d WHERE d.page_id = m.page_id AND d.category = 'ecommerce'), {_first(tech_rules.SHOP_PLATFORMS)}) AS platform0, {_first(tech_rules.REVIEW_PLATFORMS)} AS review0,
-  CAST((SELECT count(DISTINCT path) FROM links l JOIN paths p ON contains(lower(l.href), p.path) WHERE l.page_id = m.page_id AND l.pos < 100) AS INTEGER) AS important_pages
+  CAST((SELECT count(DISTINCT path) FROM links l JOIN paths p ON contains(lower(l.href), p.path) WHERE l.page_id = m.page_id) AS INTEGER) AS important_pages
   FROM (SELECT *, regexp_extract(url, '^([a-z]+://[^/]+)', 1) AS o FROM markup) m JOIN homes h ON h.page_id = m.page_id),
 audit0 AS (SELECT f.*, platform0 IS NOT NULL AS is_ecommerce, platform0 AS platform, platform0 IS NOT NULL AND review0 IS NOT NULL AS has_reviews,
   CASE WHEN platform0 IS NOT NULL THEN review0 END AS review_platform, platform0 IS NOT NULL AND review0 IS NULL AS upsell_opportunity, coalesce(title, '') = '' AS missing_title, description IS NULL AS missing_description,

@@ -80,7 +80,12 @@ SNIPPETS = [
         "404 not found <time datetime='2024-01-0{i}'>x</time> precio $ checkout",
         "+1 202-555-0{i} <a href='https://facebook.com/page.{i}'>fb</a>",
     ),
-    ("", "", ""),
+    # a signature late in a long comment, and a contact link behind more than a hundred others
+    (
+        "<!-- " + "lorem ipsum " * 50 + "optimized with the Yoast SEO plugin v{i} -->",
+        '<a href="/p/{i}">p</a>' * 105 + '<a href="/aviso-legal">Aviso</a>',
+        "",
+    ),
 ]
 
 PLACES = ("</head>", "</article>", "</footer>")

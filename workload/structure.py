@@ -109,22 +109,33 @@ _heads = "\nUNION ALL\n".join(
     for lv in (1, 2)
 )
 HEADS = f"heads AS MATERIALIZED (SELECT page_id, level, row_number() OVER (PARTITION BY page_id, level ORDER BY n) - 1 AS pos, text FROM ({_heads}) WHERE text <> '')"
-NAV = """
+
+
+def nav_sql(limit=None, text_max=None):
+    return f"""
 nav_first AS (SELECT page_id, text, pos, row_number() OVER (PARTITION BY page_id, lower(text) ORDER BY pos) AS seen
-  FROM links WHERE region = 'nav' AND length(text) BETWEEN 1 AND 60),
+  FROM links WHERE region = 'nav' AND length(text) BETWEEN 1 AND {text_max or 1000000000}),
 nav AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS pos FROM nav_first WHERE seen = 1
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY nav_first.pos) <= 15)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY nav_first.pos) <= {limit or 1000000000})
 """.strip()
+
+
 _cta_hit = " OR ".join(f"contains(lower(text), {quote(w)})" for w in rules.CTA_WORDS)
-CTAS = f"""
+
+
+def ctas_sql(limit=None, text_max=None):
+    return f"""
 cta_all AS (
   SELECT page_id, 0 AS src, n AS k, {text_of('v')} AS text FROM ({unnest_list('markup', elements('markup', 'button'))})
   UNION ALL SELECT page_id, 1, pos, text FROM links WHERE {_cta_hit}),
 cta_first AS (SELECT *, row_number() OVER (PARTITION BY page_id, lower(text) ORDER BY src, k) AS seen FROM cta_all
-  WHERE length(text) BETWEEN 1 AND 80),
+  WHERE length(text) BETWEEN 1 AND {text_max or 1000000000}),
 ctas AS (SELECT page_id, text, row_number() OVER (PARTITION BY page_id ORDER BY src, k) - 1 AS pos FROM cta_first WHERE seen = 1
-  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY src, k) <= 10)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY src, k) <= {limit or 1000000000})
 """.strip()
+
+
+FOOTER_WHOLE = text_of(first_element("markup", "footer"))
 FOOTER_TEXT = cut(text_of(first_element("markup", "footer")), 500)
 _named = "|".join(rf"""<{t}\s[^>]*(?:class|id)=["'][^"']*footer[^"']*["'][^>]*>.*?</{t}>""" for t in ("div", "section"))
 CONTACT_FOOTER = f"coalesce({first_element('html', 'footer')}, nullif(regexp_extract(html, {quote('(?is)' + _named)}), ''), right(html, 2000))"
@@ -152,7 +163,7 @@ inline_tags AS (
 inline_all AS (
   SELECT page_id, 'js' AS kind, n, regexp_replace(regexp_replace(v, '(?is)^<script(?:\\s[^>]*)?>', ''), '(?is)</script\\s*>$', '') AS text
   FROM inline_tags WHERE regexp_matches(v, '(?i)^<script') AND {attribute('v', 'src')} = ''
-  UNION ALL SELECT page_id, 'comment', n, left(trim(v), 500)
+  UNION ALL SELECT page_id, 'comment', n, trim(v)
   FROM ({unnest_list('pages_seeded', "regexp_extract_all(html, '(?s)<!--(.*?)-->', 1)")})),
 inline AS MATERIALIZED (SELECT page_id, kind, row_number() OVER (PARTITION BY page_id, kind ORDER BY n) - 1 AS pos, text FROM inline_all WHERE text <> '')
 """.strip()
@@ -171,7 +182,7 @@ ld_type_rows AS (
 ld_first AS (SELECT page_id, type, min(block * 1000000 + id) AS o FROM ld_type_rows WHERE type <> '' GROUP BY ALL),
 ld_types AS (SELECT page_id, string_agg(type, ' | ' ORDER BY o) AS schema_types, string_agg(type, ', ' ORDER BY o) AS shown FROM ld_first GROUP BY page_id)
 """.strip()
-CONTEXT = ",\n".join([HEADS, NAV, CTAS, LD, LD_TYPES, BODIES]) + f""",
+CONTEXT = ",\n".join([HEADS, nav_sql(15, 60), ctas_sql(10, 80), LD, LD_TYPES, BODIES]) + f""",
 context AS MATERIALIZED (SELECT m.page_id, m.url, m.domain, {LANG} AS lang, left({TITLE}, 300) AS title,
   {_first_meta('description', 'md')}, {_first_meta('og:type', 'ot')}, {_first_meta('og:description', 'od')},
   (SELECT string_agg(text, chr(2) ORDER BY pos) FROM nav WHERE nav.page_id = m.page_id) AS nv,
@@ -194,11 +205,11 @@ for _section, _lines in rules.SHEET:
 
 
 def _important(variant: str) -> str:
-    first, paths = rules.IMPORTANT_PATHS[variant]
+    paths = rules.IMPORTANT_PATHS[variant]
     table = values("paths", ["ord", "path", "title"], [(i, p, t) for i, (p, t) in enumerate(paths)])
     return with_pages(
         f"SELECT page_id, CAST(ord AS INTEGER) AS ord, path, title, {abs_sql('url', 'href')} AS target FROM (SELECT l.*, p.* , row_number() OVER "
-        f"(PARTITION BY page_id, path ORDER BY pos) AS rn FROM links l JOIN paths p ON contains(lower(href), path) WHERE pos < {first}) WHERE rn = 1",
+        f"(PARTITION BY page_id, path ORDER BY pos) AS rn FROM links l JOIN paths p ON contains(lower(href), path)) WHERE rn = 1",
         "links",
         ctes=table,
     )
@@ -216,7 +227,7 @@ magnets AS (
 magnet_first AS (SELECT page_id, target, min(a * 1000000 + b) AS o FROM magnets
   WHERE a = 0 OR NOT (suffix(target, '#') OR suffix(target, 'javascript:void(0)')) GROUP BY ALL),
 magnet_top AS (SELECT page_id, string_agg(target, ' | ' ORDER BY o) AS t FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY o) AS rn
-  FROM magnet_first) WHERE rn <= 5 GROUP BY page_id)
+  FROM magnet_first) GROUP BY page_id)
 """
 
 _blog_rows = values("blog_paths", ["priority", "path"], list(enumerate(rules.BLOG_PATHS)))
@@ -261,7 +272,7 @@ ORACLE = {
     "st2_meta_summary": with_pages(
         f"""SELECT page_id, coalesce(d, od) AS description, (SELECT string_agg(w, ' | ' ORDER BY k) FROM (SELECT trim(w) AS w, k,
           row_number() OVER (ORDER BY k) AS rn FROM (SELECT unnest(string_split(kw, ',')) AS w, generate_subscripts(string_split(kw, ','), 1) AS k)
-          WHERE trim(w) <> '') WHERE rn <= 5) AS keywords, ot AS og_type, oti AS og_title, od AS og_description, title = '' AS missing_title,
+          WHERE trim(w) <> '')) AS keywords, ot AS og_type, oti AS og_title, od AS og_description, title = '' AS missing_title,
           coalesce(d, od) IS NULL AS missing_description FROM (SELECT page_id, {TITLE} AS title, {_first_meta('description', 'd')},
           {_first_meta('og:description', 'od')}, {_first_meta('keywords', 'kw')}, {_first_meta('og:type', 'ot')}, {_first_meta('og:title', 'oti')} FROM markup m)""",
         "metas",
@@ -274,9 +285,9 @@ ORACLE = {
         ctes=HEADS,
     ),
     "st4_page_links": with_pages("SELECT page_id, url, domain, CAST(pos AS INTEGER) AS pos, href, text, region FROM links", "links"),
-    "st4_nav_links": with_pages("SELECT page_id, CAST(pos AS INTEGER) AS pos, text FROM nav", "links", ctes=NAV),
-    "st5_page_ctas": with_pages("SELECT page_id, CAST(pos AS INTEGER) AS pos, text FROM ctas", "links", ctes=CTAS),
-    "st6_page_footer": with_pages(f"SELECT page_id, {FOOTER_TEXT} AS footer_text, {CONTACT_FOOTER} AS contact_footer FROM markup", "markup"),
+    "st4_nav_links": with_pages("SELECT page_id, CAST(pos AS INTEGER) AS pos, text FROM nav", "links", ctes=nav_sql()),
+    "st5_page_ctas": with_pages("SELECT page_id, CAST(pos AS INTEGER) AS pos, text FROM ctas", "links", ctes=ctas_sql()),
+    "st6_page_footer": with_pages(f"SELECT page_id, {FOOTER_WHOLE} AS footer_text, {CONTACT_FOOTER} AS contact_footer FROM markup", "markup"),
     "st7_page_body": with_pages(f"SELECT page_id, {cut('body', 3000)} AS body_text FROM bodies", "markup", ctes=BODIES),
     "st7_page_body_whole": with_pages("SELECT page_id, body AS body_text FROM bodies", "markup", ctes=BODIES),
     "st9_page_assets": with_pages("SELECT page_id, domain, kind, CAST(pos AS INTEGER) AS pos, url, host FROM assets", "markup", ctes=ASSETS),

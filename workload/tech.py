@@ -136,7 +136,7 @@ HITS = f"""
 inline_hits AS (SELECT page_id, kind, pos, label, CASE WHEN off < 0 THEN text
   ELSE trim(substring(text, greatest(off - 20, 0) + 1, off + 120 - greatest(off - 20, 0))) END AS snippet FROM ({_inline_hits()})),
 inline_found AS MATERIALIZED (SELECT * EXCLUDE rn FROM (SELECT *, row_number() OVER (PARTITION BY page_id, kind, label,
-  left(snippet, CASE WHEN kind = 'js' THEN 60 ELSE 80 END) ORDER BY pos) AS rn FROM inline_hits) WHERE rn = 1)
+  snippet ORDER BY pos) AS rn FROM inline_hits) WHERE rn = 1)
 """.strip()
 
 
