@@ -7,8 +7,8 @@ first), so that only windows that can match leave a document; beyond that all wi
 and an item count by alignment (position in the document less position in the item): its slots must be filled consistently, each value of the
 item by one value of the document, and enough of the item's windows must lie on it.
 
-Defined cases: null and empty texts match nothing; a benchmark item without words is no template. Items with equal templates count
-as one (the smallest item_id). Rows with a null doc_id match nothing. Rows that repeat a doc_id count as one document.
+Defined cases: null and empty texts match nothing; a benchmark item without words is no template. Items with equal templates, whose
+values are equal at the same places, have equal answers: they are searched once and all of them are reported. Rows with a null doc_id match nothing. Rows that repeat a doc_id count as one document.
 Empty tables give no leaks. Columns other than doc_id and text, and item_id and text of the benchmark, play no part.
 """
 
@@ -94,7 +94,10 @@ _FOUND = "id long, hash long, at int, slots array<string>, windows int"
 
 
 def _windows_of(rows: DataFrame, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """Windows of (id, text) rows: of the given widths and wanted hashes, or (None) of WINDOW items or the whole if shorter."""
+    """Windows of (id, text) rows: of the given widths and wanted hashes, or (None) of WINDOW items or the whole if shorter.
+
+    Of items (widths None) a slot is given as the first place of its value, since only equal values must be filled alike.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Items()
@@ -102,6 +105,9 @@ def _windows_of(rows: DataFrame, widths: list[int] | None, wanted: np.ndarray |
             out = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 codes, plain, values = template(text.as_py(), known)
+                if widths is None:
+                    first = {values[i]: i for i in np.flatnonzero(~plain)[::-1].tolist()}
+                    values = [first.get(x) for x in values]
                 for width in widths if widths is not None else [min(WINDOW, len(codes))]:
                     hashes, usable = windows(codes, plain, width)
                     if wanted is not None and len(hashes):
@@ -120,10 +126,15 @@ def _windows_of(rows: DataFrame, widths: list[int] | None, wanted: np.ndarray |
 
 def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, sent_rows: int = SENT_ROWS) -> DataFrame:
     """doc_id, item_id, windows (matched on the best alignment) and of (the item's windows) for each leak."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("id IS NOT NULL")
-    asked = _windows_of(items, None, None)
-    same = asked.groupBy("id").agg(F.sum(F.xxhash64("hash", "at").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n")).groupBy("sum", "n").agg(F.min("id").alias("id"))
-    asked = held(asked.join(same.select("id"), "id", "left_semi"))
+    named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id IS NOT NULL")
+    named = held(named.distinct().select(F.xxhash64("item_id", "text").alias("id"), "item_id", "text"))
+    items = named.select("id", "text")
+    # items with equal windows and equal places of equal values are searched as one of them, and all are found with it
+    asked = held(_windows_of(items, None, None))
+    sums_of = asked.groupBy("id").agg(F.sum(F.xxhash64("hash", "at", "slots").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
+    one = held(sums_of.groupBy("sum", "n").agg(F.min("id").alias("one")))
+    members = held(sums_of.join(one, ["sum", "n"]).join(named, "id").select(F.col("one"), F.col("item_id").alias("member")).distinct())
+    asked = held(asked.join(one.select(F.col("one").alias("id")), "id", "left_semi"))
     widths = _widths(items)
     if not widths:
         wanted = np.empty(0, np.int64)
@@ -144,7 +155,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, sen
     clash = filled.groupBy(*group, "theirs").count().filter("count > 1").select(*group).distinct()
     sums = met.groupBy(*group, "of").agg(F.count_distinct("item_at").alias("windows")).join(clash, group, "left_anti")
     best = sums.groupBy("doc_id", "item_id", "of").agg(F.max("windows").alias("windows"))
-    return best.filter(F.col("windows") >= F.greatest(F.lit(1), F.ceil(F.col("of") * coverage))).select("doc_id", "item_id", "windows", "of")
+    best = best.filter(F.col("windows") >= F.greatest(F.lit(1), F.ceil(F.col("of") * coverage)))
+    every = best.join(small(members, sent_rows), F.col("item_id") == F.col("one")).groupBy("doc_id", "member").agg(F.max(F.struct("windows", "of")).alias("m"))
+    return every.select("doc_id", F.col("member").alias("item_id"), "m.windows", "m.of")
 
 
 def _widths(items: DataFrame) -> list[int]:

@@ -300,6 +300,16 @@ def test_templates_catch_new_parameters(spark):
         assert {(1, 10), (2, 10)} <= got and not {d for d, _ in got} & {4, 5, None} and (3, 10) not in got, got
 
 
+def test_every_item_of_a_template_is_found(spark):
+    bench = [(1, "What is the sum of 5 and 5?"), (2, "What is the sum of 5 and 7?"), (3, "What is the sum of 8 and 9?")]
+    rows = [(1, bench[0][1]), (2, f"Asked today. {bench[1][1]} We see."), (3, "nothing of it")]
+    for sent in (10**6, 0):
+        found = decontaminate.leaks(docs(spark, rows), docs(spark, bench, "item_id bigint, text string"), sent_rows=sent)
+        got = {(r.doc_id, r.item_id) for r in found.collect()}
+        # unequal values may stand for equal ones, equal values not for unequal ones
+        assert got == {(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)}, got
+
+
 def test_leaks_in_documents(spark, middle):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{middle}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in held(spark, middle) for i, b in bench if b in t}
