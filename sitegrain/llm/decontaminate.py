@@ -1,19 +1,25 @@
 """Benchmark decontamination by templates: numbers, names and units become typed slots, windows of slots and words are joined by hash.
 
 A text becomes a list of items: lower-cased words without punctuation, or the slots <number>, <unit> (after a number) and
-<name> (a capitalised word that begins no sentence). Windows of WINDOW items with at least half of them words are hashed; a
-benchmark item of fewer items is one window. The benchmark's distinct window hashes are sent to the tasks while they are few (counted
-first), so that only windows that can match leave a document; beyond that all windows are joined. Matches of a document
-and an item count by alignment (position in the document less position in the item): its slots must be filled consistently, each value of the
-item by one value of the document, and enough of the item's windows must lie on it.
-
-Defined cases: null and empty texts match nothing; a benchmark item without words is no template. Items with equal templates, whose
-values are equal at the same places, have equal answers: they are searched once and all of them are reported. Rows with a null doc_id match nothing. Rows that repeat a doc_id count as one document.
+<name> (a capitalised word). A capitalised word that begins a sentence or line may be either a word or a name: its windows are hashed in
+all variants. Windows of WINDOW items with at least half of them words are hashed by template; those that may have more slots than words,
+and so say little as templates, by their exact values. A benchmark item of fewer items is one window. The benchmark's distinct window
+hashes are sent to the tasks while they are few (counted first), so that only windows that can match leave a document; beyond that all
+windows are joined. Matches of a document and an item count by alignment (position in the document less position in the item): its slots
+must be filled consistently, each value of the item by one value of the document, and enough of the item's windows must lie on it. Enough
+is COVERAGE of the windows that have a template, or, with those that agree exactly, of all windows. An alignment that is consistent
+without the variants of sentence beginnings counts without them.
+
+Defined cases: null and empty texts match nothing; a benchmark item without words and slots is no template, one of slots only is found by
+its exact values. Items with equal templates, whose
+values are equal at the same places, have equal answers: they are searched once and all of them are reported. Rows with a null doc_id
+match nothing. Rows that repeat a doc_id count as one document.
 Empty tables give no leaks. Columns other than doc_id and text, and item_id and text of the benchmark, play no part.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 from collections.abc import Iterator
 
@@ -30,96 +36,191 @@ WINDOW = 8
 COVERAGE = 0.3
 #: Benchmark windows (8 bytes each) up to which their hashes are sent to the tasks.
 SENT_ROWS = 1_000_000
-WORDS_KEPT = 400_000
+#: Words whose numbers a task keeps, and characters of the texts that it takes at once.
+WORDS_KEPT, PORTION = 400_000, 1_000_000
 UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours days weeks years kb mb gb tb hz khz mhz ghz w kw v a °c °f % percent usd eur dollars euros cents".split())
 _NUMBER = re.compile(r"[+-]?[0-9][0-9.,]*(?:[a-z°%]{0,3})")
 _EDGE = re.compile(r"^[^\w%°$€+-]+|[^\w%°$€]+$")
 _NAME, _NUM, _UNIT = "<name>", "<number>", "<unit>"
 
 
-class Items(dict):
-    """word -> (item in mid-sentence, hash, whether it is a plain word; the same at a sentence start; value; ends a sentence)."""
+#: How a window was hashed: by its template, by one with a sentence's first word as a name, or by its exact values.
+PLAIN, VARIANT, EXACT = 0, 1, 2
+
+
+def _code(x: str) -> int:
+    return xxhash.xxh3_64_intdigest(x.encode())
+
 
-    def __missing__(self, word: str) -> tuple:
+class Words(dict):
+    """word -> its number; by number: bare lower-cased value, code, and what the word can be."""
+
+    def __init__(self):
+        super().__init__()
+        self.values: list[str] = []
+        self.fresh: list[tuple] = []
+        self.table = np.empty(0, [("code", np.uint64), *((x, bool) for x in ("number", "capital", "unit", "nothing", "ends"))])
+
+    def __missing__(self, word: str) -> int:
         bare = _EDGE.sub("", word)
         low = bare.lower()
-        if _NUMBER.fullmatch(low):
-            first = later = _NUM
-        else:
-            first, later = low, _NAME if bare[:1].isupper() and bare[1:].islower() else low
-        code = lambda x: xxhash.xxh3_64_intdigest(x.encode())
-        self[word] = made = (code(first), code(later), code(_UNIT) if low in UNITS else None, low, first == _NUM, later == _NAME, not low, word[-1:] in ".!?:" or "\n" in word)
-        return made
-
-
-def template(text: str, known: Items) -> tuple[np.ndarray, np.ndarray, list[str]]:
-    """Hashes of a text's items, whether each is a plain word, and their values."""
-    codes, plain, values = [], [], []
-    begins = number = True
-    number = False
-    for line in text.split("\n"):
-        begins = True
-        for word in line.split():
-            first, later, unit, low, is_number, is_name, nothing, ends = known[word]
-            if not nothing:
-                if number and unit is not None:
-                    codes.append(unit), plain.append(False)
-                elif begins:
-                    codes.append(first), plain.append(not is_number)
-                else:
-                    codes.append(later), plain.append(not (is_number or is_name))
-                number = is_number
-                values.append(low)
-                begins = False
-            begins = begins or ends
-    if len(known) > WORDS_KEPT:
-        known.clear()
-    return np.array(codes, np.uint64), np.array(plain, bool), values
-
-
-def windows(codes: np.ndarray, plain: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all windows of the width, and whether at least half of each window are plain words."""
-    count = len(codes) - width + 1
-    if count < 1 or width < 1:
-        return np.empty(0, np.int64), np.empty(0, bool)
-    out = np.full(count, width, np.uint64)
-    for j in range(width):
-        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ codes[j : j + count]
+        number = _NUMBER.fullmatch(low) is not None
+        self.fresh.append((_code(low), number, not number and bare[:1].isupper() and bare[1:].islower(), low in UNITS, not low, word[-1:] in ".!?:"))
+        self[word] = at = len(self.values)
+        self.values.append(low)
+        return at
+
+    def look(self) -> np.ndarray:
+        if self.fresh:
+            self.table = np.concatenate([self.table, np.array(self.fresh, self.table.dtype)])
+            self.fresh = []
+        return self.table
+
+
+class Items:
+    """The items of some texts one after another: owner (number of the text), begin (of each text), code of the value and of the item, slot, maybe (also a name)."""
+
+    def __init__(self, texts_: list[str], known: Words):
+        words, lines, sizes = [], [], []
+        for text in texts_:
+            before = len(words)
+            for line in text.split("\n"):
+                lines.append(len(words))
+                words += line.split()
+            sizes.append(len(words) - before)
+        ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
+        table = known.look()
+        owner = np.repeat(np.arange(len(texts_)), sizes)
+        # what lies between an item and the one before it: a line's start, or a word that ends a sentence
+        event = np.zeros(len(ids) + 1, bool)
+        event[lines] = True
+        event[1:] |= table["ends"][ids]
+        passed = np.cumsum(event)[:-1]
+        kept = np.flatnonzero(~table["nothing"][ids])
+        self.ids, self.owner = ids[kept], owner[kept]
+        own, passed = table[self.ids], passed[kept]
+        begins = np.diff(passed, prepend=0) > 0
+        same = np.diff(self.owner, prepend=-1) == 0
+        unit = own["unit"] & same & np.concatenate([[False], own["number"][:-1]])[: len(own)]
+        number, capital = own["number"] & ~unit, own["capital"] & ~unit
+        name, self.maybe = capital & ~begins, capital & begins
+        self.exact = own["code"]
+        self.code = np.where(unit, _code(_UNIT), np.where(number, _code(_NUM), np.where(name, _code(_NAME), self.exact)).astype(np.uint64)).astype(np.uint64)
+        self.slot = unit | number | name
+        self.sizes = np.bincount(self.owner, minlength=len(texts_))
+        self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
+
+
+def _mixed(columns: list[np.ndarray], kind: int) -> np.ndarray:
+    """Hashes of windows, given the codes at each of their places."""
+    out = np.full(len(columns[0]), len(columns) + (kind == EXACT) * 1000, np.uint64)
+    for x in columns:
+        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ x
         out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    filled = np.convolve(plain.astype(np.int32), np.ones(width, np.int32), "valid")
-    return out.view(np.int64), 2 * filled >= width
+    return out.view(np.int64)
 
 
-_FOUND = "id long, hash long, at int, slots array<string>, windows int"
+def windows(items: Items, width: int, exact: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
+    """Windows of the width, as (kind, first places, hashes, and, place by place, what is a slot in them; exact windows have none).
+
+    exact: of which windows the exact values are hashed, too: "slots" (that may have more slots than words), "all" or None.
+    """
+    count = len(items.ids) - width + 1
+    if count < 1 or width < 1:
+        return
+    at = np.flatnonzero(items.owner[:count] == items.owner[width - 1 :])
+    sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)]).astype(np.int64)[np.stack([at, at + width])], axis=0)[0]
+    slots, maybe = sums(items.slot), sums(items.maybe)
+    usable = 2 * slots <= width
+    if exact:
+        own = at if exact == "all" else at[2 * (slots + maybe) > width]
+        yield EXACT, own, _mixed([items.exact[own + j] for j in range(width)], EXACT), None
+    own = at[usable]
+    yield PLAIN, own, _mixed([items.code[own + j] for j in range(width)], PLAIN), None
+    name = np.uint64(_code(_NAME))
+    for n in np.unique(maybe[usable & (maybe > 0)]).tolist():
+        picked = usable & (maybe == n)
+        first, free = at[picked], width // 2 - slots[picked]
+        place = first[:, None] + np.arange(width)
+        where = np.nonzero(items.maybe[place])[1].reshape(-1, n)
+        code, slot = items.code[place], items.slot[place]
+        for size in range(1, min(n, int(free.max())) + 1):
+            fits = np.flatnonzero(free >= size)
+            for chosen in itertools.combinations(range(n), size):
+                new, names = code[fits], slot[fits]
+                for c in chosen:
+                    new[np.arange(len(fits)), where[fits, c]] = name
+                    names[np.arange(len(fits)), where[fits, c]] = True
+                yield VARIANT, first[fits], _mixed(list(new.T), VARIANT), names
+
+
+class Wanted:
+    """A set of hashes; a table of their leading bits turns most others away."""
+
+    def __init__(self, hashes: np.ndarray):
+        self.hashes, self.leading = np.sort(hashes), np.zeros(1 << 20, bool)
+        self.leading[self._lead(self.hashes)] = True
+
+    @staticmethod
+    def _lead(hashes: np.ndarray) -> np.ndarray:
+        return (hashes.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+    def places(self, hashes: np.ndarray) -> np.ndarray:
+        may = np.flatnonzero(self.leading[self._lead(hashes)])
+        near = np.minimum(np.searchsorted(self.hashes, hashes[may]), len(self.hashes) - 1)
+        return may[self.hashes[near] == hashes[may]]
 
 
-def _windows_of(rows: DataFrame, widths: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
-    """Windows of (id, text) rows: of the given widths and wanted hashes, or (None) of WINDOW items or the whole if shorter.
+_FOUND = "id long, hash long, at int, kind int, slots array<string>"
 
-    Of items (widths None) a slot is given as the first place of its value, since only equal values must be filled alike.
+
+def _portions(texts_: pa.Array) -> Iterator[tuple[int, list[str]]]:
+    """Texts, about PORTION characters at a time, and the number of their first one."""
+    first, some, size = 0, [], 0
+    for i, text in enumerate(texts_.to_pylist()):
+        some.append(text)
+        size += len(text)
+        if size >= PORTION:
+            yield first, some
+            first, some, size = i + 1, [], 0
+    if some:
+        yield first, some
+
+
+def _windows_of(rows: DataFrame, widths: list[int], exact: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
+    """Windows of (id, text) rows. exact: the widths of which exact windows are asked for, too; None for benchmark items.
+
+    Of items only windows of WINDOW items, or of all if they are fewer, are taken, and a slot is given as the first place of its value,
+    since only equal values must be filled alike.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items()
+        known, only = Words(), None if wanted is None else Wanted(wanted)
+        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())
         for batch in batches:
-            out = [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                codes, plain, values = template(text.as_py(), known)
-                if widths is None:
-                    first = {values[i]: i for i in np.flatnonzero(~plain)[::-1].tolist()}
-                    values = [first.get(x) for x in values]
-                for width in widths if widths is not None else [min(WINDOW, len(codes))]:
-                    hashes, usable = windows(codes, plain, width)
-                    if wanted is not None and len(hashes):
-                        near = np.minimum(np.searchsorted(wanted, hashes), len(wanted) - 1)
-                        usable &= wanted[near] == hashes
-                    picked = np.flatnonzero(usable)
-                    for at in picked.tolist():
-                        slots = [f"{at + j}:{values[at + j]}" for j in range(width) if not plain[at + j]]
-                        for column, x in zip(out, (doc, hashes[at], at, slots, len(picked)), strict=True):
-                            column.append(x)
-            kinds = pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.string()), pa.int32()
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["id", "hash", "at", "slots", "windows"])
+            ids = batch.column(0).to_numpy()
+            for first, some in _portions(batch.column(1)):
+                items = Items(some, known)
+                for width in widths:
+                    for kind, at, hashes, slot in windows(items, width, "slots" if exact is None else "all" if width in exact else None):
+                        picked = np.arange(len(at)) if only is None else only.places(hashes)
+                        if exact is None:
+                            picked = picked[np.minimum(items.sizes[items.owner[at[picked]]], WINDOW) == width]
+                        if not len(picked):
+                            continue
+                        own, values = at[picked], []
+                        for k, i in zip(picked.tolist(), own.tolist(), strict=True):
+                            places = [] if kind == EXACT else (i + np.flatnonzero(items.slot[i : i + width] if slot is None else slot[k])).tolist()
+                            values.append([known.values[items.ids[p]] for p in places])
+                            if exact is None and places:
+                                begin = int(items.begin[items.owner[i]])
+                                whole = [known.values[x] for x in items.ids[begin : i + width].tolist()]
+                                values[-1] = [str(whole.index(v)) for v in values[-1]]
+                        owner = items.owner[own]
+                        columns = ids[first + owner], hashes[picked], (own - items.begin[owner]).astype(np.int32), np.full(len(own), kind, np.int32), values
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["id", "hash", "at", "kind", "slots"])
+                if len(known) > WORDS_KEPT:
+                    known = Words()
 
     return rows.mapInArrow(run, _FOUND)
 
@@ -129,33 +230,42 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, sen
     named = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).filter("item_id IS NOT NULL")
     named = held(named.distinct().select(F.xxhash64("item_id", "text").alias("id"), "item_id", "text"))
     items = named.select("id", "text")
+    widths = _widths(items)
     # items with equal windows and equal places of equal values are searched as one of them, and all are found with it
-    asked = held(_windows_of(items, None, None))
-    sums_of = asked.groupBy("id").agg(F.sum(F.xxhash64("hash", "at", "slots").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
+    asked = held(_windows_of(items, widths, None, None))
+    sums_of = asked.groupBy("id").agg(F.sum(F.xxhash64("hash", "at", "kind", "slots").cast("decimal(38,0)")).alias("sum"), F.count("*").alias("n"))
     one = held(sums_of.groupBy("sum", "n").agg(F.min("id").alias("one")))
     members = held(sums_of.join(one, ["sum", "n"]).join(named, "id").select(F.col("one"), F.col("item_id").alias("member")).distinct())
     asked = held(asked.join(one.select(F.col("one").alias("id")), "id", "left_semi"))
-    widths = _widths(items)
-    if not widths:
-        wanted = np.empty(0, np.int64)
-    else:
-        hashes = held(asked.select("hash").distinct())
-        wanted = np.sort(np.array([r.hash for r in hashes.collect()], np.int64)) if hashes.count() <= sent_rows else None
+    # windows with a template, and all windows
+    of = asked.groupBy(F.col("id").alias("item_id"), "at").agg(F.min("kind").alias("kind")).groupBy("item_id")
+    of = held(of.agg(F.count_if(F.col("kind") == PLAIN).alias("of_plain"), F.count("*").alias("of")))
+    hashes = held(asked.select("hash").distinct())
+    wanted = np.array([r.hash for r in hashes.collect()], np.int64) if hashes.count() <= sent_rows else None
+    exact = widths if asked.filter(f"kind = {EXACT}").limit(1).count() else []
     rows = texts(docs).filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
     if wanted is not None and not len(wanted):
         rows, wanted = rows.limit(0), None
-    found = held(_windows_of(rows, widths, wanted))
-    ask = small(asked, sent_rows).select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("slots").alias("item_slots"), F.col("windows").alias("of"))
-    met = held(found.drop("windows").withColumnRenamed("id", "doc_id").join(ask, "hash").withColumn("shift", F.col("at") - F.col("item_at")).drop("hash", "at"))
-    # each value of the item must stand for one value of the document, all over the alignment
+    found = held(_windows_of(rows, widths, exact, wanted))
+    ask = small(asked, sent_rows).select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("kind").alias("item_kind"), F.col("slots").alias("item_slots"))
+    met = found.withColumnRenamed("id", "doc_id").join(ask, "hash")
+    met = held(met.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("kind", F.greatest("kind", "item_kind")).drop("hash", "at", "item_kind"))
+    # each value of the item must stand for one value of the document, all over the alignment; without variants, and with them
     group = ["doc_id", "item_id", "shift"]
     pair = F.explode(F.arrays_zip("slots", "item_slots")).alias("p")
-    value = lambda x: F.regexp_replace(x, "^[0-9]+:", "")
-    filled = met.select(*group, pair).select(*group, value("p.slots").alias("mine"), value("p.item_slots").alias("theirs")).distinct()
-    clash = filled.groupBy(*group, "theirs").count().filter("count > 1").select(*group).distinct()
-    sums = met.groupBy(*group, "of").agg(F.count_distinct("item_at").alias("windows")).join(clash, group, "left_anti")
-    best = sums.groupBy("doc_id", "item_id", "of").agg(F.max("windows").alias("windows"))
-    best = best.filter(F.col("windows") >= F.greatest(F.lit(1), F.ceil(F.col("of") * coverage)))
+    filled = met.select(*group, "kind", pair).groupBy(*group, F.col("p.item_slots").alias("theirs"), F.col("p.slots").alias("mine")).agg(F.min("kind").alias("kind"))
+    values = filled.groupBy(*group, "theirs").agg(F.count("*").alias("every"), F.count(F.when(F.col("kind") == PLAIN, 1)).alias("plain"))
+    clash = values.groupBy(*group).agg(F.max("every").alias("every"), F.max("plain").alias("plain")).filter("every > 1")
+    kinds = {"p": [PLAIN], "pv": [PLAIN, VARIANT], "pe": [PLAIN, EXACT], "pve": [PLAIN, VARIANT, EXACT]}
+    each = met.groupBy(*group, "item_at").agg(F.bit_or(F.expr("shiftleft(1, kind)")).alias("kinds"))
+    counts = each.groupBy(*group).agg(*(F.count_if(F.col("kinds").bitwiseAND(F.lit(sum(1 << x for x in k))) != 0).alias(n) for n, k in kinds.items()))
+    counts = counts.join(clash, group, "left").join(small(of, sent_rows), "item_id")
+    need = lambda of: F.greatest(F.lit(1), F.ceil(F.col(of) * coverage))
+    enough = lambda some, every: (F.col(some) >= need("of_plain")) | (F.col(every) >= need("of"))
+    with_variants = F.col("every").isNull() & enough("pv", "pve")
+    without = (F.coalesce("plain", F.lit(0)) <= 1) & enough("p", "pe")
+    counts = counts.withColumn("windows", F.when(with_variants, F.col("pve")).when(without, F.col("pe"))).filter("windows IS NOT NULL")
+    best = counts.groupBy("doc_id", "item_id", "of").agg(F.max("windows").alias("windows"))
     every = best.join(small(members, sent_rows), F.col("item_id") == F.col("one")).groupBy("doc_id", "member").agg(F.max(F.struct("windows", "of")).alias("m"))
     return every.select("doc_id", F.col("member").alias("item_id"), "m.windows", "m.of")
 
@@ -164,9 +274,9 @@ def _widths(items: DataFrame) -> list[int]:
     """The window lengths that occur: WINDOW, and the lengths of shorter items; at most WINDOW numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Items()
+        known = Words()
         for batch in batches:
-            sizes = [min(WINDOW, len(template(t.as_py(), known)[0])) for t in batch.column(1)]
+            sizes = np.minimum(Items(batch.column(1).to_pylist(), known).sizes, WINDOW)
             yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int32())], ["width"])
 
     return sorted(r.width for r in items.mapInArrow(run, "width int").distinct().collect() if r.width > 0)

@@ -310,6 +310,33 @@ def test_every_item_of_a_template_is_found(spark):
         assert got == {(1, 1), (1, 2), (1, 3), (2, 2), (2, 3)}, got
 
 
+def test_slot_heavy_items_and_names_that_begin_sentences(spark):
+    bench = [
+        (1, "Compute 12 * 34 - 5 ="),
+        (2, "Alice has 3 apples and 5 pears."),
+        (3, "Mr John Smith met Anna Maria Jones in Paris"),
+        (4, "17 18 19 20"),
+        (5, "The old clock struck. Berta had 12 keys. Then she left the house quietly at dawn."),
+    ]
+    rows = [
+        (1, "We ask: Compute 12 * 34 - 5 = and wait."),
+        (2, "Compute 12 * 35 - 5 ="),
+        (3, "So it is.\nBob has 4 apples and 6 pears. He ate."),
+        (4, "They say that Carla has 4 apples and 6 pears every day."),
+        (5, "As told, Mr John Smith met Anna Maria Jones in Paris once."),
+        (6, "Mr Karl Braun met Vera Lena Fuchs in Berlin"),
+        (7, "x 17 18 19 20 y"),
+        (8, "x 17 18 19 21 y"),
+        (9, "The old clock struck. Doris had 7 keys. Then she left the house quietly at dawn."),
+        (10, "Our old clock struck. Doris had 7 keys. Then she left the house quietly at dawn."),
+        (11, "alice has 4 apples and no pears."),
+    ]
+    for sent in (10**6, 0):
+        found = decontaminate.leaks(docs(spark, rows), docs(spark, bench, "item_id bigint, text string"), sent_rows=sent)
+        got = {(r.doc_id, r.item_id) for r in found.collect()}
+        assert got == {(1, 1), (3, 2), (4, 2), (5, 3), (7, 4), (9, 5), (10, 5)}, got
+
+
 def test_leaks_in_documents(spark, middle):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{middle}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in held(spark, middle) for i, b in bench if b in t}
