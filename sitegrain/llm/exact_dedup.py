@@ -12,6 +12,8 @@ Columns of the input other than doc_id and text play no part.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -58,5 +60,8 @@ def groups(docs: DataFrame, salts: int = 32, digest_bits: int = 256) -> DataFram
 
 def deduplicated(docs: DataFrame, salts: int = 32) -> DataFrame:
     """The documents that stay, with all their columns; a row that repeats another's doc_id and text goes too."""
-    stay = groups(docs, salts).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_keep"], "left_semi").dropDuplicates(["doc_id"])
+    row = f"row_{uuid.uuid4().hex}"
+    key = lambda doc_id, digest: F.concat_ws(":", F.coalesce(F.col(doc_id).cast("long").cast("string"), F.lit("null")), digest)
+    stay = groups(docs, salts).filter("kept").select(key("doc_id", F.col("text_sha256")).alias(row)).distinct()
+    norm = F.regexp_replace(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE_RUN, " ")
+    return docs.withColumn(row, key("doc_id", F.sha2(norm.cast("binary"), 256))).join(stay, row, "left_semi").dropDuplicates([row]).drop(row)

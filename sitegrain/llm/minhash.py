@@ -228,6 +228,6 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: the smallest doc_id of each component."""
+    """The documents that stay, with all their columns: the smallest doc_id of each component, and rows with a null doc_id."""
     stay = near_groups(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_keep"], "left_semi")
+    return docs.filter("doc_id IS NOT NULL").join(stay, docs["doc_id"] == stay["_keep"], "left_semi").union(docs.filter("doc_id IS NULL"))

@@ -18,6 +18,7 @@ lang (and doc_id and quality of the labels) play no part.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -230,6 +231,11 @@ def quality(docs: DataFrame, labels: DataFrame, fence: float = FENCE, short: int
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; of a repeated doc_id all rows stay or go with the best of them."""
-    stay = quality(docs, labels).filter("kept").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(stay, docs["doc_id"] == stay["_keep"], "left_semi")
+    """The documents that are kept, with all their columns; of a repeated doc_id all rows stay or go with the best of them.
+
+    Rows with a null doc_id are told apart by a hash of their text and language.
+    """
+    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string")
+    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text, lang))
+    stay = quality(docs.select(row.alias("doc_id"), "text", "lang"), labels).filter("kept").select(F.col("doc_id").alias(keep := f"keep_{uuid.uuid4().hex}")).distinct()
+    return docs.join(stay, row == F.col(keep), "left_semi")

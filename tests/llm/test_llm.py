@@ -465,6 +465,16 @@ def test_pipeline(spark, folder):
     assert got == brute.bpe(rows, queries.tokenizer("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def test_stages_lose_no_text_of_a_null_or_repeated_id(spark, labels, asked):
+    rows = [(1, "alpha beta gamma delta epsilon zeta", "en"), (2, "alpha beta gamma  delta epsilon zeta", "en"), (2, "a quite different text about the sea", "en"), (3, "one more text of its own, on hills", "en"), (3, "another text that hill has none of", "en"), (None, "a text without an id, alone in here", "en"), (None, None, None)]
+    frame = docs(spark, rows, "doc_id bigint, text string, lang string")
+    plain = lambda out: sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+    want = sorted((d or 0, t or "") for i, (d, t, _) in enumerate(rows) if i != 1)
+    assert plain(exact_dedup.deduplicated(frame.union(frame))) == want
+    nulls = {(0, ""), (0, rows[5][1])}
+    assert nulls <= set(plain(minhash.one_of_each(frame))) and nulls <= set(plain(quality.good(frame, labels))) and nulls <= set(plain(decontaminate.clean(frame, asked.limit(0))))
+
+
 def test_odd_rows_in_the_pipeline(spark, odd, labels, asked):
     import corpus_pipeline
 
