@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 
 from sitegrain.llm.common import held, texts
 
-#: Labelled documents that the model is fitted on, and characters of each.
-SAMPLE, SAMPLE_CHARS = 6_000, 20_000
+#: Labelled documents that the model is fitted on; of each, whole, its distinct buckets leave the task.
+SAMPLE = 6_000
 BUCKETS = 1 << 18
 EPOCHS, RATE, RIDGE, COUNTERFACTUAL = 200, 0.2, 1e-5, 1.0
 #: Standard deviations by which a feature's share of toxic texts must differ from the share of all, to be used at all.
@@ -116,7 +116,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[np.
         for batch in batches:
             own, other = [], []
             for text in batch.column(1):
-                words = set(_WORD.findall(text.as_py()[:SAMPLE_CHARS].lower()))
+                words = set(_WORD.findall(text.as_py().lower()))
                 own.append(buckets(words, cache).tobytes())
                 other.append(None if _SWAP.keys().isdisjoint(words) else buckets({_SWAP.get(w, w) for w in words}, cache).tobytes())
             if len(cache) > WORDS_KEPT:

@@ -356,6 +356,13 @@ def test_held_out_accuracy(spark):
     assert hit >= 0.87 * sum(r.toxic == 1 for r in rows) and hit >= 0.93 * sum(r.predicted for r in rows)
 
 
+def test_training_reads_whole_texts(spark):
+    long = "plain words of a long tale " * 1000
+    frame = docs(spark, [(i, long + ("idiots" if i % 2 else "friends"), i % 2) for i in range(60)], "doc_id bigint, text string, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.scored(docs(spark, [(1, "idiots"), (2, "friends")]), toxicity.train(frame, frame)).collect()}
+    assert score[1] > 0.5 > score[2]
+
+
 def test_identity_terms_do_not_decide(spark):
     rows = []
     for i in range(400):
