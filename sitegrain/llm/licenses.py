@@ -2,8 +2,8 @@
 
 1. A file's headers are its lines that speak of a licence, each with the line after it; a licence file (by
    its name) also counts as a whole. Long texts cost no more: only header lines leave the text.
-2. Header words that occur in any template are the vocabulary, which the templates bound. Document frequencies are counted over all headers; the TF-IDF
-   vectors of a header and of the templates meet in a join by word, and their cosines are sums of that join.
+2. Document frequencies of every word are counted over all headers and weigh as shares of them, so that the size of the table plays no part.
+   The TF-IDF vectors of a header and of the templates meet in a join by word, and their cosines are sums of that join.
 3. The best template over the threshold is the file's own licence. A licence file gives its licence to its directory; a file without an own
    licence takes that of the nearest ancestor: its path's ancestors are joined with the licensed directories, deepest first.
 
@@ -15,14 +15,14 @@ named play no part.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitegrain.llm.common import held, texts
 
 THRESHOLD = 0.5
+#: Share of headers that is added to each word's, so that the weight of a word in hardly any header stays bounded.
+RARE = 0.1
 _CUE = r"(?i)licen[sc]e|copyright|spdx|permission is|redistribut|warrant"
 _LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
@@ -92,18 +92,20 @@ def own_licences(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     template = held(template.coalesce(1))  # a few hundred rows, fixed by TEMPLATES
     # equal headers are scored once, however many files hold them
     header = rows.select(F.explode("found").alias("header")).groupBy("header").agg(F.count("*").alias("n"))
-    words = F.broadcast(template.select("word").distinct())
     # all words count towards a header's length, only template words can meet
     term = header.select("header", "n", F.explode(_words(F.col("header"))).alias("word")).groupBy("header", "n", "word").agg(F.count("*").alias("tf"))
     term = held(term)
     total = header.agg(F.sum("n").alias("t"), F.count("*")).first().t or 0
-    frequency = term.join(words, "word").groupBy("word").agg(F.sum("n").alias("df"))
-    idf = held(words.join(frequency, "word", "left").select("word", F.log((1.0 + total) / (1.0 + F.coalesce("df", F.lit(0)))).alias("idf") + 1.0).toDF("word", "idf").coalesce(1))
-    idf = F.broadcast(idf)  # the templates' vocabulary
-    # a word that no template has weighs as one of a single header
-    rare = math.log((1 + total) / 2) + 1
-    side = lambda t, *k: t.join(idf, "word", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(rare)))
-    left, right = side(term), side(template)
+    frequency = held(term.groupBy("word").agg(F.sum("n").alias("df")))
+    # by the share of headers, so that the same shares weigh the same in a table of any size
+    weight = 1 + F.log((1 + RARE) / (F.coalesce("df", F.lit(0)) / max(total, 1) + RARE))
+    usual = frequency.filter(F.col("df") * 1000 >= total).select("word").union(template.select("word")).distinct()
+    # the templates' vocabulary and words of a thousandth of all headers: so many at most as a thousand headers have words
+    usual = F.broadcast(held(usual.join(frequency, "word", "left").select("word", weight.alias("idf")).coalesce(1)))
+    side = lambda t, idf: t.join(idf, "word").withColumn("w", F.col("tf") * F.col("idf"))
+    seldom = term.join(usual, "word", "left_anti")
+    left = side(term, usual).unionByName(side(seldom, frequency.select("word", weight.alias("idf"))))
+    right = side(template, usual)
     left_norm = left.groupBy("header").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("h_norm"))
     right_norm = F.broadcast(right.groupBy("licence", "form").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm")))
     right = F.broadcast(right.select("licence", "form", "word", F.col("w").alias("t_w")))

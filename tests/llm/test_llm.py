@@ -273,6 +273,16 @@ def test_licences(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "a/b"), 5: ("Apache-2.0", None), 6: (None, None), 7: ("CC-BY-NC-4.0", None), 8: (None, None)}
 
 
+def test_a_header_scores_alike_in_tables_of_any_size(spark):
+    score = []
+    for n in (300, 30_000):
+        rows = [(i, f"d/{i}", f"Released under the {('MIT', 'Apache')[i % 2]} License." if i % 3 else f"A licence note of kind {i % 99}.") for i in range(n)]
+        rows.append((-1, "x", "Foo is released under the MIT License."))
+        frame = docs(spark, rows, "doc_id bigint, path string, text string").repartition(4)
+        score += [r.similarity for r in licenses.licences(frame).filter("doc_id = -1 AND own = 'MIT'").collect()]
+    assert len(score) == 2 and abs(score[0] - score[1]) < 0.05, score
+
+
 def test_licence_lines_in_documents(spark, middle):
     form = {"Apache License, Version 2.0": "Apache-2.0", "GNU General Public License, version 3": "GPL-3.0", "under the MIT License": "MIT", "under CC BY-NC 4.0": "CC-BY-NC-4.0"}
     want = {doc: {name for line, name in form.items() if line in text} for doc, text in held(spark, middle)}
