@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from sitegrain.llm import byte_bpe, decontaminate, exact_dedup, licenses, minhash, pii, quality, secret_scan, token_files, toxicity
+from sitegrain.llm import byte_bpe, decontaminate, exact_dedup, licenses, minhash, mixing, phrases, pii, quality, secret_scan, token_files, toxicity, whitening
 from sitegrain.llm.common import table
 from sitegrain.llm.spans import listed
 
@@ -96,7 +96,28 @@ def op10_minhash(spark, sf):
     return minhash.near_groups(table(spark, sf, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_personal_data, op4_quality, op5_exact_dedup, op6_licences, op7_decontaminate, op8_byte_bpe, op9_toxicity, op10_minhash)}
+def op11_mixing(spark, sf):
+    return mixing.taken(*mixing.mixed(table(spark, sf, "documents")))
+
+
+def op12_phrases(spark, sf):
+    return phrases.collocations(table(spark, sf, "documents"))
+
+
+def op13_whitening(spark, sf):
+    rows = whitening.lattice(table(spark, sf, "embeddings"))
+    model = whitening.fit(rows, 4)
+    if model is None:
+        return spark.createDataFrame([], "vec_id long, component int, n long, deviation long, whitened double, explained double, identity_error double")
+    parts = whitening.whitened(rows, model).select("vec_id", "deviation", F.posexplode("whitened").alias("k", "whitened"))
+    explained = F.array(*[F.lit(float(e) / model.trace if model.trace > 0 else 0.0) for e in model.values])
+    return parts.select(
+        "vec_id", (F.col("k") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), F.expr("try_cast(deviation AS long)").alias("deviation"),
+        "whitened", F.get(explained, "k").alias("explained"), F.lit(model.error).cast("double").alias("identity_error"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_secrets, op2_token_files, op3_personal_data, op4_quality, op5_exact_dedup, op6_licences, op7_decontaminate, op8_byte_bpe, op9_toxicity, op10_minhash, op11_mixing, op12_phrases, op13_whitening)}
 
 ORACLE = {
     "op5_exact_dedup": """
