@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.functions.ordering import asof_join
 from sitegrain.rules import prompts as rules
+from sitegrain.streaming import relaxation
 
 
 def yes_no(text: Column) -> Column:
@@ -20,22 +22,47 @@ def yes_no(text: Column) -> Column:
     )
 
 
-def apply_verdicts(sites: DataFrame, verdicts: DataFrame, relax_level: int = 0) -> DataFrame:
-    """Adds ``passed`` and ``verdict_score`` (3 yes, 1 unclear, 0 no or failed) from verdicts(intent_id, domain, raw, error).
-
-    A verdict that failed passes only at relaxation level 2 or above; a site without verdict does not pass.
-    """
+def _judged(rows: DataFrame, columns: list[str], relax_level: Column) -> DataFrame:
     answer = F.when(F.coalesce("error", F.lit("")) == "", yes_no(F.coalesce("raw", F.lit(""))))
     failed = F.coalesce("error", F.lit("")) != ""
-    rows = sites.join(verdicts.select("intent_id", "domain", "raw", "error"), ["intent_id", "domain"], "left")
     return rows.select(
-        *[F.col(c) for c in sites.columns],
-        F.when(failed, F.lit(relax_level >= 2)).otherwise(F.coalesce(answer, F.lit(False))).alias("passed"),
+        *columns,
+        F.when(failed, relax_level >= 2).otherwise(F.coalesce(answer, F.lit(False))).alias("passed"),
         F.when(failed, 0).when(answer.isNull(), 1).when(answer, 3).otherwise(0).alias("verdict_score"),
         F.left(F.trim(F.coalesce("raw", F.lit(""))), F.lit(200)).alias("verdict"),
     )
 
 
+def apply_verdicts(sites: DataFrame, verdicts: DataFrame, relax_level: int = 0) -> DataFrame:
+    """Adds ``passed`` and ``verdict_score`` (3 yes, 1 unclear, 0 no or failed) from verdicts(intent_id, domain, raw, error).
+
+    A verdict that failed passes only at relaxation level 2 or above; a site without verdict does not pass. One level
+    holds for all; see ``apply_timed_verdicts`` for each intent's level at each verdict's time.
+    """
+    rows = sites.join(verdicts.select("intent_id", "domain", "raw", "error"), ["intent_id", "domain"], "left")
+    return _judged(rows, sites.columns, F.lit(relax_level))
+
+
+def verdict_levels(verdicts: DataFrame, rejections: int = relaxation.REJECTIONS_PER_LEVEL, seconds: float | None = relaxation.SECONDS_PER_LEVEL, idle: float | None = None) -> DataFrame:
+    """Relaxation levels of each intent over time, (intent_id, ts, event_id, level), from its verdicts(intent_id, ts, event_id, raw, error).
+
+    A verdict that is not a yes is a rejection; one that failed is too, until level 2, and a pass from there on.
+    """
+    failed = F.coalesce("error", F.lit("")) != ""
+    told = verdicts.select(F.col("intent_id").alias("key"), "ts", "event_id", F.coalesce(yes_no(F.coalesce("raw", F.lit(""))), F.lit(False)).alias("passed"), failed.alias("failed"))
+    return relaxation.level_changes(*relaxation.relax_rises(told, rejections, seconds, idle=idle)).withColumnRenamed("key", "intent_id")
+
+
+def apply_timed_verdicts(sites: DataFrame, verdicts: DataFrame, levels: DataFrame) -> DataFrame:
+    """``apply_verdicts`` with the level that the intent had just before each verdict(intent_id, domain, raw, error, ts, event_id).
+
+    levels(intent_id, ts, event_id, level) hold changes, as ``verdict_levels`` gives them; before the first one it is 0.
+    """
+    rows = sites.join(verdicts.select("intent_id", "domain", "raw", "error", "ts", "event_id"), ["intent_id", "domain"], "left")
+    rows = asof_join(rows, levels.select("intent_id", "ts", "event_id", F.col("level").alias("relax_level")), ["intent_id"], ["ts", "event_id"], ties=False)
+    return _judged(rows, [c for c in sites.columns], F.coalesce("relax_level", F.lit(0)))
+
+
 def tech_summary(known: Column, targets: Column, socials: Column, hosts: Column) -> Column:
     """Readable technology findings: names, one line per target, profiles and third-party hosts.
 

@@ -92,11 +92,15 @@ def precise_leads(
     intents: DataFrame,
     verdict_rows: DataFrame,
     fields: list[str],
-    relax_level: int = 0,
+    relax_level: int | DataFrame = 0,
 ) -> DataFrame:
-    """Leads per intent that also meet the technology requirements and the judge's verdict, with every wanted contact field."""
+    """Leads per intent that also meet the technology requirements and the judge's verdict, with every wanted contact field.
+
+    relax_level is one level for all, or a table of each intent's levels over time (``verdicts.verdict_levels``).
+    """
     sites = technology_stage(qualified(candidates, pages, intents), pages, intents)
     fitting = sites.filter("all_targets_met AND tech_reason = ''").drop("targets", "known", "all_targets_met", "tech_reason")
-    passed = stored(verdicts.apply_verdicts(fitting, verdict_rows, relax_level).filter("passed"))
+    judged = verdicts.apply_verdicts if isinstance(relax_level, int) else verdicts.apply_timed_verdicts
+    passed = stored(judged(fitting, verdict_rows, relax_level).filter("passed"))
     leads = ct.complete_only(_leads(passed, pages), fields)
     return funnel.top_sites_per_intent(leads, intents).select(*LEAD, "verdict_score")

@@ -1,27 +1,81 @@
-"""Structured Streaming twins: first candidate per site, scores as pages arrive, relaxation levels, progress counts."""
+"""Structured Streaming twins: first candidate per site, scores as pages arrive, the best so far, progress counts."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.types import StructType
 
 from sitegrain.operators import funnel, score
 
-REJECTIONS_PER_LEVEL = 8
-SECONDS_PER_LEVEL = 45.0
-MAX_LEVEL = 4
-RELAX_MAX = 2
-METRICS_OFF_FROM = 3
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+class FirstInOrder(StatefulProcessor):
+    """Keeps the least candidate, in order, of a key until the watermark has passed the wait after its first one; emits it
+    once, remembers the key for a while, so that later ones are not taken for new, and then drops it."""
 
+    def __init__(self, schema: StructType, order: tuple[str, ...], wait: int, memory: int) -> None:
+        self.schema, self.order, self.wait, self.memory = schema, order, wait, memory
 
-def stream_first_per_domain(stream: DataFrame, delay: str = "1 hour", time: str = "ts") -> DataFrame:
-    """First candidate of each (intent, site) as it arrives; state is kept for the watermark's delay."""
-    return stream.withWatermark(time, delay).dropDuplicatesWithinWatermark(["intent_id", "domain"])
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.best = handle.getValueState("best", self.schema)
+        self.until = handle.getValueState("until", "at long, told boolean")
+
+    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
+        mark = timerValues.getCurrentWatermarkInMs()
+        until, told = self.until.get() if self.until.exists() else (None, False)
+        if told and until < mark:
+            # its time is over, though the timer comes only after this batch's rows
+            self.handle.deleteTimer(until)
+            self.until.clear()
+            until, told = None, False
+        best = Row(**dict(zip(self.schema.names, self.best.get()))) if self.best.exists() else None
+        for row in rows:
+            at = int(row["ts"].timestamp() * 1000)
+            if told or at < mark:
+                continue
+            if until is None:
+                until = at + self.wait
+                self.handle.registerTimer(until)
+                self.until.update((until, False))
+            if at <= until and (best is None or self._place(row) < self._place(best)):
+                best = row
+        if best is not None:
+            self.best.update(tuple(best[c] for c in self.schema.names))
+        return iter([])
+
+    def _place(self, row) -> tuple:
+        return tuple((row[c] is not None, row[c]) for c in self.order)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        at, told = self.until.get()
+        if told:
+            self.until.clear()
+            return
+        row = Row(**dict(zip(self.schema.names, self.best.get())))
+        self.best.clear()
+        self.until.update((at + self.memory, True))
+        self.handle.registerTimer(at + self.memory)
+        yield row
+
+    def close(self) -> None:
+        pass
+
+
+def stream_first_per_domain(stream: DataFrame, delay: str = "1 hour", wait: float = 3600, memory: float = 86_400) -> DataFrame:
+    """The first candidate, in query order and position, of each (intent, site), whenever it came: a stream (ts, intent_id,
+    domain, query_ord, position, url, ...).
+
+    A site's candidates are compared for ``wait`` seconds of event time after the first one to come; the least is emitted
+    once, when the watermark has passed that. Those after the wait, and for ``memory`` more seconds, are ignored, and so
+    are late ones, which the watermark has passed.
+    """
+    schema = stream.schema
+    return stream.withWatermark("ts", delay).groupBy("intent_id", "domain").transformWithState(
+        statefulProcessor=FirstInOrder(schema, funnel.ARRIVAL, int(wait * 1000), int(memory * 1000)), outputStructType=schema, outputMode="Append", timeMode="EventTime"
+    )
 
 
 def stream_scores(pages: DataFrame) -> DataFrame:
@@ -34,126 +88,36 @@ def stream_scores(pages: DataFrame) -> DataFrame:
     )
 
 
-def keep_top(folder: str, n: int) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch writer that keeps the n best (domain, confidence) rows in versioned folders.
+def keep_top(folder: str, n: int, scored: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch writer that keeps the n best rows in versioned folders, each batch scored on the way.
 
     Version v holds the state after batch v, so a batch that is run again starts from the same earlier version and
-    yields the same rows.
+    yields the same rows. Without ``scored``, batches hold confidence themselves. Of a site (and intent) that comes
+    again, the best row counts.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark: SparkSession = batch.sparkSession
-        rows = batch.select("domain", "confidence")
+        rows = scored(batch) if scored else batch
+        keys = [c for c in ("intent_id", "domain") if c in rows.columns]
+        rows = rows.select(*keys, "confidence")
         if batch_id > 0:
             rows = rows.unionByName(spark.read.parquet(f"{folder}/v={batch_id - 1}"))
-        best = rows.groupBy("domain").agg(F.max("confidence").alias("confidence"))
+        best = rows.groupBy(*keys).agg(F.max("confidence").alias("confidence"))
         funnel.top_sites(best, n).write.mode("overwrite").parquet(f"{folder}/v={batch_id}")
 
     return write
 
 
+def top_so_far(spark: SparkSession, folder: str) -> DataFrame:
+    """The newest version of a table that ``keep_top`` writes."""
+    rows = spark.read.option("basePath", folder).parquet(folder)
+    newest = rows.agg(F.max("v")).first()[0]
+    return rows.filter(F.col("v") == newest).drop("v")
+
+
 def stream_progress(events: DataFrame, window: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
     """Counts by phase per tumbling event-time window; rows later than the watermark are dropped."""
     timed = events.withWatermark("ts", delay) if events.isStreaming else events
     counts = timed.groupBy(F.window("ts", window).alias("w"), "phase").agg(F.count("*").alias("events"))
     return counts.select(F.col("w.start").alias("window_start"), "phase", "events")
-
-
-# --- relaxation level -------------------------------------------------------------------------------------------
-
-
-class RelaxationLevel(StatefulProcessor):
-    """Level per key. It rises by one after 8 rejections in a row and, when no pass came for a while, to the number of
-    45-second spans since then; a pass ends the run but never lowers the level. Rows count in their order of arrival."""
-
-    def __init__(self, rejections: int = REJECTIONS_PER_LEVEL, seconds: float | None = SECONDS_PER_LEVEL) -> None:
-        self.rejections = rejections
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState("relax", "level int, run int, since double")
-
-    def step(self, level: int, run: int, since: float, now: float, passed) -> tuple[int, int, float]:
-        if self.seconds:
-            spans = min(MAX_LEVEL, int((now - since) / self.seconds))
-            if spans > level:
-                level, run, since = spans, 0, now
-        if passed is True:
-            run, since = 0, now
-        elif passed is False:
-            run += 1
-            if run >= self.rejections and level < MAX_LEVEL:
-                level, run, since = level + 1, 0, now
-        return level, run, since
-
-    def handleInputRows(self, key, rows: Iterator, timerValues) -> Iterator:
-        import pandas as pd
-
-        known = self.state.get() if self.state.exists() else None
-        for chunk in rows:
-            chunk = chunk.sort_values(["ts", "event_id"])
-            out = []
-            for ts, event_id, passed in zip(chunk["ts"], chunk["event_id"], chunk["passed"]):
-                now = ts.timestamp()
-                level, run, since = known or (0, 0, now)
-                known = self.step(level, run, since, now, None if pd.isna(passed) else bool(passed))
-                out.append((key[0], int(event_id), known[0], min(known[0], RELAX_MAX), known[0] >= METRICS_OFF_FROM))
-            yield pd.DataFrame(out, columns=["key", "event_id", "level", "relax_level", "metrics_off"])
-        if known:
-            self.state.update(tuple(known))
-
-    def close(self) -> None:
-        pass
-
-
-RELAX_SCHEMA = "key bigint, event_id bigint, level int, relax_level int, metrics_off boolean"
-
-
-def stream_relax_level(verdicts: DataFrame, rejections: int = REJECTIONS_PER_LEVEL, seconds: float | None = SECONDS_PER_LEVEL) -> DataFrame:
-    """Relaxation level after each verdict of a stream (key, ts, event_id, passed); passed may be null."""
-    verdicts.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-    return verdicts.groupBy("key").transformWithStateInPandas(
-        statefulProcessor=RelaxationLevel(rejections, seconds),
-        outputStructType=RELAX_SCHEMA,
-        outputMode="Append",
-        timeMode="None",
-    )
-
-
-def relax_levels(verdicts: DataFrame, rejections: int = REJECTIONS_PER_LEVEL, bucket: str = "hour") -> DataFrame:
-    """Final level per key by the counting rule, as a batch: (key, level).
-
-    A run of rejections may cross any boundary, yet no key is sorted in one piece: each (key, time bucket) is reduced
-    to the rejections before its first pass, after its last one, and the levels gained in between; the buckets of a
-    key are then folded in time order.
-    """
-    def levels(count: Column) -> Column:
-        return F.floor(count / rejections).cast("bigint")
-
-    order = W.partitionBy("key", "bucket").orderBy("ts", "event_id")
-    rows = verdicts.filter("passed IS NOT NULL").withColumn("bucket", F.date_trunc(bucket, "ts"))
-    runs = (
-        rows.withColumn("part", F.sum(F.col("passed").cast("int")).over(order.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy("key", "bucket", "part")
-        .agg(F.count_if(~F.col("passed")).alias("n"))
-    )
-    # "part" numbers the stretches of a bucket: stretch 0 comes before its first pass
-    parts = runs.groupBy("key", "bucket").agg(
-        F.max("part").alias("passes"),
-        F.coalesce(F.max(F.when(F.col("part") == 0, F.col("n"))), F.lit(0)).alias("head"),
-        F.max_by("n", "part").alias("tail"),
-        F.sum(F.when(F.col("part") > 0, levels(F.col("n"))).otherwise(0)).alias("gained"),
-    )
-    inner = F.col("gained") - levels(F.col("tail"))
-    folded = parts.select("key", F.struct("bucket", "passes", "head", "tail", inner.alias("inner")).alias("b"))
-    buckets = folded.groupBy("key").agg(F.array_sort(F.collect_list("b")).alias("buckets"))
-    start = F.struct(F.lit(0).cast("bigint").alias("run"), F.lit(0).cast("bigint").alias("total"))
-
-    def fold(state: Column, b: Column) -> Column:
-        run = state["run"] + b["head"]
-        return F.when(b["passes"] == 0, F.struct(run.alias("run"), state["total"].alias("total"))).otherwise(
-            F.struct(b["tail"].alias("run"), (state["total"] + levels(run) + b["inner"]).alias("total"))
-        )
-
-    total = F.aggregate("buckets", start, fold, lambda s: s["total"] + levels(s["run"]))
-    return buckets.select("key", F.least(total, F.lit(MAX_LEVEL)).cast("int").alias("level"))

@@ -1,23 +1,26 @@
 """Registered queries for streams over the event and page files, and their batch twins with oracle SQL.
 
-A stream runs with availableNow into a fresh folder under the checkpoint directory (a temporary one where the session
+A stream runs with availableNow into a fresh folder under the checkpoint directory (a temporary one where a local session
 names none) and is read back from there.
 """
 
 from __future__ import annotations
 
-import tempfile
+import time
 import uuid
 
 from pyspark.sql import functions as F
 
-from sitegrain.streaming import streams
-from workload.funnel import LIVENESS, phase_events
+from sitegrain.operators import funnel, score, verdicts
+from sitegrain.session import scratch_folder, stored
+from sitegrain.streaming import relaxation, streams
+from workload.funnel import LIVENESS, POINTS, candidates, intents, phase_events
+from workload.funnel import ORACLE as SCORED_ORACLE
+from workload.seeded import pages_seeded
 
 
 def _folder(spark):
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sitegrain-stream-")
-    return f"{base}/{uuid.uuid4()}"
+    return f"{scratch_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def run_to_table(frame, mode="append"):
@@ -48,38 +51,105 @@ def _phases(events):
 
 
 def _verdicts(events):
+    """One key per user, as in FIXTURES: purchases pass, errors are the judge's, most other events are rejections."""
     kind = F.col("event_type")
     passed = F.when(kind == "purchase", True).when(kind == "error", False).when(F.col("event_id") % 3 > 0, False)
-    return _with_ts(events).select((F.col("user_id") % 7).alias("key"), "ts", "event_id", passed.alias("passed"))
+    return _with_ts(events).select(F.col("user_id").alias("key"), "ts", "event_id", passed.alias("passed"))
+
+
+def _failing(events):
+    """The same with errors as verdicts that failed."""
+    return _verdicts(events).withColumn("failed", (F.col("event_id") % 5 == 0) & ~F.coalesce("passed", F.lit(False)))
+
+
+def _micros(df):
+    """Timestamps as whole microseconds, and -1 for rows that no event stands for."""
+    return df.select("key", F.unix_micros("ts").alias("ts"), F.coalesce("event_id", F.lit(-1)).alias("event_id"), "level", "relax_level", "metrics_off")
 
 
 def _stream_first(s, d):
-    events = _with_ts(stream_of(s, d, "events"))
-    candidates = events.select(
-        "ts", (F.col("event_id") % 3).alias("intent_id"), F.concat(F.lit("site"), (F.col("user_id") % 50).cast("string")).alias("domain")
+    """Candidates of the pages in four files out of order, an hour apart at most; the last row moves the watermark on."""
+    folder = _folder(s)
+    rows = candidates(s, d).select(
+        (F.timestamp_seconds(F.lit(1_700_000_000) + F.col("page_id") * 7919 % 3600)).alias("ts"), "intent_id", "domain", "query_ord", "position", "url", F.col("page_id").cast("long").alias("page_id"),
     )
-    return run_to_table(streams.stream_first_per_domain(candidates, "3650 days")).select("intent_id", "domain")
+    rows = stored(funnel.within_query_cap(rows))
+    for part in range(4):
+        some = rows.filter(F.col("page_id") % 4 == part)
+        if part == 3:
+            some = some.unionByName(some.limit(1).withColumns({"ts": F.timestamp_seconds(F.lit(1_700_000_000 + 5 * 3600)), "domain": F.lit("last.example")}))
+        some.coalesce(1).write.mode("append").parquet(folder)
+        time.sleep(0.01)  # the source takes files by their time
+    stream = s.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    return streams.stream_first_per_domain(stream, "2 hours", wait=3600)
+
+
+def _first_rows(s, d):
+    return run_to_table(_stream_first(s, d)).select("intent_id", "domain", "query_ord", "position", "url")
+
+
+def _top_sites(s, d):
+    """First candidates, scored batch by batch as they settle, kept as a running table of the best ten."""
+    folder, top = _folder(s), 10
+    pages, wanted, told = pages_seeded(s, d), intents(s), stored(candidates(s, d))
+
+    def scored(batch):
+        rows = told.join(batch.select("intent_id", "domain", "query_ord", "position", "url"), ["intent_id", "domain", "query_ord", "position", "url"], "left_semi")
+        return score.score_candidates(funnel.first_per_domain(rows), pages, wanted)
+
+    query = _stream_first(s, d).writeStream.foreachBatch(streams.keep_top(f"{folder}/top", top, scored)).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return streams.top_so_far(s, f"{folder}/top")
 
 
 def _stream_scores(s, d):
     rows = run_to_table(streams.stream_scores(stream_of(s, d, "pages")))
-    return rows.select("page_id", "url", (F.col("reason") == "ok").alias("alive"), "reason")
+    return rows.withColumn("alive", F.col("reason") == "ok")
 
 
 def _stream_levels(s, d):
-    levels = run_to_table(streams.stream_relax_level(_verdicts(stream_of(s, d, "events")), seconds=None))
+    levels = run_to_table(relaxation.stream_relax_level(_verdicts(stream_of(s, d, "events")), seconds=None))
     return levels.groupBy("key").agg(F.max("level").alias("level"))
 
 
+#: Seconds per level of the timed entries: events of one user are hours apart.
+DAY_AND_HALF = 129_600.0
+
+
+def _stream_time_levels(s, d):
+    return _micros(run_to_table(relaxation.stream_relax_level(_failing(stream_of(s, d, "events")), seconds=DAY_AND_HALF)))
+
+
+def _time_levels(s, d):
+    rows = relaxation.time_levels(_failing(s.read.parquet(f"{d}/events.parquet")), seconds=DAY_AND_HALF)
+    return rows.select("key", "event_id", "level")
+
+
+def _timed_verdicts(s, d):
+    """Sites judged one by one: each event is the verdict on a site of its own, for the intent of its user."""
+    kind, i = F.col("event_type"), F.col("event_id")
+    raw = F.when(kind == "purchase", "Sí, claro").when((kind == "error") | (i % 3 > 0), "No, no encaja.").otherwise("quizás")
+    error = F.when((i % 5 == 0) & (kind != "purchase"), "timeout")
+    told = _with_ts(s.read.parquet(f"{d}/events.parquet")).select(
+        F.col("user_id").alias("intent_id"), F.concat(F.lit("site"), i).alias("domain"), F.when(error.isNull(), raw).alias("raw"), error.alias("error"), "ts", "event_id"
+    )
+    levels = verdicts.verdict_levels(told, seconds=DAY_AND_HALF)
+    return verdicts.apply_timed_verdicts(told.select("intent_id", "domain"), told, levels)
+
+
 def _text(df):
     return df.withColumn("window_start", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss"))
 
 
 QUERIES = {
-    "s1_stream_first_per_domain": _stream_first,
+    "s1_stream_first_per_domain": _first_rows,
     "s2_stream_scores": _stream_scores,
-    "s3_relax_levels": lambda s, d: streams.relax_levels(_verdicts(s.read.parquet(f"{d}/events.parquet"))),
+    "s2_top_sites": _top_sites,
+    "s3_relax_levels": lambda s, d: relaxation.relax_levels(_verdicts(s.read.parquet(f"{d}/events.parquet"))),
     "s3_stream_relax_level": _stream_levels,
+    "s3_time_levels": _time_levels,
+    "s3_stream_time_levels": _stream_time_levels,
+    "j8_apply_verdicts_levels": _timed_verdicts,
     "s4_progress": lambda s, d: _text(streams.stream_progress(phase_events(s, d))),
     "s4_stream_progress": lambda s, d: _text(run_to_table(streams.stream_progress(_phases(stream_of(s, d, "events"))))),
 }
@@ -88,17 +158,47 @@ QUERIES = {
 
 _phase = "CASE event_type WHEN 'error' THEN 'phase1' WHEN 'click' THEN 'phase2' WHEN 'purchase' THEN 'done' ELSE 'phase3' END"
 _progress = f"""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, {_phase} AS phase, count(*) AS events FROM events GROUP BY date_trunc('hour', ts), 2"""
-LEVELS = """WITH v AS (SELECT user_id % 7 AS key, ts, event_id, CASE WHEN event_type = 'purchase' THEN TRUE WHEN event_type = 'error' THEN FALSE WHEN event_id % 3 > 0 THEN FALSE END AS passed FROM events),
+LEVELS = """WITH v AS (SELECT user_id AS key, ts, event_id, CASE WHEN event_type = 'purchase' THEN TRUE WHEN event_type = 'error' THEN FALSE WHEN event_id % 3 > 0 THEN FALSE END AS passed FROM events{settled}),
  islands AS (SELECT key, passed, count(*) FILTER (passed) OVER (PARTITION BY key ORDER BY ts, event_id) AS island FROM v WHERE passed IS NOT NULL),
  runs AS (SELECT key, island, count(*) FILTER (NOT passed) // 8 AS gained FROM islands GROUP BY ALL)
- SELECT key, CAST(least(4, sum(gained)) AS INTEGER) AS level FROM runs GROUP BY key"""
+ SELECT k.key, CAST(least(4, coalesce(sum(gained), 0)) AS INTEGER) AS level FROM (SELECT DISTINCT key FROM v{some}) k LEFT JOIN runs r ON r.key = k.key GROUP BY k.key"""
+#: What the watermark has passed when all is read: ten minutes before the last event, in whole milliseconds.
+SETTLED = " WHERE epoch_ms(ts) < (SELECT max(epoch_ms(ts)) FROM events) - 600000"
+BAD = "event_type = 'error' OR event_id % 3 > 0"
+_span = int(DAY_AND_HALF * 1_000_000)
+# one step per event of a key: what the clock raised since the one before (r1 to r4 are the times of the next rises), then the event itself
+STEPS = f"""WITH RECURSIVE v AS (SELECT user_id AS key, epoch_us(ts) AS ts, event_id, event_type = 'purchase' AS good, event_type <> 'purchase' AND event_id % 5 = 0 AS failed,
+  {{bad}} AS bad, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events{{settled}}),
+ step AS (
+  SELECT key, n, ts, event_id, 0 AS waited, -1::BIGINT AS before, ts AS clock, good AS passed, failed, 0 AS level, CASE WHEN good THEN 0 WHEN bad OR failed THEN 1 ELSE 0 END AS run, ts AS since FROM v WHERE n = 1
+  UNION ALL
+  SELECT key, n, ts, event_id, up, level, since, passed, failed, CASE WHEN up < 4 AND rejected AND run + 1 >= 8 THEN up + 1 ELSE up END,
+   CASE WHEN passed OR (up < 4 AND rejected AND run + 1 >= 8) THEN 0 WHEN rejected THEN run + 1 ELSE run END,
+   CASE WHEN passed OR (up < 4 AND rejected AND run + 1 >= 8) THEN ts ELSE began END
+  FROM (SELECT v.key, v.n, v.ts, v.event_id, v.failed, s.level, s.since, up, good OR (v.failed AND up >= 2) AS passed, NOT good AND (v.failed OR bad) AND NOT (v.failed AND up >= 2) AS rejected,
+    CASE WHEN up > s.level THEN 0 ELSE s.run END AS run, s.since + {_span} * (up * (up + 1) - s.level * (s.level + 1)) // 2 AS began
+   FROM (SELECT *, (SELECT max(l) FROM range(5) r(l) WHERE l >= step.level AND (l = step.level OR step.since + {_span} * (l * (l + 1) - step.level * (step.level + 1)) // 2 <= (SELECT w.ts FROM v w WHERE w.key = step.key AND w.n = step.n + 1))) AS up FROM step) s
+   JOIN v ON v.key = s.key AND v.n = s.n + 1))"""
+TIMED = (
+    STEPS.format(settled=SETTLED, bad=BAD)
+    + f""", mark AS (SELECT (max(epoch_ms(ts)) - 600000) * 1000 AS w FROM events),
+ waits AS (SELECT key, before AS level, clock AS since, ts AS until FROM step WHERE n > 1 UNION ALL SELECT key, level, since, w - 1 FROM step, mark QUALIFY row_number() OVER (PARTITION BY key ORDER BY n DESC) = 1),
+ rises AS (SELECT key, since + {_span} * (l * (l + 1) - level * (level + 1)) // 2 AS ts, -1::BIGINT AS event_id, l AS level, until FROM waits, range(1, 5) r(l) WHERE l > level),
+ told AS (SELECT key, ts, event_id, level FROM step UNION ALL SELECT key, ts, event_id, level FROM rises WHERE ts <= until)
+ SELECT key, ts, event_id, CAST(level AS INTEGER) AS level, CAST(least(level, 2) AS INTEGER) AS relax_level, level >= 3 AS metrics_off FROM told"""
+)
 ORACLE = {
-    "s1_stream_first_per_domain": "SELECT DISTINCT event_id % 3 AS intent_id, 'site' || user_id % 50 AS domain FROM events",
-    "s3_relax_levels": LEVELS,
-    "s3_stream_relax_level": LEVELS,
+    "s3_relax_levels": LEVELS.format(settled="", some=" WHERE passed IS NOT NULL"),
+    "s3_stream_relax_level": LEVELS.format(settled=SETTLED, some=""),
+    "s3_time_levels": STEPS.format(settled="", bad=BAD) + " SELECT key, event_id, CAST(level AS INTEGER) AS level FROM step",
+    "s3_stream_time_levels": TIMED,
+    "j8_apply_verdicts_levels": STEPS.format(settled="", bad="event_type <> 'purchase'") + """ SELECT key AS intent_id, 'site' || s.event_id AS domain, passed, CASE WHEN failed THEN 0 WHEN passed THEN 3 WHEN event_type = 'error' OR s.event_id % 3 > 0 THEN 0 ELSE 1 END AS verdict_score,
+ CASE WHEN failed THEN '' WHEN passed THEN 'Sí, claro' WHEN event_type = 'error' OR s.event_id % 3 > 0 THEN 'No, no encaja.' ELSE 'quizás' END AS verdict FROM step s JOIN events e ON e.event_id = s.event_id""",
     "s4_progress": _progress,
     "s4_stream_progress": _progress + " HAVING date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 10 MINUTE",
 }
 ORACLE["s2_stream_scores"] = (
-    "WITH pages_seeded AS (SELECT page_id, url, html FROM pages), " + LIVENESS + " SELECT page_id, url, reason = 'ok' AS alive, reason FROM liveness"
+    "WITH pages_seeded AS (SELECT page_id, url, html FROM pages), " + LIVENESS + ", " + POINTS + " SELECT l.page_id, url, reason, reason = 'ok' AS alive, ecommerce, saas, agencia, other, info_penalty FROM liveness l JOIN points p ON p.page_id = l.page_id"
 )
+ORACLE["s2_top_sites"] = SCORED_ORACLE["l1_top_sites"]
+ORACLE["s1_stream_first_per_domain"] = "SELECT intent_id, domain, query_ord, position, url FROM (" + SCORED_ORACLE["w1_first_per_domain"] + ")"
