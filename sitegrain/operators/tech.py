@@ -6,7 +6,7 @@ so a site that owns a large share of all pages is reduced before the shuffle.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitegrain.functions import markup as m
@@ -23,6 +23,7 @@ from sitegrain.functions.patterns import (
     rules_hit,
 )
 from sitegrain.functions.urls import asset_host, host_suffixes, path_of
+from sitegrain.operators import postings
 from sitegrain.operators.structure import inline_of, ld_blocks, with_assets
 from sitegrain.rules import tech as rules
 from sitegrain.sources.pages import with_domain, with_skeleton
@@ -60,8 +61,20 @@ def with_fingerprints(pages: DataFrame, sets: tuple[str, ...] = ("page", "tools"
     return staged.withColumn("prints", hits)
 
 
-def detect_fingerprints(pages: DataFrame, sets: tuple[str, ...] = ("page", "tools", "words")) -> DataFrame:
-    """(page_id, domain, rule_set, tech, category), one row per rule that hits the page."""
+def fingerprint_rules(spark: SparkSession, sets: tuple[str, ...] = ("page", "tools", "words")) -> DataFrame:
+    """The built-in rules as a table, in the form that ``detect_fingerprints`` takes."""
+    rows = [(name, tech, category, list(patterns)) for name in sets for tech, category, patterns in RULE_SETS[name]]
+    return spark.createDataFrame(rows, "rule_set string, tech string, category string, patterns array<string>")
+
+
+def detect_fingerprints(pages: DataFrame, sets: tuple[str, ...] | DataFrame = ("page", "tools", "words")) -> DataFrame:
+    """(page_id, domain, rule_set, tech, category), one row per rule that hits the page.
+
+    Instead of names of built-in sets, a table of rules(rule_set, tech, category, patterns ARRAY<STRING>) of any size may
+    be given; its posting index is made when this is called.
+    """
+    if isinstance(sets, DataFrame):
+        return postings.fingerprints(with_domain(pages), postings.fingerprint_index(sets, pages))
     staged = with_fingerprints(with_domain(pages), sets)
     return m.rows_of(staged, "prints", "page_id", "domain").select("page_id", "domain", "item.*")
 
@@ -74,8 +87,19 @@ def tech_of_host(host: Column) -> Column:
     return F.coalesce(F.try_element_at(exact, host), F.get(under, F.lit(0))["label"])
 
 
-def detect_hosts(assets: DataFrame) -> DataFrame:
-    """Adds ``tech`` to third-party assets; assets of unknown hosts are dropped."""
+def detect_hosts(assets: DataFrame, host_tech: DataFrame | None = None) -> DataFrame:
+    """Adds ``tech`` to third-party assets; assets of unknown hosts are dropped.
+
+    With a table host_tech(ord, host, tech), the distinct hosts' suffixes meet it by equality: the exact host first,
+    else the row with the least ord that the host is under.
+    """
+    if host_tech is not None:
+        hosts = assets.select("host").distinct().withColumn("suffix", F.explode(host_suffixes(F.col("host"))))
+        rows = hosts.join(host_tech.select(F.col("host").alias("suffix"), "ord", F.col("tech").alias("of_host")), "suffix")
+        # of an exact host the last row counts, as in a map; of those it is under, the first
+        exact = F.col("suffix") == F.col("host")
+        best = rows.groupBy("host").agg(F.coalesce(F.max_by("of_host", F.when(exact, F.col("ord"))), F.min_by("of_host", "ord")).alias("tech"))
+        return assets.join(best, "host").select(*assets.columns, "tech")
     return assets.withColumn("tech", tech_of_host(F.col("host"))).filter(F.col("tech").isNotNull())
 
 
@@ -253,8 +277,20 @@ def category_of(tech: Column) -> Column:
     return F.coalesce(F.try_element_at(exact, low), F.get(near, F.lit(0))["label"], known)
 
 
-def categorize(tech: DataFrame) -> DataFrame:
-    """Adds ``category`` to every technology name, row by row: an exact name costs one map lookup."""
+def categorize(tech: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """Adds ``category`` to every technology name, row by row: an exact name costs one map lookup.
+
+    With a table(ord, name, category) the distinct names meet it: the exact name first, else the row with the least ord
+    that holds the name or is held by it (a posting index finds those). Names are in lower case.
+    """
+    if table is not None:
+        names = tech.select(F.lower("tech").alias("low")).distinct()
+        pairs = postings.either_holds(names, "low", table.select("ord", "name", F.col("category").alias("of_name")), "name")
+        exact = F.col("name") == F.col("low")
+        best = pairs.groupBy("low").agg(F.coalesce(F.max_by("of_name", F.when(exact, F.col("ord"))), F.min_by("of_name", "ord")).alias("category"))
+        known = F.coalesce(*[F.when(contains_any(F.col("low"), words), F.lit(category)) for category, words in rules.KNOWN_NAMES])
+        best = names.join(best, "low", "left").select("low", F.coalesce("category", known).alias("category"))
+        return tech.join(best, F.lower(tech["tech"]) == best["low"], "left").select(*[tech[c] for c in tech.columns if c != "category"], best["category"])
     return tech.withColumn("category", category_of(F.col("tech")))
 
 
@@ -266,8 +302,12 @@ def categories_of_detection(detections: DataFrame) -> DataFrame:
     return detections.select("id", "tech", F.explode(every).alias("category")).distinct()
 
 
-def categorize_multi(tech: DataFrame) -> DataFrame:
-    """(tech, category) for every category the name belongs to."""
+def categorize_multi(tech: DataFrame, table: DataFrame | None = None) -> DataFrame:
+    """(tech, category) for every category the name belongs to; a table(name, category) may be given, names in lower case."""
+    if table is not None:
+        names = tech.select("tech").distinct().withColumn("low", F.lower("tech"))
+        pairs = postings.either_holds(names.select("low").distinct(), "low", table.select("name", "category"), "name")
+        return names.join(pairs, "low").select("tech", "category").distinct()
     low = F.lower("tech")
     rows = [(name.lower(), category) for category, names in rules.MULTI_CATEGORIES for name in names]
     hits = F.filter(_table(rows), lambda r: F.contains(low, r["name"]) | F.contains(r["name"], low))

@@ -21,6 +21,11 @@ def detections(spark, d):
     return tech.page_detections(pages_seeded(spark, d))
 
 
+def category_table(spark):
+    rows = [(name, category) for category, names in rules.CATEGORY_NAMES for name in names]
+    return spark.createDataFrame([(i, n, c) for i, (n, c) in enumerate(rows)], "ord int, name string, category string")
+
+
 def sites(spark, d):
     pages = with_domain(pages_seeded(spark, d).select("page_id", "url"))
     return pages.select((F.col("page_id") % 3).alias("intent_id"), "domain").distinct()
@@ -48,6 +53,14 @@ def _signals(s, d):
 
 QUERIES = {
     "t1_fingerprints": lambda s, d: tech.detect_fingerprints(pages_seeded(s, d)),
+    "t1_fingerprints_table": lambda s, d: tech.detect_fingerprints(pages_seeded(s, d), tech.fingerprint_rules(s)),
+    "t2_hosts_table": lambda s, d: tech.detect_hosts(
+        st.page_assets(pages_seeded(s, d)), s.createDataFrame([(i, h, t) for i, (h, t) in enumerate(rules.HOST_TECH)], "ord int, host string, tech string")
+    ),
+    "t7_categorize_table": lambda s, d: tech.categorize(detections(s, d), category_table(s)),
+    "t8_multi_table": lambda s, d: tech.categorize_multi(
+        detections(s, d), s.createDataFrame([(n.lower(), c) for c, names in rules.MULTI_CATEGORIES for n in names], "name string, category string")
+    ),
     "t2_hosts": lambda s, d: tech.detect_hosts(st.page_assets(pages_seeded(s, d))),
     "t3_inline": lambda s, d: tech.detect_inline(pages_seeded(s, d)),
     "t4_marketing_signals": _signals,
@@ -277,3 +290,5 @@ ORACLE = {
         "markup", ctes=FILTER,
     ),
 }
+# the same rules given as a table must find the same
+ORACLE |= {"t1_fingerprints_table": ORACLE["t1_fingerprints"], "t2_hosts_table": ORACLE["t2_hosts"], "t7_categorize_table": ORACLE["t7_categorize"], "t8_multi_table": ORACLE["t8_categorize_multi"]}
