@@ -66,3 +66,23 @@ def host_suffixes(host: Column) -> Column:
         F.sequence(F.lit(1), F.size(labels)),
         lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."),
     )
+
+
+def url_key(url: Column) -> Column:
+    """What URLs of one page have in common: host without "www." and default port, path with its steps folded and no final
+    slash, query; no scheme, no fragment. Null when the text holds no host.
+    """
+    full = F.trim(F.when(F.contains(url, F.lit("://")), url).otherwise(F.concat(F.lit("https://"), url)))
+    bare = F.regexp_replace(full, "#.*$", "")
+    port = F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#:\s]+:(\d+)", 1)
+    usual = (port == "") | ((port == "80") & bare.rlike("(?i)^http:")) | ((port == "443") & bare.rlike("(?i)^https:"))
+    query = F.regexp_extract(bare, r"\?(.+)$", 1)
+    steps = F.split(F.regexp_extract(bare, r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*([^?#]*)", 1), "/")
+
+    def step(kept: Column, name: Column) -> Column:
+        up = F.slice(kept, 1, F.greatest(F.size(kept) - 1, F.lit(0)))
+        return F.when(name == "..", up).when(name.isin("", "."), kept).otherwise(F.concat(kept, F.array(name)))
+
+    path = F.aggregate(steps, F.array().cast("array<string>"), step)
+    tail = F.concat(F.when(usual, F.lit("")).otherwise(F.concat(F.lit(":"), port)), F.concat(F.lit("/"), F.array_join(path, "/")), F.when(query == "", F.lit("")).otherwise(F.concat(F.lit("?"), query)))
+    return F.concat(host_of(url), tail)

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.functions.urls import url_key
 from sitegrain.operators import audit
 from sitegrain.operators import contacts as ct
 from sitegrain.operators import structure as st
 from sitegrain.operators import tech
+from sitegrain.operators.redirects import redirect_ends
 from sitegrain.rules import tech as tech_rules
 from sitegrain.sources.pages import with_skeleton
 
@@ -45,6 +47,7 @@ def site_audit(pages: DataFrame, infra: DataFrame | None = None, files: DataFram
     """One row per site (of the listed domains, or of all) with its facts and ordered alerts.
 
     infra and files come from ``infra_facts`` and ``site_files``. Each side has one row per site before it is joined.
+    Pages with ``status`` and ``final_url`` add where the home page's redirects end: http_status, final_url, redirects.
     """
     sources = ct.contact_sources(pages)
     if domains is not None:
@@ -58,6 +61,9 @@ def site_audit(pages: DataFrame, infra: DataFrame | None = None, files: DataFram
         rows = rows.join(infra, "domain", "left")
     else:
         rows = rows.withColumn("ssl_days_remaining", F.lit(None).cast("int")).withColumn("ssl_valid", F.lit(None).cast("boolean"))
+    if {"status", "final_url"} <= set(pages.columns):
+        ends = redirect_ends(pages).select(F.col("url_key").alias("_key"), "http_status", "final_url", "redirects", F.col("cyclic").alias("redirects_in_circle"))
+        rows = rows.withColumn("_key", url_key(F.col("url"))).join(ends, "_key", "left").drop("_key")
     if files is not None:
         rows = rows.join(files, "domain", "left")
     return audit.alerts(rows)

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sitegrain.functions.urls import url_key
 from sitegrain.operators import contacts as ct
 from sitegrain.operators import funnel, score, tech, verdicts
 from sitegrain.operators.structure import with_assets
@@ -27,10 +28,12 @@ def narrowed(candidates: DataFrame, intents: DataFrame) -> DataFrame:
 
 
 def with_page_ids(candidates: DataFrame, pages: DataFrame) -> DataFrame:
-    """Candidates with the stored page of their URL (the lowest id if it was stored twice); null when not stored."""
-    stored = pages.select("url", "page_id").join(candidates.select("url").distinct(), "url", "left_semi")
-    ids = stored.groupBy("url").agg(F.min("page_id").alias("page_id"))
-    return candidates.drop("page_id").join(ids, "url", "left")
+    """Candidates with the stored page of their URL (the lowest id of those whose URLs mean one page, see ``url_key``); null when not stored."""
+    key = url_key(F.col("url"))
+    keyed = candidates.drop("page_id").withColumn("_key", key)
+    stored = pages.select(key.alias("_key"), "page_id").join(keyed.select("_key").distinct(), "_key", "left_semi")
+    ids = stored.groupBy("_key").agg(F.min("page_id").alias("page_id"))
+    return keyed.join(ids, "_key", "left").drop("_key")
 
 
 def picked(pages: DataFrame, ids: DataFrame) -> DataFrame:

@@ -258,8 +258,7 @@ SHARE_PARTS = [
 ]
 SOCIAL_WORDS = ["social", "linkedin", "instagram", "facebook", "twitter", "x.com", "youtube", "tiktok"]
 
-# Technology names per category, in matching order. Names that the contains rule already puts into
-# the same category (an earlier name is part of them) are left out.
+# Technology names per category, in matching order.
 CATEGORY_NAMES = [
     ("payment", ["paypal", "stripe", "square", "braintree", "adyen", "klarna", "afterpay", "affirm", "redsys", "bizum",
                  "mollie", "worldpay", "checkout.com", "razorpay", "mercadopago", "mercado pago", "apple pay", "google pay",
@@ -269,21 +268,21 @@ CATEGORY_NAMES = [
     ("email_marketing", ["mailchimp", "klaviyo", "activecampaign", "convertkit", "sendinblue", "brevo", "getresponse", "drip",
                          "constant contact", "aweber", "omnisend", "moosend", "mailerlite", "campaign monitor", "sendgrid",
                          "mailjet", "emma", "dotdigital"]),
-    ("live_chat", ["intercom", "drift", "crisp", "zendesk", "tidio", "tawk", "livechat", "freshchat",
+    ("live_chat", ["intercom", "drift", "crisp", "zendesk chat", "zendesk", "tidio", "tawk.to", "tawk", "livechat", "freshchat",
                    "olark", "chatra", "userlike", "smartsupp", "customerly", "helpcrunch", "gorgias", "zopim", "purechat",
                    "jivochat", "chaport", "comm100"]),
     ("analytics", ["google analytics", "google tag manager", "gtm", "ga4", "hotjar", "mixpanel", "amplitude", "heap",
-                   "fullstory", "mouseflow", "crazy egg", "clarity", "smartlook", "matomo", "plausible", "fathom", "segment",
+                   "fullstory", "mouseflow", "crazy egg", "microsoft clarity", "clarity", "smartlook", "matomo", "plausible", "fathom", "segment",
                    "piwik", "clicky", "statcounter", "woopra", "kissmetrics"]),
     ("ecommerce", ["shopify", "woocommerce", "magento", "prestashop", "bigcommerce", "opencart", "vtex", "salesforce commerce",
                    "sap commerce", "wix stores", "squarespace commerce", "ecwid", "volusion", "3dcart", "nopcommerce",
                    "cs-cart", "oscommerce", "zen cart", "x-cart"]),
     ("cms", ["wordpress", "joomla", "drupal", "wix", "squarespace", "webflow", "ghost", "contentful", "strapi", "sanity",
              "prismic", "typo3", "sitecore", "kentico", "umbraco", "hubspot cms", "concrete5", "craft cms", "blogger", "medium"]),
-    ("frameworks", ["react", "vue", "angular", "next.js", "nuxt", "gatsby", "svelte", "ember", "backbone"]),
+    ("frameworks", ["react", "vue", "vue.js", "angular", "next.js", "nuxt", "nuxt.js", "gatsby", "svelte", "ember", "backbone"]),
     ("javascript_libraries", ["jquery"]),
-    ("frameworks", ["bootstrap", "tailwind", "foundation", "bulma", "materialize"]),
-    ("cdn", ["cloudflare", "akamai", "fastly", "cloudfront", "keycdn", "stackpath", "bunnycdn", "jsdelivr", "unpkg"]),
+    ("frameworks", ["bootstrap", "tailwind", "tailwindcss", "foundation", "bulma", "materialize"]),
+    ("cdn", ["cloudflare", "akamai", "fastly", "amazon cloudfront", "cloudfront", "keycdn", "stackpath", "bunnycdn", "jsdelivr", "unpkg"]),
     ("hosting", ["aws", "amazon web services", "google cloud", "azure", "vercel", "netlify", "heroku", "digitalocean",
                  "linode", "godaddy", "bluehost", "siteground", "wpengine", "kinsta", "flywheel"]),
     ("security", ["hsts", "cloudflare bot management", "recaptcha", "hcaptcha", "auth0", "okta", "onelogin",

@@ -6,9 +6,12 @@ yields no rows instead of failing the job.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.functions.ordering import numbered
 from sitegrain.functions.patterns import constant, constant_map
 from sitegrain.functions.urls import host_of
 from sitegrain.rules import records as rules
@@ -279,17 +282,19 @@ def infra_facts(observations: DataFrame, as_of: str) -> DataFrame:
     )
 
 
-def read_domain_list(spark: SparkSession, path: str, cap: int | None = None, csv: bool = False) -> DataFrame:
-    """Domains of a text file in file order: trimmed, blanks dropped, in CSV mode without lines that say "domain".
+def read_domain_list(spark: SparkSession, path: str | list[str], cap: int | None = None, csv: bool = False) -> DataFrame:
+    """(place, domain) of text files, in order: trimmed, blanks dropped, in CSV mode without lines that say "domain".
 
-    A list is one small file; its order is the row's place in it, and a cap keeps the first ones.
+    Files come in the order of the given paths, then by name; lines as they stand in them. Places count from 1 what is
+    kept, over all files, and a cap keeps the first ones: a number per range of lines is all that meets in one task.
     """
-    lines = spark.read.text(path).select(F.trim("value").alias("line"), F.monotonically_increasing_id().alias("place"))
-    kept = lines.filter("line <> ''")
+    paths = [path] if isinstance(path, str) else path
+    told = [spark.read.text(p).select(F.lit(i).alias("given"), F.trim("value").alias("domain"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")) for i, p in enumerate(paths)]
+    lines = functools.reduce(DataFrame.unionByName, told).filter("domain <> ''")
     if csv:
-        kept = kept.filter(~F.contains(F.lower("line"), F.lit("domain"))).withColumn("line", F.trim(F.substring_index("line", ",", 1)))
-    kept = kept.select("place", F.col("line").alias("domain"))
-    return kept.orderBy("place").limit(cap) if cap else kept
+        lines = lines.filter(~F.contains(F.lower("domain"), F.lit("domain"))).withColumn("domain", F.trim(F.substring_index("domain", ",", 1)))
+    kept = numbered(lines, "place", *map(F.col, ("given", "file", "block", "row"))).select("place", "domain")
+    return kept.filter(F.col("place") <= cap) if cap else kept
 
 
 def meets_criteria(metrics: DataFrame, criteria: dict) -> DataFrame:

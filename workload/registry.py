@@ -5,9 +5,9 @@ from __future__ import annotations
 from pathlib import Path
 
 from sitegrain.session import tune
-from workload import contacts, funnel, prompts, records, streams, structure, tech
+from workload import contacts, funnel, prompts, records, sites, streams, structure, tech
 
-MODULES = [structure, tech, funnel, contacts, records, prompts, streams]
+MODULES = [structure, tech, funnel, contacts, records, prompts, streams, sites]
 
 
 ROOT = str(Path(__file__).resolve().parent.parent)
