@@ -337,6 +337,9 @@ def site_tech(detections: DataFrame) -> DataFrame:
     )
 
 
+#: Parts that a site's evidence is dealt into.
+SALTS = 16
+
 CATEGORIES = [
     "cms", "ecommerce", "crm", "email_marketing", "marketing_automation", "analytics", "live_chat", "payment", "frameworks",
     "javascript_libraries", "cdn", "hosting", "security", "customer_support",
@@ -478,15 +481,28 @@ def target_evidence(targets: DataFrame, sites: DataFrame, tech: DataFrame, page_
         .groupBy("intent_id", "domain")
         .agg(F.array_sort(F.collect_list(F.struct("ord", "target"))).alias("open"))
     )
-    # most evidence repeats on every page of a site; one row per site and text is what the join sees
-    distinct_evidence = page_evidence.groupBy("domain", "rank", "source", "blob", "shown").agg(F.min("page_id").alias("page_id"))
-    first_named = F.get(F.filter("open", lambda t: F.contains(F.col("blob"), F.lower(t["target"]))), F.lit(0))
+    # evidence meets the words that any intent still looks for on its site, a salt of the site at a time; which of them it
+    # names is all that is left of its text, so a site is reduced to its best evidence per set of words before it moves on
+    salt = F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt")
+    words = open_targets.select("domain", F.explode("open").alias("o")).groupBy("domain").agg(F.array_sort(F.collect_set(F.lower("o.target"))).alias("words"))
+    words = words.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = (
+        page_evidence.select("domain", "rank", "source", "blob", "shown", "page_id", salt)
+        .join(words, ["domain", "salt"])
+        .withColumn("named", F.filter("words", lambda w: F.contains(F.col("blob"), w)))
+        .filter(F.size("named") > 0)
+        .groupBy("domain", "named", "salt")
+        .agg(F.min(F.struct("rank", "page_id", "shown", "source")).alias("best"))
+        .groupBy("domain", "named")
+        .agg(F.min("best").alias("best"))
+    )
+    first_named = F.get(F.filter("open", lambda t: F.array_contains("named", F.lower(t["target"]))), F.lit(0))
     by_page = (
-        distinct_evidence.join(open_targets, "domain")
+        named.join(open_targets, "domain")
         .withColumn("hit", first_named)
         .filter("hit IS NOT NULL")
         .groupBy("intent_id", "domain", F.col("hit.ord").alias("ord"))
-        .agg(F.min(F.struct("rank", "page_id", "shown", "source")).alias("best"))
+        .agg(F.min("best").alias("best"))
     )
     return by_detector.join(by_page, ["intent_id", "domain", "ord"], "left").select(
         "intent_id",

@@ -56,3 +56,10 @@ def test_ranked_limit_comes_before_the_shuffle(spark, folder):
 def test_scan_reads_only_needed_columns(spark, folder):
     text = plan(QUERIES["u1_pages_per_domain"](spark, folder))
     assert "html" not in text.split("ReadSchema")[1]
+
+
+def test_evidence_is_not_grouped_by_its_text(spark, folder):
+    """A site with most evidence is dealt over salts, and reduced to its best per set of words; its texts are never a key."""
+    lines = [x for x in plan(QUERIES["t11_target_evidence"](spark, folder)).splitlines() if "Aggregate(" in x or "Exchange hashpartitioning" in x]
+    assert lines and not any("blob" in x.split("functions=")[0] for x in lines)
+    assert any("salt" in x for x in lines)
