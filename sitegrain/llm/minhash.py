@@ -7,9 +7,10 @@
    which in a group of edited copies is the text that they were made from. That is one candidate per member and band,
    however large the bucket. Signatures screen the candidates; full sets confirm them.
 4. Links give components by alternating large-star and small-star.
-5. Buckets that still hold several components get the rest compared: the members outside a bucket's main component
-   against all members of other components, each pair in the first band that it shares. So no link that a shared bucket
-   offers is lost, and a bucket of near copies that hang together costs nothing here.
+5. Buckets that still hold several components may hide links between members whom no pivot joins. Members of one pivot's
+   buckets are joined by a prefix filter on their differences from the pivot, so that texts made from one text, but not
+   alike, don't meet for what they have in common; signatures and full sets confirm. No link that a shared bucket offers
+   is lost, and a bucket of near copies that hang together costs nothing here.
 
 With 56 bands of 6 rows a pair at similarity 0.8 shares no bucket with probability 4e-8; the screen of 336 minima turns
 away a pair at 0.8 with probability 3e-6, and one at 0.82 with 3e-8.
@@ -40,6 +41,8 @@ DEVIATIONS = 4.5
 BROADCAST_ROWS = 1_000_000
 #: Bytes of shingle sets up to which they are broadcast.
 BROADCAST_BYTES = 48_000_000
+#: Classes of members by how far they differ from their pivot, per size of the pivot's set.
+CLASSES = 32
 #: Distinct words whose hashes a task keeps at once.
 WORDS_KEPT = 400_000
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -156,6 +159,58 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, marks: DataFrame, words: int,
     return whole.mapInArrow(run, "a long, b long").distinct()
 
 
+def _differences(crowd: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """pivot, id, component, n (size of the member's set), wide (of the pivot's), d and the elements that only one of both sets holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, wide, apart = [], [], []
+            for x, y in zip(batch.column(3), batch.column(4), strict=True):
+                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                sizes.append(len(x)), wide.append(len(y)), apart.append(np.setxor1d(x, y, assume_unique=True).view(np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns[:3], pa.array(sizes, pa.int64()), pa.array(wide, pa.int64()), pa.array(apart, pa.list_(pa.int64()))], ["pivot", "id", "component", "n", "wide", "apart"]
+            )
+
+    ids = held(crowd.select("id").distinct().union(crowd.select("pivot").distinct()).distinct())
+    sets = held(_sets(docs, ids, words))
+    whole = crowd.join(sets.withColumnRenamed("found", "own"), "id").join(sets.select(F.col("id").alias("pivot"), F.col("found").alias("core")), "pivot")
+    return whole.select("pivot", "id", "component", "own", "core").mapInArrow(run, "pivot long, id long, component long, n long, wide long, apart array<long>")
+
+
+def _leftover(crowd: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of a pivot's members (pivot, id, component) in different components that can reach the similarity.
+
+    A prefix filter on differences from the pivot. With D_A = A xor P, A xor B is D_A xor D_B, and a link allows it at most
+    r (|A| + |B|) elements, r = (100 - percent) / (100 + percent). So D_A and D_B share at least o = (g_A + g_B) / 2, with
+    g = |D| - r |set|, and never less than one: both can't be linked with P. Members that share o elements share one among
+    the first |D| - o + 1 of each, in any common order. Taken rarest first, these are a member's own edits, which nobody
+    shares: elements of one member only are counted and not sent. Members are put into classes by g, and send a prefix
+    for each class of partners, as long as the least o of both classes asks.
+
+    What is left to meet: members that share edits without being alike, and in a group right at the similarity some of
+    those that only lost the same words of the pivot.
+    """
+    part = (100 - percent) / (100 + percent)
+    told = held(_differences(crowd, docs, words))
+    element = told.select("pivot", "id", F.explode("apart").alias("e"))
+    often = element.groupBy("pivot", "e").agg(F.count("*").alias("times")).filter("times > 1")
+    shared = element.join(often, ["pivot", "e"]).groupBy("pivot", "id").agg(F.array_sort(F.collect_list(F.struct("times", "e"))).alias("shared"))
+    width = F.greatest(F.lit(1.0), F.col("wide") / CLASSES)
+    gain = F.size("apart") - part * F.col("n")
+    sent = held(told.withColumns({"width": width, "class": F.floor(gain / width).cast("int")}).drop("apart", "n", "wide").join(shared, ["pivot", "id"]))
+    classes = sent.groupBy("pivot").agg(F.collect_set("class").alias("classes"))
+    # the least o of two classes is half the sum of their lower edges
+    prefix = F.transform("classes", lambda c: F.struct(c.alias("c"), (F.size("shared") + 1 - F.greatest(F.lit(1), F.ceil((F.col("class") + c) * F.col("width") / 2 - 1e-6))).cast("int").alias("long")))
+    rows = sent.join(classes, "pivot").withColumn("p", F.explode(F.filter(prefix, lambda p: p["long"] > 0)))
+    rows = rows.withColumn("e", F.explode(F.slice("shared", 1, F.col("p.long"))))
+    rows = rows.select("pivot", F.least("class", "p.c").alias("low"), F.greatest("class", "p.c").alias("high"), F.col("e.e").alias("e"), "class", "id", "component")
+    key = ["pivot", "low", "high", "e"]
+    left = rows.select(*key, F.col("class").alias("x"), F.col("id").alias("a"), F.col("component").alias("a_c"))
+    right = rows.select(*key, F.col("class").alias("y"), F.col("id").alias("b"), F.col("component").alias("b_c"))
+    return left.join(right, key).filter("a < b AND a_c != b_c AND (x != y OR low = high)").select("a", "b").distinct()
+
+
 def _alike(x: str, y: str, x_n: str, y_n: str, percent: int, count: int = BANDS * ROWS):
     """Whether two signatures agree often enough; sets whose sizes differ too much can't reach the similarity at all."""
     p = percent / 100 + (1 - percent / 100) / 16
@@ -206,18 +261,11 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
     links = held(_confirmed(star, docs, single, words, percent, alike))
     found = held(components(links))
 
-    # what the stars leave: members outside their bucket's main component, against other components' members
-    named = member.select("band", "k", "id").join(found, "id", "left").select("band", "k", "id", F.coalesce("component", "id").alias("component"))
-    parts = named.groupBy("band", "component").agg(F.count("*").alias("n"))
-    mixed = held(parts.groupBy("band").agg(F.max(F.struct("n", "component")).alias("main"), F.count("*").alias("parts")).filter("parts > 1"))
-    named = held(named.join(mixed.select("band", F.col("main.component").alias("main")), "band").join(single.select("id", "bits", "n_shingles", "bands"), "id"))
-    rest, every = (
-        named.selectExpr("band", f"id AS {x}", f"bits AS {x}_bits", f"n_shingles AS {x}_n", f"component AS {x}_c", f"bands AS {x}_bands", *m) for x, m in (("a", ["main", "k"]), ("b", []))
-    )
-    first = F.expr("NOT exists(sequence(0, k), i -> i < k AND a_bands[i] = b_bands[i])")
-    pairs = rest.filter("a_c != main").join(every, "band").filter(F.expr("a_c != b_c AND (b_c = main OR a_c < b_c)") & alike & first)
-    pairs = pairs.select("a", "b").distinct().join(star, ["a", "b"], "left_anti").join(star.toDF("b", "a"), ["a", "b"], "left_anti")
-    more = held(_confirmed(pairs, docs, single, words, percent, None))
+    # what the stars leave: buckets with several components, where unlinked members may still be alike
+    named = member.select("band", "id").join(found, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
+    mixed = named.groupBy("band").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most").select("band")
+    crowd = held(named.join(mixed, "band").join(pivots.select("band", (-F.col("p.m")).alias("pivot")), "band").select("pivot", "id", "component").distinct())
+    more = held(_confirmed(_leftover(crowd, docs, words, percent), docs, single, words, percent, alike))
     if more.limit(1).count():
         found = held(components(links.union(more)))
 

@@ -208,6 +208,35 @@ def test_near_groups_like_brute_force(spark, width):
     assert got == brute.near(rows, width)
 
 
+def edited_group(dice, count, words=260, edits=(17, 24), start=0):
+    """Texts made from one text by edits of their own: alike by 0.67 to 0.8 mostly, some made from another by few more edits."""
+    base = [f"w{dice.randint(0, 4000)}" for _ in range(words)]
+    out = []
+    for i in range(count):
+        new = list(dice.choice(out)[1].split() if out and dice.random() < 0.15 else base)
+        for _ in range(dice.randint(2, 7) if new != base else dice.randint(*edits)):
+            new[dice.randrange(len(new))] = f"e{dice.randint(0, 10**9)}"
+        out.append((start + i, " ".join(new)))
+    return out
+
+
+def test_large_group_of_texts_not_quite_alike(spark):
+    """What the prefix filter meets stays near the links, though all pairs share most of their words; and no link is lost."""
+    dice = random.Random(31)
+    rows = edited_group(dice, 500) + edited_group(dice, 150, words=90, edits=(4, 8), start=1000)
+    frame = docs(spark, rows)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in minhash.near_groups(frame, 2).collect()}
+    want = brute.near(rows, 2)
+    assert got == want and 50 < len({c for _, c in want.values()}) < 640
+    crowd = docs(spark, [(0, i, i) for i, _ in rows if i < 1000], "pivot bigint, id bigint, component bigint")
+    met = {(r.a, r.b) for r in minhash._leftover(crowd, frame, 2, 80).collect()}
+    sets = {i: {(x, y) for x, y in zip(t.split(), t.split()[1:])} for i, t in rows if i < 1000}
+    pairs = [(a, b) for a in sets for b in sets if a < b]
+    links = {(a, b) for a, b in pairs if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])}
+    core = {p for p in links if 0 in p}
+    assert links - core <= met and len(links) > 50 and len(met) < 0.1 * len(pairs)
+
+
 def test_links_that_no_star_offers(spark):
     """In small buckets a member may be like another member but not like the smallest one."""
     rng = random.Random(11)
