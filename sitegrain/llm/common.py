@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import re
+import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.functions.ordering import numbered
 from sitegrain.session import checkpointed
 
 #: White space of the token pattern (the Unicode property), which Python's own \\s exceeds by four control characters.
@@ -47,3 +50,23 @@ def let(value: Column, body) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def by_own_ids(docs: DataFrame, stage: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stage that tells documents apart by doc_id keeps of any documents, with all their columns.
+
+    Rows whose doc_id is null or repeats are numbered beyond the largest id while the stage runs, so each is judged for
+    itself; other tables know them under no id. Without such rows, which costs a count of ids to know, nothing is changed.
+    """
+    ids = docs.groupBy(F.col("doc_id").alias("odd")).agg(F.count("*").alias("n"))
+    odd = held(ids.filter("odd IS NULL OR n > 1").select("odd"))
+    if not odd.limit(1).count():
+        return stage(docs)
+    own, place = f"own_{uuid.uuid4().hex}", f"place_{uuid.uuid4().hex}"
+    top = docs.agg(F.max(F.col("doc_id").cast("long"))).first()[0] or 0
+    same, told = docs["doc_id"].eqNullSafe(odd["odd"]), F.col("doc_id").alias(own)
+    few = numbered(docs.join(odd, same, "left_semi"), place, F.col("doc_id"), F.xxhash64("text"))
+    rest = [c for c in docs.columns if c != "doc_id"]
+    rows = docs.join(odd, same, "left_anti").select(F.col("doc_id").cast("long").alias("doc_id"), *rest, told)
+    rows = held(rows.unionByName(few.select((F.lit(top) + F.col(place)).cast("long").alias("doc_id"), *rest, told)))
+    return stage(rows).withColumn("doc_id", F.col(own)).select(*docs.columns)

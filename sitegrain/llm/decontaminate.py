@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import held, small, texts
+from sitegrain.llm.common import by_own_ids, held, small, texts
 
 WINDOW = 8
 #: Share of an item's windows that one consistent alignment must hold.
@@ -291,6 +291,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERA
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
-    drop = leaks(docs, benchmark).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, docs["doc_id"] == drop["_drop"], "left_anti")
+    """The documents that hold no benchmark item, with all their columns. Rows with a null or repeated doc_id are searched each for itself."""
+
+    def stage(rows: DataFrame) -> DataFrame:
+        drop = leaks(rows, benchmark).select(F.col("doc_id").alias("_drop")).distinct()
+        return rows.join(drop, rows["doc_id"] == drop["_drop"], "left_anti")
+
+    return by_own_ids(docs, stage)

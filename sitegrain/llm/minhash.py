@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import held, small, texts
+from sitegrain.llm.common import by_own_ids, held, small, texts
 
 BANDS, ROWS = 56, 6
 #: Standard deviations below its mean at which the agreement of two signatures is too low for the similarity asked.
@@ -276,6 +276,14 @@ def near_groups(docs: DataFrame, words: int = 5, percent: int = 80, bands: int =
 
 
 def one_of_each(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The documents that stay, with all their columns: the smallest doc_id of each component, and rows with a null doc_id."""
-    stay = near_groups(docs, words, percent).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.filter("doc_id IS NOT NULL").join(stay, docs["doc_id"] == stay["_keep"], "left_semi").union(docs.filter("doc_id IS NULL"))
+    """The documents that stay, with all their columns: of each component the smallest doc_id.
+
+    Rows with a null or repeated doc_id are documents of their own, and come after all others in their component. Rows
+    with an empty set all stay.
+    """
+
+    def stage(rows: DataFrame) -> DataFrame:
+        stay = near_groups(rows, words, percent).filter("kept").select(F.col("doc_id").alias("_keep"))
+        return rows.join(stay, rows["doc_id"] == stay["_keep"], "left_semi")
+
+    return by_own_ids(docs, stage)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitegrain.llm.common import held, small, texts
+from sitegrain.llm.common import by_own_ids, held, small, texts
 
 ORDER = 4
 #: Pseudo-characters of the trusted mean in every text, and the quartile distances above the upper quartile at which a text is
@@ -231,11 +231,10 @@ def quality(docs: DataFrame, labels: DataFrame, fence: float = FENCE, short: int
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that are kept, with all their columns; of a repeated doc_id all rows stay or go with the best of them.
-
-    Rows with a null doc_id are told apart by a hash of their text and language.
-    """
-    text, lang = F.coalesce(F.col("text").cast("string"), F.lit("")), F.col("lang").cast("string")
-    row = F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text, lang))
-    stay = quality(docs.select(row.alias("doc_id"), "text", "lang"), labels).filter("kept").select(F.col("doc_id").alias(keep := f"keep_{uuid.uuid4().hex}")).distinct()
-    return docs.join(stay, row == F.col(keep), "left_semi")
+    """The documents that are kept, with all their columns. Rows with a null or repeated doc_id are judged each for itself."""
+
+    def stage(rows: DataFrame) -> DataFrame:
+        stay = quality(rows, labels).filter("kept").select(F.col("doc_id").alias(keep := f"keep_{uuid.uuid4().hex}"))
+        return rows.join(stay, rows["doc_id"] == F.col(keep), "left_semi")
+
+    return by_own_ids(docs, stage)

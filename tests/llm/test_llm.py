@@ -521,6 +521,34 @@ def test_stages_lose_no_text_of_a_null_or_repeated_id(spark, labels, asked):
     assert nulls <= set(plain(minhash.one_of_each(frame))) and nulls <= set(plain(quality.good(frame, labels))) and nulls <= set(plain(decontaminate.clean(frame, asked.limit(0))))
 
 
+def test_each_stage_judges_rows_of_one_id_apart(spark, middle):
+    """The three ways in which a null or repeated id could lose a text, or save one; full rows compared."""
+    plain = lambda out: sorted(((r.doc_id or 0, r.text or "") for r in out.collect()))
+    text = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen"
+    rows = [(1, text), (2, text + " more"), (2, "a quite different text about the sea and its ships"), (None, text + " again"), (3, None), (3, None)]
+    assert plain(minhash.one_of_each(docs(spark, rows))) == sorted([(1, text), (2, rows[2][1]), (3, ""), (3, "")])
+    item = spark.read.parquet(f"{middle}/benchmark.parquet").orderBy("item_id").first().text
+    bench = docs(spark, [(1, item)], "item_id bigint, text string")
+    rows = [(None, "so " + item + " it ends"), (None, "free of it"), (7, item), (7, "free as well"), (8, "and this"), (9, item)]
+    assert plain(decontaminate.clean(docs(spark, rows), bench)) == [(0, "free of it"), (7, "free as well"), (8, "and this")]
+    given = spark.read.parquet(f"{middle}/documents.parquet").select("doc_id", "text", "lang")
+    labels = spark.read.parquet(f"{middle}/labels.parquet")
+    junk = "§§ 0x9f %% ]][[ ## @@ ~~ 7781 ** || << >> ^^ 00 11 zz qq xx " * 8
+    own = given.filter("lang = 'en'").orderBy("doc_id").first()
+    twice = given.union(docs(spark, [(own.doc_id, junk, "en"), (None, junk, "en")], "doc_id bigint, text string, lang string"))
+    out = plain(quality.good(twice, labels))
+    assert not [t for _, t in out if t == junk] and (own.doc_id, own.text) in out
+
+
+def test_stages_of_empty_tables(spark, labels, asked):
+    import corpus_pipeline
+
+    none = docs(spark, [], FIELDS)
+    for out in (quality.good(none, labels), exact_dedup.deduplicated(none), minhash.one_of_each(none), decontaminate.clean(none, asked)):
+        assert out.columns == none.columns and out.count() == 0
+    assert corpus_pipeline.tokens_stage(spark, none, None).count() == 0
+
+
 def test_odd_rows_in_the_pipeline(spark, odd, labels, asked):
     import corpus_pipeline
 
