@@ -1,4 +1,12 @@
-"""From raw documents to token ids: five stages, each written as Parquet and read again before the next."""
+"""From raw documents to token ids: five stages, each written as Parquet and read again before the next.
+
+Defined cases: a null text counts as empty; empty texts are kept by quality, are equal to each other in exact dedup, are
+linked with nothing in near dedup, hold no benchmark item, and have no tokens. Rows with a null or repeated doc_id are
+judged each for itself, by its text; exact dedup leaves one of the rows that repeat an id and a text. In ties the smallest
+doc_id stays (of near copies, those with a null or repeated id come last). A null lang is a language of its own in the
+quality model. Very long texts are read whole. Other columns are passed on, whatever their names. An empty table gives an
+empty result.
+"""
 
 from __future__ import annotations
 
