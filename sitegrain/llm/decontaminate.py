@@ -4,8 +4,9 @@ A text becomes a list of items: lower-cased words without punctuation, or the sl
 <name> (a capitalised word). A capitalised word that begins a sentence or line may be either a word or a name: its windows are hashed in
 all variants. Windows of WINDOW items with at least half of them words are hashed by template; those that may have more slots than words,
 and so say little as templates, by their exact values. A benchmark item of fewer items is one window. The benchmark's distinct window
-hashes are sent to the tasks while they are few (counted first), so that only windows that can match leave a document; beyond that all
-windows are joined. Matches of a document and an item count by alignment (position in the document less position in the item): its slots
+hashes are sent to the tasks while they are few (counted first), so that only windows that can match leave a document, and only windows
+whose first LEAD items, in one of their variants, begin a window of the benchmark are spelt at all; beyond that all windows are joined.
+Matches of a document and an item count by alignment (position in the document less position in the item): its slots
 must be filled consistently, each value of the item by one value of the document, and enough of the item's windows must lie on it. Enough
 is COVERAGE of the windows that have a template, or, with those that agree exactly, of all windows. An alignment that is consistent
 without the variants of sentence beginnings counts without them.
@@ -32,14 +33,17 @@ from pyspark.sql import functions as F
 from sitegrain.llm.common import by_own_ids, held, small, texts
 
 WINDOW = 8
+#: First places of a window by which most windows are turned away before they are hashed.
+LEAD = 4
 #: Share of an item's windows that one consistent alignment must hold.
 COVERAGE = 0.3
-#: Benchmark windows (8 bytes each) up to which their hashes are sent to the tasks.
+#: Benchmark windows (16 bytes each) up to which their hashes are sent to the tasks.
 SENT_ROWS = 1_000_000
 #: Words whose numbers a task keeps, and characters of the texts that it takes at once.
 WORDS_KEPT, PORTION = 400_000, 1_000_000
 UNITS = frozenset("mm cm m km in ft mi mg g kg lb oz ml l s sec min h hr hours days weeks years kb mb gb tb hz khz mhz ghz w kw v a °c °f % percent usd eur dollars euros cents".split())
 _NUMBER = re.compile(r"[+-]?[0-9][0-9.,]*(?:[a-z°%]{0,3})")
+_NUMBER_BEGINS = "+-0123456789"
 _EDGE = re.compile(r"^[^\w%°$€+-]+|[^\w%°$€]+$")
 _NAME, _NUM, _UNIT = "<name>", "<number>", "<unit>"
 
@@ -52,29 +56,45 @@ def _code(x: str) -> int:
     return xxhash.xxh3_64_intdigest(x.encode())
 
 
+#: What a word can be, as bits.
+_NUMBER_BIT, _CAPITAL, _UNIT_BIT, _NOTHING, _ENDS = (1 << i for i in range(5))
+
+
 class Words(dict):
     """word -> its number; by number: bare lower-cased value, code, and what the word can be."""
 
     def __init__(self):
         super().__init__()
         self.values: list[str] = []
-        self.fresh: list[tuple] = []
-        self.table = np.empty(0, [("code", np.uint64), *((x, bool) for x in ("number", "capital", "unit", "nothing", "ends"))])
+        self.fresh: tuple[list[int], list[int]] = [], []
+        self.codes, self.flags = np.empty(0, np.uint64), np.empty(0, np.uint8)
 
     def __missing__(self, word: str) -> int:
-        bare = _EDGE.sub("", word)
+        # most words are letters only, and need no pattern
+        bare = word if word.isalpha() else _EDGE.sub("", word)
         low = bare.lower()
-        number = _NUMBER.fullmatch(low) is not None
-        self.fresh.append((_code(low), number, not number and bare[:1].isupper() and bare[1:].islower(), low in UNITS, not low, word[-1:] in ".!?:"))
+        flag = _ENDS if word[-1] in ".!?:" else 0
+        if low[:1] in _NUMBER_BEGINS and _NUMBER.fullmatch(low):
+            flag |= _NUMBER_BIT
+        elif bare[:1].isupper() and bare[1:].islower():
+            flag |= _CAPITAL
+        if low in UNITS:
+            flag |= _UNIT_BIT
+        if not low:
+            flag |= _NOTHING
+        self.fresh[0].append(_code(low))
+        self.fresh[1].append(flag)
         self[word] = at = len(self.values)
         self.values.append(low)
         return at
 
-    def look(self) -> np.ndarray:
-        if self.fresh:
-            self.table = np.concatenate([self.table, np.array(self.fresh, self.table.dtype)])
-            self.fresh = []
-        return self.table
+    def look(self) -> tuple[np.ndarray, np.ndarray]:
+        """The codes and the bits of all words, by number."""
+        if self.fresh[0]:
+            self.codes = np.concatenate([self.codes, np.array(self.fresh[0], np.uint64)])
+            self.flags = np.concatenate([self.flags, np.array(self.fresh[1], np.uint8)])
+            self.fresh = [], []
+        return self.codes, self.flags
 
 
 class Items:
@@ -89,54 +109,70 @@ class Items:
                 words += line.split()
             sizes.append(len(words) - before)
         ids = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        table = known.look()
+        codes, flags = known.look()
+        flags = flags[ids]
         owner = np.repeat(np.arange(len(texts_)), sizes)
         # what lies between an item and the one before it: a line's start, or a word that ends a sentence
         event = np.zeros(len(ids) + 1, bool)
         event[lines] = True
-        event[1:] |= table["ends"][ids]
+        event[1:] |= (flags & _ENDS) != 0
         passed = np.cumsum(event)[:-1]
-        kept = np.flatnonzero(~table["nothing"][ids])
-        self.ids, self.owner = ids[kept], owner[kept]
-        own, passed = table[self.ids], passed[kept]
+        kept = np.flatnonzero((flags & _NOTHING) == 0)
+        self.ids, self.owner, flags = ids[kept], owner[kept], flags[kept]
+        passed = passed[kept]
         begins = np.diff(passed, prepend=0) > 0
         same = np.diff(self.owner, prepend=-1) == 0
-        unit = own["unit"] & same & np.concatenate([[False], own["number"][:-1]])[: len(own)]
-        number, capital = own["number"] & ~unit, own["capital"] & ~unit
+        number = (flags & _NUMBER_BIT) != 0
+        unit = ((flags & _UNIT_BIT) != 0) & same & np.concatenate([[False], number[:-1]])[: len(number)]
+        number, capital = number & ~unit, ((flags & _CAPITAL) != 0) & ~unit
         name, self.maybe = capital & ~begins, capital & begins
-        self.exact = own["code"]
+        self.exact = codes[self.ids]
         self.code = np.where(unit, _code(_UNIT), np.where(number, _code(_NUM), np.where(name, _code(_NAME), self.exact)).astype(np.uint64)).astype(np.uint64)
         self.slot = unit | number | name
         self.sizes = np.bincount(self.owner, minlength=len(texts_))
         self.begin = np.concatenate([[0], np.cumsum(self.sizes)])
 
 
+def _start(places: int, kind: int) -> np.uint64:
+    return np.uint64(places + (kind == EXACT) * 1000)
+
+
+def _mix(out: np.ndarray, x: np.ndarray) -> np.ndarray:
+    out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ x
+    return (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
 def _mixed(columns: list[np.ndarray], kind: int) -> np.ndarray:
     """Hashes of windows, given the codes at each of their places."""
-    out = np.full(len(columns[0]), len(columns) + (kind == EXACT) * 1000, np.uint64)
+    out = np.full(len(columns[0]), _start(len(columns), kind))
     for x in columns:
-        out = (out * np.uint64(0x9E3779B97F4A7C15)) ^ x
-        out = (out ^ (out >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = _mix(out, x)
     return out.view(np.int64)
 
 
-def windows(items: Items, width: int, exact: str | None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray | None]]:
-    """Windows of the width, as (kind, first places, hashes, and, place by place, what is a slot in them; exact windows have none).
+def windows(
+    items: Items, width: int, exact: str | None, may: np.ndarray | None = None
+) -> Iterator[tuple[int, np.ndarray, list[np.ndarray], np.ndarray | None]]:
+    """Windows of the width, as (kind, first places, codes place by place, and what is a slot in them; exact windows have none).
 
-    exact: of which windows the exact values are hashed, too: "slots" (that may have more slots than words), "all" or None.
+    exact: which windows are also given by their exact values: "slots" (that may have more slots than words), "all" or None.
+    may: for each place whether a window is to begin there; None for all.
     """
     count = len(items.ids) - width + 1
     if count < 1 or width < 1:
         return
-    at = np.flatnonzero(items.owner[:count] == items.owner[width - 1 :])
+    begins = items.owner[:count] == items.owner[width - 1 :]
+    at = np.flatnonzero(begins if may is None else begins & may[:count])
+    if not len(at):
+        return
     sums = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)]).astype(np.int64)[np.stack([at, at + width])], axis=0)[0]
     slots, maybe = sums(items.slot), sums(items.maybe)
     usable = 2 * slots <= width
     if exact:
         own = at if exact == "all" else at[2 * (slots + maybe) > width]
-        yield EXACT, own, _mixed([items.exact[own + j] for j in range(width)], EXACT), None
+        yield EXACT, own, [items.exact[own + j] for j in range(width)], None
     own = at[usable]
-    yield PLAIN, own, _mixed([items.code[own + j] for j in range(width)], PLAIN), None
+    yield PLAIN, own, [items.code[own + j] for j in range(width)], None
     name = np.uint64(_code(_NAME))
     for n in np.unique(maybe[usable & (maybe > 0)]).tolist():
         picked = usable & (maybe == n)
@@ -151,19 +187,19 @@ def windows(items: Items, width: int, exact: str | None) -> Iterator[tuple[int,
                 for c in chosen:
                     new[np.arange(len(fits)), where[fits, c]] = name
                     names[np.arange(len(fits)), where[fits, c]] = True
-                yield VARIANT, first[fits], _mixed(list(new.T), VARIANT), names
+                yield VARIANT, first[fits], list(new.T), names
 
 
-class Wanted:
+class Hashes:
     """A set of hashes; a table of their leading bits turns most others away."""
 
     def __init__(self, hashes: np.ndarray):
-        self.hashes, self.leading = np.sort(hashes), np.zeros(1 << 20, bool)
+        bits = min(max(20, len(hashes).bit_length() + 5), 24)
+        self.hashes, self.shift, self.leading = np.unique(hashes), np.uint64(64 - bits), np.zeros(1 << bits, bool)
         self.leading[self._lead(self.hashes)] = True
 
-    @staticmethod
-    def _lead(hashes: np.ndarray) -> np.ndarray:
-        return (hashes.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+    def _lead(self, hashes: np.ndarray) -> np.ndarray:
+        return (hashes.view(np.uint64) >> self.shift).view(np.int64)
 
     def places(self, hashes: np.ndarray) -> np.ndarray:
         may = np.flatnonzero(self.leading[self._lead(hashes)])
@@ -171,7 +207,41 @@ class Wanted:
         return may[self.hashes[near] == hashes[may]]
 
 
-_FOUND = "id long, hash long, at int, kind int, slots array<string>"
+class Wanted:
+    """The benchmark's window hashes, and those of the first LEAD places of its windows."""
+
+    def __init__(self, hashes: np.ndarray, leads: np.ndarray):
+        self.whole, self.leads = Hashes(hashes), Hashes(leads)
+
+    def begins(self, items: Items, places: int, exact: bool) -> np.ndarray:
+        """For each item whether a window that is wanted may begin there: its first places, in one of their variants, are wanted.
+
+        Variants are spelt place by place, so that those with a common beginning share its work: 2^places at most for an
+        item, and one for most.
+        """
+        out, count = np.zeros(len(items.ids), bool), len(items.ids) - places + 1
+        if count < 1:
+            return out
+        name = np.uint64(_code(_NAME))
+        spelt = [(np.full(count, _start(places, PLAIN)), None)]
+        for j in range(places):
+            code, maybe = items.code[j : j + count], items.maybe[j : j + count]
+            longer = []
+            for some, at in spelt:
+                longer.append((_mix(some, code if at is None else code[at]), at))
+                named = np.flatnonzero(maybe if at is None else maybe[at])
+                if len(named):
+                    longer.append((_mix(some[named], name), named if at is None else at[named]))
+            spelt = longer
+        if exact:
+            spelt.append((_mixed([items.exact[j : j + count] for j in range(places)], EXACT).view(np.uint64), None))
+        for some, at in spelt:
+            found = self.leads.places(some.view(np.int64))
+            out[found if at is None else at[found]] = True
+        return out
+
+
+_FOUND = "id long, hash long, lead long, at int, kind int, slots array<string>"
 
 
 def _portions(texts_: pa.Array) -> Iterator[tuple[int, list[str]]]:
@@ -187,7 +257,14 @@ def _portions(texts_: pa.Array) -> Iterator[tuple[int, list[str]]]:
         yield first, some
 
 
-def _windows_of(rows: DataFrame, widths: list[int], exact: list[int] | None, wanted: np.ndarray | None) -> DataFrame:
+def _first_places(items: Items, known: Words) -> list[str]:
+    """For each item the first place in its text where its value stands."""
+    first: dict[tuple[int, str], str] = {}
+    owners, begins = items.owner.tolist(), items.begin.tolist()
+    return [first.setdefault((o, known.values[x]), str(i - begins[o])) for i, (o, x) in enumerate(zip(owners, items.ids.tolist(), strict=True))]
+
+
+def _windows_of(rows: DataFrame, widths: list[int], exact: list[int] | None, wanted: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
     """Windows of (id, text) rows. exact: the widths of which exact windows are asked for, too; None for benchmark items.
 
     Of items only windows of WINDOW items, or of all if they are fewer, are taken, and a slot is given as the first place of its value,
@@ -195,15 +272,19 @@ def _windows_of(rows: DataFrame, widths: list[int], exact: list[int] | None, wan
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, only = Words(), None if wanted is None else Wanted(wanted)
-        kinds = pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())
+        known, only = Words(), None if wanted is None else Wanted(*wanted)
+        kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.string())
         for batch in batches:
             ids = batch.column(0).to_numpy()
             for first, some in _portions(batch.column(1)):
                 items = Items(some, known)
+                may = {n: only.begins(items, n, bool(exact)) for n in {min(w, LEAD) for w in widths}} if only else {}
+                places_of = None if exact is not None else _first_places(items, known)
                 for width in widths:
-                    for kind, at, hashes, slot in windows(items, width, "slots" if exact is None else "all" if width in exact else None):
-                        picked = np.arange(len(at)) if only is None else only.places(hashes)
+                    exactly = "slots" if exact is None else "all" if width in exact else None
+                    for kind, at, codes, slot in windows(items, width, exactly, may.get(min(width, LEAD))):
+                        hashes = _mixed(codes, kind)
+                        picked = np.arange(len(at)) if only is None else only.whole.places(hashes)
                         if exact is None:
                             picked = picked[np.minimum(items.sizes[items.owner[at[picked]]], WINDOW) == width]
                         if not len(picked):
@@ -211,14 +292,10 @@ def _windows_of(rows: DataFrame, widths: list[int], exact: list[int] | None, wan
                         own, values = at[picked], []
                         for k, i in zip(picked.tolist(), own.tolist(), strict=True):
                             places = [] if kind == EXACT else (i + np.flatnonzero(items.slot[i : i + width] if slot is None else slot[k])).tolist()
-                            values.append([known.values[items.ids[p]] for p in places])
-                            if exact is None and places:
-                                begin = int(items.begin[items.owner[i]])
-                                whole = [known.values[x] for x in items.ids[begin : i + width].tolist()]
-                                values[-1] = [str(whole.index(v)) for v in values[-1]]
-                        owner = items.owner[own]
-                        columns = ids[first + owner], hashes[picked], (own - items.begin[owner]).astype(np.int32), np.full(len(own), kind, np.int32), values
-                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["id", "hash", "at", "kind", "slots"])
+                            values.append([known.values[items.ids[p]] if places_of is None else places_of[p] for p in places])
+                        owner, leads = items.owner[own], _mixed([c[picked] for c in codes[:LEAD]], kind)
+                        columns = ids[first + owner], hashes[picked], leads, (own - items.begin[owner]).astype(np.int32), np.full(len(own), kind, np.int32), values
+                        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], ["id", "hash", "lead", "at", "kind", "slots"])
                 if len(known) > WORDS_KEPT:
                     known = Words()
 
@@ -240,13 +317,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, sen
     # windows with a template, and all windows
     of = asked.groupBy(F.col("id").alias("item_id"), "at").agg(F.min("kind").alias("kind")).groupBy("item_id")
     of = held(of.agg(F.count_if(F.col("kind") == PLAIN).alias("of_plain"), F.count("*").alias("of")))
-    hashes = held(asked.select("hash").distinct())
-    wanted = np.array([r.hash for r in hashes.collect()], np.int64) if hashes.count() <= sent_rows else None
+    hashes, wanted = held(asked.select("hash", "lead").distinct()), None
+    if hashes.count() <= sent_rows:
+        rows = hashes.collect()
+        wanted = np.array([r.hash for r in rows], np.int64), np.array([r.lead for r in rows], np.int64)
     exact = widths if asked.filter(f"kind = {EXACT}").limit(1).count() else []
     rows = texts(docs).filter("doc_id IS NOT NULL").withColumnRenamed("doc_id", "id")
-    if wanted is not None and not len(wanted):
+    if wanted is not None and not len(wanted[0]):
         rows, wanted = rows.limit(0), None
-    found = held(_windows_of(rows, widths, exact, wanted))
+    found = held(_windows_of(rows, widths, exact, wanted).drop("lead"))
     ask = small(asked, sent_rows).select(F.col("id").alias("item_id"), "hash", F.col("at").alias("item_at"), F.col("kind").alias("item_kind"), F.col("slots").alias("item_slots"))
     met = found.withColumnRenamed("id", "doc_id").join(ask, "hash")
     met = held(met.withColumn("shift", F.col("at") - F.col("item_at")).withColumn("kind", F.greatest("kind", "item_kind")).drop("hash", "at", "item_kind"))

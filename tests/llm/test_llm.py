@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -376,6 +377,61 @@ def test_slot_heavy_items_and_names_that_begin_sentences(spark):
         assert got == {(1, 1), (3, 2), (4, 2), (5, 3), (7, 4), (9, 5), (10, 5)}, got
 
 
+def test_windows_turned_away_early_are_none_that_match():
+    rnd = random.Random(7)
+    words = ["alice", "Berta", "Carlo.", "has", "had", "12", "3.5", "kg", "The", "apples:", "Red", "of", "-", "7"]
+    items = [" ".join(rnd.choice(words) for _ in range(rnd.randrange(2, 30))) for _ in range(60)]
+    told = [rnd.choice([" ", "\n"]).join(w.capitalize() if rnd.random() < 0.4 else w for w in rnd.choice(items).split()) for _ in range(200)]
+    told += ["", "\n\n", " ".join(words).title()]
+    for width in (1, 3, 4, 5, decontaminate.WINDOW):
+        asked = list(decontaminate.windows(decontaminate.Items(items, decontaminate.Words()), width, "slots"))
+        of = lambda n: np.concatenate([decontaminate._mixed(codes[:n], kind) for kind, _, codes, _ in asked])  # noqa: B023, E731
+        wanted = decontaminate.Wanted(of(width), of(decontaminate.LEAD))
+        held_items = decontaminate.Items(told, decontaminate.Words())
+        may = wanted.begins(held_items, min(width, decontaminate.LEAD), True)
+        found = []
+        for begins in (None, may):
+            rows = set()
+            for kind, at, codes, _ in decontaminate.windows(held_items, width, "all", begins):
+                hashes = decontaminate._mixed(codes, kind)
+                rows |= {(kind, int(at[k]), int(hashes[k])) for k in wanted.whole.places(hashes)}
+            found.append(rows)
+        assert found[0] and found[0] == found[1]
+
+
+def test_a_word_a_line_costs_as_prose_does():
+    text = "\n".join(f"Word{chr(97 + i % 26)}{chr(97 + i % 23)}" for i in range(40_000))
+    items = decontaminate.Items([text], decontaminate.Words())
+    bench = decontaminate.Items(["The old clock struck and Berta had 12 keys in her hand"], decontaminate.Words())
+    asked = list(decontaminate.windows(bench, decontaminate.WINDOW, "slots"))
+    of = lambda n: np.concatenate([decontaminate._mixed(codes[:n], kind) for kind, _, codes, _ in asked])
+    may = decontaminate.Wanted(of(None), of(decontaminate.LEAD)).begins(items, decontaminate.LEAD, True)
+    spelt = sum(len(at) for _, at, _, _ in decontaminate.windows(items, decontaminate.WINDOW, "slots", may))
+    assert items.maybe.sum() > 39_000 and spelt < 40_000
+
+
+def test_recall_of_items_with_new_parameters(spark):
+    rnd = random.Random(3)
+    names, verbs, things = "Anton Berta Carla Doris Emil Frieda Gustav Helga".split(), "sold bought carried counted".split(), "apples books lamps stones ropes".split()
+    forms = [
+        "A merchant called {a} {v} {n} {t} on Monday and gave {m} of them to a friend called {b} before noon. How many {t} were left?",
+        "On the way to town {a} met {b} who {v} {n} {t} for {m} usd each and wanted to know what all of it would cost.",
+        "{a} has {n} {t}. Each box holds {m} of them. How many boxes does {a} need when {b} {v} none at all?",
+    ]
+    fill = lambda form, v, t: form.format(a=(p := rnd.sample(names, 2))[0], b=p[1], v=v, t=t, n=rnd.randrange(2, 999), m=rnd.randrange(2, 99))
+    kinds = [(f, v, t) for f in forms for v in verbs for t in things]
+    bench = [(i, fill(*k)) for i, k in enumerate(kinds)]
+    rows = [(i, f"Some notes first. {fill(*k)} And other matters follow.") for i, k in enumerate(kinds)]
+    rows += [(1000 + i, f"Notes of {x} days about {y} and what the weather was like in the small town by the lake") for i, (x, y) in enumerate(zip(range(40), names * 5, strict=True))]
+    found = {}
+    for sent in (10**6, 0):
+        frame = decontaminate.leaks(docs(spark, rows), docs(spark, bench, "item_id bigint, text string"), sent_rows=sent)
+        found[sent] = {tuple(r) for r in frame.collect()}
+    assert found[0] == found[10**6]
+    got = {(r[0], r[1]) for r in found[0]}
+    assert sum((i, i) in got for i in range(len(kinds))) >= 0.9 * len(kinds) and not {d for d, _ in got if d >= 1000}
+
+
 def test_leaks_in_documents(spark, middle):
     bench = [(r.item_id, r.text) for r in spark.read.parquet(f"{middle}/benchmark.parquet").collect()]
     want = {(d, i) for d, t in held(spark, middle) for i, b in bench if b in t}
