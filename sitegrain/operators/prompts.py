@@ -178,6 +178,61 @@ def generate_queries(intents: DataFrame, limit: int = rules.QUERIES_MAX) -> Data
     )
 
 
+def intent_queries(intents: DataFrame, limit: int = rules.INTENT_QUERIES_MAX) -> DataFrame:
+    """Search queries of whole intents, as read_prompts gives them: (intent_id, ord, query, weight).
+
+    Reads intent_id, text, business_type, product_category, service_type, main_keywords, place, niche, style, audience,
+    industry and platform. The term is the first of product, service, two keywords and the text that is filled. Each part
+    of the rules gives the queries of its first rule for the type, for each of its words; by weight, in the order of the
+    rules, each text once regardless of case, capped. Without a term there are no queries.
+    """
+    filled = lambda name: F.nullif(F.col(name), F.lit(""))
+    kind = F.coalesce(F.lower("business_type"), F.lit(""))
+    term = F.coalesce(
+        filled("product_category"), filled("service_type"), F.nullif(F.array_join(F.slice("main_keywords", 1, 2), " "), F.lit("")), F.col("text")
+    )
+    none, rule = F.array().cast(NO_TEXTS), "struct<types: array<string>, rows: array<struct<weight: double, pattern: string>>>"
+    niches, audiences = (constant(x, "map<string, array<string>>") for x in (rules.INTENT_NICHE_WORDS, rules.INTENT_AUDIENCE_WORDS))
+
+    def told(table: Column, name: str, most: int) -> Column:
+        return F.coalesce(F.slice(F.try_element_at(table, F.col(name)), 1, most), none)
+
+    words = {
+        "location": F.array_compact(F.array(filled("place"))),
+        "niche": F.concat(told(niches, "niche", 2), F.when(~F.col("style").eqNullSafe(F.col("niche")), told(niches, "style", 1)).otherwise(none)),
+        "audience": told(audiences, "audience", 2),
+        "industry": F.array_compact(F.array(filled("industry"))),
+        "platform": F.array_compact(F.array(filled("platform"))),
+    }
+
+    def part(name: str) -> Column:
+        table = [
+            {"types": types, "rows": [{"weight": w, "pattern": p.replace("{x}", rules.INTENT_EXCLUSIONS)} for w, p in rows]}
+            for types, rows in rules.INTENT_QUERIES[name]
+        ]
+        own = F.filter(constant(table, f"array<{rule}>"), lambda r: (F.size(r["types"]) == 0) | F.array_contains(r["types"], F.col("kind")))
+        rows = F.coalesce(F.get(own, F.lit(0))["rows"], F.array().cast("array<struct<weight: double, pattern: string>>"))
+
+        # the word is put in first, so that a term is never read as a pattern
+        def query(r: Column, text: Column) -> Column:
+            return F.struct(F.replace(text, F.lit("{t}"), F.col("term")).alias("query"), r["weight"].alias("weight"))
+
+        if name not in words:
+            return F.transform(rows, lambda r: query(r, r["pattern"]))
+        return F.flatten(F.transform(words[name], lambda w: F.transform(rows, lambda r: query(r, F.replace(r["pattern"], F.lit("{m}"), w)))))
+
+    every = F.filter(F.concat(*[part(name) for name in rules.INTENT_QUERIES]), lambda q: F.length(F.trim(q["query"])) >= rules.INTENT_QUERY_CHARS)
+    placed = F.transform(every, lambda q, i: F.struct((-q["weight"]).alias("w"), i.alias("i"), q["query"].alias("query"), q["weight"].alias("weight")))
+    kept = F.slice(distinct_by(F.array_sort(placed), lambda q: F.lower(F.trim(q["query"]))), 1, limit)
+    rows = intents.withColumn("kind", kind).withColumn("term", term)
+    return rows.select("intent_id", F.posexplode(kept).alias("ord", "q")).select("intent_id", (F.col("ord") + 1).alias("ord"), "q.query", "q.weight")
+
+
+def exclusion_queries(queries: DataFrame) -> DataFrame:
+    """Queries (intent_id, ord, query) that ask for the same without pages that only explain."""
+    return queries.select("intent_id", "ord", F.concat("query", F.lit(rules.EXCLUSION_SUFFIX)).alias("query"))
+
+
 def transactional_queries(intents: DataFrame) -> DataFrame:
     """Queries of buyers for intents(intent_id, business_type, term): (intent_id, ord, query)."""
     table = constant(rules.TRANSACTIONAL, "map<string, array<string>>")
@@ -328,28 +383,37 @@ def post_process_queries(queries: DataFrame, intents: DataFrame, limit: int = ru
 def parse_intent_rows(raw: DataFrame) -> DataFrame:
     """Model output (id, text) to typed intents: code fences stripped, outermost braces parsed, defaults for what is missing.
 
-    Text without a JSON object yields a row of defaults with parsed = false.
+    Empty texts count as missing; lists that are none, as empty. A location that is no object has no country, region and
+    city. The notes begin with the cleaned prompt, where the model gave one. Text without a JSON object yields a row of
+    defaults with parsed = false.
     """
     body = F.regexp_extract("text", r"(?s)(\{.*\})", 1)
     data = F.try_parse_json(body)
 
     def text(name: str, default: str | None = None) -> Column:
-        return F.coalesce(F.try_variant_get(F.col("v"), f"$.{name}", "string"), F.lit(default))
+        return F.coalesce(F.nullif(F.try_variant_get(F.col("v"), f"$.{name}", "string"), F.lit("")), F.lit(default))
 
     def texts(name: str) -> Column:
         return F.coalesce(F.try_variant_get(F.col("v"), f"$.{name}", "array<string>"), F.array().cast(NO_TEXTS))
 
     must_have, targets = texts("must_have"), texts("target_techs")
+    cleaned = F.concat(F.lit(rules.CLEANED_NOTE), text("prompt_depurado"))
     return raw.select("id", data.alias("v")).select(
         "id",
         F.col("v").isNotNull().alias("parsed"),
-        text("business_type", "").alias("business_type"),
+        F.lower(text("business_type", rules.UNKNOWN_TYPE)).alias("business_type"),
         text("product_category").alias("product_category"),
         text("service_type").alias("service_type"),
         text("niche").alias("niche"),
+        F.struct(*[text(f"location.{p}").alias(p) for p in ("country", "region", "city")]).alias("location"),
+        text("target_audience").alias("target_audience"),
+        text("language", "es").alias("language"),
         texts("search_queries").alias("search_queries"),
         must_have.alias("must_have"),
         texts("must_not").alias("must_not"),
         F.when(F.size(targets) > 0, targets).otherwise(must_have).alias("target_techs"),
-        F.coalesce(F.try_variant_get(F.col("v"), "$.confidence", "double"), F.lit(0.5)).alias("confidence"),
+        texts("validation_indicators").alias("validation_indicators"),
+        texts("exclusion_indicators").alias("exclusion_indicators"),
+        F.concat_ws(" | ", cleaned, text("analysis_notes")).alias("analysis_notes"),
+        F.coalesce(F.try_variant_get(F.col("v"), "$.confidence", "double"), F.lit(rules.CONFIDENCE)).alias("confidence"),
     )

@@ -228,6 +228,87 @@ TRANSACTIONAL = {
 COMPETITOR = ["alternativas a {t}", "sitios como {t}", "{t} vs", "competidores de {t}", "mejor que {t}", "parecido a {t}"]
 EXCLUSION_SUFFIX = ' -"qué es" -wikipedia -"definición" -"guía de"'
 
+# Queries of a whole intent, part by part: (types, or none for all others, [(weight, pattern)]). "{t}" is the
+# term, "{m}" a word of the part (place, niche word, audience word, industry, platform).
+INTENT_QUERIES = {
+    "base": [
+        (["ecommerce", "tienda", "shop", "marketplace"], [
+            (1.0, "comprar {t} online"), (1.0, "tienda {t} online"), (0.95, "tienda de {t}"), (0.95, "tienda online {t}"),
+            (0.9, "{t} shop"), (0.85, "venta de {t}"),
+        ]),
+        (["saas", "software", "plataforma", "app", "webapp"], [
+            (1.0, "{t} software"), (1.0, "{t} herramienta online"), (0.95, "{t} plataforma"), (0.95, "software de {t}"),
+            (0.9, "{t} tool"), (0.85, "{t} app"),
+        ]),
+        (["agencia", "agency", "consultora", "consultoría"], [
+            (1.0, "agencia de {t}"), (1.0, "agencia {t}"), (0.95, "empresa de {t}"), (0.9, "consultoría {t}"), (0.85, "{t} agency"),
+        ]),
+        (["blog"], [(1.0, "blog de {t}"), (0.9, "revista {t}"), (0.85, "{t} magazine")]),
+        ([], [(1.0, "{t}"), (0.9, "{t} online"), (0.85, "{t} web")]),
+    ],
+    "indicator": [
+        (["ecommerce", "tienda", "shop", "marketplace"], [
+            (0.95, '"{t}" "añadir al carrito"'), (0.95, '"{t}" "comprar ahora"'), (0.9, '"{t}" "precio" "envío"'), (0.85, '{t} "checkout"'),
+        ]),
+        (["saas", "software", "plataforma"], [
+            (0.95, '"{t}" "free trial"'), (0.95, '"{t}" "prueba gratis"'), (0.9, '"{t}" pricing'), (0.85, '"{t}" "registrarse"'),
+        ]),
+        (["agencia", "agency"], [
+            (0.95, 'agencia {t} "portfolio"'), (0.95, 'agencia {t} "nuestros servicios"'), (0.9, 'agencia {t} "casos de éxito"'),
+            (0.85, 'agencia {t} "clientes"'),
+        ]),
+    ],
+    "location": [
+        (["ecommerce", "tienda"], [(0.9, "tienda {t} {m}"), (0.85, "comprar {t} {m}"), (0.8, "{t} online {m}")]),
+        (["agencia", "agency"], [(0.95, "agencia {t} {m}"), (0.9, "agencia {t} en {m}"), (0.85, "empresa {t} {m}")]),
+        (["saas", "software"], [(0.85, "{t} software {m}"), (0.8, "{t} plataforma {m}")]),
+        ([], [(0.85, "{t} {m}"), (0.8, "{t} en {m}")]),
+    ],
+    "niche": [(["ecommerce", "tienda"], [(0.9, "tienda {t} {m}"), (0.85, "{t} {m} online")]), ([], [(0.85, "{t} {m}")])],
+    "audience": [
+        (["ecommerce", "tienda"], [(0.85, "tienda {t} {m}")]),
+        (["saas", "software"], [(0.85, "{t} software {m}")]),
+        ([], [(0.8, "{t} {m}")]),
+    ],
+    "industry": [
+        (["ecommerce", "tienda"], [(0.8, "tienda {m} {t}")]),
+        (["agencia"], [(0.8, "agencia {t} sector {m}")]),
+        ([], [(0.75, "{t} {m}")]),
+    ],
+    "exclusion": [
+        (["ecommerce", "tienda"], [(0.9, "{t} tienda online {x}"), (0.85, "comprar {t} {x}")]),
+        (["saas", "software"], [(0.9, "{t} software {x}")]),
+        (["agencia"], [(0.9, "agencia {t} {x}")]),
+        ([], [(0.85, "{t} {x}")]),
+    ],
+    "transactional": [
+        (["ecommerce", "tienda"], [(0.9, "comprar {t}"), (0.85, "precio {t}"), (0.85, "dónde comprar {t}"), (0.8, "{t} envío rápido")]),
+        (["saas", "software"], [(0.9, "{t} pricing"), (0.85, "probar {t} gratis"), (0.8, "contratar {t}")]),
+        (["agencia"], [(0.9, "contratar agencia {t}"), (0.85, "presupuesto {t}"), (0.8, "servicios {t}")]),
+    ],
+    "platform": [(["ecommerce", "tienda"], [(0.85, "tienda {t} {m}"), (0.8, "{t} {m} store")])],
+}
+INTENT_EXCLUSIONS = '-"qué es" -wikipedia -"definición" -"guía de" -tutorial'
+INTENT_NICHE_WORDS = {
+    "luxury": ["lujo", "premium", "exclusivo"],
+    "budget": ["barato", "económico", "ofertas"],
+    "eco": ["ecológico", "natural", "sostenible", "orgánico"],
+    "vintage": ["vintage", "retro", "segunda mano"],
+    "artesanal": ["artesanal", "handmade", "hecho a mano"],
+    "old_money": ["old money", "clásico", "elegante"],
+    "minimalista": ["minimalista", "minimal"],
+    "streetwear": ["streetwear", "urban"],
+}
+INTENT_AUDIENCE_WORDS = {
+    "b2b": ["para empresas", "empresarial", "business"],
+    "b2c": ["para consumidores"],
+    "mujeres": ["para mujer", "femenino", "women"],
+    "hombres": ["para hombre", "masculino", "men"],
+    "jóvenes": ["juvenil", "joven"],
+    "profesionales": ["profesional", "expertos"],
+}
+INTENT_QUERIES_MAX, INTENT_QUERY_CHARS = 20, 6
+
 # Words that never count in a query's canonical form, query operators, and leftovers of instructions.
 STOPWORDS = ["de", "del", "la", "el", "los", "las", "un", "una", "unos", "unas", "y", "o", "u", "que", "en", "con", "para", "por",
              "al", "a", "lo", "of", "the", "an", "and", "or", "to", "for", "in", "on", "with", "from", "by"]
@@ -298,3 +379,7 @@ PROFILE_PLACES = [
     ("usa", None, "USA"),
     ("estados unidos", None, "USA"),
 ]
+
+# What an intent has where the model says nothing, and how notes name the cleaned prompt.
+UNKNOWN_TYPE, CONFIDENCE = "otro", 0.7
+CLEANED_NOTE = "Prompt depurado: "

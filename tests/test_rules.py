@@ -157,3 +157,47 @@ def test_sinks_write(spark, tmp_path):
     assert back["Confidence Score"] == "61.2" and back["Is Valid"] == "True"
     sinks.write_json(frame, str(tmp_path / "json"))
     assert spark.read.json(str(tmp_path / "json" / "envelope")).first().valid_count == 1
+
+
+def test_queries_of_a_whole_intent(spark):
+    fields = "intent_id int, text string, business_type string, product_category string, service_type string, main_keywords array<string>, place string, niche string, style string, audience string, industry string, platform string"
+    rows = [
+        (1, "quiero zapatos", "Tienda", "zapatos", None, None, "madrid", "eco", "eco", None, None, None),
+        (2, "x", "agencia", None, "seo", None, None, None, "vintage", "b2b", "moda", "shopify"),
+        (3, "x", "otro", "", "", ["pan", "integral", "casero"], None, "raro", None, "nadie", "", ""),
+        (4, "web", None, None, None, None, None, None, None, None, None, None),
+        (5, None, "blog", None, None, [], None, None, None, None, None, None),
+    ]
+    got = {}
+    for r in prompts.intent_queries(spark.createDataFrame(rows, fields)).orderBy("intent_id", "ord").collect():
+        got.setdefault(r.intent_id, []).append((r["query"], r.weight))
+    without = '-"qué es" -wikipedia -"definición" -"guía de" -tutorial'
+    assert [q for q, _ in got[1]] == [
+        "comprar zapatos online", "tienda zapatos online", "tienda de zapatos", "tienda online zapatos", '"zapatos" "añadir al carrito"',
+        '"zapatos" "comprar ahora"', "zapatos shop", '"zapatos" "precio" "envío"', "tienda zapatos madrid", "tienda zapatos ecológico",
+        "tienda zapatos natural", f"zapatos tienda online {without}", "comprar zapatos", "venta de zapatos", 'zapatos "checkout"',
+        "comprar zapatos madrid", "zapatos ecológico online", "zapatos natural online", f"comprar zapatos {without}", "precio zapatos",
+    ]
+    assert [q for q, w in got[2] if w <= 0.85] == [
+        "seo agency", 'agencia seo "clientes"', "seo vintage", "presupuesto seo", "seo para empresas", "seo empresarial", "agencia seo sector moda", "servicios seo",
+    ]
+    assert got[3] == [("pan integral", 1.0), ("pan integral online", 0.9), ("pan integral web", 0.85), (f"pan integral {without}", 0.85)]
+    # texts of at most five characters ask for too much
+    assert [q for q, _ in got[4]] == ["web online", "web web", f"web {without}"] and 5 not in got
+    few = prompts.intent_queries(spark.createDataFrame(rows, fields), 3).groupBy("intent_id").count()
+    assert {r["count"] for r in few.collect()} == {3}
+
+
+def test_intents_of_a_model(spark):
+    rows = [
+        (1, 'So: {"business_type": "SaaS", "location": {"city": "Lugo"}, "prompt_depurado": "crm", "analysis_notes": "n", "must_have": ["a"]}'),
+        (2, '{"location": "Madrid", "niche": "", "language": null, "confidence": "high", "validation_indicators": "no list"}'),
+        (3, "none"),
+        (4, None),
+    ]
+    got = {r.id: r for r in prompts.parse_intent_rows(spark.createDataFrame(rows, "id int, text string")).collect()}
+    assert (got[1].business_type, got[1].location.city, got[1].location.country, got[1].analysis_notes, got[1].target_techs) == ("saas", "Lugo", None, "Prompt depurado: crm | n", ["a"])
+    for i in (2, 3, 4):
+        r = got[i]
+        assert (r.business_type, r.niche, r.language, r.confidence, r.analysis_notes, r.validation_indicators) == ("otro", None, "es", 0.7, "", []), r
+        assert tuple(r.location) == (None, None, None) and r.parsed == (i == 2)

@@ -109,6 +109,9 @@ MODEL = [
     '```json\n{"business_type":"ecommerce","must_have":["shopify"],"confidence":0.8,"search_queries":["a","b {i}"]}\n```',
     'Sure: {"business_type":"saas","niche":"eco","target_techs":["hubspot"],"must_have":["x"],"must_not":"no list"} done',
     'no json here {i}', '{"broken": ', '{"service_type":"seo {i}"}',
+    '{"business_type":"SaaS","location":{"country":"España","city":"Lugo {i}"},"target_audience":"B2B","language":"en","confidence":"high","analysis_notes":"short"}',
+    '{"location":"Madrid","niche":"","product_category":null,"prompt_depurado":"prompt {i}","analysis_notes":"kept","validation_indicators":["precio","{i}"],"exclusion_indicators":["wikipedia"]}',
+    '{"prompt_depurado":"only {i}","business_type":"","location":{"region":"Galicia"},"confidence":0.25}',
 ]
 
 
@@ -117,6 +120,18 @@ def model_rows(s, d):
     return prompt_table(s, d).select(F.col("prompt_id").alias("id"), F.replace(text, F.lit("{i}"), F.col("prompt_id").cast("string")).alias("text"))
 
 
+def _parsed(s, d):
+    rows = _lists(prompts.parse_intent_rows(model_rows(s, d)), "search_queries", "must_have", "must_not", "target_techs", "validation_indicators", "exclusion_indicators")
+    return rows.select("*", "location.country", "location.region", "location.city").drop("location")
+
+
+def prompt_intents(s, d):
+    """Whole intents, read from the prompts; every third names keywords, too."""
+    rows = prompts.read_prompts(prompt_table(s, d)).withColumnRenamed("prompt_id", "intent_id")
+    words = F.slice(F.split(F.lower("text"), " "), 1, 3)
+    return rows.withColumn("main_keywords", F.when(F.col("intent_id") % 3 == 0, words))
+
+
 def _cleaned(s, d):
     i = F.col("prompt_id")
     text = (
@@ -150,11 +165,13 @@ QUERIES = {
     "q1_q5_read_prompts": lambda s, d: _lists(prompts.read_prompts(prompt_table(s, d)).drop("text"), "modifiers", "must_have", "must_not"),
     "q6_extract_profile": _profile,
     "q7_generate_queries": lambda s, d: prompts.generate_queries(requests(s, d)),
+    "q7_intent_queries": lambda s, d: prompts.intent_queries(prompt_intents(s, d)),
+    "q7_exclusion_queries": lambda s, d: prompts.exclusion_queries(query_table(s, d)),
     "q7_transactional_queries": lambda s, d: prompts.transactional_queries(requests(s, d)),
     "q7_competitor_queries": lambda s, d: prompts.competitor_queries(requests(s, d).select(F.col("intent_id").alias("id"), F.col("term").alias("name"))),
     "q8_geo_queries": lambda s, d: prompts.geo_queries(prompts.generate_queries(requests(s, d)), _placed(s, d)),
     "q9_indicator_lists": _indicators,
-    "q10_parse_intent_rows": lambda s, d: _lists(prompts.parse_intent_rows(model_rows(s, d)), "search_queries", "must_have", "must_not", "target_techs"),
+    "q10_parse_intent_rows": _parsed,
     "q11_judge_sheet": _sheets,
     "q12_buyer_prompt": lambda s, d: prompts.buyer_prompt(prompt_table(s, d).withColumnRenamed("prompt_id", "id")),
     "q12_clean_prompt": _cleaned,
@@ -224,6 +241,28 @@ GENERATE = f"""WITH {REQS}, {_tmpl}, {_nmod},
    CASE WHEN business_type = 'agency' THEN 0.85 WHEN business_type IN ('ecommerce', 'tienda') THEN 0.75 ELSE 0.7 END FROM (SELECT *, unnest(list_slice(places, 1, 4)) AS p, generate_subscripts(list_slice(places, 1, 4), 1) AS k FROM requests)),
  firsts AS (SELECT *, row_number() OVER (PARTITION BY intent_id, lower(trim(query)) ORDER BY weight DESC, o) AS seen FROM every)
  SELECT intent_id, CAST(ord AS INTEGER) AS ord, query, CAST(weight AS DOUBLE) AS weight FROM (SELECT intent_id, query, weight, row_number() OVER (PARTITION BY intent_id ORDER BY weight DESC, o) AS ord FROM firsts WHERE seen = 1) WHERE ord <= 15"""
+_parts = values("parts", ["part", "p", "types", "r", "k", "weight", "pattern"], [
+    (part, p, "|" + "|".join(types) + "|", r, k, w, t.replace("{x}", rules.INTENT_EXCLUSIONS))
+    for p, (part, table) in enumerate(rules.INTENT_QUERIES.items()) for r, (types, rows) in enumerate(table) for k, (w, t) in enumerate(rows)
+])
+_told = values("told", ["part", "label", "o", "m"], [
+    (part, label, o, m) for part, table in (("niche", rules.INTENT_NICHE_WORDS), ("audience", rules.INTENT_AUDIENCE_WORDS)) for label, ms in table.items() for o, m in enumerate(ms)
+])
+INTENT_SQL = f"""WITH tags AS MATERIALIZED ({READ}), {PROMPTS}, {_parts}, {_told},
+ asked AS MATERIALIZED (SELECT t.*, lower(t.business_type) AS kind, coalesce(product_category, service_type, CASE WHEN t.prompt_id % 3 = 0 THEN nullif(array_to_string(list_slice(string_split(lower(text), ' '), 1, 2), ' '), '') END, text) AS term
+   FROM tags t JOIN prompts p ON p.prompt_id = t.prompt_id),
+ said AS (SELECT prompt_id, part, 0 AS o, NULL AS m FROM asked, (VALUES ('base'), ('indicator'), ('exclusion'), ('transactional')) x(part)
+  UNION ALL SELECT prompt_id, 'location', 0, place FROM asked WHERE place <> '' UNION ALL SELECT prompt_id, 'industry', 0, industry FROM asked WHERE industry <> ''
+  UNION ALL SELECT prompt_id, 'platform', 0, platform FROM asked WHERE platform <> ''
+  UNION ALL SELECT prompt_id, w.part, o, m FROM asked JOIN told w ON w.part = 'niche' AND w.label = niche WHERE o < 2
+  UNION ALL SELECT prompt_id, w.part, 5, m FROM asked JOIN told w ON w.part = 'niche' AND w.label = style WHERE o < 1 AND style IS DISTINCT FROM niche
+  UNION ALL SELECT prompt_id, w.part, o, m FROM asked JOIN told w ON w.part = 'audience' AND w.label = audience WHERE o < 2),
+ ruled AS (SELECT prompt_id, part, min(r) AS r FROM asked JOIN (SELECT DISTINCT part, r, types FROM parts) x ON types = '||' OR contains(types, '|' || kind || '|') GROUP BY ALL),
+ every AS (SELECT a.prompt_id, p.p, s.o, p.k, p.weight, replace(replace(pattern, '{{m}}', coalesce(m, '')), '{{t}}', term) AS query
+   FROM asked a JOIN said s ON s.prompt_id = a.prompt_id JOIN ruled u ON u.prompt_id = a.prompt_id AND u.part = s.part JOIN parts p ON p.part = s.part AND p.r = u.r),
+ firsts AS (SELECT *, row_number() OVER (PARTITION BY prompt_id, lower(trim(query)) ORDER BY weight DESC, p, o, k) AS seen FROM every WHERE length(trim(query)) > 5)
+ SELECT prompt_id AS intent_id, CAST(n AS INTEGER) AS ord, query, CAST(weight AS DOUBLE) AS weight
+ FROM (SELECT *, row_number() OVER (PARTITION BY prompt_id ORDER BY weight DESC, p, o, k) AS n FROM firsts WHERE seen = 1) WHERE n <= 20"""
 _trans = values("trans", ["kind", "ord", "pattern"], [(k, i, p) for k, ps in rules.TRANSACTIONAL.items() for i, p in enumerate(ps)])
 _comp = values("comp", ["ord", "pattern"], list(enumerate(rules.COMPETITOR)))
 QTABLE = f"""{PROMPTS}, {INTENTS_SQL},
@@ -256,9 +295,9 @@ def _model(i):
     return "replace(replace(" + quote(MODEL[i].replace("\n", "~")) + ", '~', chr(10)), '{i}', CAST(prompt_id AS VARCHAR))"
 
 
-_models = "CASE prompt_id % 5 " + " ".join(f"WHEN {i} THEN {_model(i)}" for i in range(len(MODEL))) + " END"
+_models = f"CASE prompt_id % {len(MODEL)} " + " ".join(f"WHEN {i} THEN {_model(i)}" for i in range(len(MODEL))) + " END"
 _jl = lambda n: f"CASE WHEN json_type(j, '$.{n}') = 'ARRAY' THEN array_to_string(json_extract_string(j, '$.{n}[*]'), ' | ') ELSE '' END"
-_js = lambda n: f"json_extract_string(j, '$.{n}')"
+_js = lambda n: f"nullif(json_extract_string(j, '$.{n}'), '')"
 _kinds9 = "CASE WHEN business_type IN ('ecommerce', 'tienda') THEN 'ecommerce' WHEN business_type = 'software' THEN 'saas' WHEN business_type = 'agency' THEN 'agencia' WHEN business_type = 'blog' THEN 'blog' ELSE 'other' END"
 _valid = "CASE kind " + " ".join(f"WHEN '{k}' THEN {sql_list(v)}" for k, v in rules.VALIDATION_WORDS.items()) + " END"
 _pm = "CASE prompt_id % 4 WHEN 0 THEN 'Prompt: ' || text WHEN 1 THEN '\"' || text || '\"' WHEN 2 THEN ' → ' || text ELSE text END"
@@ -289,6 +328,8 @@ ORACLE = {
     "q6_extract_profile": f"""WITH {PROMPTS}, lows AS (SELECT prompt_id, lower(text) AS low FROM prompts) SELECT prompt_id, audience, CASE WHEN audience IS NOT NULL THEN 0.8::DOUBLE END AS audience_confidence, scale, quality, city, country FROM (
         SELECT prompt_id, {_prof(rules.PROFILE_AUDIENCE)} AS audience, {_prof(rules.PROFILE_SCALE)} AS scale, {_quality} AS quality, {_place(1)} AS city, {_place(2)} AS country FROM lows)""",
     "q7_generate_queries": GENERATE,
+    "q7_intent_queries": INTENT_SQL,
+    "q7_exclusion_queries": f"WITH {QTABLE} SELECT intent_id, ord, query || ' -\"qué es\" -wikipedia -\"definición\" -\"guía de\"' AS query FROM queries",
     "q7_transactional_queries": f"""WITH {REQS}, {_trans} SELECT intent_id, CAST(ord AS INTEGER) AS ord, replace(pattern, '{{t}}', term) AS query FROM requests JOIN trans ON kind = CASE WHEN business_type IN ('ecommerce', 'tienda') THEN 'ecommerce'
         WHEN business_type = 'software' THEN 'saas' WHEN business_type = 'agency' THEN 'agencia' ELSE 'other' END""",
     "q7_competitor_queries": f"WITH {REQS}, {_comp} SELECT intent_id AS id, CAST(ord AS INTEGER) AS ord, replace(pattern, '{{t}}', term) AS query FROM requests, comp",
@@ -300,9 +341,11 @@ ORACLE = {
         CASE WHEN kind = 'agencia' AND intent_id % 3 = 0 THEN ['madrid', 'dirección', 'oficina'] ELSE [] END, [term], CASE WHEN intent_id % 2 = 0 THEN ['moda'] ELSE [] END), ' | ') AS validation_indicators,
         CASE WHEN kind = 'blog' THEN {quote(' | '.join(rules.BLOG_EXCLUSION_WORDS))} ELSE {quote(' | '.join(rules.EXCLUSION_WORDS))} END AS exclusion_indicators FROM k""",
     "q10_parse_intent_rows": f"""WITH {PROMPTS}, raw AS (SELECT prompt_id AS id, regexp_extract({_models}, '(?s)(\\{{.*\\}})', 1) AS b FROM prompts), p AS (SELECT id, CASE WHEN json_valid(b) THEN CAST(b AS JSON) END AS j FROM raw)
-        SELECT id, j IS NOT NULL AS parsed, coalesce({_js('business_type')}, '') AS business_type, {_js('product_category')} AS product_category, {_js('service_type')} AS service_type, {_js('niche')} AS niche,
+        SELECT id, j IS NOT NULL AS parsed, lower(coalesce({_js('business_type')}, 'otro')) AS business_type, {_js('product_category')} AS product_category, {_js('service_type')} AS service_type, {_js('niche')} AS niche,
+        {_js('location.country')} AS country, {_js('location.region')} AS region, {_js('location.city')} AS city, {_js('target_audience')} AS target_audience, coalesce({_js('language')}, 'es') AS language,
         {_jl('search_queries')} AS search_queries, {_jl('must_have')} AS must_have, {_jl('must_not')} AS must_not, coalesce(nullif({_jl('target_techs')}, ''), {_jl('must_have')}) AS target_techs,
-        coalesce(CAST({_js('confidence')} AS DOUBLE), 0.5) AS confidence FROM p""",
+        {_jl('validation_indicators')} AS validation_indicators, {_jl('exclusion_indicators')} AS exclusion_indicators,
+        concat_ws(' | ', 'Prompt depurado: ' || {_js('prompt_depurado')}, {_js('analysis_notes')}) AS analysis_notes, coalesce(TRY_CAST({_js('confidence')} AS DOUBLE), 0.7) AS confidence FROM p""",
     "q11_judge_sheet": with_pages(
         f"""SELECT c.page_id AS intent_id, c.domain, '[PROMPT DEL USUARIO]' || chr(10) || 'quiero ' || c.domain || chr(10) || chr(10) || '[DOMINIO ANALIZADO]' || chr(10) || c.domain || chr(10) || chr(10)
         || '[HTML DE LA WEB — formato Markdown]' || chr(10) || regexp_replace(c.md, '^\\s+|\\s+$', '', 'g') || chr(10) || chr(10) || '[ANÁLISIS WAPPALYZER / ADN]' || chr(10)
