@@ -106,6 +106,83 @@ def read_prompts(prompts: DataFrame) -> DataFrame:
     ).drop("phrase", "low")
 
 
+def named_phrases(text: Column, patterns: list[str]) -> Column:
+    """What the patterns name in a lower-case prompt, each once: the words before one that ends a phrase, without places,
+    tools and single letters; at least 3 characters."""
+    ends, foreign = list(rules.PHRASE_ENDS), [*rules.PHRASE_PLACES, *rules.PHRASE_TOOLS]
+
+    def named(pattern: str) -> Column:
+        def cleaned(words: Column) -> Column:
+            end = F.array_position(F.transform(words, lambda w: w.isin(ends)), F.lit(True)).cast("int")
+            head = F.when(end > 0, F.slice(words, F.lit(1), end - 1)).otherwise(words)
+            return F.array_join(F.filter(head, lambda w: ~w.isin(foreign) & (F.length(w) > 1)), " ")
+
+        found = F.regexp_extract(text, pattern.replace("WORD", rules.WORD), 1)
+        return let(F.split(F.trim(found), r"\s+"), cleaned)
+
+    return F.array_distinct(F.filter(F.array(*[named(p) for p in patterns]), lambda x: F.length(x) > 2))
+
+
+def requirements(text: Column, starts: list[str], plain: bool) -> Column:
+    """Technologies and categories that a lower-case prompt names after the starts, in order, each once.
+
+    A known technology that holds the name or lies in it is taken, else the category of that name; plain: other names stay
+    as they are, else they are left out.
+    """
+    techs = constant([t for names in rules.KNOWN_TECHNOLOGIES.values() for t in names], NO_TEXTS)
+    categories = constant({n: c for c, names in rules.CATEGORY_NAMES for n in names}, "map<string, string>")
+    named = F.concat(*[F.regexp_extract_all(text, F.lit((p + rules.NAMED).replace("WORD", rules.WORD)), F.lit(1)) for p in starts])
+    usable = F.filter(F.transform(named, lambda n: F.trim(n)), lambda n: (F.length(n) > 1) & ~n.isin(rules.NEVER_NAMED))
+
+    def known(name: Column) -> Column:
+        tech = F.get(F.filter(techs, lambda t: F.contains(name, t) | F.contains(t, name)), F.lit(0))
+        return F.coalesce(tech, F.try_element_at(categories, name), *([name] if plain else []))
+
+    return F.array_distinct(F.array_compact(F.transform(usable, known)))
+
+
+def split_requirements(names: Column) -> Column:
+    """(technologies, categories) of a list of requirements, each once, in order; null counts as empty."""
+    categories = constant(
+        {n: c for c, others in rules.SPLIT_NAMES for n in others} | {c: c for c in rules.SPLIT_CATEGORIES}, "map<string, string>"
+    )
+    low = F.transform(F.coalesce(names, F.array().cast(NO_TEXTS)), lambda n: F.lower(F.trim(n)))
+
+    def split(ns: Column) -> Column:
+        return F.struct(
+            F.array_distinct(F.filter(ns, lambda n: F.try_element_at(categories, n).isNull())).alias("technologies"),
+            F.array_distinct(F.array_compact(F.transform(ns, lambda n: F.try_element_at(categories, n)))).alias("categories"),
+        )
+
+    return let(low, split)
+
+
+def tool_names(text: Column, start: str) -> Column:
+    """Single tool names as written after a word that asks for them or refuses them, in order, with repeats."""
+    return F.regexp_extract_all(text, F.lit(r"(?iU)\b" + start + rules.TOOL_NAME), F.lit(1))
+
+
+def read_plainly(prompts: DataFrame) -> DataFrame:
+    """The plain reading of prompts(prompt_id, text): types of two lexicons, named services and niches, requirements,
+    their split into technologies and categories, and single tool names. A null text counts as empty."""
+    low, unknown = F.col("low"), F.lit(rules.UNKNOWN_TYPE)
+    first = _first_label(low, rules.FIRST_TYPES)
+    told = prompts.withColumn("text", F.coalesce("text", F.lit("")))
+    rows = told.withColumn("low", F.lower("text")).select(
+        "prompt_id",
+        F.coalesce(first, unknown).alias("type"),
+        F.when(first.isNotNull(), rules.FIRST_TYPE_CONFIDENCE).otherwise(rules.NO_TYPE_CONFIDENCE).alias("type_confidence"),
+        F.coalesce(_first_label(low, rules.SHORT_TYPES), unknown).alias("short_type"),
+        named_phrases(low, rules.SERVICE_PHRASES).alias("services"),
+        named_phrases(low, rules.NICHE_PHRASES).alias("niches"),
+        requirements(low, rules.NEEDS, plain=False).alias("must_have"),
+        requirements(low, rules.REFUSALS, plain=True).alias("must_not"),
+        tool_names(F.col("text"), rules.TOOL_NEEDED).alias("tools_needed"),
+        tool_names(F.col("text"), rules.TOOL_REFUSED).alias("tools_refused"),
+    )
+    return rows.withColumns({"have": split_requirements(F.col("must_have")), "not": split_requirements(F.col("must_not"))})
+
+
 def extract_profile(prompts: DataFrame) -> DataFrame:
     """Audience, scale and quality labels with their confidences, and the first place named, of prompts(prompt_id, text)."""
     low = F.col("low")

@@ -201,3 +201,33 @@ def test_intents_of_a_model(spark):
         r = got[i]
         assert (r.business_type, r.niche, r.language, r.confidence, r.analysis_notes, r.validation_indicators) == ("otro", None, "es", 0.7, "", []), r
         assert tuple(r.location) == (None, None, None) and r.parsed == (i == 2)
+
+
+def test_plain_reading_of_prompts(spark):
+    texts = [
+        "agencia de marketing digital en madrid sin hubspot",
+        "Tienda online de ropa y zapatos con Shopify y email marketing, que no tenga chat en vivo",
+        "software para clínicas con correo y con el Crm-Uno.com, sin email ni pago sin email",
+        "empresa de shopify para agencia de pan",
+        None,
+        "",
+    ]
+    got = {r.prompt_id: r for r in prompts.read_plainly(spark.createDataFrame(list(enumerate(texts)), "prompt_id int, text string")).collect()}
+    assert [(got[i].type, got[i].type_confidence, got[i].short_type) for i in range(6)] == [
+        ("agencia", 0.8, "agencia"), ("ecommerce", 0.8, "ecommerce"), ("saas", 0.8, "saas"), ("ecommerce", 0.8, "ecommerce"), ("otro", 0.5, "otro"), ("otro", 0.5, "otro"),
+    ]
+    # a phrase ends at its first stopword; tools are no part of it
+    assert [(got[i].services, got[i].niches) for i in range(6)] == [(["marketing digital"], []), ([], ["ropa"]), (["clínicas"], []), ([], []), ([], []), ([], [])]
+    assert (got[0].must_have, got[0].must_not, got[0].tools_refused) == ([], ["hubspot"], ["hubspot"])
+    # "chat en" is no name that is known, so it stays as it is when refused
+    assert (got[1].must_have, got[1].must_not, got[1].tools_needed, got[1].tools_refused) == (["shopify"], ["chat en"], ["Shopify"], ["chat"])
+    assert got[2].must_not == ["email ni", "email_marketing"] and got[2].tools_needed == ["correo", "el"] and got[2].tools_refused == ["email", "email"]
+    assert tuple(got[2]["not"]) == (["email ni"], ["email_marketing"])
+    for i in (4, 5):
+        assert (got[i].must_have, got[i].must_not, got[i].tools_needed, tuple(got[i]["have"])) == ([], [], [], ([], []))
+
+
+def test_split_of_requirements(spark):
+    rows = [(1, ["HubSpot ", "CRM", "livechat", "chat", "email", "mailing", "gestión de clientes", "hubspot"]), (2, None), (3, [])]
+    got = {r.i: tuple(r.s) for r in spark.createDataFrame(rows, "i int, n array<string>").select("i", prompts.split_requirements(F.col("n")).alias("s")).collect()}
+    assert got == {1: (["hubspot"], ["crm", "chat", "email", "email_marketing"]), 2: ([], []), 3: ([], [])}

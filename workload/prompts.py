@@ -132,6 +132,18 @@ def prompt_intents(s, d):
     return rows.withColumn("main_keywords", F.when(F.col("intent_id") % 3 == 0, words))
 
 
+def _plainly(s, d):
+    return prompts.read_plainly(prompt_table(s, d))
+
+
+def _split(s, d):
+    rows = _plainly(s, d).select(
+        "prompt_id", "must_have", "must_not", "tools_needed", "tools_refused", F.col("have.technologies").alias("have_technologies"),
+        F.col("have.categories").alias("have_categories"), F.col("not.technologies").alias("not_technologies"), F.col("not.categories").alias("not_categories"),
+    )
+    return _lists(rows, *rows.columns[1:])
+
+
 def _cleaned(s, d):
     i = F.col("prompt_id")
     text = (
@@ -163,6 +175,8 @@ def _sheets(s, d):
 
 QUERIES = {
     "q1_q5_read_prompts": lambda s, d: _lists(prompts.read_prompts(prompt_table(s, d)).drop("text"), "modifiers", "must_have", "must_not"),
+    "q1_q3_plain_forms": lambda s, d: _lists(_plainly(s, d).select("prompt_id", "type", "type_confidence", "short_type", "services", "niches"), "services", "niches"),
+    "q5_requirement_forms": _split,
     "q6_extract_profile": _profile,
     "q7_generate_queries": lambda s, d: prompts.generate_queries(requests(s, d)),
     "q7_intent_queries": lambda s, d: prompts.intent_queries(prompt_intents(s, d)),
@@ -304,6 +318,40 @@ _pm = "CASE prompt_id % 4 WHEN 0 THEN 'Prompt: ' || text WHEN 1 THEN '\"' || tex
 _c1 = f"trim(regexp_replace(regexp_replace({_pm}, '^\\s+|\\s+$', '', 'g'), '(?s)^```.*?```$', ''))"
 _c2 = f"trim(regexp_replace({_c1}, '(?i)^(?:prompt\\s*[:→-]?\\s*|→\\s*|-\\s*)', ''))"
 _c3 = f"""trim(regexp_replace({_c2}, '^["''](.+)["'']$', '\\1'))"""
+def _named(patterns):
+    def one(p):
+        words = f"regexp_split_to_array(trim(regexp_extract(low, {quote(p.replace('WORD', rules.WORD))}, 1)), '\\s+')"
+        end = f"coalesce(nullif(list_position(list_transform({words}, lambda w: list_contains({sql_list(rules.PHRASE_ENDS)}, w)), true), 0), len({words}) + 1)"
+        return f"array_to_string(list_filter(list_slice({words}, 1, {end} - 1), lambda w: length(w) > 1 AND NOT list_contains({sql_list([*rules.PHRASE_PLACES, *rules.PHRASE_TOOLS])}, w)), ' ')"
+
+    parts = [f"CASE WHEN length({one(p)}) > 2 THEN {one(p)} END" for p in patterns]
+    # of two phrases the second is left out where it equals the first
+    return f"concat_ws(' | ', {parts[0]}" + "".join(f", nullif({x}, coalesce({parts[0]}, ''))" for x in parts[1:]) + ")"
+
+
+_tech = "CASE " + " ".join(f"WHEN contains(n, {quote(t)}) OR contains({quote(t)}, n) THEN {quote(t)}" for ts in rules.KNOWN_TECHNOLOGIES.values() for t in ts) + " END"
+_category = "CASE " + " ".join(f"WHEN {_in('n', names)} THEN {quote(c)}" for c, names in rules.CATEGORY_NAMES) + " END"
+
+
+def _needs(name, starts, value):
+    parts = " UNION ALL ".join(
+        f"SELECT prompt_id, {i} AS p, trim(unnest(x)) AS n, generate_subscripts(x, 1) AS k FROM (SELECT prompt_id, regexp_extract_all(low, {quote((st_ + rules.NAMED).replace('WORD', rules.WORD))}, 1) AS x FROM lows)"
+        for i, st_ in enumerate(starts)
+    )
+    cat = f"CASE WHEN {_in('v', rules.SPLIT_CATEGORIES)} THEN v " + " ".join(f"WHEN {_in('v', names)} THEN {quote(c)}" for c, names in rules.SPLIT_NAMES) + " END"
+    return f"""{name} AS MATERIALIZED (SELECT prompt_id, v, min(p * 100000 + k) AS o, {cat} AS c FROM (SELECT prompt_id, p, k, {value} AS v FROM ({parts}) WHERE length(n) > 1 AND NOT {_in('n', rules.NEVER_NAMED)}) WHERE v IS NOT NULL GROUP BY prompt_id, v),
+  {name}_all AS (SELECT prompt_id, string_agg(v, ' | ' ORDER BY o) AS names, string_agg(v, ' | ' ORDER BY o) FILTER (c IS NULL) AS techs FROM {name} GROUP BY prompt_id),
+  {name}_cats AS (SELECT prompt_id, string_agg(c, ' | ' ORDER BY o) AS cats FROM (SELECT prompt_id, c, min(o) AS o FROM {name} WHERE c IS NOT NULL GROUP BY ALL) GROUP BY prompt_id)"""
+
+
+_single = lambda start: f"array_to_string(regexp_extract_all(text, {quote('(?i)(?:^|[^\\p{L}\\p{N}_])' + start + rules.TOOL_NAME)}, 1), ' | ')"
+PLAIN = f"""WITH {PROMPTS}, lows AS (SELECT prompt_id, lower(text) AS low FROM prompts) SELECT prompt_id, coalesce({_label(rules.FIRST_TYPES)}, 'otro') AS type,
+  CASE WHEN {_label(rules.FIRST_TYPES)} IS NULL THEN 0.5::DOUBLE ELSE 0.8::DOUBLE END AS type_confidence, coalesce({_label(rules.SHORT_TYPES)}, 'otro') AS short_type,
+  {_named(rules.SERVICE_PHRASES)} AS services, {_named(rules.NICHE_PHRASES)} AS niches FROM lows"""
+NEEDS = f"""WITH {PROMPTS}, lows AS MATERIALIZED (SELECT prompt_id, lower(text) AS low FROM prompts), {_needs('have', rules.NEEDS, f'coalesce({_tech}, {_category})')}, {_needs('havenot', rules.REFUSALS, f'coalesce({_tech}, {_category}, n)')}
+ SELECT p.prompt_id, coalesce(a.names, '') AS must_have, coalesce(b.names, '') AS must_not, coalesce(a.techs, '') AS have_technologies, coalesce(c.cats, '') AS have_categories,
+  coalesce(b.techs, '') AS not_technologies, coalesce(d.cats, '') AS not_categories, {_single(rules.TOOL_NEEDED)} AS tools_needed, {_single(rules.TOOL_REFUSED)} AS tools_refused
+ FROM prompts p LEFT JOIN have_all a ON a.prompt_id = p.prompt_id LEFT JOIN havenot_all b ON b.prompt_id = p.prompt_id LEFT JOIN have_cats c ON c.prompt_id = p.prompt_id LEFT JOIN havenot_cats d ON d.prompt_id = p.prompt_id"""
 _prof = lambda r: _label(r[1])
 _place = lambda i: "CASE " + " ".join(f"WHEN contains(low, {quote(p[0])}) THEN {'NULL' if p[i] is None else quote(p[i])}" for p in rules.PROFILE_PLACES) + " END"
 _quality = "array_to_string(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(low, {quote(w)})" for w in ws) + f" THEN {quote(lb)} END" for lb, ws in rules.PROFILE_QUALITY[1]) + "], lambda x: x IS NOT NULL), ' | ')"
@@ -325,6 +373,8 @@ target_lines AS (SELECT page_id, string_agg('  · ' || w || CASE WHEN det IS NOT
 """
 ORACLE = {
     "q1_q5_read_prompts": READ,
+    "q1_q3_plain_forms": PLAIN,
+    "q5_requirement_forms": NEEDS,
     "q6_extract_profile": f"""WITH {PROMPTS}, lows AS (SELECT prompt_id, lower(text) AS low FROM prompts) SELECT prompt_id, audience, CASE WHEN audience IS NOT NULL THEN 0.8::DOUBLE END AS audience_confidence, scale, quality, city, country FROM (
         SELECT prompt_id, {_prof(rules.PROFILE_AUDIENCE)} AS audience, {_prof(rules.PROFILE_SCALE)} AS scale, {_quality} AS quality, {_place(1)} AS city, {_place(2)} AS country FROM lows)""",
     "q7_generate_queries": GENERATE,
