@@ -4,7 +4,8 @@
    its name) also counts as a whole. Long texts cost no more: only header lines leave the text.
 2. Document frequencies of every word are counted over all headers and weigh as shares of them, so that the size of the table plays no part.
    The TF-IDF vectors of a header and of the templates meet in a join by word, and their cosines are sums of that join.
-3. The best template over the threshold is the file's own licence. A licence file gives its licence to its directory; a file without an own
+3. The best template over the threshold, whose version and name the header holds (MARKS), is the file's own licence; a licence of another
+   version or of a name that only resembles it is none. The conditions of BSD-2-Clause are its own unless those of BSD-3-Clause follow. A licence file gives its licence to its directory; a file without an own
    licence takes that of the nearest ancestor: its path's ancestors are joined with the licensed directories, deepest first.
 
 Defined cases: null and empty texts have no own licence, but inherit. A null path inherits nothing. Rows with a null or
@@ -23,7 +24,7 @@ from sitegrain.llm.common import held, texts
 THRESHOLD = 0.5
 #: Share of headers that is added to each word's, so that the weight of a word in hardly any header stays bounded.
 RARE = 0.1
-_CUE = r"(?i)licen[sc]e|copyright|spdx|permission is|redistribut|warrant"
+_CUE = r"(?i)licen[sc]e|copyright|spdx|permission (?:is|to use)|redistribut|warrant|neither the name"
 _LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
 #: Templates: the short notices of public licences, with the forms in which files name them.
@@ -31,6 +32,7 @@ TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
         'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at',
+        "Apache License Version 2.0, January 2004",
         "SPDX-License-Identifier: Apache-2.0",
     ],
     "MIT": [
@@ -38,18 +40,56 @@ TEMPLATES = {
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
         "SPDX-License-Identifier: MIT",
     ],
-    "BSD-3-Clause": [
+    "ISC": [
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "Permission to use, copy, modify, and distribute this software for any purpose",
+        "Licensed under the ISC License.",
+        "SPDX-License-Identifier: ISC",
+    ],
+    "BSD-2-Clause": [
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+        "Licensed under the BSD 2-Clause License.",
+        "SPDX-License-Identifier: BSD-2-Clause",
+    ],
+    "BSD-3-Clause": [
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from",
         "Licensed under the BSD 3-Clause License.",
         "SPDX-License-Identifier: BSD-3-Clause",
     ],
+    "GPL-2.0": [
+        "This work is licensed under the GNU General Public License, version 2.",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or any later version",
+        "GNU General Public License Version 2, June 1991",
+        "SPDX-License-Identifier: GPL-2.0",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+    ],
     "GPL-3.0": [
         "This work is licensed under the GNU General Public License, version 3.",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "GNU General Public License Version 3, 29 June 2007",
         "SPDX-License-Identifier: GPL-3.0",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ],
+    "AGPL-3.0": [
+        "This work is licensed under the GNU Affero General Public License, version 3.",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or any later version",
+        "GNU Affero General Public License Version 3, 19 November 2007",
+        "SPDX-License-Identifier: AGPL-3.0",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ],
+    "LGPL-2.1": [
+        "This library is licensed under the GNU Lesser General Public License, version 2.1.",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or any later version",
+        "GNU Lesser General Public License Version 2.1, February 1999",
+        "SPDX-License-Identifier: LGPL-2.1",
     ],
     "LGPL-3.0": [
         "This library is licensed under the GNU Lesser General Public License, version 3.",
+        "GNU Lesser General Public License Version 3, 29 June 2007",
         "SPDX-License-Identifier: LGPL-3.0",
     ],
     "MPL-2.0": [
@@ -66,6 +106,36 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved. Unauthorized copying of this file is strictly prohibited.", "Proprietary and confidential."],
 }
 
+#: What a header must hold, and must not hold, to name a licence that shares most of its words with others.
+_V = r"(?i)(?:\bversion |\bv\.? ?|gpl-?v?|license,? )"
+_OTHER_GPL = r"(?i)\b(?:lesser|affero|library general|lgpl|agpl)"
+MARKS = {
+    "MIT": (r"(?i)\bmit\b|permission is hereby granted", None),
+    "ISC": (r"(?i)\bisc\b|permission to use", None),
+    "Apache-2.0": (r"(?i)\b2(?:\.0)?\b", r"(?i)\b1\.1\b"),
+    "GPL-2.0": (_V + r"2(?:\.0)?(?!\.?[0-9])", _OTHER_GPL),
+    "GPL-3.0": (_V + r"3(?:\.0)?(?!\.?[0-9])", _OTHER_GPL),
+    "AGPL-3.0": (r"(?i)\b(?:affero|agpl)", _V + r"[12](?:\.0)?(?!\.?[0-9])"),
+    "LGPL-2.1": (r"(?i)2\.1\b", r"(?i)\b(?:affero|agpl)"),
+    "LGPL-3.0": (_V + r"3(?:\.0)?(?!\.?[0-9])", r"(?i)\b(?:affero|agpl)"),
+    "MPL-2.0": (r"(?i)\b2\.0\b", None),
+    "BSD-2-Clause": (r"(?i)\b2[- ]clause|redistribution and use", r"(?i)\b[34][- ]clause"),
+    "BSD-3-Clause": (r"(?i)\b3[- ]clause|neither the name", r"(?i)\b[024][- ]clause"),
+    "CC-BY-4.0": (r"4\.0", r"(?i)non-?commercial|share-?alike|no-?deriv|\b(?:nc|sa|nd)\b"),
+    "CC-BY-NC-4.0": (r"4\.0", r"(?i)share-?alike|no-?deriv|\b(?:sa|nd)\b"),
+}
+#: Licences whose text begins another's: where both are found in a file, it has the other.
+BEGINS = {"BSD-2-Clause": "BSD-3-Clause"}
+
+
+def _says(header: Column, licence: Column) -> Column:
+    """Whether the header holds the marks of the licence."""
+    out = F.lit(True)
+    for name, (needs, bars) in MARKS.items():
+        holds = (header.rlike(needs) if needs else F.lit(True)) & (~header.rlike(bars) if bars else F.lit(True))
+        out = F.when(licence == name, holds).otherwise(out)
+    return out
+
 
 def _words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
@@ -111,8 +181,13 @@ def own_licences(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     right = F.broadcast(right.select("licence", "form", "word", F.col("w").alias("t_w")))
     dots = left.join(right, "word").groupBy("header", "licence", "form").agg(F.sum(F.col("w") * F.col("t_w")).alias("dot"))
     scored = dots.join(right_norm, ["licence", "form"]).join(left_norm, "header").withColumn("similarity", F.round(F.col("dot") / F.col("h_norm") / F.col("t_norm"), 9))
-    best = scored.filter(F.col("similarity") >= threshold).groupBy("header").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
-    met = rows.select("key", F.explode("found").alias("header")).join(best, "header").groupBy("key").agg(F.min("b").alias("b"))
+    fit = (F.col("similarity") >= threshold) & _says(F.col("header"), F.col("licence"))
+    best = scored.filter(fit).groupBy("header").agg(F.min(F.struct((-F.col("similarity")).alias("s"), "licence")).alias("b"))
+    met = rows.select("key", F.explode("found").alias("header")).join(best, "header")
+    whole = {name: F.min(F.when(F.col("b.licence") == name, F.col("b"))).alias(f"whole_{i}") for i, name in enumerate(BEGINS.values())}
+    met = met.groupBy("key").agg(F.min("b").alias("b"), *whole.values())
+    for i, begun in enumerate(BEGINS):
+        met = met.withColumn("b", F.when((F.col("b.licence") == begun) & F.col(f"whole_{i}").isNotNull(), F.col(f"whole_{i}")).otherwise(F.col("b")))
     return met.select("key", F.col("b.licence").alias("licence"), (-F.col("b.s")).alias("similarity"))
 
 

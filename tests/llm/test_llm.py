@@ -303,6 +303,29 @@ def test_licences(spark):
     assert got == {1: ("MIT", None), 2: ("MIT", "a"), 3: ("GPL-3.0", None), 4: ("GPL-3.0", "a/b"), 5: ("Apache-2.0", None), 6: (None, None), 7: ("CC-BY-NC-4.0", None), 8: (None, None)}
 
 
+def test_versions_and_names_of_licences(spark):
+    gpl = "This program is free software{c} you can redistribute it and/or modify\nit under the terms of the GNU {k}General Public License as published by\nthe Free Software Foundation{d} either version {v} of the License, or\n(at your option) any later version."
+    bsd = "Copyright (c) 2020, A Person\n\nRedistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n1. Redistributions of source code must retain the above copyright notice.\n2. Redistributions in binary form must reproduce the above copyright notice."
+    third = "\n3. Neither the name of the copyright holder nor the names of its\ncontributors may be used to endorse or promote products derived from\nthis software without specific prior written permission."
+    isc = "ISC License\n\nCopyright (c) 2020, A Person\n\nPermission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies."
+    want = {
+        "GPL-2.0": [gpl.format(c=";", k="", d=";", v="2"), "GNU GENERAL PUBLIC LICENSE\nVersion 2, June 1991\n" + "Words of the text. " * 300, "SPDX-License-Identifier: GPL-2.0-only"],
+        "GPL-3.0": [gpl.format(c=":", k="", d=",", v="3"), "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007", "This work is licensed under the GNU General Public License, version 3."],
+        "AGPL-3.0": [gpl.format(c=":", k="Affero ", d=",", v="3"), "GNU AFFERO GENERAL PUBLIC LICENSE\nVersion 3, 19 November 2007"],
+        "LGPL-2.1": [gpl.format(c=";", k="Lesser ", d=";", v="2.1"), "GNU LESSER GENERAL PUBLIC LICENSE\nVersion 2.1, February 1999"],
+        "LGPL-3.0": ["GNU LESSER GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007"],
+        "BSD-2-Clause": [bsd],
+        "BSD-3-Clause": [bsd + third],
+        "ISC": [isc],
+        "Apache-2.0": ["Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/"],
+        None: ["Licensed under the Apache License, Version 1.1.", "This work is licensed under the GNU General Public License, version 1.", "Licensed under CC BY-SA 4.0.", "Licensed under CC BY 3.0."],
+    }
+    files = [(i, f"d{i}/LICENSE", text, name) for i, (name, text) in enumerate((n, t) for n, ts in want.items() for t in ts)]
+    frame = docs(spark, [f[:3] for f in files], "doc_id bigint, path string, text string")
+    got = {r.doc_id: r.own for r in licenses.licences(frame).collect()}
+    assert got == {i: name for i, _, _, name in files}, [(got[i], name, text[:60]) for i, _, text, name in files if got[i] != name]
+
+
 def test_a_header_scores_alike_in_tables_of_any_size(spark):
     score = []
     for n in (300, 30_000):
