@@ -2,9 +2,10 @@
 
 import pytest
 
-from sitegrain.operators import funnel
-from sitegrain.plans import leads
-from sitegrain.session import stored
+from sitegrain.operators import funnel, score
+from sitegrain.plans import audit, leads
+from sitegrain.session import scratch_folder, stored
+from sitegrain.sources import layout
 from workload import funnel as wf
 from workload import registry
 
@@ -63,3 +64,55 @@ def test_evidence_is_not_grouped_by_its_text(spark, folder):
     lines = [x for x in plan(QUERIES["t11_target_evidence"](spark, folder)).splitlines() if "Aggregate(" in x or "Exchange hashpartitioning" in x]
     assert lines and not any("blob" in x.split("functions=")[0] for x in lines)
     assert any("salt" in x for x in lines)
+
+
+def html_moved(df):
+    """Exchanges of the plan that carry a page's html."""
+    root = df._jdf.queryExecution().executedPlan()
+    todo, found = [root], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.initialPlan())
+            continue
+        if "Exchange" in name and "html#" in node.output().mkString(","):
+            found.append(name)
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+    return found
+
+
+@pytest.mark.parametrize("case", ["content", "confidence", "audit", "audit_of_some"])
+def test_html_stays_where_it_is_laid_out(spark, folder, case):
+    """No side is small enough to be broadcast; only ids and what pages yield may be dealt."""
+    raw = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", "url", "html")
+    pages = wf.by_page_id(spark, raw)
+    kept = stored(funnel.first_per_domain(wf.candidates(spark, folder)))
+
+    def build(pages):
+        if case == "content":
+            return score.content_score(kept, pages, wf.intents(spark))
+        if case == "confidence":
+            return score.score_candidates(kept, pages, wf.intents(spark))
+        return audit.site_audit(pages, domains=None if case == "audit" else kept)
+
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert html_moved(build(raw))  # as it comes, html is shuffled
+        assert not html_moved(build(pages))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_layout_keeps_all_pages_and_can_be_attached(spark):
+    rows = [(i if i % 7 else None, f"https://a{i}.example/", None if i % 5 == 0 else f"<p>{i}</p>") for i in range(100)]
+    pages = spark.createDataFrame(rows + rows[:3], "page_id long, url string, html string")
+    path = f"{scratch_folder(spark)}/layout-test-{id(pages)}"
+    out = layout.lay_out(pages, f"layout_test_{id(pages)}", path, 16)
+    again = layout.attach(spark, f"layout_again_{id(pages)}", path, "page_id long, url string, html string", 16)
+    key = lambda r: tuple((x is not None, x) for x in r)
+    assert sorted(map(key, out.collect())) == sorted(map(key, pages.collect())) == sorted(map(key, again.collect()))
+    with pytest.raises(Exception, match="already exists"):
+        layout.lay_out(pages, f"layout_test_{id(pages)}", path, 16)

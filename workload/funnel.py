@@ -12,7 +12,7 @@ from sitegrain.rules import funnel as rules
 from sitegrain.rules import score as weights
 from sitegrain.session import checkpointed
 from workload.oracle_text import values, with_pages
-from workload.seeded import domain_sql, pages_seeded, quote
+from workload.seeded import by_page_id, domain_sql, pages_seeded, quote
 from workload.structure import BODIES, LD, TITLE, joined
 from workload.tech import DETECTIONS, detections, rlike
 
@@ -55,10 +55,10 @@ def candidates(spark, d):
     )
 
 
-def scores(s, d):
-    """Scored candidates of the seeded pages, one per intent and site."""
+def scores(s, d, pages=None):
+    """Scored candidates of the seeded pages (or of those given, the same ones laid out), one per intent and site."""
     kept = checkpointed(funnel.first_per_domain(candidates(s, d)))
-    return score.score_candidates(kept, pages_seeded(s, d), intents(s))
+    return score.score_candidates(kept, pages or pages_seeded(s, d), intents(s))
 
 
 def _facts(s, d):
@@ -136,6 +136,10 @@ QUERIES = {
         score.content_score(candidates(s, d), pages_seeded(s, d), intents(s)).drop("alive_reason"), "keywords"
     ),
     "x7_confidence": lambda s, d: joined(scores(s, d).drop("alive_reason"), "reasons", "rejections", "keywords"),
+    "x6_content_score_by_id": lambda s, d: joined(
+        score.content_score(candidates(s, d), by_page_id(s, pages_seeded(s, d)), intents(s)).drop("alive_reason"), "keywords"
+    ),
+    "x7_confidence_by_id": lambda s, d: joined(scores(s, d, by_page_id(s, pages_seeded(s, d))).drop("alive_reason"), "reasons", "rejections", "keywords"),
     "a1_run_stats": _stats,
     "a2_tech_frequency": lambda s, d: funnel.tech_frequency(scores(s, d), detections(s, d)),
     "a3_domains_only": lambda s, d: funnel.domains_only(scores(s, d)),
@@ -424,3 +428,5 @@ both_sets AS (SELECT *, 'main' AS source FROM main_set UNION ALL SELECT e.*, 'ex
         GROUP BY ROLLUP (phase, reason)""",
 }
 ORACLE["j1_drop_blocked_table"] = ORACLE["j1_drop_blocked"]
+
+ORACLE |= {f"{name}_by_id": ORACLE[name] for name in ("x6_content_score", "x7_confidence")}

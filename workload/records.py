@@ -19,7 +19,7 @@ from sitegrain.sources.pages import read_pages, with_domain
 from workload.contacts import CASCADE, CASCADE_STEPS, _success, cascade, site_pages
 from workload.funnel import BLOCKED, INTENTS_SQL, LIVENESS, SCORES, _info_hit, candidates, intents, scores
 from workload.oracle_text import text_of, values, with_pages
-from workload.seeded import domain_sql, pages_seeded, quote
+from workload.seeded import by_page_id, domain_sql, pages_seeded, quote
 from workload.structure import LANG, TITLE, joined
 from workload.tech import DETECTIONS, HITS, INLINE, NAMES, _first, _names_list, category_sql
 
@@ -147,8 +147,8 @@ def precise(s, d):
     return leads.precise_leads(candidates(s, d).drop("page_id"), lead_pages(s, d), intents(s), verdict_rows(s, d), ["email"], 2)
 
 
-def audited(s, d):
-    return audit_plan.site_audit(site_pages(s, d), records.infra_facts(observations(s, d), AS_OF), records.site_files(files(s, d)))
+def audited(s, d, pages=None):
+    return audit_plan.site_audit(pages or site_pages(s, d), records.infra_facts(observations(s, d), AS_OF), records.site_files(files(s, d)))
 
 
 def _flat(df):
@@ -160,8 +160,8 @@ def _alerts(s, d):
     return audited(s, d).select("domain", F.array_join("alerts", " | ").alias("alerts"))
 
 
-def _audit(s, d):
-    wide = joined(audited(s, d), "technologies", "missing_pixels", "support_widgets", "email_tools", "alerts")
+def _audit(s, d, pages=None):
+    wide = joined(audited(s, d, pages), "technologies", "missing_pixels", "support_widgets", "email_tools", "alerts")
     return wide.drop("social", "registrar", "ssl_issuer")
 
 
@@ -196,6 +196,7 @@ QUERIES = {
     "e1_fast_leads": lambda s, d: _flat(fast(s, d)),
     "e2_precise_leads": lambda s, d: _flat(precise(s, d)),
     "e3_site_audit": _audit,
+    "e3_site_audit_by_id": lambda s, d: _audit(s, d, by_page_id(s, site_pages(s, d))),
 }
 
 # --- oracle -----------------------------------------------------------------------------------------------------
@@ -452,3 +453,5 @@ ORACLE = {
     ),
     "e3_site_audit": with_pages("SELECT * FROM audits", "metas", "links", ctes=AUDIT),
 }
+
+ORACLE["e3_site_audit_by_id"] = ORACLE["e3_site_audit"]

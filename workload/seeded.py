@@ -7,9 +7,13 @@ are built in Spark and, from the same table of snippets, as the leading CTE of e
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitegrain.session import scratch_folder
+from sitegrain.sources.layout import lay_out
 from sitegrain.sources.pages import read_pages, with_domain
 
 LD = '<script type="application/ld+json">%s</script>'
@@ -130,3 +134,9 @@ def _seeded_sql() -> str:
 
 
 PAGES_SEEDED_SQL = _seeded_sql()
+
+
+def by_page_id(spark: SparkSession, pages: DataFrame) -> DataFrame:
+    """These pages laid out by page_id, as a table of its own in the shared scratch folder."""
+    name = f"pages_{uuid.uuid4().hex}"
+    return lay_out(pages, name, f"{scratch_folder(spark)}/{name}")
