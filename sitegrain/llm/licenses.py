@@ -27,6 +27,9 @@ RARE = 0.1
 _CUE = r"(?i)licen[sc]e|copyright|spdx|permission (?:is|to use)|redistribut|warrant|neither the name"
 _LICENCE_NAME = r"(?i)(^|/)(licen[sc]e|copying|notice)[^/]*$"
 
+#: Words of licence texts, for telling how much of a text is one.
+_LEGAL = r"(?i)licen[sc]|copyright|permission|permitted|redistribut|convey|warrant|liab|covered work|source code|spdx"
+
 #: Templates: the short notices of public licences, with the forms in which files name them.
 TEMPLATES = {
     "Apache-2.0": [
@@ -137,6 +140,19 @@ def _says(header: Column, licence: Column) -> Column:
     return out
 
 
+def licence_share(text: Column) -> Column:
+    """The share of a text's characters that lie in sentences or lines with a word of licences; 0 for a null or empty text."""
+    parts = F.split(text, r"[.;\n]+")
+    sizes = F.transform(parts, lambda p: F.struct(F.length(p).alias("n"), p.rlike(_LEGAL).alias("legal")))
+    total = F.aggregate(
+        sizes,
+        F.struct(F.lit(0).cast("long").alias("legal"), F.lit(0).cast("long").alias("all")),
+        lambda s, p: F.struct((s["legal"] + F.when(p["legal"], p["n"]).otherwise(0)).alias("legal"), (s["all"] + p["n"]).alias("all")),
+        lambda s: F.coalesce(F.try_divide(s["legal"], s["all"]), F.lit(0.0)),
+    )
+    return F.coalesce(total, F.lit(0.0))
+
+
 def _words(x: Column) -> Column:
     return F.regexp_extract_all(F.lower(x), F.lit(r"[a-z0-9]+(?:[.-][a-z0-9]+)*"), F.lit(0))
 

@@ -9,6 +9,10 @@ sent to the tasks; a larger one stays where it is dealt and meets the documents'
 Thresholds are quantiles of the trusted documents' log-perplexities in each language: upper quartile plus a multiple of the
 quartile distance. Short texts are drawn towards the trusted mean (SHORT characters' worth of it), so that a handful of rare words rejects nothing.
 
+Four characters can't see a word repeat, so a text may also be too easy: variety is the share of distinct words in windows
+of WINDOW words, the last one ending with the text, whatever its length. The lower limit is taken from the trusted documents of
+each language in the same way, lower quartile less a multiple of the quartile distance, and short texts are drawn to the trusted mean.
+
 Defined cases: a null or empty text has the trusted mean perplexity and is kept. A language without trusted documents (null
 included) takes the thresholds over all languages. Without any trusted document nothing is rejected and perplexity is null. Rows
 with a null or repeated doc_id give a row each. Empty tables give an empty result. Columns other than doc_id, text and
@@ -32,6 +36,8 @@ ORDER = 4
 #: Pseudo-characters of the trusted mean in every text, and the quartile distances above the upper quartile at which a text is
 #: rejected: at least MARGIN nats a character, for languages whose trusted documents are very much alike.
 SHORT, FENCE, MARGIN = 200, 4.0, 0.12
+#: The same for variety: words in a window, words' worth of the trusted mean in every text, and the least distance of the lower limit.
+WINDOW, SHORT_WORDS, MARGIN_WORDS = 64, 32, 0.2
 #: Rows of the model (24 bytes each) up to which it is sent to the tasks.
 MODEL_ROWS = 2_000_000
 #: Trusted ids (16 bytes each) up to which they are broadcast, and n-grams that a task sorts at once.
@@ -50,6 +56,21 @@ def grams(text: str) -> np.ndarray:
     return out.view(np.int64)
 
 
+def variety(text: str) -> tuple[int, int]:
+    """Words in all windows of a text, and the sum of each window's distinct ones. The last window ends with the text."""
+    words = text.lower().split()
+    if len(words) <= WINDOW:
+        return len(words), len(set(words))
+    starts = [*range(0, len(words) - WINDOW, WINDOW), len(words) - WINDOW]
+    return WINDOW * len(starts), sum(len(set(words[i : i + WINDOW])) for i in starts)
+
+
+def _varieties(column: pa.Array) -> list[pa.Array]:
+    """words and fresh of a column's texts."""
+    found = [variety(text.as_py()) for text in column]
+    return [pa.array([f[j] for f in found], pa.int64()) for j in (0, 1)]
+
+
 def _portions(column: pa.Array) -> Iterator[tuple[int, list[np.ndarray]]]:
     """The n-grams of a column's texts, about PORTION at a time, each with the position of its first text."""
     first, parts, size = 0, [], 0
@@ -161,7 +182,7 @@ class Scorer:
 
 
 def perplexities(docs: DataFrame, table: DataFrame, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """doc_id, lang, chars and nll (summed negative log-probability) of every document."""
+    """doc_id, lang, chars, nll (summed negative log-probability), words and fresh (see variety) of every document."""
     rows = texts(docs, F.col("lang").cast("string").alias("lang"))
     if table.count() <= model_rows:
         sent = table.toPandas()
@@ -174,10 +195,11 @@ def perplexities(docs: DataFrame, table: DataFrame, model_rows: int = MODEL_ROWS
                     code, at = np.unique(np.concatenate(parts), return_inverse=True)
                     owner = np.repeat(np.arange(len(parts)), sizes)
                     nll = -np.bincount(owner, scorer.each(code)[at], len(parts)) if len(code) else np.zeros(len(parts))
-                    doc, lang = (batch.column(j).slice(first, len(parts)) for j in (0, 2))
-                    yield pa.RecordBatch.from_arrays([doc, lang, pa.array(sizes, pa.int64()), pa.array(nll)], ["doc_id", "lang", "chars", "nll"])
+                    doc, text, lang = (batch.column(j).slice(first, len(parts)) for j in (0, 1, 2))
+                    columns = [doc, lang, pa.array(sizes, pa.int64()), pa.array(nll), *_varieties(text)]
+                    yield pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "chars", "nll", "words", "fresh"])
 
-        return rows.mapInArrow(run, "doc_id long, lang string, chars long, nll double")
+        return rows.mapInArrow(run, "doc_id long, lang string, chars long, nll double, words long, fresh long")
     return _joined(rows, table)
 
 
@@ -191,6 +213,11 @@ def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
                 row = batch.column(0)[i].as_py()
                 yield pa.RecordBatch.from_arrays([pa.array([row] * len(code), pa.string()), pa.array(code), pa.array(n.astype(np.int64))], ["row", "code", "n"])
 
+    def told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_varieties(batch.column(1))], [*batch.schema.names, "words", "fresh"])
+
+    rows = rows.mapInArrow(told, "doc_id long, text string, lang string, words long, fresh long")
     keyed = rows.withColumn("row", F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.sha2(F.col("text").cast("binary"), 256)))
     todo = keyed.select("row", "text").distinct().select("row", "text").mapInArrow(run, "row string, code long, n long").withColumn("sum", F.lit(0.0))
     done = None
@@ -208,26 +235,35 @@ def _joined(rows: DataFrame, table: DataFrame) -> DataFrame:
     sums = done.groupBy("row").agg((-F.sum("nll")).alias("nll"))
     # the characters that grams() counts: white space runs as one blank, none at the ends
     chars = F.length(F.btrim(F.regexp_replace("text", "[ \\t-\\r]+", " ")))
-    return keyed.join(sums, "row", "left").select("doc_id", "lang", chars.cast("long").alias("chars"), F.coalesce("nll", F.lit(0.0)).alias("nll"))
+    return keyed.join(sums, "row", "left").select("doc_id", "lang", chars.cast("long").alias("chars"), F.coalesce("nll", F.lit(0.0)).alias("nll"), "words", "fresh")
 
 
 def quality(docs: DataFrame, labels: DataFrame, fence: float = FENCE, short: int = SHORT, model_rows: int = MODEL_ROWS) -> DataFrame:
-    """One row per document: doc_id, lang, chars, perplexity, threshold, kept. Trusted are the documents labelled quality 1."""
+    """One row per document: doc_id, lang, chars, perplexity, threshold, variety, least_variety, kept. Trusted are the documents labelled quality 1."""
     trusted = held(labels.filter("quality = 1 AND doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id")).distinct())
     table = model(trusted_counts(docs, trusted))
     scored = held(perplexities(docs, table, model_rows))
     known = scored.join(trusted.withColumn("ok", F.lit(True)), "doc_id", "left_semi")
-    mean = known.agg(F.sum("nll") / F.sum("chars")).first()[0]
-    if mean is None:
-        return scored.select("doc_id", "lang", "chars", F.lit(None).cast("double").alias("perplexity"), F.lit(None).cast("double").alias("threshold"), F.lit(True).alias("kept"))
-    level = lambda df: df.withColumn("level", (F.col("nll") + short * mean) / (F.col("chars") + short))
-    quartiles = F.percentile_approx("level", [0.25, 0.75], 10_000).alias("q")
-    limit = F.expr(f"q[1] + greatest({fence}D * (q[1] - q[0]), {MARGIN}D)")
-    by_lang = level(known).groupBy("lang").agg(quartiles).select(F.col("lang").alias("l"), limit.alias("own"))
-    over_all = level(known).agg(quartiles).select(limit).first()[0]
+    means = known.agg((F.sum("nll") / F.sum("chars")).alias("nll"), (F.sum("fresh") / F.sum("words")).alias("fresh")).first()
+    if means.nll is None:
+        none = [F.lit(None).cast("double").alias(x) for x in ("perplexity", "threshold", "variety", "least_variety")]
+        return scored.select("doc_id", "lang", "chars", *none, F.lit(True).alias("kept"))
+    level = (F.col("nll") + short * means.nll) / (F.col("chars") + short)
+    spread = (F.col("fresh") + SHORT_WORDS * F.lit(means.fresh)) / (F.col("words") + SHORT_WORDS)  # no words at all: the mean, or null
+    scored, known = (df.withColumns({"level": level, "spread": spread}) for df in (scored, known))
+    quartiles = [F.percentile_approx(x, [0.25, 0.75], 10_000).alias(x) for x in ("level", "spread")]
+    limit = F.expr(f"level[1] + greatest({fence}D * (level[1] - level[0]), {MARGIN}D)")
+    least = F.expr(f"spread[0] - greatest({fence}D * (spread[1] - spread[0]), {MARGIN_WORDS}D)")
+    by_lang = known.groupBy("lang").agg(*quartiles).select(F.col("lang").alias("l"), limit.alias("own"), least.alias("own_least"))
+    over_all = known.agg(*quartiles).select(limit, least).first()
     # one row per language: a few hundred at most, but counted by Spark before it broadcasts
-    out = level(scored).join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left").withColumn("limit", F.coalesce("own", F.lit(over_all)))
-    return out.select("doc_id", "lang", "chars", F.exp("level").alias("perplexity"), F.exp("limit").alias("threshold"), ((F.col("chars") == 0) | (F.col("level") <= F.col("limit"))).alias("kept"))
+    out = scored.join(by_lang, F.col("lang").eqNullSafe(F.col("l")), "left")
+    out = out.withColumns({"limit": F.coalesce("own", F.lit(over_all[0])), "least": F.coalesce("own_least", F.lit(over_all[1]))})
+    fits = (F.col("level") <= F.col("limit")) & F.coalesce(F.col("spread") >= F.col("least"), F.lit(True))
+    return out.select(
+        "doc_id", "lang", "chars", F.exp("level").alias("perplexity"), F.exp("limit").alias("threshold"),
+        F.col("spread").alias("variety"), F.col("least").alias("least_variety"), ((F.col("chars") == 0) | fits).alias("kept"),
+    )
 
 
 def good(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -52,9 +52,9 @@ def op5_exact_dedup(spark, sf):
 
 
 def op6_licences(spark, sf):
-    """Documents are taken as files: each source is a directory tree of a thousand, then a hundred ids; short texts about a licence are licence files."""
+    """Documents are taken as files: each source is a directory tree of a thousand, then a hundred ids; texts at least half of which speak of licences are licence files."""
     docs = table(spark, sf, "documents")
-    name = F.when((F.length("text") < 600) & F.col("text").rlike(r"(?i)licen[sc]e"), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
+    name = F.when(F.col("text").rlike(r"(?i)licen[sc]e|permission") & (licenses.licence_share(F.col("text")) >= 0.5), F.concat(F.lit("LICENSE-"), F.col("doc_id"))).otherwise(F.concat(F.lit("doc-"), F.col("doc_id")))
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.expr("doc_id div 1000"), F.expr("doc_id div 100"), name)
     return licenses.licences(docs.select("doc_id", "text", path.alias("path")))
 

@@ -283,11 +283,54 @@ def test_quality_keeps_good_and_rejects_bad(spark):
     found = queries.op4_quality(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
     share = {r.quality: r.s for r in found.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("s")).collect()}
     assert share[1] >= 0.995 and share[0] <= 0.1, share
+    # documents of one or a few words over and over, which four characters don't tell from text
+    text = found.join(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "doc_id").filter("quality = 0").select("doc_id", "text", "kept").collect()
+    monotone = [r for r in text if len((r.text or "").split()) >= 64 and len(set(r.text.lower().split())) <= 10]
+    assert len(monotone) >= 10 and not [r.doc_id for r in monotone if r.kept]
+
+
+def test_variety_like_brute_force():
+    drawn = random.Random(5)
+    for size in (0, 1, 63, 64, 65, 127, 128, 129, 1000):
+        words = [f"W{drawn.randrange(40)}" for _ in range(size)]
+        got = quality.variety("\n ".join(words))
+        starts = [i for i in range(size) if i % 64 == 0 and i + 64 <= size]
+        starts += [size - 64] if size % 64 and size > 64 else []
+        windows = [words[i : i + 64] for i in starts] if size > 64 else [words]
+        assert got == (sum(map(len, windows)), sum(len({w.lower() for w in x}) for x in windows)), size
+
+
+def test_texts_that_repeat_are_rejected_at_any_length(spark, folder):
+    trusted = {r.doc_id for r in spark.read.parquet(f"{folder}/labels.parquet").filter("quality = 1").collect()}
+    good = [t for d, t in sorted(held(spark, folder)) if d in trusted and len((t or "").split()) > 100][:60]
+    rows = [(i, t, "en") for i, t in enumerate(good)]
+    odd = {1000: "The " * 3000, 1001: "Of of\n" * 300_000, 1002: " ".join(["the and of to"] * 50), 1003: "Yes yes.", 1004: "", 1005: None}
+    frame = docs(spark, rows + [(i, t, None if i == 1000 else "en") for i, t in odd.items()], "doc_id bigint, text string, lang string")
+    labels = docs(spark, [(i, 1) for i, _, _ in rows], "doc_id bigint, quality int")
+    for rows_sent in (10**9, 0):  # in memory, and by joins
+        got = {r.doc_id: r for r in quality.quality(frame, labels, model_rows=rows_sent).collect()}
+        assert not any(got[i].kept for i in (1000, 1001, 1002)) and all(got[i].kept for i in (1003, 1004, 1005))
+        assert all(got[i].variety >= got[i].least_variety for i, _, _ in rows)
+        assert got[1000].variety < 0.05 and got[1001].variety < 0.05
 
 
 # licences
 
 
+def test_licence_files_of_any_length(spark, tmp_path):
+    """A document is a licence file by how much of it speaks of licences; it then gives its licence to its directory."""
+    mit = """MIT License\n\nCopyright (c) 2020 A Person\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\nTHE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED.\nIN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY."""
+    prose = "A tale of a hill and a house by the sea. " * 3
+    rows = [(110, mit, "a"), (111, prose, "a"), (210, prose + "Released under the MIT License.", "a"), (211, prose, "a"), (310, None, "a"), (311, "", "a")]
+    docs(spark, rows, "doc_id bigint, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.own, r.licence) for r in queries.op6_licences(spark, str(tmp_path)).collect()}
+    assert len(mit) > 600
+    assert got == {110: ("MIT", "MIT"), 111: (None, "MIT"), 210: ("MIT", "MIT"), 211: (None, None), 310: (None, None), 311: (None, None)}
+    share = docs(spark, [(1, mit), (2, prose), (3, None), (4, ""), (5, "...\n;")]).select("doc_id", licenses.licence_share(F.col("text")).alias("s"))
+    share = {r.doc_id: r.s for r in share.collect()}
+    assert share[1] > 0.9 and [share[i] for i in (2, 3, 4, 5)] == [0, 0, 0, 0]
+
+
 def test_licences(spark):
     files = [
         (1, "a/LICENSE", "Released under the MIT License."),
